@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_ROWS = 100_000
 SALTS = 64
-HOT_SHARE = 1_000
+HOT_KEYS = 10_000
+HOT_ROWS = 100_000
+
+
+def count_up_to(df: DataFrame, max_rows: int) -> int:
+    """The number of rows, or ``max_rows`` + 1 if there are more; reads no more."""
+    return df.limit(max_rows + 1).count()
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    return count_up_to(df, max_rows) <= max_rows
 
 
 def join_small(large: DataFrame, small: DataFrame, on: list[str], salt_by: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Inner join of a skewed table with a usually small one of narrow rows.
 
-    Below ``max_rows`` the small side is broadcast. Beyond it both sides are
+    Up to ``max_rows`` the small side is broadcast. Beyond it both sides are
     shuffled, with every key of the large side cut into ``SALTS`` parts by
     ``salt_by`` and the small side copied to each part.
     """
@@ -28,16 +33,25 @@ def join_small(large: DataFrame, small: DataFrame, on: list[str], salt_by: str,
     return salted.join(copies, [*on, "_salt"]).drop("_salt")
 
 
+def hot_keys(df: DataFrame, key: str, total: int) -> list:
+    """Keys holding more than 1/``HOT_KEYS`` of ``total`` rows: never more than
+    ``HOT_KEYS`` of them, counted with one row per key and task."""
+    limit = max(total // HOT_KEYS, HOT_ROWS)
+    if total <= limit:
+        return []
+    counted = df.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > limit)
+    return [row[0] for row in counted.collect()]
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
-    """Left join to a table with one row per ``key``, hot left keys apart.
+    """Left join to a table with one row per ``key``.
 
-    A key is hot when it holds more than 1/``HOT_SHARE`` of the ``total`` left
-    rows, so at most ``HOT_SHARE`` keys can be hot and their right rows are
-    broadcast; all other keys are shuffled in even parts.
+    The right rows of hot left keys are broadcast, which takes one row per hot
+    key; all other keys are shuffled in even parts.
     """
-    hot = left.groupBy(key).count().filter(F.col("count") > F.lit(max(total // HOT_SHARE, 1_000))).select(key)
-    flagged = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    few = right.join(F.broadcast(hot), key, "left_semi")
-    warm = flagged.filter("_hot").drop("_hot").join(F.broadcast(few), key, "left")
-    cold = flagged.filter("_hot IS NULL").drop("_hot").join(right, key, "left")
-    return cold.unionByName(warm)
+    hot = hot_keys(left, key, total)
+    if not hot:
+        return left.join(right, key, "left")
+    is_hot = F.coalesce(F.col(key).isin(*hot), F.lit(False))
+    warm = left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, "left")
+    return left.filter(~is_hot).join(right, key, "left").unionByName(warm)

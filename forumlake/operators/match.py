@@ -97,6 +97,10 @@ def analyse_query(spark: SparkSession, q: str, config: str = "english", operator
     return Query(tuple(tuple(groups[g]) for g in sorted(groups)))
 
 
+def shift(positions: Column, offset: int) -> Column:
+    return F.transform(positions, lambda p: p - offset)
+
+
 def phrase_found(arrays: list[Column]) -> Column:
     """Whether shifted position arrays share a start."""
     return F.size(reduce(F.array_intersect, arrays)) > 0
@@ -108,7 +112,7 @@ def matched(query: Query, present: dict[str, Column], positions: dict[str, Colum
     def clause(c: Clause) -> Column:
         found = reduce(and_, [present[t] for _, t in c.terms])
         if len(c.terms) > 1:
-            shifted = [F.transform(positions[t], lambda p, off=off: p - off) for off, t in c.terms]
+            shifted = [shift(positions[t], off) for off, t in c.terms]
             found = F.coalesce(found & phrase_found(shifted), F.lit(False))
         return ~found if c.negated else found
 

@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from forumlake.operators.postings import corpus_stats, postings, term_stats
 from forumlake.schema import ITEM_TYPES
-from forumlake.session import spread
+from forumlake.session import spread, stage
 
 BYTES_PER_BUCKET = 256 * 2**20
-MIN_BUCKETS, MAX_BUCKETS = 4, 4096
+MIN_BUCKETS, MAX_BUCKETS = 8, 4096
 
 POSTINGS = "gen int, type string, bucket int, id bigint, live boolean, term string, tf int, dl int, positions array<int>"
 TERM_STATS = "gen int, bucket int, scope string, term string, df bigint"
@@ -133,12 +133,14 @@ def add_generation(index: SearchIndex, old: DataFrame, new: DataFrame, gen: int)
     spark, path, config, buckets = index.spark, index.path, index.config, index.buckets
     if gen in open_index(spark, path).generations:
         return open_index(spark, path)
-    new_posts, old_posts = postings(new, config), postings(old, config)
-    _write(new_posts.withColumn("bucket", bucket_of(F.col("term"), buckets)), f"{path}/postings", gen, ["type", "bucket"], ["term", "id"])
+    new_posts = postings(new, config).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    _write(new_posts, f"{path}/postings", gen, ["type", "bucket"], ["term", "id"])
+    written = spark.read.schema(POSTINGS).parquet(f"{path}/postings").filter(F.col("gen") == gen)
     _write(new.select("id"), f"{path}/retired", gen, [], ["id"])
-    terms = _difference(term_stats(new_posts), term_stats(old_posts), ["scope", "term"], ["df"])
+    old_posts = stage(postings(old, config).drop("positions"), "before")
+    terms = _difference(term_stats(written), term_stats(old_posts), ["scope", "term"], ["df"])
     _write(terms.withColumn("bucket", bucket_of(F.col("term"), buckets)), f"{path}/term_stats", gen, ["bucket"], ["term", "scope"])
-    corpus = _difference(corpus_stats(new, new_posts), corpus_stats(old, old_posts), ["scope"], ["n", "total_dl"])
+    corpus = _difference(corpus_stats(new, written), corpus_stats(old, old_posts), ["scope"], ["n", "total_dl"])
     _write(corpus, f"{path}/corpus_stats", gen, [], ["scope"])
     _commit(spark, path, gen, config, buckets)
     return open_index(spark, path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,10 +13,18 @@ from forumlake.session import fingerprint, fresh_path, input_bytes
 _indexes: dict[tuple, SearchIndex] = {}
 
 
-@dataclass(frozen=True)
 class Lake:
-    items: DataFrame
-    index: SearchIndex
+    """``index`` is made when it is first asked for; browsing never needs it."""
+
+    def __init__(self, items: DataFrame, index: SearchIndex | Callable[[], SearchIndex]) -> None:
+        self.items = items
+        self._index = index
+
+    @property
+    def index(self) -> SearchIndex:
+        if not isinstance(self._index, SearchIndex):
+            self._index = self._index()
+        return self._index
 
     @property
     def spark(self) -> SparkSession:
@@ -30,9 +38,13 @@ def source_paths(sf_dir: str) -> list[str]:
 def lake_of(spark: SparkSession, sf_dir: str, config: str = "english") -> Lake:
     """The lake over the driver's tables. The index is built once per session
     and again whenever one of the source files has changed."""
-    paths = source_paths(sf_dir)
     items = items_view(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, config, sf_dir, fingerprint(spark, *paths))
-    if key not in _indexes:
-        _indexes[key] = build_index(items, fresh_path(spark, f"index-{config}"), input_bytes(spark, *paths), config)
-    return Lake(items, _indexes[key])
+
+    def index() -> SearchIndex:
+        paths = source_paths(sf_dir)
+        key = (spark.sparkContext.applicationId, config, sf_dir, fingerprint(spark, *paths))
+        if key not in _indexes:
+            _indexes[key] = build_index(items, fresh_path(spark, f"index-{config}"), input_bytes(spark, *paths), config)
+        return _indexes[key]
+
+    return Lake(items, index)
