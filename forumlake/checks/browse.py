@@ -42,8 +42,8 @@ check("browse_polls_by_score", WITH + page_sql(_live(f"type = 'poll' AND {TITLED
 )
 check(
     "by_author_since",
-    WITH + page_sql(_live(f"type = 'comment' AND \"by\" = 'user' AND time >= {AS_OF_SQL} - INTERVAL 7 DAY"), NEWEST_SQL, True),
-)(_search(SearchFilters(type="comment", by="user", since="week")))
+    WITH + page_sql(_live(f"type = 'story' AND {TITLED} AND \"by\" = 'u3' AND time >= {AS_OF_SQL} - INTERVAL 7 DAY"), NEWEST_SQL, False),
+)(_search(SearchFilters(by="u3", since="week")))
 check(
     "prefix_search",
     WITH + page_sql(_live("starts_with(lower(title), 'la') OR starts_with(lower(\"by\"), 'la')"), NEWEST_SQL, True),

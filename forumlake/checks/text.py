@@ -111,8 +111,8 @@ _ranked(
     ["the", "with"],
     f"{has('the')} AND {has('with')}",
     True,
-    more=f"\"by\" = 'src2' AND time >= {AS_OF_SQL} - INTERVAL 30 DAY",
-    by="src2",
+    more=f"\"by\" = 'src6' AND time >= {AS_OF_SQL} - INTERVAL 30 DAY",
+    by="src6",
     since="month",
 )
 

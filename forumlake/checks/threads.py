@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from forumlake.checks.base import ITEMS, check
 from forumlake.corpus import items_view
 from forumlake.operators import threads
+from forumlake.plans.lake import lake_of
 
 WITH = f"WITH RECURSIVE {ITEMS}"
 
@@ -19,13 +20,18 @@ _ONE = _DOWN.replace("{start}", "i.id = 11")
 _ALL = _DOWN.replace("{start}", "i.parent IS NULL OR i.parent NOT IN (SELECT id FROM items)")
 
 
+def _thread(spark: SparkSession, sf_dir: str, with_path: bool = True) -> DataFrame:
+    lake = lake_of(spark, sf_dir)
+    return threads.thread(lake.items, 11, lake.edges, with_path)
+
+
 @check(
     "thread_one",
     f"""{_ONE} SELECT i.id, i.type, i."by" AS author, i.time, i.text, i.parent, i.deleted, i.dead, CAST(d.depth AS BIGINT) AS depth,
   array_to_string(d.path, '/') AS path FROM down d JOIN items i USING (id)""",
 )
 def _thread_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = threads.in_order(threads.thread(items_view(spark, sf_dir), 11))
+    rows = threads.in_order(_thread(spark, sf_dir))
     path = F.array_join(F.col("path").cast("array<string>"), "/").alias("path")
     return rows.select("id", "type", F.col("by").alias("author"), "time", "text", "parent", "deleted", "dead", "depth", path)
 
@@ -36,7 +42,7 @@ def _thread_one(spark: SparkSession, sf_dir: str) -> DataFrame:
   i.deleted AS hidden FROM down d JOIN items i USING (id)""",
 )
 def _thread_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = threads.display_thread(threads.thread(items_view(spark, sf_dir), 11, with_path=False))
+    rows = threads.display_thread(_thread(spark, sf_dir, with_path=False))
     return rows.select("id", "parent", "depth", "author", (F.col("body") == "[deleted]").alias("hidden"))
 
 

@@ -371,7 +371,7 @@ def _story_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "lists")
     ids = items_view(spark, sf_dir).filter(F.col("type").isin("story", "job", "poll")).select("type", "id")
     lists = ids.groupBy("type", F.floor(F.col("id") / 500).cast("string").alias("part")).agg(F.to_json(F.collect_list("id")).alias("value"))
-    lists.repartition("type", "part").write.option("maxRecordsPerFile", 1).partitionBy("type").text(path)
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return read_story_lists(spark, path).select("id")
 
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from forumlake.schema import ID_BUCKET_WIDTH
+from forumlake.session import stage
+
 BROADCAST_ROWS = 100_000
 SALTS = 64
 HOT_KEYS = 10_000
 HOT_ROWS = 100_000
+LITERAL_IDS = 1_000
 
 
 def count_up_to(df: DataFrame, max_rows: int) -> int:
@@ -55,3 +59,16 @@ def lookup(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame
     is_hot = F.coalesce(F.col(key).isin(*hot), F.lit(False))
     warm = left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, "left")
     return left.filter(~is_hot).join(right, key, "left").unionByName(warm)
+
+
+def rows_of(items: DataFrame, found: DataFrame) -> DataFrame:
+    """The items of a few rows (id, ...) that fit a broadcast.
+
+    Stored items are sorted by id inside id buckets: up to ``LITERAL_IDS`` ids
+    are put into the filter, so that only the row groups holding them are read.
+    """
+    if "id_bucket" in items.columns:
+        ids = [row["id"] for row in found.select("id").limit(LITERAL_IDS + 1).collect()]
+        if len(ids) <= LITERAL_IDS:
+            items = items.filter(F.col("id_bucket").isin(*{id_ // ID_BUCKET_WIDTH for id_ in ids}) & F.col("id").isin(*ids))
+    return items.join(F.broadcast(found), "id")

@@ -5,18 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from forumlake.functions.display import thread_author, thread_text
-from forumlake.operators.joins import BROADCAST_ROWS, count_up_to, lookup
+from forumlake.operators.joins import LITERAL_IDS, fits_broadcast, join_small, lookup, rows_of
 from forumlake.operators.ordering import grouped_positions
 from forumlake.operators.projections import THREAD
+from forumlake.schema import ID_BUCKET_WIDTH
 from forumlake.session import fresh_path, stage
 
 
-def thread(items: DataFrame, root_id: int, with_path: bool = True) -> DataFrame:
+def edges_of(items: DataFrame) -> DataFrame:
+    """(parent, id) of every item that has a parent."""
+    return items.filter("parent IS NOT NULL").select("parent", "id")
+
+
+def children_of(edges: DataFrame, level: DataFrame, ids: list[int]) -> DataFrame:
+    """(id, path of the parent) of the children of a level, whose first ids are
+    ``ids``.
+
+    A small level is matched by literal ids, which prune the stored edges to the
+    files that hold them; a larger one is broadcast, or shuffled past the limit.
+    """
+    level = level.select(F.col("id").alias("parent"), "path")
+    if len(ids) > LITERAL_IDS:
+        return join_small(edges, level, ["parent"], salt_by="id").select("id", "path")
+    if "bucket" in edges.columns:
+        edges = edges.filter(F.col("bucket").isin(*{id_ // ID_BUCKET_WIDTH for id_ in ids}))
+    return edges.filter(F.col("parent").isin(*ids)).join(F.broadcast(level), "parent").select("id", "path")
+
+
+def thread(items: DataFrame, root_id: int, edges: DataFrame | None = None, with_path: bool = True) -> DataFrame:
     """The item and all its descendants, deleted ones included, with ``depth``
     and ``path`` (the ids from the root down, which orders the rows as shown).
 
-    One level per round. A round reads only (id, parent); its rows go to the
-    shared folder. A level that fits is broadcast, a larger one is shuffled.
+    One level per round, found through ``edges`` and kept in the shared folder.
     Every item has one parent, so a cycle can only be met by coming back to the
     root, which is left out. Without the path nothing grows with the depth, for
     threads nested without limit.
@@ -24,22 +44,19 @@ def thread(items: DataFrame, root_id: int, with_path: bool = True) -> DataFrame:
     spark = items.sparkSession
     base = fresh_path(spark, "thread")
     schema = "id bigint, path array<bigint>"
-    edges = items.filter(F.col("parent").isNotNull() & (F.col("id") != root_id)).select("id", F.col("parent").alias("above"))
+    edges = (edges_of(items) if edges is None else edges).filter(F.col("id") != root_id)
     start = F.array("id") if with_path else F.array().cast("array<bigint>")
     step = F.concat("path", F.array("id")) if with_path else F.col("path")
-    rows, depth = items.filter(F.col("id") == root_id).select("id", start.alias("path")), 0
-    total = 0
+    rows, depth = rows_of(items, spark.range(root_id, root_id + 1)).select("id", start.alias("path")), 0
     while True:
         rows.write.parquet(f"{base}/depth={depth}")
-        level = spark.read.schema(schema).parquet(f"{base}/depth={depth}").select(F.col("id").alias("above"), "path")
-        size = count_up_to(level, BROADCAST_ROWS)
-        if size == 0:
+        level = spark.read.schema(schema).parquet(f"{base}/depth={depth}")
+        ids = [row["id"] for row in level.select("id").limit(LITERAL_IDS + 1).collect()]
+        if not ids:
             break
-        total += size
-        below = edges.join(F.broadcast(level) if size <= BROADCAST_ROWS else level, "above")
-        rows, depth = below.select("id", step.alias("path")), depth + 1
+        rows, depth = children_of(edges, level, ids).select("id", step.alias("path")), depth + 1
     found = spark.read.schema(f"{schema}, depth bigint").parquet(base)
-    joined = items.join(F.broadcast(found) if total <= BROADCAST_ROWS else found, "id")
+    joined = rows_of(items, found) if fits_broadcast(found) else items.join(found, "id")
     return joined.select(*THREAD, "depth", *(["path"] if with_path else []))
 
 

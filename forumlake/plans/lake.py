@@ -1,50 +1,94 @@
-"""The items table together with its search index."""
+"""The items table together with its search index and its parent-to-child edges."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from forumlake.corpus import SOURCES, items_view
-from forumlake.plans.index import SearchIndex, build_index
+from forumlake.operators.threads import edges_of
+from forumlake.plans.index import SearchIndex, build_index, open_index
+from forumlake.schema import ID_BUCKET_WIDTH
 from forumlake.session import fingerprint, fresh_path, input_bytes
+from forumlake.sources.items import read_items, write_items
 
-_indexes: dict[tuple, SearchIndex] = {}
+EDGES = "parent bigint, id bigint, bucket bigint"
+
+_built: dict[tuple, object] = {}
 
 
 class Lake:
-    """``index`` is made when it is first asked for; browsing never needs it."""
+    """``index`` and ``edges`` are made when they are first asked for; browsing
+    needs neither."""
 
-    def __init__(self, items: DataFrame, index: SearchIndex | Callable[[], SearchIndex]) -> None:
+    def __init__(self, items: DataFrame, index: Callable[[], SearchIndex], edges: Callable[[], DataFrame]) -> None:
         self.items = items
         self._index = index
+        self._edges = edges
 
     @property
     def index(self) -> SearchIndex:
-        if not isinstance(self._index, SearchIndex):
-            self._index = self._index()
-        return self._index
+        return self._index()
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._edges()
 
     @property
     def spark(self) -> SparkSession:
         return self.items.sparkSession
 
 
+def build_edges(items: DataFrame, path: str) -> DataFrame:
+    """Writes the edges by bucket of the parent, sorted by parent. A parent with
+    very many children is cut into several files by the rebalance."""
+    edges = edges_of(items).withColumn("bucket", F.floor(F.col("parent") / ID_BUCKET_WIDTH).cast("bigint"))
+    edges.hint("rebalance", "bucket").sortWithinPartitions("bucket", "parent", "id").write.partitionBy("bucket").parquet(path)
+    return read_edges(items.sparkSession, path)
+
+
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(EDGES).parquet(path)
+
+
+def write_lake(items: DataFrame, path: str, size: int, config: str = "english") -> Lake:
+    """Stores items, index and edges under one folder. ``size`` is the items'
+    size in bytes."""
+    spark = items.sparkSession
+    write_items(items, f"{path}/items")
+    stored = read_items(spark, f"{path}/items")
+    build_index(stored, f"{path}/index", size, config)
+    build_edges(stored, f"{path}/edges")
+    return open_lake(spark, path)
+
+
+def open_lake(spark: SparkSession, path: str) -> Lake:
+    items = read_items(spark, f"{path}/items", with_bucket=True)
+    return Lake(items, lambda: open_index(spark, f"{path}/index"), lambda: read_edges(spark, f"{path}/edges"))
+
+
 def source_paths(sf_dir: str) -> list[str]:
     return [f"{sf_dir}/{name}.parquet" for name in SOURCES]
 
 
 def lake_of(spark: SparkSession, sf_dir: str, config: str = "english") -> Lake:
-    """The lake over the driver's tables. The index is built once per session
-    and again whenever one of the source files has changed."""
+    """The lake over the driver's tables. Index and edges are built once per
+    session, and again whenever one of the source files has changed."""
     items = items_view(spark, sf_dir)
-
-    def index() -> SearchIndex:
-        paths = source_paths(sf_dir)
-        key = (spark.sparkContext.applicationId, config, sf_dir, fingerprint(spark, *paths))
-        if key not in _indexes:
-            _indexes[key] = build_index(items, fresh_path(spark, f"index-{config}"), input_bytes(spark, *paths), config)
-        return _indexes[key]
-
-    return Lake(items, index)
+    paths = source_paths(sf_dir)
+
+    def once(kind: str, build: Callable[[], object]):
+        def made():
+            key = (spark.sparkContext.applicationId, kind, sf_dir, fingerprint(spark, *paths))
+            if key not in _built:
+                _built[key] = build()
+            return _built[key]
+
+        return made
+
+    return Lake(
+        items,
+        once(f"index {config}", lambda: build_index(items, fresh_path(spark, f"index-{config}"), input_bytes(spark, *paths), config)),
+        once("edges", lambda: build_edges(items, fresh_path(spark, "edges"))),
+    )

@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from forumlake.functions.requests import SearchFilters, scope_of
 from forumlake.operators import ordering, rank
 from forumlake.operators.filters import build_filter, by_author, has_prefix, is_live, live, of_type
+from forumlake.operators.joins import rows_of
 from forumlake.operators.match import Query, analyse_query, match
 from forumlake.operators.projections import hit_columns
 from forumlake.plans.index import SearchIndex
 from forumlake.plans.lake import Lake
 from forumlake.schema import TYPEAHEAD_SIZE
+from forumlake.session import stage
 
 
 def weighted_postings(index: SearchIndex, query: Query, type_: str) -> DataFrame:
@@ -49,7 +51,8 @@ def matches(lake: Lake, f: SearchFilters, as_of: datetime) -> DataFrame:
 def fetch(items: DataFrame, page_rows: DataFrame, with_snippet: bool, order: list[Column], page: int, *extra: str) -> DataFrame:
     """The wide columns of the rows of one page. Only ids and sort keys travel
     through ranking; the page, of a fixed size, is then broadcast to the items."""
-    wide = items.join(F.broadcast(page_rows.select("id", *extra)), "id")
+    found = page_rows.select("id", *extra)
+    wide = rows_of(items, stage(found, "page") if "id_bucket" in items.columns else found)
     return hit_columns(ordering.ranked(wide, order, page), with_snippet, *extra, "rank").orderBy("rank")
 
 
