@@ -202,6 +202,9 @@ def _strip_sql(col: str) -> str:
     return out
 
 
+_BLANK = r"\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
+
 def _stripped(source: str, col: str) -> str:
     return f"""
 tagless AS (SELECT *, {_strip_sql(col)} AS t FROM {source}),
@@ -210,7 +213,7 @@ decoded AS (
       list_zip(string_split_regex(t, '&#[0-9]+;'), regexp_extract_all(t, '&#([0-9]+);', 1)),
       lambda x: x[1] || coalesce(chr(CAST(CAST(x[2] AS HUGEINT) % 65536 AS INTEGER)), '')), '') ELSE t END AS u FROM tagless),
 stripped AS (
-  SELECT *, regexp_replace(regexp_replace(u, '\\n{{3,}}', E'\\n\\n', 'g'), '^[\\s\\x0B\\x{{A0}}\\x{{FEFF}}]+|[\\s\\x0B\\x{{A0}}\\x{{FEFF}}]+$', '', 'g') AS body FROM decoded)
+  SELECT *, regexp_replace(regexp_replace(u, '\\n{{3,}}', E'\\n\\n', 'g'), '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') AS body FROM decoded)
 """
 
 

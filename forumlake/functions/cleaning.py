@@ -5,14 +5,22 @@ Every rule is total: it never raises, whatever the text (ANSI mode is on).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Spellings of true, of an absent value, and of a number.
 TRUE_WORDS = ("1", "true", "t")
 ABSENT_WORDS = ("", "null", "\\N")
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+WHOLE = r"^[+-]?[0-9]{1,19}$"
 MAX_EPOCH_MILLIS = 8.64e15
-BLANKS = r"^[\s\u00A0\uFEFF]+|[\s\u00A0\uFEFF]+$"
+BLANKS = "\t\n\x0b\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def strip_nul(col: Column) -> Column:
@@ -20,7 +28,7 @@ def strip_nul(col: Column) -> Column:
 
 
 def trim_blanks(col: Column) -> Column:
-    return F.regexp_replace(col, BLANKS, "")
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def blank_to_null(col: Column) -> Column:
@@ -33,9 +41,9 @@ def to_bool(col: Column) -> Column:
 
 
 def to_number(col: Column) -> Column:
-    text = strip_nul(col)
-    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    return F.when(F.abs(number) < F.lit(float("inf")), number)
+    """Only text that looks like a number is cast: a failing cast is slow."""
+    number = let(strip_nul(col), lambda text: F.when(text.rlike(NUMBER), text.try_cast("double")))
+    return let(number, lambda n: F.when(F.abs(n) < F.lit(float("inf")), n))
 
 
 def to_long(col: Column, zero_as_null: bool = False) -> Column:
@@ -51,19 +59,22 @@ def to_int(col: Column, zero_as_null: bool = False) -> Column:
 def to_long_array(col: Column) -> Column:
     """``[1,2]`` or ``{1,2}`` as an array; what is no whole number is left out."""
     inner = F.regexp_replace(trim_blanks(strip_nul(col)), r"^\[?\{?|\}?\]?$", "")
-    parts = F.transform(F.split(inner, ","), lambda part: trim_blanks(part).try_cast("bigint"))
-    return F.coalesce(F.filter(parts, lambda part: part.isNotNull()), F.array().cast("array<bigint>"))
+    parts = F.filter(F.transform(F.split(inner, ","), trim_blanks), lambda part: part.rlike(WHOLE))
+    longs = F.filter(F.transform(parts, lambda part: part.try_cast("bigint")), lambda n: n.isNotNull())
+    return F.coalesce(longs, F.array().cast("array<bigint>"))
 
 
 def to_ts(col: Column) -> Column:
     """Epoch milliseconds (above 1e12), epoch seconds, or ISO text; text without
     a zone is UTC whatever the session's zone."""
-    text = trim_blanks(strip_nul(col))
-    number = to_number(text)
+    return let(trim_blanks(strip_nul(col)), lambda text: let(to_number(text), lambda number: _instant(text, number)))
+
+
+def _instant(text: Column, number: Column) -> Column:
     millis = F.when(number > 1e12, number).otherwise(number * 1000)
-    dated = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.concat(text, F.lit(" 00:00:00"))).otherwise(text)
+    epoch = F.when((millis > 0) & (millis <= MAX_EPOCH_MILLIS), F.timestamp_millis(millis.try_cast("bigint")))
+    dated = F.when(F.length(text) <= 10, F.concat(text, F.lit(" 00:00:00"))).otherwise(text)
     zoned = F.when(dated.rlike(r"\d:\d\d.*([zZ]|[+-]\d\d(:?\d\d)?)$"), dated).otherwise(F.concat(dated, F.lit("Z")))
-    return F.when(
-        number.isNotNull(),
-        F.when((millis > 0) & (millis <= MAX_EPOCH_MILLIS), F.timestamp_millis(millis.try_cast("bigint"))),
-    ).otherwise(F.try_to_timestamp(zoned))
+    # Only text that starts like a date reaches the parser.
+    iso = F.when(text.rlike(r"^\d{4}-\d"), zoned.try_cast("timestamp"))
+    return F.when(number.isNotNull(), epoch).otherwise(iso)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from forumlake.functions.cleaning import trim_blanks
+from forumlake.functions.cleaning import let, trim_blanks
+from forumlake.functions.text import TAG
 from forumlake.schema import PAGE_SIZE, SCORED_TYPES
 
 # What each tag turns into, in this order, then named entities.
@@ -55,18 +56,32 @@ def decode_numeric_entities(col: Column) -> Column:
 
 
 def strip_html(col: Column) -> Column:
-    out = F.coalesce(col, F.lit(""))
+    """Each step looks only at texts that can need it: a plain search for one
+    character is far cheaper than the patterns it guards."""
+    text = F.coalesce(col, F.lit(""))
+    out = text
     for pattern, replacement in TAG_RULES:
         out = F.regexp_replace(out, pattern, replacement)
+    text = F.when(text.contains("<"), out).otherwise(text)
+    return let(text, _decode_and_trim)
+
+
+def _decode_and_trim(text: Column) -> Column:
+    out = text
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
-    # The inner array gives the decoder one evaluated value to look at.
-    out = F.get(F.transform(F.array(out), decode_numeric_entities), F.lit(0))
-    return trim_blanks(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    decoded = F.when(text.contains("&"), let(out, decode_numeric_entities)).otherwise(text)
+    return let(decoded, _squeeze)
+
+
+def _squeeze(text: Column) -> Column:
+    squeezed = F.when(text.contains("\n\n\n"), F.regexp_replace(text, r"\n{3,}", "\n\n")).otherwise(text)
+    return trim_blanks(squeezed)
 
 
 def snippet(text: Column) -> Column:
-    return F.left(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " "), F.lit(SNIPPET_CHARS))
+    tagless = F.when(text.contains("<"), F.regexp_replace(text, TAG, " ")).otherwise(F.coalesce(text, F.lit("")))
+    return F.left(tagless, F.lit(SNIPPET_CHARS))
 
 
 def host(url: Column) -> Column:

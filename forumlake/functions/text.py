@@ -16,12 +16,15 @@ CONFIGS = ("english", "simple")
 
 def search_document() -> Column:
     """Title, author and tag-stripped text in one string."""
-    return F.concat_ws(" ", F.col("title"), F.col("by"), F.regexp_replace("text", TAG, " "))
+    text = F.col("text")
+    tagless = F.when(text.contains("<"), F.regexp_replace(text, TAG, " ")).otherwise(text)
+    return F.concat_ws(" ", "title", "by", tagless)
 
 
 def words(doc: Column) -> Column:
     """Lower-case letter and digit runs, in order; entities hold no words."""
-    return F.regexp_extract_all(F.lower(F.regexp_replace(doc, ENTITY, " ")), F.lit(WORD), F.lit(1))
+    plain = F.when(doc.contains("&"), F.regexp_replace(doc, ENTITY, " ")).otherwise(doc)
+    return F.regexp_extract_all(F.lower(plain), F.lit(WORD), F.lit(1))
 
 
 def terms(word_array: Column, config: str) -> Column:
