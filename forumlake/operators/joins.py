@@ -23,14 +23,17 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return count_up_to(df, max_rows) <= max_rows
 
 
-def join_small(large: DataFrame, small: DataFrame, on: list[str], salt_by: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def join_small(
+    large: DataFrame, small: DataFrame, on: list[str], salt_by: str, max_rows: int = BROADCAST_ROWS, rows: int | None = None
+) -> DataFrame:
     """Inner join of a skewed table with a usually small one of narrow rows.
 
     Up to ``max_rows`` the small side is broadcast. Beyond it both sides are
     shuffled, with every key of the large side cut into ``SALTS`` parts by
-    ``salt_by`` and the small side copied to each part.
+    ``salt_by`` and the small side copied to each part. ``rows`` is the size of
+    the small side where it is already known.
     """
-    if fits_broadcast(small, max_rows):
+    if fits_broadcast(small, max_rows) if rows is None else rows <= max_rows:
         return large.join(F.broadcast(small), on)
     salted = large.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

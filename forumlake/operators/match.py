@@ -141,53 +141,61 @@ def match(posts: DataFrame, query: Query, score: Column | None = None, all_rows:
 
 
 def mark_clauses(clauses: DataFrame) -> DataFrame:
-    """Adds what evaluating a table of queries needs: the size of each clause,
-    and one ranking row per distinct term that is not excluded."""
-    per_clause = Window.partitionBy("qid", "grp", "clause")
-    per_term = Window.partitionBy("qid", "term").orderBy("negated", "grp", "clause", "off")
+    """Adds what evaluating a table of queries needs: the words of each clause
+    (``clause_size``), the required clauses of each group (``needed``), and
+    ``ranks`` on one row per distinct term that is not excluded. The windows
+    span one query text each."""
+    group = Window.partitionBy("qid", "grp")
+    first = Window.partitionBy("qid", "term").orderBy("negated", "grp", "clause", "off")
     return clauses.withColumns(
         {
-            "clause_size": F.count("*").over(per_clause),
-            "ranks": (F.row_number().over(per_term) == 1) & ~F.col("negated"),
+            "clause_size": F.count("*").over(Window.partitionBy("qid", "grp", "clause")),
+            "needed": F.size(F.collect_set(F.when(~F.col("negated"), F.col("clause"))).over(group)),
+            "ranks": (F.row_number().over(first) == 1) & ~F.col("negated"),
         }
     )
 
 
-def batch_match(hits: DataFrame, clauses: DataFrame, all_rows: DataFrame | None = None) -> DataFrame:
+GROUP_KEYS = ("qid", "id", "grp", "negated", "needed")
+
+
+def phrase_hits(hits: DataFrame) -> DataFrame:
+    """One row per phrase and row holding one of its words; ``ok`` where the
+    words stand as in the phrase. A group has as many rows as the phrase words."""
+    starts = F.transform("positions", lambda p: p - F.col("off"))
+    found = hits.groupBy(*GROUP_KEYS, "clause", "clause_size").agg(
+        F.count("*").alias("n"), F.sum("part").alias("part"), F.collect_list(starts).alias("starts")
+    )
+    common = F.aggregate("starts", F.get("starts", F.lit(0)), F.array_intersect)
+    ok = (F.col("n") == F.col("clause_size")) & (F.size(common) > 0)
+    return found.select(*GROUP_KEYS, "part", ok.alias("ok"))
+
+
+def batch_match(hits: DataFrame, has_phrases: bool, open_rows: DataFrame | None = None) -> DataFrame:
     """(qid, id, bm25) of every match of a table of queries.
 
     ``hits`` is postings joined to marked clauses, one row per clause term found
-    in a row, with its score part in ``part``. It is shuffled once on (qid, id);
-    the three steps from terms to clauses to groups to rows all reuse that.
+    in a row, with its score part in ``part``. Word hits are shuffled once on
+    (qid, id), which both steps reuse: from clauses to groups, from groups to
+    rows. Only phrase words carry their positions. ``open_rows`` (qid, grp, id)
+    holds all candidates of the groups that have nothing but exclusions.
     """
-    spread = hits.repartition("qid", "id")
-    shifted = F.when(F.col("clause_size") > 1, F.transform("positions", lambda p: p - F.col("off")))
-    found = spread.groupBy("qid", "id", "grp", "clause", "negated", "clause_size").agg(
-        F.count("*").alias("n"),
-        F.sum("part").alias("part"),
-        F.collect_list(shifted).alias("starts"),  # one entry per word of a phrase
-    )
-    common = F.aggregate("starts", F.get("starts", F.lit(0)), F.array_intersect)
-    found = found.withColumn("ok", (F.col("n") == F.col("clause_size")) & ((F.col("clause_size") == 1) | (F.size(common) > 0)))
-    needed = (
-        clauses.groupBy("qid", "grp")
-        .agg(F.count_distinct(F.when(~F.col("negated"), F.col("clause"))).alias("needed"))
-    )
-    per_group = found.groupBy("qid", "id", "grp").agg(
+    found = hits.filter("clause_size = 1") if has_phrases else hits
+    found = found.select(*GROUP_KEYS, "part", F.lit(True).alias("ok"))
+    if has_phrases:
+        found = found.unionByName(phrase_hits(hits.filter("clause_size > 1")))
+    per_group = found.repartition("qid", "id").groupBy("qid", "id", "grp").agg(
+        F.max("needed").alias("needed"),
         F.count_if(F.col("ok") & ~F.col("negated")).alias("met"),
         F.count_if(F.col("ok") & F.col("negated")).alias("broken"),
         F.sum("part").alias("part"),
     )
-    per_group = per_group.join(needed, ["qid", "grp"])
-    # A group of exclusions alone is settled below, over all rows.
     ok = (F.col("needed") > 0) & (F.col("met") == F.col("needed")) & (F.col("broken") == 0)
     per_row = per_group.groupBy("qid", "id").agg(F.bool_or(ok).alias("ok"), F.sum("part").alias("bm25"))
     matches = per_row.filter("ok").select("qid", "id", "bm25")
-    if all_rows is None:
+    if open_rows is None:
         return matches
-    open_groups = needed.filter("needed = 0").select("qid", "grp")
-    candidates = all_rows.join(open_groups, "qid").select("qid", "grp", "id")
-    barred = per_group.filter("broken > 0").select("qid", "grp", "id")
-    free = candidates.join(barred, ["qid", "grp", "id"], "left_anti").select("qid", "id").distinct()
-    free = free.join(per_row.select("qid", "id", "bm25"), ["qid", "id"], "left").select("qid", "id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
-    return matches.unionByName(free).groupBy("qid", "id").agg(F.max("bm25").alias("bm25"))
+    barred = per_group.filter("needed = 0 AND broken > 0").select("qid", "grp", "id")
+    free = open_rows.join(barred, ["qid", "grp", "id"], "left_anti").select("qid", "id")
+    scored = free.join(per_row.select("qid", "id", "bm25"), ["qid", "id"], "left").select("qid", "id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
+    return matches.unionByName(scored).groupBy("qid", "id").agg(F.max("bm25").alias("bm25"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from forumlake.functions.text import search_document, terms, words
 from forumlake.schema import RANKED_TYPES
 
+SCOPES = ("all", *RANKED_TYPES)
+
 
 def postings(items: DataFrame, config: str = "english") -> DataFrame:
     """One row per (id, term): id, type, live, term, tf, dl, positions.
@@ -48,25 +50,33 @@ def postings(items: DataFrame, config: str = "english") -> DataFrame:
     return rows.select("id", "type", "live", "run.term", F.size("run.positions").alias("tf"), "dl", "run.positions")
 
 
-def by_scope(counts: DataFrame) -> DataFrame:
-    """Copies rows counted by (type, live) to the scopes they belong to: every
-    row to ``all``, live rows of a ranked type also to that type."""
-    own = F.when(F.col("live") & F.col("type").isin(*RANKED_TYPES), F.col("type"))
-    scopes = F.filter(F.array(F.lit("all"), own), lambda s: s.isNotNull())
-    return counts.withColumn("scope", F.explode(scopes)).drop("type", "live")
+def in_scope(scope: str) -> Column:
+    """Whether a row belongs to a ranked scope: every row to ``all``, live rows
+    of a ranked type also to that type's."""
+    return F.lit(True) if scope == "all" else F.col("live") & (F.col("type") == scope)
+
+
+def per_scope(rows: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """One row per key and scope with the sums over the scope's rows. All scopes
+    are summed in one pass, first where the rows lie, and split up afterwards."""
+    aggs = [F.sum(F.when(in_scope(s), value)).alias(f"{name}_{s}") for s in SCOPES for name, value in sums.items()]
+    wide = rows.groupBy(*keys).agg(*aggs)
+    split = [F.struct(F.lit(s).alias("scope"), *[F.col(f"{name}_{s}").alias(name) for name in sums]) for s in SCOPES]
+    long = wide.select(*keys, F.explode(F.array(*split)).alias("x")).select(*keys, "x.*")
+    return long.filter(" OR ".join(f"{name} IS NOT NULL" for name in sums))
 
 
 def term_stats(posts: DataFrame) -> DataFrame:
-    """Documents per (scope, term). Rows are counted where they lie before any
-    shuffle, so a term found in a third of all texts costs one row per task."""
-    counted = posts.groupBy("type", "live", "term").agg(F.count("*").alias("df"))
-    return by_scope(counted).groupBy("scope", "term").agg(F.sum("df").alias("df"))
+    """Documents per (scope, term). A term found in a third of all texts costs
+    one row per task."""
+    one = F.lit(1).cast("bigint")
+    return per_scope(posts, ["term"], {"df": one})
 
 
 def corpus_stats(items: DataFrame, posts: DataFrame) -> DataFrame:
     """Per scope: n documents and their total length, as additive sums."""
-    kinds = items.select("type", (~F.col("deleted") & ~F.col("dead")).alias("live"))
-    n = kinds.groupBy("type", "live").agg(F.count("*").alias("n"), F.lit(0).cast("bigint").alias("total_dl"))
-    dl = posts.groupBy("type", "live").agg(F.lit(0).cast("bigint").alias("n"), F.sum("tf").cast("bigint").alias("total_dl"))
-    summed = by_scope(n.unionByName(dl)).groupBy("scope")
-    return summed.agg(F.sum("n").alias("n"), F.sum("total_dl").alias("total_dl"))
+    none = F.lit(0).cast("bigint")
+    docs = items.select("type", (~F.col("deleted") & ~F.col("dead")).alias("live"))
+    counted = per_scope(docs, [], {"n": F.lit(1).cast("bigint")}).withColumn("total_dl", none)
+    lengths = per_scope(posts, [], {"total_dl": F.col("tf").cast("bigint")}).withColumn("n", none)
+    return counted.unionByName(lengths).groupBy("scope").agg(F.sum("n").alias("n"), F.sum("total_dl").alias("total_dl"))

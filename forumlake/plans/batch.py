@@ -19,33 +19,32 @@ def searched_types(type_: Column) -> Column:
     return F.when(type_ == "all", F.array(*[F.lit(t) for t in ITEM_TYPES])).otherwise(F.array(type_))
 
 
-def batch_hits(lake: Lake, queries: DataFrame, operators: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(clauses, hits): the clause terms of every query, and the postings they
-    meet with each posting's score part."""
+def asked_terms(lake: Lake, queries: DataFrame, operators: bool = True) -> DataFrame:
+    """The clause terms of every query with their weights, by searched type.
+    Terms the corpus does not hold keep a row without a weight."""
     index = lake.index
-    clauses = stage(mark_clauses(query_clauses(queries, index.config, operators)), "clauses")
-    scoped = queries.select("qid", "type", F.when(F.col("type").isin(*RANKED_TYPES), F.col("type")).otherwise("all").alias("scope"))
-    asked = clauses.join(scoped, "qid").withColumn("bucket", bucket_of(F.col("term"), index.buckets))
-    known = rank.weights(index.term_stats(), index.corpus_stats())
-    asked = known.join(asked, ["scope", "term"]).drop("scope")
-    asked = stage(asked.withColumn("type", F.explode(searched_types(F.col("type")))), "asked")
-    hits = join_small(index.postings().filter("live"), asked, ["type", "bucket", "term"], salt_by="id")
-    return clauses, hits.withColumn("part", F.when(F.col("ranks"), rank.score()).otherwise(0.0))
+    clauses = mark_clauses(query_clauses(queries, index.config, operators))
+    scope = F.when(F.col("type").isin(*RANKED_TYPES), F.col("type")).otherwise("all")
+    asked = clauses.join(queries.select("qid", "type", scope.alias("scope")), "qid")
+    asked = asked.withColumn("bucket", bucket_of(F.col("term"), index.buckets))
+    stats = index.term_stats().join(asked.select("scope", "bucket", "term").distinct(), ["scope", "bucket", "term"], "left_semi")
+    asked = asked.join(rank.weights(stats, index.corpus_stats()), ["scope", "term"], "left").drop("scope")
+    return stage(asked.withColumn("type", F.explode(searched_types(F.col("type")))), "asked")
 
 
 def batch_matches(lake: Lake, queries: DataFrame, operators: bool = True) -> DataFrame:
     """(qid, id, bm25) of all live matches of a table (qid, q, type)."""
-    clauses, hits = batch_hits(lake, queries, operators)
-    if not operators:
-        return batch_match(hits, clauses)
-    # Queries with a group of exclusions alone can match rows without any of
-    # their terms; those rows are joined by type.
-    open_queries = clauses.groupBy("qid", "grp").agg(F.bool_and("negated").alias("open")).filter("open").select("qid").distinct()
-    types = queries.join(open_queries, "qid", "left_semi").select("qid", F.explode(searched_types(F.col("type"))).alias("type"))
-    if types.isEmpty():
-        return batch_match(hits, clauses)
-    rows = lake.items.filter(is_live()).select("id", "type").join(types, "type").select("qid", "id")
-    return batch_match(hits, clauses, rows)
+    asked = asked_terms(lake, queries, operators)
+    size = asked.agg(F.count("*").alias("n"), F.bool_or(F.col("clause_size") > 1).alias("phrases"), F.bool_or(F.col("needed") == 0).alias("open")).first()
+    hits = join_small(lake.index.postings().filter("live"), asked, ["type", "bucket", "term"], salt_by="id", rows=size["n"])
+    hits = hits.withColumn("part", F.when(F.col("ranks"), rank.score()).otherwise(0.0))
+    open_rows = None
+    if size["open"]:
+        # Groups of exclusions alone can match rows without any of their terms;
+        # their candidates are all live rows of the searched types.
+        open_groups = asked.filter("needed = 0").select("qid", "grp", "type").distinct()
+        open_rows = lake.items.filter(is_live()).select("id", "type").join(open_groups, "type").select("qid", "grp", "id")
+    return batch_match(hits, bool(size["phrases"]), open_rows)
 
 
 def batch_search(lake: Lake, queries: DataFrame, k: int, operators: bool = True) -> DataFrame:
