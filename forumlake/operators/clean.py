@@ -13,7 +13,7 @@ INT_MAX = 2**31 - 1
 NO_LONGS = "array<bigint>"
 
 
-def _typed(df: DataFrame) -> DataFrame:
+def _typed(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """All 15 text columns by the column rules; integers still wide."""
     c = F.col
     return df.select(
@@ -33,6 +33,7 @@ def _typed(df: DataFrame) -> DataFrame:
         to_long_array(c("parts")).alias("parts"),
         to_long(c("descendants")).alias("descendants"),
         F.struct(*ITEM_COLUMNS).alias("raw"),
+        *keep,
     )
 
 
@@ -48,22 +49,22 @@ def _reason(strict_type: Column) -> Column:
     )
 
 
-def _split(typed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _split(typed: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     judged = typed.withColumn("reject_reason", _reason(F.col("type").isin(*ITEM_TYPES)))
     ints = {"score": F.col("score").try_cast("int"), "descendants": F.col("descendants").try_cast("int")}
-    good = judged.filter("reject_reason IS NULL").withColumns(ints).select(*ITEM_COLUMNS)
-    rejected = judged.filter("reject_reason IS NOT NULL").select("reject_reason", "raw.*")
+    good = judged.filter("reject_reason IS NULL").withColumns(ints).select(*ITEM_COLUMNS, *keep)
+    rejected = judged.filter("reject_reason IS NOT NULL").select("reject_reason", "raw.*", *keep)
     return good, rejected
 
 
-def split_dump(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_dump(df: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
     """(items, rejected) of a dump read as text; rejected rows keep their raw
-    values next to ``reject_reason``."""
-    return _split(_typed(df))
+    values next to ``reject_reason``. Columns named in ``keep`` stay as they are."""
+    return _split(_typed(df, keep), keep)
 
 
-def clean_dump(df: DataFrame) -> DataFrame:
-    return split_dump(df)[0]
+def clean_dump(df: DataFrame, *keep: str) -> DataFrame:
+    return split_dump(df, *keep)[0]
 
 
 def split_feed(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from forumlake.operators.clean import clean_dump
 from forumlake.operators.merge import append_absent
 from forumlake.schema import ITEM_COLUMNS, LEDGER
 
@@ -66,6 +67,11 @@ def mark_fetched(ledger: DataFrame, shards: DataFrame) -> DataFrame:
     )
 
 
+def clean_shards(raw: DataFrame) -> DataFrame:
+    """Shard rows read as text, cleaned, still with the start of their shard."""
+    return clean_dump(raw, "shard_start")
+
+
 def load_shards(ledger: DataFrame, shards: DataFrame, items_path: str) -> DataFrame:
     """Adds the rows of all fetched, not yet loaded shards to the stored items
     and returns the ledger with them marked. Existing rows win, so loading a
