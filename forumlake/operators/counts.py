@@ -42,25 +42,29 @@ def share_of(query: Query, share: dict[str, Column]) -> Column:
     return 1 - product([1 - product([clause(c) for c in g]) for g in query.groups])
 
 
+def _one_row(*parts: DataFrame) -> DataFrame:
+    """One-row tables side by side: stacked and collapsed, which needs no join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(name).alias(name) for name in stacked.columns])
+
+
 def estimate_matches(query: Query, term_stats: DataFrame, corpus_stats: DataFrame, rows: DataFrame, keep: Column) -> DataFrame:
     """One row ``estimate``: rows passing ``keep`` times the expected share of
     text matches. ``term_stats`` and ``corpus_stats`` are those of one scope;
     texts are not read."""
     dfs = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("df"))), F.lit(0)).alias(f"df_{i}") for i, t in enumerate(query.terms)]
-    known = term_stats.agg(F.lit(1).alias("one"), *dfs)
-    size = corpus_stats.agg(F.lit(1).alias("one"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
-    kept = rows.filter(keep).agg(F.lit(1).alias("one"), F.count("*").alias("kept"))
-    joined = known.join(size, "one").join(kept, "one")  # three aggregates of one row each
+    size = corpus_stats.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+    kept = rows.filter(keep).agg(F.count("*").alias("kept"))
+    known = _one_row(size, kept, *([term_stats.agg(*dfs)] if dfs else []))
     share = {t: F.when(F.col("n") > 0, F.col(f"df_{i}") / F.col("n")).otherwise(0.0) for i, t in enumerate(query.terms)}
     expected = share_of(query, share) if query.groups else F.lit(0.0)
-    return joined.select(F.floor(F.col("kept") * expected + 0.5).alias("estimate"))
+    return known.select(F.floor(F.col("kept") * expected + 0.5).alias("estimate"))
 
 
 def match_count(matches: DataFrame, estimate: DataFrame, cap: int = COUNT_CAP) -> DataFrame:
     """One row (count, capped, estimate): the exact count below the cap, else
     the estimate."""
-    exact = capped_count(matches, cap).withColumn("one", F.lit(1))
-    both = exact.join(estimate.withColumn("one", F.lit(1)), "one")  # one row each
+    both = _one_row(capped_count(matches, cap), estimate)
     capped = F.col("n") >= cap
     return both.select(
         F.when(~capped, F.col("n")).alias("count"),

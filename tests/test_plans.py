@@ -26,7 +26,7 @@ def test_no_cross_joins(spark, sf_dir, name):
 def test_text_query_reads_only_its_terms(spark, sf_dir):
     text = plan(search(lake_of(spark, sf_dir, "simple"), SearchFilters(q="the and", type="comment"), AS_OF))
     assert "In(term, [and,the])" in text and "bucket" in text
-    postings = [line for line in text.splitlines() if "FileScan" in line and "/postings" in line]
+    postings = [line for line in text.splitlines() if "FileScan" in line and "tf:int" in line]
     assert len(postings) == 1 and "type" in postings[0].split("PartitionFilters")[1] and "positions" not in postings[0].split("ReadSchema")[1]
 
 
