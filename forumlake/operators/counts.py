@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import mul
+from math import prod
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from forumlake.operators.match import Query
+from forumlake.operators.match import Clause, Query
+from forumlake.operators.rank import TermCounts
 from forumlake.schema import COUNT_CAP
 
 
@@ -29,17 +30,22 @@ def capped_count(matches: DataFrame, cap: int = COUNT_CAP) -> DataFrame:
     return matches.limit(cap).agg(F.count("*").alias("n"))
 
 
-def share_of(query: Query, share: dict[str, Column]) -> Column:
+def share_of(query: Query, share: dict[str, float]) -> float:
     """The expected share of rows that match, words taken as independent."""
 
-    def product(parts: list[Column]) -> Column:
-        return reduce(mul, parts, F.lit(1.0))
-
-    def clause(c) -> Column:
-        found = product([share[t] for t in dict.fromkeys(t for _, t in c.terms)])
+    def clause(c: Clause) -> float:
+        found = prod(share[t] for t in {t for _, t in c.terms})
         return 1 - found if c.negated else found
 
-    return 1 - product([1 - product([clause(c) for c in g]) for g in query.groups])
+    return 1 - prod(1 - prod(clause(c) for c in g) for g in query.groups)
+
+
+def estimate_matches(query: Query, counts: TermCounts, rows: DataFrame) -> DataFrame:
+    """One row ``estimate``: the number of ``rows`` times the expected share of
+    text matches. Texts and postings are not read."""
+    share = {t: counts.df.get(t, 0) / counts.n if counts.n else 0.0 for t in query.terms}
+    expected = share_of(query, share) if query.groups else 0.0
+    return rows.agg(F.floor(F.count("*") * F.lit(expected) + 0.5).alias("estimate"))
 
 
 def _one_row(*parts: DataFrame) -> DataFrame:
@@ -48,20 +54,7 @@ def _one_row(*parts: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(name).alias(name) for name in stacked.columns])
 
 
-def estimate_matches(query: Query, term_stats: DataFrame, corpus_stats: DataFrame, rows: DataFrame, keep: Column) -> DataFrame:
-    """One row ``estimate``: rows passing ``keep`` times the expected share of
-    text matches. ``term_stats`` and ``corpus_stats`` are those of one scope;
-    texts are not read."""
-    dfs = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("df"))), F.lit(0)).alias(f"df_{i}") for i, t in enumerate(query.terms)]
-    size = corpus_stats.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
-    kept = rows.filter(keep).agg(F.count("*").alias("kept"))
-    known = _one_row(size, kept, *([term_stats.agg(*dfs)] if dfs else []))
-    share = {t: F.when(F.col("n") > 0, F.col(f"df_{i}") / F.col("n")).otherwise(0.0) for i, t in enumerate(query.terms)}
-    expected = share_of(query, share) if query.groups else F.lit(0.0)
-    return known.select(F.floor(F.col("kept") * expected + 0.5).alias("estimate"))
-
-
-def match_count(matches: DataFrame, estimate: DataFrame, cap: int = COUNT_CAP) -> DataFrame:
+def capped_match_count(matches: DataFrame, estimate: DataFrame, cap: int = COUNT_CAP) -> DataFrame:
     """One row (count, capped, estimate): the exact count below the cap, else
     the estimate."""
     both = _one_row(capped_count(matches, cap), estimate)

@@ -78,6 +78,14 @@ class Query:
     def phrase_terms(self) -> list[str]:
         return sorted({t for g in self.groups for c in g if len(c.terms) > 1 for _, t in c.terms})
 
+    def anchors(self, df: dict[str, int]) -> list[str] | None:
+        """Per group, the rarest of its required terms: every match holds one of
+        them. None where a group requires nothing."""
+        required = [[t for c in g if not c.negated for _, t in c.terms] for g in self.groups]
+        if not all(required):
+            return None
+        return sorted({min(ts, key=lambda t: (df.get(t, 0), t)) for ts in required})
+
     @property
     def needs_all_rows(self) -> bool:
         """Whether rows without any of the terms can match."""

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from forumlake.schema import ID_BUCKET_WIDTH
 from forumlake.session import stage
 
+LITERAL_BUCKETS = 10_000
+
 
 def newest(rows: DataFrame, version: Column) -> DataFrame:
     """One row per id, the one with the greatest version. An aggregate, not a
@@ -42,20 +44,26 @@ def merge_into(path: str, changes: DataFrame) -> None:
     The new content is staged first and then swapped in bucket by bucket, so a
     run that dies can simply be repeated.
     """
-    spark = changes.sparkSession
     changes = add_bucket(changes)
-    touched = changes.select("id_bucket").distinct()
-    items = spark.read.schema(changes.schema).parquet(path)
-    merged = stage(upsert(items.join(touched, "id_bucket", "left_semi"), changes), "merge")
-    write_buckets(merged, path, "overwrite")
+    items = changes.sparkSession.read.schema(changes.schema).parquet(path)
+    write_buckets(stage(upsert(touched_buckets(items, changes), changes), "merge"), path, "overwrite")
 
 
 def append_absent(path: str, new: DataFrame) -> None:
     """Adds the rows whose ids the stored items table lacks; nothing is rewritten."""
     new = add_bucket(new)
-    touched = new.select("id_bucket").distinct()
-    items = new.sparkSession.read.schema(new.schema).parquet(path).join(touched, "id_bucket", "left_semi")
-    write_buckets(stage(absent(items, new), "append"), path, "append")
+    items = new.sparkSession.read.schema(new.schema).parquet(path)
+    write_buckets(stage(absent(touched_buckets(items, new), new), "append"), path, "append")
+
+
+def touched_buckets(items: DataFrame, changes: DataFrame) -> DataFrame:
+    """The stored rows in the id buckets of ``changes``. Up to ``LITERAL_BUCKETS``
+    of them are named in the filter, which leaves all other folders unread."""
+    touched = changes.select("id_bucket").distinct()
+    named = [row["id_bucket"] for row in touched.limit(LITERAL_BUCKETS + 1).collect()]
+    if len(named) <= LITERAL_BUCKETS:
+        return items.filter(F.col("id_bucket").isin(*named)) if named else items.limit(0)
+    return items.join(touched, "id_bucket", "left_semi")
 
 
 def add_bucket(items: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from forumlake.functions.requests import SearchFilters
-from forumlake.operators import counts
+from forumlake.operators.counts import capped_match_count, estimate_matches
 from forumlake.operators.filters import build_filter
 from forumlake.operators.match import analyse_query
 from forumlake.plans.lake import Lake
@@ -19,11 +19,10 @@ def estimate(lake: Lake, f: SearchFilters, as_of: datetime) -> DataFrame:
     """Expected matches from the stored statistics. Without a text match the
     filter is counted as it is: a scan of the filter's columns."""
     if not f.is_full_text:
-        kept = lake.items.filter(build_filter(f, as_of)).agg(F.count("*").alias("estimate"))
-        return kept
+        return lake.items.filter(build_filter(f, as_of)).agg(F.count("*").alias("estimate"))
     query = analyse_query(lake.spark, f.text, lake.index.config)
-    corpus = lake.index.corpus_stats().filter(F.col("scope") == f.scope)
-    return counts.estimate_matches(query, lake.index.term_stats(query.terms, f.scope), corpus, lake.items, build_filter(f, as_of))
+    counts = lake.index.counts(query.terms, f.scope)
+    return estimate_matches(query, counts, lake.items.filter(build_filter(f, as_of)))
 
 
 def match_count(lake: Lake, f: SearchFilters, as_of: datetime, cap: int = COUNT_CAP) -> DataFrame:
@@ -32,4 +31,4 @@ def match_count(lake: Lake, f: SearchFilters, as_of: datetime, cap: int = COUNT_
         empty = lake.spark.range(1)
         null = F.lit(None).cast("bigint")
         return empty.select(null.alias("count"), F.lit(False).alias("capped"), null.alias("estimate"))
-    return counts.match_count(matches(lake, f, as_of), estimate(lake, f, as_of), cap)
+    return capped_match_count(matches(lake, f, as_of), estimate(lake, f, as_of), cap)

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from forumlake.operators.postings import corpus_stats, postings, term_stats
+from forumlake.operators.rank import TermCounts
 from forumlake.schema import ITEM_TYPES
 from forumlake.session import spread, stage
 
@@ -79,6 +80,16 @@ class SearchIndex:
     def corpus_stats(self) -> DataFrame:
         return self._read("corpus_stats", CORPUS_STATS).groupBy("scope").agg(F.sum("n").alias("n"), F.sum("total_dl").alias("total_dl"))
 
+    def counts(self, terms: list[str], scope: str) -> TermCounts:
+        """The statistics of a few terms, brought to the driver: one row per
+        term and one for the scope."""
+        df = self.term_stats(terms, scope).select("term", "df", F.lit(None).cast("bigint").alias("total_dl"))
+        n = self.corpus_stats().filter(F.col("scope") == scope).select(F.lit(None).cast("string"), "n", "total_dl")
+        rows = df.union(n).collect()
+        size = next((row for row in rows if row["term"] is None), None)
+        known = {row["term"]: row["df"] for row in rows if row["term"] is not None}
+        return TermCounts(size["df"] if size else 0, size["total_dl"] if size else 0, known)
+
 
 def open_index(spark: SparkSession, path: str) -> SearchIndex:
     rows = spark.read.schema(COMMITS).parquet(f"{path}/commits").collect()  # one row per generation

@@ -8,22 +8,34 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from forumlake.functions.requests import SearchFilters, scope_of
-from forumlake.operators import ordering, rank
+from forumlake.operators import ordering
 from forumlake.operators.filters import build_filter, by_author, has_prefix, is_live, live, of_type
-from forumlake.operators.joins import rows_of
+from forumlake.operators.joins import BROADCAST_ROWS, rows_of
 from forumlake.operators.match import Query, analyse_query, match
 from forumlake.operators.projections import hit_columns
+from forumlake.operators.rank import TermCounts
 from forumlake.plans.index import SearchIndex
 from forumlake.plans.lake import Lake
 from forumlake.schema import TYPEAHEAD_SIZE
 from forumlake.session import stage
 
 
-def weighted_postings(index: SearchIndex, query: Query, type_: str) -> DataFrame:
-    """Live postings of the query's terms with their weights. The weights are
-    one row per query term, which bounds the broadcast by the query's length."""
-    weights = rank.weights(index.term_stats(query.terms, scope_of(type_)), index.corpus_stats()).drop("scope")
-    return index.postings(query.terms, type_).filter("live").join(F.broadcast(weights), "term")
+def query_postings(index: SearchIndex, query: Query, counts: TermCounts, type_: str) -> DataFrame:
+    """Live postings of the query's terms, as few as the statistics allow.
+
+    Every match holds the rarest required term of one of the groups. Where these
+    are rare enough for a broadcast, the postings of the frequent terms are cut
+    to the rows holding them before anything is shuffled.
+    """
+    posts = index.postings(query.terms, type_).filter("live")
+    anchors = query.anchors(counts.df)
+    if anchors is None:
+        return posts
+    bound = sum(counts.df.get(t, 0) for t in anchors)
+    if bound > BROADCAST_ROWS or bound * 4 > sum(counts.df.values()):
+        return posts
+    holding = index.postings(anchors, type_).filter("live").select("id")
+    return posts.join(F.broadcast(holding), "id", "left_semi")
 
 
 def text_matches(lake: Lake, query: Query, type_: str) -> DataFrame:
@@ -33,8 +45,8 @@ def text_matches(lake: Lake, query: Query, type_: str) -> DataFrame:
     all_rows = None
     if query.needs_all_rows:
         all_rows = lake.items.filter(is_live() & of_type(type_)).select("id")
-    score = F.when(F.col("term").isin(*query.ranking_terms), rank.score()) if query.ranking_terms else F.lit(0.0)
-    return match(weighted_postings(lake.index, query, type_), query, score, all_rows)
+    counts = lake.index.counts(query.terms, scope_of(type_))
+    return match(query_postings(lake.index, query, counts, type_), query, counts.score(query.ranking_terms), all_rows)
 
 
 def matches(lake: Lake, f: SearchFilters, as_of: datetime) -> DataFrame:

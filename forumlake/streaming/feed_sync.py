@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from forumlake.operators.clean import split_feed
-from forumlake.operators.merge import merge_into, add_bucket
+from forumlake.operators.merge import add_bucket, merge_into, touched_buckets
 from forumlake.plans.index import add_generation, open_index
 from forumlake.plans.sync import latest_versions
 from forumlake.session import stage
@@ -42,9 +42,8 @@ def apply_batch(items_path: str, index_path: str | None = None, rejected_path: s
 
 def rows_before(spark: SparkSession, items_path: str, changes: DataFrame) -> DataFrame:
     """The stored rows that ``changes`` will replace, from the touched buckets."""
-    ids = add_bucket(changes.select("id"))
-    stored = read_items(spark, items_path, with_bucket=True)
-    return stage(stored.join(ids, ["id_bucket", "id"], "left_semi").drop("id_bucket"), "before")
+    stored = touched_buckets(read_items(spark, items_path, with_bucket=True), add_bucket(changes))
+    return stage(stored.join(changes.select("id"), "id", "left_semi").drop("id_bucket"), "before")
 
 
 def sync_stream(

@@ -14,7 +14,7 @@ from forumlake.operators import joins
 from forumlake.operators.match import analyse_query
 from forumlake.plans import batch
 from forumlake.plans.lake import lake_of, write_lake
-from forumlake.plans.search import matches, search, typeahead
+from forumlake.plans.search import matches, query_postings, search, typeahead
 from forumlake.session import fresh_path
 
 AS_OF = datetime(2024, 1, 11)
@@ -141,6 +141,25 @@ def test_english_phrase_and_exclusion(spark, english):
     assert all(math.isclose(got[i], scores[i], rel_tol=1e-9) for i in expected)
 
 
+def test_rare_terms_anchor_the_search(spark, english):
+    """A rare word next to a frequent one: the frequent postings are cut first."""
+    lake, brute = english
+    seen = Counter(t for _, live, kept in brute.docs.values() if live for t in {t for _, t in kept})
+    frequent = seen.most_common(1)[0][0]
+    both = Counter(t for _, live, kept in brute.docs.values() if live and frequent in {x for _, x in kept} for t in {x for _, x in kept})
+    rare = min(t for t, k in both.items() if k == 2 and seen[t] <= 3 and stem(t) == t)
+    f = SearchFilters(q=f"{frequent} {rare}", type="all")
+    query = analyse_query(spark, f.q)
+    counts = lake.index.counts(query.terms, "all")
+    assert query.anchors(counts.df) == [rare]
+    assert "LeftSemi" in query_postings(lake.index, query, counts, "all")._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r["bm25"] for r in matches(lake, f, AS_OF).collect()}
+    expected = {i for i, (_, live, _) in brute.docs.items() if live and brute.has(i, (0, frequent)) and brute.has(i, (0, rare))}
+    scores = brute.bm25([frequent, rare], "all")
+    assert set(got) == expected and len(expected) == 2
+    assert all(math.isclose(got[i], scores[i], rel_tol=1e-9) for i in expected)
+
+
 def test_english_batch_equals_single_searches(spark, english):
     lake, brute = english
     common = [t for t, _ in Counter(t for _, _, kept in brute.docs.values() for t in {t for _, t in kept}).most_common(60)]

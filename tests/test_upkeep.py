@@ -70,7 +70,7 @@ def test_point_read_prunes_folders_and_row_groups(spark, tmp_path):
 
 
 DUMP = (
-    "﻿id,deleted,type,by,time,text,dead,parent,poll,kids,url,score,title,parts,descendants\n"
+    "\ufeffid,deleted,type,by,time,text,dead,parent,poll,kids,url,score,title,parts,descendants\n"
     '1,,story,ann,1171909200,"two\nlines, ""quoted""",f,0,,"[2,3]",http://x,1.7,T,[],3\n'
     "\n"
     '2,t,COMMENT,"",2007-02-19 18:20:00,a\0b,,1,null,"{4,5}",\\N,,,,\n'
@@ -227,3 +227,37 @@ def test_profile(spark):
     rows = rows_of(spark, {"id": 1, "title": "a"}, {"id": 2})
     got = {r["column"]: (r["type"], r["rows"], r["nulls"]) for r in stored.profile(rows).collect()}
     assert got["title"] == ("string", 2, 1) and got["kids"] == ("array<bigint>", 2, 0) and len(got) == 15
+
+
+@pytest.mark.parametrize("split", ["64", "1000", "128m"])
+def test_split_dump_equals_whole_dump(spark, tmp_path, split):
+    """Tiny splits cut records, fields and line breaks anywhere."""
+    path = tmp_path / "dump.csv"
+    lines = [",".join(ITEM_COLUMNS)]
+    for i in range(120):
+        text = '""'.join(["", "say", "x"]) + "\n" * (i % 5) + f"line {i}, two" + ("\n\n3,story,no" if i % 7 == 0 else "")
+        lines.append(f'{i},t,story,"u{i % 4}",1171909200,"{text}",f,{i % 3},,"[1,{i}]",http://x,{i},"t {i}",[],')
+        if i % 11 == 0:
+            lines.append("")
+    path.write_text("\n".join(lines) + "\n", encoding="utf-8")
+    (tmp_path / "other.csv").write_text(lines[0] + '\r\n900,,job,"a\r\nb",,,,,,,,,,,\r\n', encoding="utf-8", newline="")
+    paths = [str(path), str(tmp_path / "other.csv")]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    whole = sorted(clean_dump(dump.read_dump(spark, paths, splittable=False)).drop("by").collect())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        rows = clean_dump(dump.read_dump(spark, paths, splittable=True))
+        got = sorted(rows.drop("by").collect())
+        authors = {r["by"] for r in rows.select("by").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 121 and got[:120] == whole[:120]
+    assert got[120]["id"] == 900 and authors == {"u0", "u1", "u2", "u3", "a\r\nb"}
+
+
+def test_split_dump_refuses_unbalanced_quotes(spark, tmp_path):
+    path = tmp_path / "dump.csv"
+    path.write_text('id,type,title\n1,story,5" disk\n2,job,x\n', encoding="utf-8")
+    with pytest.raises(ValueError, match="unbalanced"):
+        dump.read_dump(spark, str(path), splittable=True)
+    assert titles(clean_dump(dump.read_dump(spark, str(path)))) == {1: '5" disk', 2: "x"}
