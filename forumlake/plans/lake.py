@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -27,11 +28,11 @@ class Lake:
         self._index = index
         self._edges = edges
 
-    @property
+    @cached_property
     def index(self) -> SearchIndex:
         return self._index()
 
-    @property
+    @cached_property
     def edges(self) -> DataFrame:
         return self._edges()
 
