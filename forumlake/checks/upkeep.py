@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from forumlake.checks.base import ITEMS, as_hits, check
+from forumlake.checks.base import AS_OF, ITEMS, as_hits, check
 from forumlake.corpus import items_view, table
 from forumlake.operators import clean, counts, merge
 from forumlake.plans import ledger, sync
 from forumlake.schema import FEED, ITEM_COLUMNS
-from forumlake.session import fresh_path
+from forumlake.session import fresh_path, stage
 from forumlake.sources.dump import WRITE_OPTIONS, read_dump
 from forumlake.sources.feed import read_feed, read_story_lists
-from forumlake.sources.items import read_items, write_items
+from forumlake.sources.items import get_item, read_items, set_cursor, write_items
 from forumlake.sources.shards import read_shards, write_shards
 from forumlake.streaming.feed_sync import sync_stream
 
@@ -345,12 +345,15 @@ def _shard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(clean.clean_dump(read_shards(spark, path)))
 
 
+def write_dump(items: DataFrame, path: str) -> None:
+    as_text = [F.to_json(c).alias(c) if c in ("kids", "parts") else F.col(c).cast("string").alias(c) for c in ITEM_COLUMNS]
+    items.select(*as_text).write.options(**WRITE_OPTIONS, header="true").csv(path)
+
+
 @check("dump_files", _ROUND)
 def _dump_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "dump")
-    items = items_view(spark, sf_dir)
-    as_text = [F.to_json(c).alias(c) if c in ("kids", "parts") else F.col(c).cast("string").alias(c) for c in ITEM_COLUMNS]
-    items.select(*as_text).write.options(**WRITE_OPTIONS, header="true").csv(path)
+    write_dump(items_view(spark, sf_dir), path)
     return _round(clean.clean_dump(read_dump(spark, path)))
 
 
@@ -385,3 +388,46 @@ def _stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     sync_stream(spark, f"{base}/feed", f"{base}/items", f"{base}/checkpoint", files_per_trigger=2).awaitTermination()
     return _main(read_items(spark, f"{base}/items"))
 
+
+
+@check("sync_groups", f"{_FEED}, window_rows AS (SELECT * FROM changes WHERE id BETWEEN 1001 AND 3000) SELECT {MAIN_SQL} FROM items WHERE id NOT IN (SELECT id FROM window_rows) UNION ALL SELECT {MAIN_SQL} FROM window_rows")
+def _sync_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The backfill on the stored table, merged in two groups by a first run that
+    stops half way and a second one that goes on from its cursor."""
+    base = fresh_path(spark, "sync")
+    write_items(_items(spark, sf_dir), f"{base}/items")
+    set_cursor(spark, f"{base}/cursors", "backfill", 1_000, 0, AS_OF)
+    feed = stage(changes_feed(spark, sf_dir), "feed")
+    times_up = iter((False, True))
+    sync.run_sync(spark, f"{base}/items", f"{base}/cursors", feed, "backfill", 3_000, 2_000, group=1_000, out_of_time=lambda: next(times_up))
+    sync.run_sync(spark, f"{base}/items", f"{base}/cursors", feed, "backfill", 3_000, 2_000, group=1_000)
+    return _main(read_items(spark, f"{base}/items"))
+
+
+@check("ledger_load", f"{_FEED} SELECT {MAIN_SQL} FROM items UNION ALL SELECT {MAIN_SQL} FROM changes WHERE id NOT IN (SELECT id FROM items)")
+def _ledger_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes as shards, loaded into the stored items through the ledger."""
+    base = fresh_path(spark, "load")
+    write_items(_items(spark, sf_dir), f"{base}/items")
+    write_shards(clean.clean_feed(sync.latest_versions(changes_feed(spark, sf_dir))), f"{base}/shards", 1_000)
+    rows = ledger.clean_shards(read_shards(spark, f"{base}/shards"))
+    plan = ledger.mark_fetched(ledger.plan_shards(spark, 1, 5_000, 1_000), rows)
+    ledger.write_ledger(ledger.load_shards(plan, rows, f"{base}/items"), f"{base}/ledger")
+    if not ledger.pending_load(ledger.read_ledger(spark, f"{base}/ledger")).isEmpty():
+        raise RuntimeError("shards were left unloaded")
+    return _main(read_items(spark, f"{base}/items"))
+
+
+@check("item_by_id", f"{WITH} SELECT {MAIN_SQL} FROM items WHERE id = 502")
+def _item_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "items")
+    write_items(_items(spark, sf_dir), path)
+    return _main(get_item(spark, path, 502))
+
+
+@check("dump_in_splits", _ROUND)
+def _dump_in_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dump as one file per task of the writer, read in splits."""
+    path = fresh_path(spark, "dump")
+    write_dump(items_view(spark, sf_dir), path)
+    return _round(clean.clean_dump(read_dump(spark, path, splittable=True)))

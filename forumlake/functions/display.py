@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from forumlake.functions.cleaning import let, trim_blanks
 from forumlake.functions.text import TAG
-from forumlake.schema import PAGE_SIZE, SCORED_TYPES
+from forumlake.schema import SCORED_TYPES
 
 # What each tag turns into, in this order, then named entities.
 TAG_RULES = (
@@ -159,6 +159,3 @@ def thread_text(deleted: Column, text: Column) -> Column:
 def thread_author(by: Column) -> Column:
     return F.coalesce(F.nullif(by, F.lit("")), F.lit("deleted"))
 
-
-def page_rank(index: Column, page: int) -> Column:
-    return F.lit((page - 1) * PAGE_SIZE) + index

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from forumlake.functions.cleaning import blank_to_null, strip_nul, to_bool, to_long, to_long_array, to_ts
@@ -104,17 +102,15 @@ def clean_feed(df: DataFrame) -> DataFrame:
 def check_items(items: DataFrame) -> DataFrame:
     """Violations of the table's rules as (rule, id, n); none for a sound table.
 
-    Repeated ids are found by a count, which adds up before the shuffle.
+    The rules on single rows are judged in one pass. Repeated ids are found by a
+    count, which adds up before the shuffle.
     """
-    def rule(name: str, rows: DataFrame, n: Column) -> DataFrame:
-        return rows.select(F.lit(name).alias("rule"), F.col("id"), n.cast("bigint").alias("n"))
-
-    repeated = items.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1 AND id IS NOT NULL")
     required = [name for name in ("id", "deleted", "type", "dead", "kids", "parts") if name in items.columns]
-    parts = [
-        rule("repeated id", repeated, F.col("k")),
-        rule("unknown type", items.filter(~F.col("type").isin(*ITEM_TYPES)), F.lit(1)),
-        *[rule(f"{name} is null", items.filter(F.col(name).isNull()), F.lit(1)) for name in required],
-        rule("empty table", items.agg(F.count("*").alias("k")).filter("k = 0").withColumn("id", F.lit(None).cast("bigint")), F.col("k")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    judged = [F.when(~F.col("type").isin(*ITEM_TYPES), "unknown type")]
+    judged += [F.when(F.col(name).isNull(), f"{name} is null") for name in required]
+    one = F.lit(1).cast("bigint").alias("n")
+    rows = items.select(F.explode(F.filter(F.array(*judged), lambda rule: rule.isNotNull())).alias("rule"), "id", one)
+    repeated = items.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 AND id IS NOT NULL")
+    size = items.agg(F.count("*").alias("n")).filter("n = 0")
+    empty = size.select(F.lit("empty table").alias("rule"), F.lit(None).cast("bigint").alias("id"), "n")
+    return rows.unionByName(repeated.select(F.lit("repeated id").alias("rule"), "id", "n")).unionByName(empty)

@@ -43,7 +43,8 @@ def batch_matches(lake: Lake, queries: DataFrame, operators: bool = True) -> Dat
         # Groups of exclusions alone can match rows without any of their terms;
         # their candidates are all live rows of the searched types.
         open_groups = asked.filter("needed = 0").select("qid", "grp", "type").distinct()
-        open_rows = lake.items.filter(is_live()).select("id", "type").join(open_groups, "type").select("qid", "grp", "id")
+        rows = lake.items.filter(is_live()).select("id", "type")
+        open_rows = join_small(rows, open_groups, ["type"], salt_by="id").select("qid", "grp", "id")
     return batch_match(hits, bool(size["phrases"]), open_rows)
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from forumlake.operators.clean import clean_feed
-from forumlake.operators.merge import newest, upsert
+from forumlake.operators.merge import merge_into, newest, upsert
 from forumlake.schema import ITEM_COLUMNS, REFRESH_WINDOW, SYNC_BATCH, SYNC_GROUP
+from forumlake.session import stage
+from forumlake.sources.items import get_cursor, read_items, set_cursor
 
 MODES = ("latest", "backfill")
 
@@ -88,6 +92,7 @@ class SyncResult:
     fetched: int
     upserted: int
     cursor: int
+    timed_out: bool = False
 
 
 def changes_of(feed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -121,3 +126,54 @@ def sync(
     fetched = found.select("id").distinct().count()
     upserted = changes.count()
     return upsert(items, changes), SyncResult(mode, head, window, fetched, upserted, window.end)
+
+
+def run_sync(
+    spark: SparkSession,
+    items_path: str,
+    cursors_path: str,
+    feed: DataFrame,
+    mode: str,
+    head: int,
+    batch: int = SYNC_BATCH,
+    lists: DataFrame | None = None,
+    group: int = SYNC_GROUP,
+    out_of_time: Callable[[], bool] = lambda: False,
+) -> SyncResult:
+    """One bounded run on the stored items: group after group is merged until
+    the window is done or the time is up, and the next run goes on from there.
+
+    A backfill moves its cursor with every group. The groups of a ``latest`` run
+    start at the newest end, after the ranked lists, so its cursor moves to the
+    head only when all of them are merged: no id is passed over.
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown sync mode {mode!r}")
+    cursor = get_cursor(spark, cursors_path, mode)
+    max_id = read_items(spark, items_path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if mode == "backfill" and not cursor else 0
+    window = resolve_window(spark, mode, cursor, max_id, head, batch)
+    if window.is_empty:
+        return SyncResult(mode, head, None, 0, 0, cursor if mode == "backfill" else head)
+    groups = groups_of(window, group)
+    wanted = [spark.range(g.start, g.end + 1) for g in groups]
+    if mode == "latest":
+        listed = [] if lists is None else [story_list_ids(lists, head)]
+        wanted = listed + wanted[::-1]
+    fetched = upserted = 0
+    for n, ids in enumerate(wanted):
+        if out_of_time():
+            return SyncResult(mode, head, window, fetched, upserted, cursor, True)
+        found = stage(feed.join(ids, "id", "left_semi"), "fetched")
+        changes = stage(clean_feed(latest_versions(found)), "changes")
+        fetched += found.select("id").distinct().count()
+        here = changes.count()
+        if here:
+            merge_into(items_path, changes)
+        upserted += here
+        if mode == "backfill":
+            cursor = groups[n].end
+            set_cursor(spark, cursors_path, mode, cursor, upserted, datetime.now(timezone.utc))
+    if mode == "latest":
+        cursor = head
+        set_cursor(spark, cursors_path, mode, cursor, upserted, datetime.now(timezone.utc))
+    return SyncResult(mode, head, window, fetched, upserted, cursor)

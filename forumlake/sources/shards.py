@@ -17,7 +17,7 @@ def _text(name: str) -> Column:
     if name in ("deleted", "dead"):
         return F.when(col, "t").otherwise("f")
     if name == "time":
-        return F.date_format(F.to_utc_timestamp(col.cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+        return F.date_format(F.to_utc_timestamp(col.cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     return col.cast("string")
 
 

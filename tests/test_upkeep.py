@@ -110,7 +110,7 @@ def test_shards_keep_null_and_empty_apart(spark, tmp_path):
     shards.write_shards(items, path, width=100, first=1)
     assert sorted(p.name for p in Path(path).glob("shard_start=*")) == ["shard_start=1", "shard_start=201"]
     line = b"".join(gzip.open(p).read() for p in Path(path).glob("shard_start=1/*.gz")).decode()
-    assert line.startswith('5,f,story,"",2020-05-01T12:30:15.000Z,,f,')
+    assert line.startswith('5,f,story,"",2020-05-01T12:30:15.000000Z,,f,')
     raw = {r["id"]: r for r in shards.read_shards(spark, path).collect()}
     assert raw["5"]["by"] == "" and raw["5"]["text"] is None and raw["5"]["shard_start"] == 1
     back = {r["id"]: r for r in clean_dump(shards.read_shards(spark, path)).collect()}
@@ -261,3 +261,24 @@ def test_split_dump_refuses_unbalanced_quotes(spark, tmp_path):
     with pytest.raises(ValueError, match="unbalanced"):
         dump.read_dump(spark, str(path), splittable=True)
     assert titles(clean_dump(dump.read_dump(spark, str(path)))) == {1: '5" disk', 2: "x"}
+
+
+def test_latest_run_out_of_time_keeps_its_cursor(spark, tmp_path):
+    items, cursors = str(tmp_path / "items"), str(tmp_path / "cursors")
+    stored.write_items(rows_of(spark, {"id": 1, "title": "a"}), items)
+    (tmp_path / "feed").mkdir()
+    lines = [json.dumps({"id": i, "type": "story", "title": f"n{i}"}) for i in (1, 5, 6, 7, 8)]
+    (tmp_path / "feed" / "f.json").write_text("\n".join(lines), encoding="utf-8")
+    rows = feed.read_feed(spark, str(tmp_path / "feed"))
+    lists = spark.createDataFrame([("top", 1), ("top", 99)], "list string, id bigint")
+
+    def run(*stops):
+        left = iter(stops)
+        return sync.run_sync(spark, items, cursors, rows, "latest", head=8, batch=4, lists=lists, group=2, out_of_time=lambda: next(left, False))
+
+    first = run(False, False, True)
+    assert first.timed_out and first.cursor == 0 and stored.get_cursor(spark, cursors, "latest") == 0
+    assert titles(stored.read_items(spark, items)) == {1: "n1", 7: "n7", 8: "n8"}  # the list, then the newest group
+    second = run()
+    assert not second.timed_out and stored.get_cursor(spark, cursors, "latest") == 8
+    assert titles(stored.read_items(spark, items)) == {1: "n1", 5: "n5", 6: "n6", 7: "n7", 8: "n8"}
