@@ -8,8 +8,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-AS_OF = datetime(2024, 1, 11)
-AS_OF_SQL = "TIMESTAMP '2024-01-11 00:00:00'"
+AS_OF = datetime(2024, 1, 9)
+AS_OF_SQL = "TIMESTAMP '2024-01-09 00:00:00'"
 
 Run = Callable[[SparkSession, str], DataFrame]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from forumlake.functions.cleaning import let
 from forumlake.functions.stemming import english_terms
 
 # Markup that never holds words, and what a word is.
@@ -23,7 +24,7 @@ def search_document() -> Column:
 
 def words(doc: Column) -> Column:
     """Lower-case letter and digit runs, in order; entities hold no words."""
-    plain = F.when(doc.contains("&"), F.regexp_replace(doc, ENTITY, " ")).otherwise(doc)
+    plain = let(doc, lambda d: F.when(d.contains("&"), F.regexp_replace(d, ENTITY, " ")).otherwise(d))
     return F.regexp_extract_all(F.lower(plain), F.lit(WORD), F.lit(1))
 
 
