@@ -11,53 +11,83 @@ from forumlake.operators.projections import THREAD
 from forumlake.schema import ID_BUCKET_WIDTH
 from forumlake.session import fresh_path, stage
 
+# What one small thread may bring to the driver: rows, and ids in all its paths.
+SMALL_THREAD = 10_000
+SMALL_PATHS = 1_000_000
+
 
 def edges_of(items: DataFrame) -> DataFrame:
     """(parent, id) of every item that has a parent."""
     return items.filter("parent IS NOT NULL").select("parent", "id")
 
 
-def children_of(edges: DataFrame, level: DataFrame, ids: list[int]) -> DataFrame:
-    """(id, path of the parent) of the children of a level, whose first ids are
-    ``ids``.
-
-    A small level is matched by literal ids, which prune the stored edges to the
-    files that hold them; a larger one is broadcast, or shuffled past the limit.
-    """
-    level = level.select(F.col("id").alias("parent"), "path")
-    if len(ids) > LITERAL_IDS:
-        return join_small(edges, level, ["parent"], salt_by="id").select("id", "path")
+def edges_from(edges: DataFrame, parents: list[int]) -> DataFrame:
+    """The edges of a few parents; literal ids prune stored edges to the folders
+    and row groups that hold them."""
     if "bucket" in edges.columns:
-        edges = edges.filter(F.col("bucket").isin(*{id_ // ID_BUCKET_WIDTH for id_ in ids}))
-    return edges.filter(F.col("parent").isin(*ids)).join(F.broadcast(level), "parent").select("id", "path")
+        edges = edges.filter(F.col("bucket").isin(*{id_ // ID_BUCKET_WIDTH for id_ in parents}))
+    return edges.filter(F.col("parent").isin(*parents))
+
+
+def first_levels(edges: DataFrame, root_id: int, with_path: bool) -> tuple[list[tuple], bool]:
+    """(id, path, depth) of the first levels of a thread, and whether they are
+    all of it. One small job per level, for as long as the levels are small; the
+    rows and paths brought to the driver are bounded."""
+    found = [(root_id, [root_id] if with_path else [], 0)]
+    level, room = {root_id: found[0][1]}, SMALL_PATHS
+    while level:
+        rows = edges_from(edges, list(level)).select("parent", "id").limit(LITERAL_IDS + 1).collect()
+        below = {row["id"]: [*level[row["parent"]], row["id"]] if with_path else [] for row in rows}
+        room -= sum(len(path) for path in below.values())
+        if len(rows) > LITERAL_IDS or len(found) + len(rows) > SMALL_THREAD or room < 0:
+            return found, False
+        depth = found[-1][2] + 1
+        found += [(id_, path, depth) for id_, path in below.items()]
+        level = below
+    return found, True
 
 
 def thread(items: DataFrame, root_id: int, edges: DataFrame | None = None, with_path: bool = True) -> DataFrame:
     """The item and all its descendants, deleted ones included, with ``depth``
     and ``path`` (the ids from the root down, which orders the rows as shown).
 
-    One level per round, found through ``edges`` and kept in the shared folder.
-    Every item has one parent, so a cycle can only be met by coming back to the
-    root, which is left out. Without the path nothing grows with the depth, for
+    Level by level through ``edges``. Small first levels are looked up directly;
+    from the first large level on, every level is a join whose result is kept in
+    the shared folder: broadcast while it fits, salted by child beyond. Every
+    item has one parent, so a cycle can only be met by coming back to the root,
+    which is left out. Without the path nothing grows with the depth, for
     threads nested without limit.
     """
     spark = items.sparkSession
+    edges = (edges_of(items) if edges is None else edges).filter(F.col("id") != root_id)
+    if rows_of(items, spark.range(root_id, root_id + 1)).isEmpty():
+        first, whole = [], True
+    else:
+        first, whole = first_levels(edges, root_id, with_path)
+    found = spark.createDataFrame(first, "id bigint, path array<bigint>, depth bigint")
+    if not whole:
+        found = _further_levels(edges, found, first[-1][2], with_path)
+    joined = rows_of(items, found) if whole or fits_broadcast(found) else items.join(found, "id")
+    return joined.select(*THREAD, "depth", *(["path"] if with_path else []))
+
+
+def _further_levels(edges: DataFrame, found: DataFrame, depth: int, with_path: bool) -> DataFrame:
+    spark = edges.sparkSession
     base = fresh_path(spark, "thread")
     schema = "id bigint, path array<bigint>"
-    edges = (edges_of(items) if edges is None else edges).filter(F.col("id") != root_id)
-    start = F.array("id") if with_path else F.array().cast("array<bigint>")
-    step = F.concat("path", F.array("id")) if with_path else F.col("path")
-    rows, depth = rows_of(items, spark.range(root_id, root_id + 1)).select("id", start.alias("path")), 0
+    found.repartition("depth").write.partitionBy("depth").parquet(base)
     while True:
-        rows.write.parquet(f"{base}/depth={depth}")
-        level = spark.read.schema(schema).parquet(f"{base}/depth={depth}")
-        ids = [row["id"] for row in level.select("id").limit(LITERAL_IDS + 1).collect()]
+        level = spark.read.schema(schema).parquet(f"{base}/depth={depth}").withColumnRenamed("id", "parent")
+        ids = [row["parent"] for row in level.select("parent").limit(LITERAL_IDS + 1).collect()]
         if not ids:
-            break
-        rows, depth = children_of(edges, level, ids).select("id", step.alias("path")), depth + 1
-    found = spark.read.schema(f"{schema}, depth bigint").parquet(base)
-    joined = rows_of(items, found) if fits_broadcast(found) else items.join(found, "id")
-    return joined.select(*THREAD, "depth", *(["path"] if with_path else []))
+            return spark.read.schema(f"{schema}, depth bigint").parquet(base)
+        if len(ids) <= LITERAL_IDS:
+            below = edges_from(edges, ids).join(F.broadcast(level), "parent")
+        else:
+            below = join_small(edges, level, ["parent"], salt_by="id")
+        path = F.concat("path", F.array("id")) if with_path else F.col("path")
+        depth += 1
+        below.select("id", path.alias("path")).write.parquet(f"{base}/depth={depth}")
 
 
 def in_order(thread_rows: DataFrame) -> DataFrame:

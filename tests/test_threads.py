@@ -66,8 +66,17 @@ def test_large_levels_are_joined(spark, forest, monkeypatch):
     edges, items = forest
     monkeypatch.setattr(threads, "LITERAL_IDS", 2)
     monkeypatch.setattr(threads, "join_small", lambda *a, **k: joins.join_small(*a, max_rows=0, **k))
-    got = {r["id"]: r["depth"] for r in threads.thread(items, 5000).collect()}
-    assert got == {k: d for k, (d, _) in walk(edges, 5000).items()}
+    for root in (1, 5000):
+        got = {r["id"]: (r["depth"], tuple(r["path"])) for r in threads.thread(items, root).collect()}
+        assert got == walk(edges, root)
+
+
+@pytest.mark.parametrize(("name", "value"), [("SMALL_THREAD", 3), ("SMALL_PATHS", 6), ("LITERAL_IDS", 1)])
+def test_threads_past_a_bound_go_on_in_tables(spark, forest, monkeypatch, name, value):
+    edges, items = forest
+    monkeypatch.setattr(threads, name, value)
+    got = {r["id"]: (r["depth"], tuple(r["path"])) for r in threads.thread(items, 1).collect()}
+    assert got == walk(edges, 1)
 
 
 def expected_roots(edges):
