@@ -26,7 +26,7 @@ def asked_terms(lake: Lake, queries: DataFrame, operators: bool = True) -> DataF
     clauses = mark_clauses(query_clauses(queries, index.config, operators))
     scope = F.when(F.col("type").isin(*RANKED_TYPES), F.col("type")).otherwise("all")
     asked = clauses.join(queries.select("qid", "type", scope.alias("scope")), "qid")
-    asked = asked.withColumn("bucket", bucket_of(F.col("term"), index.buckets))
+    asked = stage(asked.withColumn("bucket", bucket_of(F.col("term"), index.buckets)), "clauses")
     stats = index.term_stats().join(asked.select("scope", "bucket", "term").distinct(), ["scope", "bucket", "term"], "left_semi")
     asked = asked.join(rank.weights(stats, index.corpus_stats()), ["scope", "term"], "left").drop("scope")
     return stage(asked.withColumn("type", F.explode(searched_types(F.col("type")))), "asked")
