@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forumlake.llm import chat_windows, exact_dedup, mixing
+from forumlake.llm import chat_windows, exact_dedup, licenses, mixing, packing, quality
 from forumlake.llm.common import conversations, documents
 from forumlake.session import stage
 
@@ -88,10 +89,36 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.digests(chat_windows.chat_windows(rows))
 
 
+def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of packed sequences."""
+    return packing.packed(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license notice of every document."""
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, weak label and verdict of every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    rows = quality.scored(docs, quality.fit_quality(docs))
+    return rows.select(
+        "doc_id",
+        F.col("__score").alias("score"),
+        F.col("__posterior").alias("weak_label"),
+        F.col("__votes").alias("votes"),
+        (F.col("__score") >= quality.THRESHOLD).alias("accepted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op7_chat_windows": op7_chat_windows,
+    "op8_cost_packing": op8_cost_packing,
+    "op9_license_scan": op9_license_scan,
+    "op10_quality": op10_quality,
 }
 
 SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op6_source_mixing": _raking_sql()}
