@@ -6,24 +6,46 @@ DataFrame, which is written as Parquet and read again as the next one's ``docs``
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from forumlake.llm import exact_dedup, mixing
+from forumlake.llm import chosen_path, exact_dedup, mixing, packing, quality
 from forumlake.llm.common import documents
 from forumlake.session import stage
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.accepted(docs)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text stays: the one with the smallest id."""
     return exact_dedup.drop_exact_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays: the one with the smallest id."""
+    return chosen_path.one_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled so that sources, languages and forms meet their target shares."""
     return mixing.sampled_documents(docs)
 
 
-STAGES = [("exact dedup", drop_copies), ("mix sources", mix_sources)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("exact dedup", drop_copies),
+    ("n-gram join", drop_near_copies),
+    ("mix sources", mix_sources),
+    ("pack", pack),
+]
 
 # A classifier, sketches and a tokenizer have no SQL counterpart; tests hold each stage against brute force.
 ORACLE_SQL = None

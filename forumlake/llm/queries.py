@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forumlake.llm import chat_windows, exact_dedup, licenses, mixing, packing, quality
+from forumlake.llm import chat_windows, chosen_path, exact_dedup, licenses, mixing, packing, quality
 from forumlake.llm.common import conversations, documents
 from forumlake.session import stage
 
@@ -15,6 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and links of every document."""
+    return chosen_path.near_groups(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal documents; the one with the largest id stays."""
     return exact_dedup.exact_copies(documents(spark, sf_dir), keep="largest")
@@ -113,6 +118,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chosen_path": op2_chosen_path,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op7_chat_windows": op7_chat_windows,
