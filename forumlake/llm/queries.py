@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forumlake.llm import chat_windows, chosen_path, exact_dedup, licenses, mixing, packing, quality
+from forumlake.llm import chat_windows, chosen_path, exact_dedup, imatch, licenses, mixing, packing, quality
 from forumlake.llm.common import conversations, documents
 from forumlake.session import stage
 
@@ -15,6 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return imatch.fingerprints(documents(spark, sf_dir))
+
+
 def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and links of every document."""
     return chosen_path.near_groups(documents(spark, sf_dir))
@@ -118,6 +123,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_imatch": op1_imatch,
     "op2_chosen_path": op2_chosen_path,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_source_mixing": op6_source_mixing,
