@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forumlake.llm import chat_windows, chosen_path, exact_dedup, imatch, licenses, mixing, packing, quality
+from forumlake.llm import brown, chat_windows, chosen_path, exact_dedup, imatch, licenses, mixing, packing, quality
 from forumlake.llm.common import conversations, documents
 from forumlake.session import stage
 
@@ -37,6 +37,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 """
 
 
+def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under word classes learnt from the training documents."""
+    return brown.lm_scores(documents(spark, sf_dir))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raked weight, inclusion probability and draw of every document."""
     rows = mixing.with_margins(documents(spark, sf_dir))
@@ -126,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_imatch": op1_imatch,
     "op2_chosen_path": op2_chosen_path,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_brown_lm": op4_brown_lm,
     "op6_source_mixing": op6_source_mixing,
     "op7_chat_windows": op7_chat_windows,
     "op8_cost_packing": op8_cost_packing,
