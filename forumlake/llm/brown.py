@@ -107,7 +107,7 @@ class Lookup:
         known = self.known
         if len(known) > WORDS_KEPT:
             self.known = known = {}
-        for word in set(words) - known.keys():
+        for word in {w for w in words if w not in known}:
             h = xxhash.xxh3_64_intdigest(word)
             kind = self.vocabulary.types.get(h, -1)
             known[word] = (h, kind if kind >= 0 else 1 + WORDS + suffix(word), self.vocabulary.local.get(h, -1))

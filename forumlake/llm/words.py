@@ -29,7 +29,7 @@ class WordHashes:
         except KeyError:
             if len(known) > WORDS_KEPT:
                 self.known = known = {}
-            for word in set(words) - known.keys():
+            for word in {w for w in words if w not in known}:
                 known[word] = xxhash.xxh3_64_intdigest(word)
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
