@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forumlake.llm import brown, chat_windows, chosen_path, exact_dedup, imatch, licenses, mixing, packing, quality
+from forumlake.llm import brown, chat_windows, chosen_path, exact_dedup, imatch, licenses, mixing, packing, quality, substrings
 from forumlake.llm.common import conversations, documents
 from forumlake.session import stage
 
@@ -42,6 +42,25 @@ def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.lm_scores(documents(spark, sf_dir))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that stay when passages of earlier documents are removed."""
+    return substrings.remove_repeats(documents(spark, sf_dir))
+
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+w AS (SELECT doc_id, s, list_aggregate(words[s:s + 12], 'string_agg', ' ') AS body
+      FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 12)) AS s FROM d)),
+g AS (SELECT body, min(doc_id) AS least FROM w GROUP BY body HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(s, s + 12)) AS pos FROM w JOIN g USING (body) WHERE least < doc_id),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS body, count(*) AS n
+         FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d) x
+         WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = x.doc_id AND gone.pos = x.pos) GROUP BY doc_id)
+SELECT d.doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raked weight, inclusion probability and draw of every document."""
     rows = mixing.with_margins(documents(spark, sf_dir))
@@ -132,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chosen_path": op2_chosen_path,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_brown_lm": op4_brown_lm,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op7_chat_windows": op7_chat_windows,
     "op8_cost_packing": op8_cost_packing,
@@ -139,4 +159,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op6_source_mixing": _raking_sql()}
+SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op6_source_mixing": _raking_sql()}
