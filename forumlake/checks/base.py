@@ -37,8 +37,8 @@ def check(name: str, sql: str | None = None) -> Callable[[Run], Run]:
 ITEMS = """
 pages_items AS (
   SELECT page_id * 10 + 1 AS id, false AS deleted, 'story' AS type, 'u' || (page_id % 15) AS "by",
-         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(page_id * 60) AS time, CAST(NULL AS VARCHAR) AS text, false AS dead,
-         CAST(NULL AS BIGINT) AS parent, CAST(NULL AS BIGINT) AS poll, url,
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(page_id * 60) AS time, html AS text, false AS dead,
+         CAST(NULL AS BIGINT) AS parent, CAST(NULL AS BIGINT) AS poll, CASE WHEN page_id % 4 = 0 THEN [page_id * 10 + 2, page_id * 10 + 12] ELSE CAST([] AS BIGINT[]) END AS kids, url,
          CASE WHEN page_id % 11 <> 0 THEN CAST(page_id * 37 % 500 AS INTEGER) END AS score,
          regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST([] AS BIGINT[]) AS parts,
          CASE WHEN page_id % 7 <> 0 THEN CAST(page_id * 13 % 40 AS INTEGER) END AS descendants
@@ -50,7 +50,7 @@ documents_items AS (
          CASE WHEN d.doc_id % 97 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_minutes(d.doc_id) END AS time,
          d.text, coalesce(l.toxic, 0) = 1 AS dead,
          CASE WHEN d.doc_id % 20 > 3 THEN d.doc_id % 50 * 10 + 1 END AS parent,
-         CASE WHEN d.doc_id % 20 = 3 THEN (d.doc_id - 1) * 10 + 2 END AS poll, CAST(NULL AS VARCHAR) AS url,
+         CASE WHEN d.doc_id % 20 = 3 THEN (d.doc_id - 1) * 10 + 2 END AS poll, CAST([] AS BIGINT[]) AS kids, CAST(NULL AS VARCHAR) AS url,
          CASE WHEN d.doc_id % 20 < 3 THEN CAST(d.doc_id % 300 AS INTEGER) END AS score,
          CASE WHEN d.doc_id % 20 < 3 THEN substring(d.text, 1, 60) END AS title,
          CASE WHEN d.doc_id % 20 = 2 THEN [(d.doc_id + 1) * 10 + 2] ELSE CAST([] AS BIGINT[]) END AS parts,
@@ -60,7 +60,7 @@ conversations_items AS (
   SELECT (conv_id * 100 + turn) * 10 + 3 AS id, false AS deleted, 'comment' AS type, role AS "by",
          TIMESTAMP '2024-01-01 00:00:00' + to_minutes(conv_id * 10 + turn) AS time, text, false AS dead,
          CASE WHEN turn = 0 THEN conv_id % 200 * 10 + 2 ELSE (conv_id * 100 + turn - 1) * 10 + 3 END AS parent,
-         CAST(NULL AS BIGINT) AS poll, CAST(NULL AS VARCHAR) AS url, CAST(NULL AS INTEGER) AS score,
+         CAST(NULL AS BIGINT) AS poll, CAST([] AS BIGINT[]) AS kids, CAST(NULL AS VARCHAR) AS url, CAST(NULL AS INTEGER) AS score,
          CAST(NULL AS VARCHAR) AS title, CAST([] AS BIGINT[]) AS parts, CAST(NULL AS INTEGER) AS descendants
   FROM conversations),
 items AS (

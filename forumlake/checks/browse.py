@@ -135,7 +135,8 @@ def _max_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PROFILE = [
     ("id", "bigint"), ("deleted", "boolean"), ("type", "string"), ("by", "string"), ("time", "timestamp_ntz"), ("text", "string"),
-    ("dead", "boolean"), ("parent", "bigint"), ("poll", "bigint"), ("url", "string"), ("score", "int"), ("title", "string"), ("descendants", "int"),
+    ("dead", "boolean"), ("parent", "bigint"), ("poll", "bigint"), ("kids", "array<bigint>"), ("url", "string"),
+    ("score", "int"), ("title", "string"), ("parts", "array<bigint>"), ("descendants", "int"),
 ]
 
 
@@ -148,7 +149,7 @@ _PROFILE = [
     ),
 )
 def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile(items_view(spark, sf_dir).drop("kids", "parts"))
+    return profile(items_view(spark, sf_dir))
 
 
 REQUESTS_SQL = """
@@ -211,7 +212,8 @@ tagless AS (SELECT *, {_strip_sql(col)} AS t FROM {source}),
 decoded AS (
   SELECT *, CASE WHEN contains(t, '&#') THEN array_to_string(list_transform(
       list_zip(string_split_regex(t, '&#[0-9]+;'), regexp_extract_all(t, '&#([0-9]+);', 1)),
-      lambda x: x[1] || coalesce(chr(CAST(CAST(x[2] AS HUGEINT) % 65536 AS INTEGER)), '')), '') ELSE t END AS u FROM tagless),
+      lambda x: x[1] || CASE WHEN x[2] IS NULL THEN '' WHEN TRY_CAST(x[2] AS BIGINT) BETWEEN 0 AND 55295 OR TRY_CAST(x[2] AS BIGINT) BETWEEN 57344 AND 1114111
+        THEN chr(CAST(x[2] AS INTEGER)) ELSE chr(65533) END), '') ELSE t END AS u FROM tagless),
 stripped AS (
   SELECT *, regexp_replace(regexp_replace(u, '\\n{{3,}}', E'\\n\\n', 'g'), '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') AS body FROM decoded)
 """

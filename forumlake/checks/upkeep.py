@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from forumlake.checks.base import AS_OF, ITEMS, as_hits, check
 from forumlake.corpus import items_view, table
 from forumlake.operators import clean, counts, merge
 from forumlake.plans import ledger, sync
+from forumlake.plans.index import build_index, compact, open_index
 from forumlake.schema import FEED, ITEM_COLUMNS
 from forumlake.session import fresh_path, stage
 from forumlake.sources.dump import WRITE_OPTIONS, read_dump
@@ -135,8 +136,9 @@ _CURSORS = """WITH cursors AS (
 
 @check(
     "latest_window",
-    f"""{_CURSORS} SELECT event_id, greatest(1, CASE WHEN cursor > 0 THEN least(cursor + 1, head - 1999) ELSE head - batch + 1 END, head - batch + 1) AS start,
-  head AS "end" FROM cursors""",
+    f"""{_CURSORS} SELECT event_id, CASE WHEN cursor > 0 AND head - cursor > batch THEN cursor + 1
+    ELSE greatest(1, CASE WHEN cursor > 0 THEN least(cursor + 1, head - 1999) ELSE head - batch + 1 END, head - batch + 1) END AS start,
+  CASE WHEN cursor > 0 AND head - cursor > batch THEN cursor + batch ELSE head END AS "end" FROM cursors""",
 )
 def _latest_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     start, end = sync.latest_window(F.col("cursor"), F.col("head"), F.col("batch"))
@@ -198,7 +200,7 @@ def _plan(spark: SparkSession, sf_dir: str, width: int = 1_000) -> DataFrame:
 _PLAN = f"""{WITH}, top AS (SELECT max(id) AS m FROM items),
 first_plan AS (SELECT s AS start, least(s + 999, 2500) AS "end" FROM generate_series(1, 2500, 1000) r(s)),
 plan AS (SELECT * FROM first_plan UNION ALL
-  SELECT s, least(s + 999, m) FROM top, generate_series(1, (SELECT m FROM top), 1000) r(s) WHERE s NOT IN (SELECT start FROM first_plan))"""
+  SELECT greatest(s, 2501), least(s + 999, m) FROM top, generate_series(1, (SELECT m FROM top), 1000) r(s) WHERE s + 999 > 2500)"""
 
 
 @check("shard_plan", f'{_PLAN} SELECT start, "end", CAST(0 AS BIGINT) AS rows, false AS fetched, false AS loaded FROM plan')
@@ -206,6 +208,14 @@ def _shard_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir)
 
 
+@check("shard_coverage", "WITH ids AS (SELECT max(id) AS m FROM items) SELECT m AS ids, m AS covered, CAST(0 AS BIGINT) AS twice FROM ids".replace("WITH ", f"{WITH}, ", 1))
+def _shard_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every id of the range lies in exactly one shard."""
+    plan = _plan(spark, sf_dir)
+    each = plan.select(F.explode(F.sequence("start", "end")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    return each.agg(F.max("id").alias("ids"), F.count("*").alias("covered"), F.count_if(F.col("n") > 1).alias("twice"))
+
+
 _COUNTS = f"""{_PLAN}, shard_counts AS (
   SELECT start, "end", (SELECT count(*) FROM items WHERE id BETWEEN start AND "end") AS rows FROM plan)"""
 
@@ -228,17 +238,17 @@ def _missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @check(
     "shard_progress",
-    f"""{_COUNTS}, fetched AS (SELECT start, "end", rows FROM shard_counts WHERE rows > 0)
-SELECT start, "end", rows FROM fetched""",
+    f"""{_COUNTS} SELECT start, "end", rows, row_number() OVER (ORDER BY start) AS place FROM shard_counts""",
 )
 def _shard_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards of ids present in the items are fetched and wait to be loaded."""
+    """All windows were written, some without a row; all wait to be loaded, in order."""
     plan = _plan(spark, sf_dir)
     edge = plan.select("start", "end")
     cells = edge.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / 1_000), F.floor(F.col("end") / 1_000))))
     ids = items_view(spark, sf_dir).select("id", F.floor(F.col("id") / 1_000).alias("cell"))
     rows = cells.join(ids, "cell").filter("id BETWEEN start AND end").select(F.col("start").alias("shard_start"), "id")
-    return ledger.pending_load(ledger.mark_fetched(plan, rows)).select("start", "end", "rows")
+    pending = ledger.pending_load(ledger.mark_fetched(plan, rows, plan.select("start")))
+    return pending.select("start", "end", "rows", (F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))).cast("bigint").alias("place"))
 
 
 # Rules.
@@ -323,12 +333,12 @@ def _rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Round trips: written by Spark to the work folder in each format and read back.
 
 _ROUND = f"""{WITH} SELECT id, type, "by" AS author, time, nullif(text, '') AS text, deleted, dead, parent, poll, url, score, title,
-  array_to_string(parts, ',') AS parts, descendants FROM items"""
+  array_to_string(kids, ',') AS kids, array_to_string(parts, ',') AS parts, descendants FROM items"""
 
 
 def _round(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumns({"time": F.col("time").cast("timestamp_ntz"), "parts": F.array_join(F.col("parts").cast("array<string>"), ",")})
-    return as_hits(rows.select(*[name for name in ITEM_COLUMNS if name != "kids"]))
+    listed = {name: F.array_join(F.col(name).cast("array<string>"), ",") for name in ("kids", "parts")}
+    return as_hits(rows.withColumns({"time": F.col("time").cast("timestamp_ntz")} | listed).select(*ITEM_COLUMNS))
 
 
 @check("items_table", _ROUND)
@@ -425,9 +435,98 @@ def _item_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _main(get_item(spark, path, 502))
 
 
-@check("dump_in_splits", _ROUND)
-def _dump_in_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dump as one file per task of the writer, read in splits."""
+@check("table_replaced", f"{WITH} SELECT id, type FROM items WHERE id % 10 = 2")
+def _table_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bulk write over a table leaves nothing of it, in whatever bucket."""
+    path = fresh_path(spark, "items")
+    items = _items(spark, sf_dir)
+    write_items(items.withColumn("id", F.col("id") + 50_000_000), path)
+    write_items(items.filter("id % 10 = 2"), path)
+    return read_items(spark, path).select("id", "type")
+
+
+@check(
+    "dump_stray_quotes",
+    """SELECT event_id AS id, 'story' AS type, 'disk of ' || user_id || '" and 5" more' AS title, 'say "x", twice' || chr(10) || 'line, two' AS text FROM events""",
+)
+def _dump_stray_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes inside bare fields, next to quoted fields with commas and line breaks."""
     path = fresh_path(spark, "dump")
-    write_dump(items_view(spark, sf_dir), path)
-    return _round(clean.clean_dump(read_dump(spark, path, splittable=True)))
+    c = F.col
+    bare = F.concat(F.lit("disk of "), c("user_id").cast("string"), F.lit('" and 5" more'))
+    record = F.concat_ws(",", c("event_id").cast("string"), F.lit("story"), bare, F.lit('"say ""x"", twice\nline, two"'))
+    # Every file has its header.
+    files = table(spark, sf_dir, "events").repartition(4).select(F.spark_partition_id().alias("part"), record.alias("record"))
+    texts = files.groupBy("part").agg(F.concat(F.lit("id,type,title,text\n"), F.array_join(F.collect_list("record"), "\n")).alias("value"))
+    texts.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    rows = clean.clean_dump(read_dump(spark, path))
+    return rows.select("id", "type", "title", "text")
+
+
+_SAMPLE = 700
+
+
+@check("dump_sample", f"{WITH} SELECT least(count(*), {_SAMPLE}) AS n, true AS known FROM items")
+def _dump_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of a dump: so many, and all of them rows of the table."""
+    path = fresh_path(spark, "dump")
+    items = items_view(spark, sf_dir)
+    write_dump(items, path)
+    rows = read_dump(spark, path, limit=_SAMPLE).select(F.col("id").cast("bigint").alias("id"))
+    known = rows.join(items.select("id", F.lit(True).alias("found")), "id", "left")
+    return known.agg(F.count("*").alias("n"), F.bool_and(F.coalesce("found", F.lit(False))).alias("known"))
+
+
+@check("bounded_latest", f"""{_FEED}, lists AS (SELECT DISTINCT parent AS id FROM items WHERE parent <= 6000),
+wanted AS (SELECT id FROM lists UNION SELECT unnest(generate_series(1001, 4000))),
+seen AS (SELECT id FROM newest WHERE id IN (SELECT id FROM wanted))
+SELECT (SELECT count(*) FROM seen) AS fetched, (SELECT count(*) FROM changes WHERE id IN (SELECT id FROM wanted)) AS upserted,
+  CAST(4000 AS BIGINT) AS cursor, CAST(1001 AS BIGINT) AS start""")
+def _bounded_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Far behind the head: the next ids after the cursor, ranked lists first and once; what the run reports."""
+    base = fresh_path(spark, "sync")
+    write_items(_items(spark, sf_dir), f"{base}/items")
+    set_cursor(spark, f"{base}/cursors", "latest", 1_000, 0, AS_OF)
+    lists = items_view(spark, sf_dir).filter("parent IS NOT NULL").select(F.lit("top").alias("list"), F.col("parent").alias("id"))
+    done = sync.run_sync(spark, f"{base}/items", f"{base}/cursors", changes_feed(spark, sf_dir), "latest", 6_000, 3_000, lists, group=1_000)
+    numbers = {"fetched": done.fetched, "upserted": done.upserted, "cursor": done.cursor, "start": done.window.start}
+    return spark.range(1).select(*[F.lit(v).cast("bigint").alias(k) for k, v in numbers.items()])
+
+
+def _index_after_streams(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Items and index after two streams with checkpoints of their own, which bring two versions of every changed id."""
+    base = fresh_path(spark, "stream-index")
+    write_items(_items(spark, sf_dir), f"{base}/items")
+    build_index(read_items(spark, f"{base}/items"), f"{base}/index", 0, "simple")
+    latest = sync.latest_versions(changes_feed(spark, sf_dir))
+    older = latest.withColumn("title", F.concat(F.lit("older "), F.coalesce("title", F.lit(""))))
+    for name, rows in (("first", older), ("second", latest)):
+        rows.repartition(2, "id").write.json(f"{base}/{name}")
+        sync_stream(spark, f"{base}/{name}", f"{base}/items", f"{base}/check-{name}", f"{base}/index", files_per_trigger=1).awaitTermination()
+    return f"{base}/items", f"{base}/index"
+
+
+_STREAMED = f"""{_FEED}, merged_items AS (
+  SELECT id, type, NOT deleted AND NOT dead AS live, concat_ws(' ', title, "by", regexp_replace(text, '<[^>]+>', ' ', 'g')) AS body FROM items WHERE id NOT IN (SELECT id FROM changes)
+  UNION ALL SELECT id, type, NOT deleted AND NOT dead, concat_ws(' ', title, "by") FROM changes),
+words AS (SELECT id, type, live, unnest(regexp_extract_all(lower(regexp_replace(body, '&[#A-Za-z0-9]+;', ' ', 'g')), '[\\p{{L}}\\p{{N}}]+')) AS term FROM merged_items),
+posts AS (SELECT id, type, live, term, count(*) AS tf FROM words GROUP BY ALL)
+"""
+
+
+@check("stream_index", f"{_STREAMED} SELECT id, term, CAST(tf AS INTEGER) AS tf, live FROM posts")
+def _stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings after the streams."""
+    _, index = _index_after_streams(spark, sf_dir)
+    return open_index(spark, index).postings().select("id", "term", "tf", "live")
+
+
+@check(
+    "stream_index_compacted",
+    f"""{_STREAMED} SELECT 'all' AS scope, term, count(*) AS df FROM posts GROUP BY term
+UNION ALL SELECT type, term, count(*) FROM posts WHERE live AND type IN ('story', 'comment', 'job') GROUP BY type, term""",
+)
+def _stream_index_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics after the streams, folded into one generation."""
+    _, index = _index_after_streams(spark, sf_dir)
+    return compact(open_index(spark, index), fresh_path(spark, "compact")).term_stats().select("scope", "term", "df")

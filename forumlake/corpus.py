@@ -39,6 +39,8 @@ DEFAULTS = {
 PAGES = {
     "id": "page_id * 10 + 1",
     "type": "'story'",
+    "text": "html",
+    "kids": "CASE WHEN page_id % 4 = 0 THEN array(page_id * 10 + 2, page_id * 10 + 12) ELSE CAST(array() AS ARRAY<BIGINT>) END",
     "by": "concat('u', page_id % 15)",
     "time": "timestampadd(MINUTE, page_id * 60, timestamp_ntz'2024-01-01 00:00:00')",
     "url": "url",

@@ -35,21 +35,21 @@ def _half_up(col: Column) -> Column:
     return F.floor(col + 0.5)
 
 
-def _utf16_unit(digits: Column) -> Column:
-    """The character of one UTF-16 unit number; half pairs have no character."""
-    unit = F.coalesce(digits.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")) % 65536
-    code = unit.cast("int")
-    hexed = F.when(code.between(0xD800, 0xDFFF), F.lit("FFFD")).otherwise(F.lpad(F.hex(code), 4, "0"))
-    return F.decode(F.unhex(hexed), "UTF-16BE")
+def _character(digits: Column) -> Column:
+    """The character of a code point; half pairs and numbers beyond the last have none."""
+    number = digits.try_cast("bigint")
+    code = F.when(number.between(0, 0xD7FF) | number.between(0xE000, 0x10FFFF), number).otherwise(F.lit(0xFFFD))
+    # On its own, this one would be taken for a byte order mark.
+    return F.when(code == 0xFEFF, F.lit("\ufeff")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
 def decode_numeric_entities(col: Column) -> Column:
     """``&#8364;`` becomes its character: the pieces between the entities are
-    zipped with the decoded units, all in one row."""
+    zipped with the decoded characters, all in one row."""
     pieces = F.split(col, NUMERIC_ENTITY, -1)
     units = F.regexp_extract_all(col, F.lit(NUMERIC_ENTITY), F.lit(1))
     joined = F.array_join(
-        F.zip_with(pieces, units, lambda piece, unit: F.concat(piece, F.when(unit.isNull(), "").otherwise(_utf16_unit(unit)))),
+        F.zip_with(pieces, units, lambda piece, unit: F.concat(piece, F.when(unit.isNull(), "").otherwise(_character(unit)))),
         "",
     )
     return F.when(col.contains("&#"), joined).otherwise(col)

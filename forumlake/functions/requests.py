@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from forumlake.functions.cleaning import to_number, trim_blanks
+from forumlake.functions.cleaning import NUMBER, to_number, trim_blanks
 from forumlake.schema import ITEM_TYPES, RANKED_TYPES, SINCE, SORTS
 
 # Days in each age window.
@@ -36,10 +37,7 @@ class SearchFilters:
             value = params.get(key)
             return value if value in allowed else default
 
-        try:
-            page = max(1, int(float(params.get("page") or 1)))
-        except (ValueError, OverflowError):
-            page = 1
+        page = page_of_text(params.get("page"))
         return cls(
             q=text("q"),
             type=one_of("type", (*ITEM_TYPES, "all"), "story"),
@@ -75,6 +73,14 @@ class SearchFilters:
         return as_of - timedelta(days=SINCE_DAYS[self.since]) if self.since in SINCE_DAYS else None
 
 
+def page_of_text(text: str | None) -> int:
+    """A page number by the rule of ``normalise_requests``: numbers as ``to_number`` knows them, cut to whole, from 1."""
+    if not isinstance(text, str) or not re.match(NUMBER, text):
+        return 1
+    number = float(text)
+    return max(1, int(number)) if abs(number) < 2**63 else 1
+
+
 def scope_of(type_: str) -> str:
     """The corpus a type is ranked in: its own, or the one of every row."""
     return type_ if type_ in RANKED_TYPES else "all"

@@ -1,4 +1,4 @@
-"""Counts: exact, capped, estimated; load totals."""
+"""Counts: exact and estimated; load totals."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from forumlake.operators.match import Clause, Query
 from forumlake.operators.rank import TermCounts
-from forumlake.schema import COUNT_CAP
 
 
 def full_count(df: DataFrame) -> DataFrame:
@@ -25,11 +24,6 @@ def max_id(items: DataFrame) -> DataFrame:
     return items.agg(F.coalesce(F.max("id"), F.lit(0)).alias("max_id"))
 
 
-def capped_count(matches: DataFrame, cap: int = COUNT_CAP) -> DataFrame:
-    """The number of matches, never more than ``cap``."""
-    return matches.limit(cap).agg(F.count("*").alias("n"))
-
-
 def share_of(query: Query, share: dict[str, float]) -> float:
     """The expected share of rows that match, words taken as independent."""
 
@@ -41,29 +35,18 @@ def share_of(query: Query, share: dict[str, float]) -> float:
 
 
 def estimate_matches(query: Query, counts: TermCounts, rows: DataFrame) -> DataFrame:
-    """One row ``estimate``: the number of ``rows`` times the expected share of
-    text matches. Texts and postings are not read."""
+    """One row ``estimate``: the number of rows (summed up in ``n``) times the
+    expected share of text matches. Texts and postings are not read."""
     share = {t: counts.df.get(t, 0) / counts.n if counts.n else 0.0 for t in query.terms}
     expected = share_of(query, share) if query.groups else 0.0
-    return rows.agg(F.floor(F.count("*") * F.lit(expected) + 0.5).alias("estimate"))
-
-
-def _one_row(*parts: DataFrame) -> DataFrame:
-    """One-row tables side by side: stacked and collapsed, which needs no join."""
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return stacked.agg(*[F.max(name).alias(name) for name in stacked.columns])
+    return rows.select(F.floor(F.col("n") * F.lit(expected) + 0.5).alias("estimate"))
 
 
-def capped_match_count(matches: DataFrame, estimate: DataFrame, cap: int = COUNT_CAP) -> DataFrame:
-    """One row (count, capped, estimate): the exact count below the cap, else
-    the estimate."""
-    both = _one_row(capped_count(matches, cap), estimate)
-    capped = F.col("n") >= cap
-    return both.select(
-        F.when(~capped, F.col("n")).alias("count"),
-        capped.alias("capped"),
-        F.when(capped, F.col("estimate")).alias("estimate"),
-    )
+def counted(matches: DataFrame, estimate: DataFrame) -> DataFrame:
+    """One row (count, estimate): the exact number of matches next to the
+    estimate. One-row tables are stacked and collapsed, which needs no join."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (full_count(matches), estimate))
+    return both.agg(F.max("n").alias("count"), F.max("estimate").alias("estimate"))
 
 
 def load_totals(processed: DataFrame, inserted: DataFrame, shard: str) -> DataFrame:

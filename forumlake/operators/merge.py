@@ -70,11 +70,12 @@ def add_bucket(items: DataFrame) -> DataFrame:
     return items.withColumn("id_bucket", F.floor(F.col("id") / ID_BUCKET_WIDTH).cast("bigint"))
 
 
-def write_buckets(items: DataFrame, path: str, mode: str) -> None:
+def write_buckets(items: DataFrame, path: str, mode: str, replaces: str = "dynamic") -> None:
     """One folder per id bucket; overfull buckets are cut into several files and
-    ids are sorted inside each, so an id is found by its file's bounds. Bloom
-    filters let the pages of one author skip the row groups without them."""
+    ids are sorted inside each, so an id is found by its file's bounds. An
+    overwrite replaces the buckets at hand (``dynamic``) or the table
+    (``static``). Bloom filters let the pages of one author skip the row groups without them."""
     even = items.hint("rebalance", "id_bucket").sortWithinPartitions("id_bucket", "id")
-    writer = even.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("id_bucket")
+    writer = even.write.mode(mode).option("partitionOverwriteMode", replaces).partitionBy("id_bucket")
     writer.option("parquet.bloom.filter.enabled#by", "true").option("parquet.bloom.filter.expected.ndv#by", "20000").parquet(path)
 

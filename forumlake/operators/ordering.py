@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from forumlake.schema import PAGE_SIZE
+from forumlake.session import stage
 
 
 def newest() -> list[Column]:
@@ -16,19 +17,37 @@ def highest() -> list[Column]:
 
 
 def most_relevant() -> list[Column]:
-    return [F.col("bm25").desc(), F.col("id")]
+    """Scores are sums in no fixed order: equal rows differ in the last digits."""
+    return [F.round("bm25", 9).desc(), F.col("id")]
 
 
 ORDERS = {"date": newest, "score": highest, "relevance": most_relevant}
 
 
+SHALLOW = 10_000  # rows that one task may hold
+
+
 def offset_of(page: int) -> int:
     return (page - 1) * PAGE_SIZE
 
 
 def page_of(df: DataFrame, order: list[Column], page: int, size: int = PAGE_SIZE) -> DataFrame:
-    """One page of ``df``; every task keeps only its best offset + size rows."""
-    return df.orderBy(*order).offset(offset_of(page)).limit(size)
+    """One page of ``df``. For a page near the top every task keeps only its best
+    offset + size rows; further down the rows are sorted by ranges and counted
+    range by range, so no task holds what lies before the page."""
+    offset = offset_of(page)
+    if offset + size <= SHALLOW:
+        return df.orderBy(*order).offset(offset).limit(size)
+    part, place = "_part", "_place"
+    rows = stage(df.orderBy(*order).select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().alias(place)), "ordered")
+    sizes = rows.groupBy(part).agg(F.count("*").alias("n"), F.min(place).alias("first")).orderBy(part).collect()  # one row a range
+    wanted, before = F.lit(False), 0
+    for row in sizes:
+        low, high = max(offset - before, 0), min(offset + size - before, row["n"])
+        if low < high:
+            wanted |= (F.col(part) == row[part]) & F.col(place).between(row["first"] + low, row["first"] + high - 1)
+        before += row["n"]
+    return rows.where(wanted).drop(part, place)
 
 
 def ranked(page_rows: DataFrame, order: list[Column], page: int) -> DataFrame:
@@ -38,8 +57,9 @@ def ranked(page_rows: DataFrame, order: list[Column], page: int) -> DataFrame:
 
 
 def page_flags(df: DataFrame, page: int) -> DataFrame:
-    """Whether there is a page before and after; looks one row past the page."""
-    seen = df.offset(offset_of(page)).limit(PAGE_SIZE + 1).agg(F.count("*").alias("seen"))
+    """Whether there is a page before and after; from the number of rows."""
+    left = F.greatest(F.count("*") - F.lit(offset_of(page)), F.lit(0))
+    seen = df.agg(F.least(left, F.lit(PAGE_SIZE + 1)).cast("bigint").alias("seen"))
     return seen.select(
         F.lit(page).cast("bigint").alias("page"),
         F.least(F.col("seen"), F.lit(PAGE_SIZE)).alias("rows"),

@@ -32,7 +32,7 @@ POSTINGS = "gen int, type string, bucket int, id bigint, live boolean, term stri
 TERM_STATS = "gen int, bucket int, scope string, term string, df bigint"
 CORPUS_STATS = "gen int, scope string, n bigint, total_dl bigint"
 RETIRED = "gen int, id bigint"
-COMMITS = "gen int, config string, buckets int"
+COMMITS = "gen int, config string, buckets int, source string"
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -46,6 +46,7 @@ class SearchIndex:
     config: str
     buckets: int
     generations: tuple[int, ...]
+    sources: tuple[str, ...] = ()
 
     def _read(self, name: str, schema: str) -> DataFrame:
         table = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
@@ -95,7 +96,7 @@ def open_index(spark: SparkSession, path: str) -> SearchIndex:
     rows = spark.read.schema(COMMITS).parquet(f"{path}/commits").collect()  # one row per generation
     if not rows:
         raise ValueError(f"no finished generation in {path}")
-    return SearchIndex(spark, path, rows[0]["config"], rows[0]["buckets"], tuple(sorted(r["gen"] for r in rows)))
+    return SearchIndex(spark, path, rows[0]["config"], rows[0]["buckets"], tuple(sorted(r["gen"] for r in rows)), tuple(sorted(s for r in rows for s in (r["source"] or "").split("\n"))))
 
 
 def buckets_for(size: int) -> int:
@@ -110,15 +111,15 @@ def _write(df: DataFrame, path: str, gen: int, keys: list[str], order: list[str]
     (writer.partitionBy(*keys) if keys else writer).parquet(f"{path}/gen={gen}")
 
 
-def _commit(spark: SparkSession, path: str, gen: int, config: str, buckets: int) -> None:
-    spark.range(1).select(F.lit(gen).alias("gen"), F.lit(config).alias("config"), F.lit(buckets).alias("buckets")).coalesce(1).write.mode(
-        "append"
-    ).parquet(f"{path}/commits")
+def _commit(spark: SparkSession, path: str, gen: int, config: str, buckets: int, source: str = "build", mode: str = "append") -> None:
+    row = spark.range(1).select(F.lit(gen).alias("gen"), F.lit(config).alias("config"), F.lit(buckets).alias("buckets"), F.lit(source).alias("source"))
+    row.coalesce(1).write.mode(mode).parquet(f"{path}/commits")
 
 
 def build_index(items: DataFrame, path: str, size: int, config: str = "english") -> SearchIndex:
     """Writes generation 0: the postings in one shuffle, then the statistics
-    from the written postings. ``size`` is the items' size in bytes."""
+    from the written postings. ``size`` is the items' size in bytes. Over an
+    earlier index it becomes the only committed generation."""
     spark = items.sparkSession
     buckets = buckets_for(size)
     posts = postings(spread(items, size), config).withColumn("bucket", bucket_of(F.col("term"), buckets))
@@ -127,7 +128,7 @@ def build_index(items: DataFrame, path: str, size: int, config: str = "english")
     stats = term_stats(written).withColumn("bucket", bucket_of(F.col("term"), buckets))
     _write(stats, f"{path}/term_stats", 0, ["bucket"], ["term", "scope"])
     _write(corpus_stats(items, written), f"{path}/corpus_stats", 0, [], ["scope"])
-    _commit(spark, path, 0, config, buckets)
+    _commit(spark, path, 0, config, buckets, mode="overwrite")
     return open_index(spark, path)
 
 
@@ -137,13 +138,16 @@ def _difference(new: DataFrame, old: DataFrame, keys: list[str], sums: list[str]
     return summed.filter(" OR ".join(f"{s} <> 0" for s in sums))
 
 
-def add_generation(index: SearchIndex, old: DataFrame, new: DataFrame, gen: int) -> SearchIndex:
+def add_generation(index: SearchIndex, old: DataFrame, new: DataFrame, source: str) -> SearchIndex:
     """Makes changed rows searchable: ``new`` rows replace the ``old`` rows of
-    the same ids. A generation already committed is left alone, so a replayed
-    batch changes nothing."""
+    the same ids. ``source`` names the batch (its stream and number): one that is
+    committed is left alone, so a replayed batch changes nothing. One writer at a
+    time: its generation is the one after the last."""
     spark, path, config, buckets = index.spark, index.path, index.config, index.buckets
-    if gen in open_index(spark, path).generations:
-        return open_index(spark, path)
+    index = open_index(spark, path)
+    if source in index.sources:
+        return index
+    gen = max(index.generations) + 1
     new_posts = postings(new, config).withColumn("bucket", bucket_of(F.col("term"), buckets))
     _write(new_posts, f"{path}/postings", gen, ["type", "bucket"], ["term", "id"])
     written = spark.read.schema(POSTINGS).parquet(f"{path}/postings").filter(F.col("gen") == gen)
@@ -153,7 +157,7 @@ def add_generation(index: SearchIndex, old: DataFrame, new: DataFrame, gen: int)
     _write(terms.withColumn("bucket", bucket_of(F.col("term"), buckets)), f"{path}/term_stats", gen, ["bucket"], ["term", "scope"])
     corpus = _difference(corpus_stats(new, written), corpus_stats(old, old_posts), ["scope"], ["n", "total_dl"])
     _write(corpus, f"{path}/corpus_stats", gen, [], ["scope"])
-    _commit(spark, path, gen, config, buckets)
+    _commit(spark, path, gen, config, buckets, source)
     return open_index(spark, path)
 
 
@@ -163,7 +167,7 @@ def compact(index: SearchIndex, path: str) -> SearchIndex:
     _write(index.postings(), f"{path}/postings", 0, ["type", "bucket"], ["term", "id"])
     _write(index.term_stats(), f"{path}/term_stats", 0, ["bucket"], ["term", "scope"])
     _write(index.corpus_stats(), f"{path}/corpus_stats", 0, [], ["scope"])
-    _commit(spark, path, 0, index.config, index.buckets)
+    _commit(spark, path, 0, index.config, index.buckets, "\n".join(index.sources), "overwrite")
     return open_index(spark, path)
 
 

@@ -45,7 +45,7 @@ def build_edges(items: DataFrame, path: str) -> DataFrame:
     """Writes the edges by bucket of the parent, sorted by parent. A parent with
     very many children is cut into several files by the rebalance."""
     edges = edges_of(items).withColumn("bucket", F.floor(F.col("parent") / ID_BUCKET_WIDTH).cast("bigint"))
-    edges.hint("rebalance", "bucket").sortWithinPartitions("bucket", "parent", "id").write.partitionBy("bucket").parquet(path)
+    edges.hint("rebalance", "bucket").sortWithinPartitions("bucket", "parent", "id").write.mode("overwrite").partitionBy("bucket").parquet(path)
     return read_edges(items.sparkSession, path)
 
 

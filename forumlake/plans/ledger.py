@@ -12,15 +12,28 @@ from forumlake.schema import ITEM_COLUMNS, LEDGER
 
 def plan_shards(spark: SparkSession, start: int, end: int, width: int, ledger: DataFrame | None = None) -> DataFrame:
     """A ledger covering start to end in windows of ``width`` ids. Windows that
-    an earlier ledger holds keep their state."""
-    planned = spark.range(start, end + 1, width).select(
-        F.col("id").alias("start"),
-        F.least(F.col("id") + (width - 1), F.lit(end)).cast("bigint").alias("end"),
-        F.lit(0).cast("bigint").alias("rows"),
-        F.lit(False).alias("fetched"),
-        F.lit(False).alias("loaded"),
-    )
-    return planned if ledger is None else ledger.unionByName(planned.join(ledger, "start", "left_anti"))
+    an earlier ledger holds keep their state; of the others only the ids that no
+    earlier window covers are planned, so every id lies in exactly one."""
+    planned = spark.range(start, end + 1, width).select(F.col("id").alias("start"), F.least(F.col("id") + (width - 1), F.lit(end)).cast("bigint").alias("end"))
+    if ledger is not None:
+        planned = _uncovered(planned, ledger.select("start", "end"), start, end, width)
+    planned = planned.select("start", "end", F.lit(0).cast("bigint").alias("rows"), F.lit(False).alias("fetched"), F.lit(False).alias("loaded"))
+    return planned if ledger is None else ledger.unionByName(planned)
+
+
+def _uncovered(planned: DataFrame, known: DataFrame, start: int, end: int, width: int) -> DataFrame:
+    """The parts of the planned windows that no known one covers. A known window
+    is cut at the planned ones, so each of those sees at most ``width`` pieces."""
+    cell = lambda at: F.floor((at - start) / width)
+    inside = known.select(F.greatest("start", F.lit(start)).alias("s"), F.least("end", F.lit(end)).alias("e")).filter("s <= e")
+    cut = inside.select("s", "e", F.explode(F.sequence(cell(F.col("s")), cell(F.col("e")))).alias("cell"))
+    held = cut.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("held"))
+    cells = planned.withColumn("cell", cell(F.col("start"))).join(held, "cell", "left")
+    held = F.coalesce("held", F.array().cast("array<struct<s:bigint,e:bigint>>"))
+    starts = F.concat(F.array("start"), F.transform(held, lambda x: x["e"] + 1))
+    ends = F.concat(F.transform(held, lambda x: x["s"] - 1), F.array("end"))
+    gaps = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.struct(F.greatest(x["a"], F.col("start")).alias("s"), F.least(x["b"], F.col("end")).alias("e")))
+    return cells.select(F.explode(F.filter(gaps, lambda x: x["s"] <= x["e"])).alias("gap")).select(F.col("gap.s").alias("start"), F.col("gap.e").alias("end"))
 
 
 def pending_fetch(ledger: DataFrame, start: int, end: int) -> DataFrame:
@@ -54,9 +67,12 @@ def missing_ids(ledger: DataFrame, items: DataFrame) -> DataFrame:
     return ids.join(items.select("id"), "id", "left_anti").select("start", "id")
 
 
-def mark_fetched(ledger: DataFrame, shards: DataFrame) -> DataFrame:
-    """Shards present in ``shards`` (with their rows counted) are fetched."""
+def mark_fetched(ledger: DataFrame, shards: DataFrame, written: DataFrame | None = None) -> DataFrame:
+    """Shards present in ``shards`` (with their rows counted) are fetched, and so
+    are those whose ``start`` is in ``written``: a window may hold no row."""
     counted = shards.groupBy(F.col("shard_start").alias("start")).agg(F.count("*").alias("_n"))
+    if written is not None:
+        counted = counted.unionByName(written.select("start", F.lit(0).cast("bigint").alias("_n"))).groupBy("start").agg(F.sum("_n").alias("_n"))
     joined = ledger.join(counted, "start", "left")
     return joined.select(
         "start",

@@ -72,27 +72,24 @@ def order_keys(f: SearchFilters) -> tuple[str, ...]:
     return {"date": ("time",), "score": ("score", "time")}[f.order]
 
 
-def page_ids(lake: Lake, f: SearchFilters, as_of: datetime, candidate_cap: int | None = None) -> DataFrame:
-    """All matches with their sort keys, not yet ordered. ``candidate_cap``
-    keeps that many of the most relevant before another order is applied."""
+def page_ids(lake: Lake, f: SearchFilters, as_of: datetime) -> DataFrame:
+    """All matches with their sort keys, not yet ordered."""
     if f.is_full_text:
         found = matches(lake, f, as_of)
         if f.order == "relevance":
             return found
-        if candidate_cap is not None:
-            found = found.orderBy(*ordering.most_relevant()).limit(candidate_cap)
         return lake.items.select("id", *order_keys(f)).join(found.select("id"), "id")
     return lake.items.filter(build_filter(f, as_of)).select("id", *order_keys(f))
 
 
-def search(lake: Lake, f: SearchFilters, as_of: datetime, candidate_cap: int | None = None) -> DataFrame:
+def search(lake: Lake, f: SearchFilters, as_of: datetime) -> DataFrame:
     """One page of results, numbered in ``rank``; relevance pages carry ``bm25``."""
     order = ordering.ORDERS[f.order]()
     if not f.is_full_text and not f.with_snippet:
         # No text to fetch late: the page comes out of one narrow pass.
         rows = ordering.page_of(hit_columns(lake.items.filter(build_filter(f, as_of)), False), order, f.page)
         return ordering.ranked(rows, order, f.page).orderBy("rank")
-    rows = ordering.page_of(page_ids(lake, f, as_of, candidate_cap), order, f.page)
+    rows = ordering.page_of(page_ids(lake, f, as_of), order, f.page)
     extra = ("bm25",) if f.order == "relevance" else ()
     return fetch(lake.items, rows, f.with_snippet, order, f.page, *extra)
 

@@ -30,11 +30,18 @@ class Window:
 
 
 def latest_window(cursor: Column, head: Column, batch: Column) -> tuple[Column, Column]:
-    """(start, end): the ids new since the cursor and a refresh of the newest
-    ones, at most ``batch``, ending at the head. Works on a table of cursors."""
+    """(start, end), at most ``batch`` ids. Works on a table of cursors.
+
+    Near the head: the ids new since the cursor and a refresh of the newest ones,
+    ending at the head. Further behind, the next ``batch`` ids after the cursor,
+    so that no id is passed over; later runs catch up. Without a cursor, the
+    newest ``batch`` ids.
+    """
+    behind = (cursor > 0) & (head - cursor > batch)
     fresh = F.least(cursor + 1, head - REFRESH_WINDOW + 1)
     wanted = F.when(cursor > 0, fresh).otherwise(head - batch + 1)
-    return F.greatest(F.lit(1), wanted, head - batch + 1), head
+    start = F.when(behind, cursor + 1).otherwise(F.greatest(F.lit(1), wanted, head - batch + 1))
+    return start, F.when(behind, cursor + batch).otherwise(head)
 
 
 def backfill_window(cursor: Column, max_id: Column, head: Column, batch: Column) -> tuple[Column, Column]:
@@ -46,15 +53,11 @@ def backfill_window(cursor: Column, max_id: Column, head: Column, batch: Column)
 
 def resolve_window(spark: SparkSession, mode: str, cursor: int, max_id: int, head: int, batch: int = SYNC_BATCH, first: int | None = None) -> Window:
     """One run's window; ``first`` overrides its start."""
+    if first is not None:
+        start = max(1, first)
+        return Window(start, min(start + batch - 1, head))
     numbers = [F.lit(n).cast("bigint") for n in (cursor, max_id, head, batch)]
-    if mode == "backfill":
-        start, end = backfill_window(*numbers)
-        if first is not None:
-            start, end = F.lit(first), F.least(F.lit(first + batch - 1), F.lit(head))
-    else:
-        start, end = latest_window(numbers[0], numbers[2], numbers[3])
-        if first is not None:
-            start = F.greatest(F.lit(1), F.lit(first), F.lit(head - batch + 1))
+    start, end = backfill_window(*numbers) if mode == "backfill" else latest_window(numbers[0], numbers[2], numbers[3])
     row = spark.range(1).select(start.alias("start"), end.alias("end")).first()
     return Window(row["start"], row["end"])
 
@@ -139,41 +142,45 @@ def run_sync(
     lists: DataFrame | None = None,
     group: int = SYNC_GROUP,
     out_of_time: Callable[[], bool] = lambda: False,
+    first: int | None = None,
 ) -> SyncResult:
     """One bounded run on the stored items: group after group is merged until
     the window is done or the time is up, and the next run goes on from there.
 
     A backfill moves its cursor with every group. The groups of a ``latest`` run
     start at the newest end, after the ranked lists, so its cursor moves to the
-    head only when all of them are merged: no id is passed over.
+    window's end only when all of them are merged: no id is passed over. Ids of
+    the ranked lists are not asked for again with their group. The feed is read
+    once a run.
     """
     if mode not in MODES:
         raise ValueError(f"unknown sync mode {mode!r}")
     cursor = get_cursor(spark, cursors_path, mode)
     max_id = read_items(spark, items_path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if mode == "backfill" and not cursor else 0
-    window = resolve_window(spark, mode, cursor, max_id, head, batch)
+    window = resolve_window(spark, mode, cursor, max_id, head, batch, first)
     if window.is_empty:
         return SyncResult(mode, head, None, 0, 0, cursor if mode == "backfill" else head)
     groups = groups_of(window, group)
-    wanted = [spark.range(g.start, g.end + 1) for g in groups]
+    wanted = wanted_ids(spark, mode, window, lists, head)
+    found = stage(latest_versions(feed.join(wanted.select("id"), "id", "left_semi")).join(wanted, "id"), "fetched")
+    parts = [(F.col("priority") == 1) & F.col("id").between(g.start, g.end) for g in groups]
     if mode == "latest":
-        listed = [] if lists is None else [story_list_ids(lists, head)]
-        wanted = listed + wanted[::-1]
+        parts = [F.col("priority") == 0, *parts[::-1]]
     fetched = upserted = 0
-    for n, ids in enumerate(wanted):
+    for n, part in enumerate(parts):
         if out_of_time():
             return SyncResult(mode, head, window, fetched, upserted, cursor, True)
-        found = stage(feed.join(ids, "id", "left_semi"), "fetched")
-        changes = stage(clean_feed(latest_versions(found)), "changes")
-        fetched += found.select("id").distinct().count()
-        here = changes.count()
-        if here:
+        here = found.where(part).drop("priority")
+        changes = stage(clean_feed(here), "changes")
+        fetched += here.count()
+        merged = changes.count()
+        if merged:
             merge_into(items_path, changes)
-        upserted += here
+        upserted += merged
         if mode == "backfill":
             cursor = groups[n].end
             set_cursor(spark, cursors_path, mode, cursor, upserted, datetime.now(timezone.utc))
     if mode == "latest":
-        cursor = head
+        cursor = window.end
         set_cursor(spark, cursors_path, mode, cursor, upserted, datetime.now(timezone.utc))
     return SyncResult(mode, head, window, fetched, upserted, cursor)

@@ -12,11 +12,9 @@ SINCE = ("24h", "week", "month", "year", "all")
 SORTS = ("relevance", "date", "score")
 PAGE_SIZE = 30
 TYPEAHEAD_SIZE = 8
-COUNT_CAP = 1_000
-CANDIDATE_CAP = 65_535
 REFRESH_WINDOW = 2_000
 SYNC_BATCH = 10_000
-SYNC_GROUP = 1_000
+SYNC_GROUP = SYNC_BATCH
 
 ID_BUCKET_WIDTH = 1_000_000
 

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import csv
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from forumlake.schema import ITEM_COLUMNS
-from forumlake.session import stage
 
 # Quotes are doubled inside quotes. A bare empty field is NULL and a quoted one
 # '', which the reader tells apart only if the marker of NULL is not empty.
@@ -21,78 +18,19 @@ WRITE_OPTIONS = {
     "ignoreTrailingWhiteSpace": "false",
 }
 BOM = "\ufeff"
-WHOLE_FILE_BYTES = 512 * 2**20
 
 
-def read_dump(spark: SparkSession, path: str | list[str], limit: int | None = None, splittable: bool | None = None) -> DataFrame:
+def read_dump(spark: SparkSession, path: str | list[str], limit: int | None = None) -> DataFrame:
     """The 15 item columns of dump files with a header line, all as text.
 
     Short rows end in NULLs, surplus fields are dropped, blank lines skipped,
-    columns missing from the header are NULL. Fields may hold line breaks.
-
-    Files of up to ``WHOLE_FILE_BYTES`` are read by one task each, which accepts
-    stray quotes. Larger ones are split (see ``split_records``); their quotes
-    must be balanced, or ``splittable=False`` must be asked for.
+    columns missing from the header are NULL. Fields may hold line breaks, and
+    bare fields may hold quotes; so a file is read by one task, whatever its
+    size, and a large dump should come as many files.
     """
-    if splittable is None:
-        splittable = _largest(spark, path) > WHOLE_FILE_BYTES
-    rows = _read_split(spark, path) if splittable else _read_whole(spark, path)
-    return rows if limit is None else rows.limit(limit)
-
-
-def _read_whole(spark: SparkSession, path: str | list[str]) -> DataFrame:
     raw = spark.read.options(**CSV_OPTIONS).option("header", "true").option("multiLine", "true").csv(path)
-    return _item_columns(raw, dict(zip(_names(raw.columns), raw.columns)))
-
-
-def _read_split(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    header = spark.read.option("lineSep", "\n").text(path).first()["value"].rstrip("\r")
-    names = _names(next(csv.reader([header])))
-    record = F.regexp_replace("record", "\r$", "")
-    records = split_records(spark, path).select(record.alias("record")).filter((F.col("record") != header) & (F.trim("record") != ""))
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    raw = records.select(F.from_csv("record", schema, CSV_OPTIONS).alias("r")).select("r.*")
-    return _item_columns(raw, {name: f"c{i}" for i, name in enumerate(names)})
-
-
-def split_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(record): the records of CSV files, whose lines are read in splits.
-
-    A line starts a record if the quotes before it in its file are even. They
-    are counted per split, summed up over the splits of the file, and then line
-    by line inside each split, so no task sees more than a split; lines of one
-    record are put together at the end, also across splits.
-    """
-    text = F.col("value")
-    lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
-        text,
-        (F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))).alias("quotes"),
-    )
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counted = stage(lines.groupBy("file", "block").agg(F.sum("quotes").alias("quotes")), "quotes")
-    uneven = counted.groupBy("file").agg(F.sum("quotes").alias("n")).filter("n % 2 = 1").limit(3).collect()
-    if uneven:
-        raise ValueError(f"unbalanced quotes, read with splittable=False: {[row['file'] for row in uneven]}")
-    before = counted.select("file", "block", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)).alias("before"))
-
-    inside = Window.partitionBy("file", "block").orderBy("at")
-    lines = lines.join(before, ["file", "block"]).withColumns(
-        {
-            "line": F.row_number().over(inside),
-            "open": F.col("before") + F.coalesce(F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        }
-    )
-    starts = F.when(F.col("open") % 2 == 0, F.struct("block", "line"))
-    lines = lines.select("file", "block", "line", "value", F.last(starts, ignorenulls=True).over(inside).alias("first"))
-    # Lines at the head of a split may go on with a record of an earlier one.
-    lasts = lines.groupBy("file", "block").agg(F.max("first").alias("last"))
-    carried = lasts.select("file", "block", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
-    lines = lines.join(carried, ["file", "block"]).withColumn("first", F.coalesce("first", "carried"))
-    grouped = lines.groupBy("file", "first").agg(F.sort_array(F.collect_list(F.struct("block", "line", "value"))).alias("lines"))
-    return grouped.select(F.array_join(F.col("lines.value"), "\n").alias("record"))
+    rows = _item_columns(raw, dict(zip(_names(raw.columns), raw.columns)))
+    return rows if limit is None else rows.limit(limit)
 
 
 def _names(header: list[str]) -> list[str]:
@@ -108,8 +46,3 @@ def _item_columns(raw: DataFrame, names: dict[str, str]) -> DataFrame:
         return F.col(f"`{names[name]}`") if name in names else F.lit(None).cast("string")
 
     return raw.select([column(name).alias(name) for name in ITEM_COLUMNS])
-
-
-def _largest(spark: SparkSession, path: str | list[str]) -> int:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]

@@ -14,7 +14,8 @@ _STORED = T.StructType([*ITEMS.fields, T.StructField("id_bucket", T.LongType())]
 
 
 def write_items(df: DataFrame, path: str) -> None:
-    write_buckets(add_bucket(df), path, "overwrite")
+    """Replaces the whole table."""
+    write_buckets(add_bucket(df), path, "overwrite", "static")
 
 
 def read_items(spark: SparkSession, path: str, with_bucket: bool = False) -> DataFrame:

@@ -16,12 +16,12 @@ from forumlake.sources.feed import read_feed
 from forumlake.sources.items import read_items
 
 
-def apply_batch(items_path: str, index_path: str | None = None, rejected_path: str | None = None) -> Callable[[DataFrame, int], None]:
+def apply_batch(items_path: str, index_path: str | None = None, rejected_path: str | None = None, stream: str = "feed") -> Callable[[DataFrame, int], None]:
     """The work of one micro-batch.
 
     The index generation is derived from the rows before the change, so it is
-    committed first, under the batch's number; then the items are merged, which
-    may be repeated freely. A batch replayed after a crash finds its generation
+    committed first, under the stream's name and the batch's number; then the
+    items are merged, which may be repeated freely. A batch replayed after a crash finds its generation
     committed and only repeats the merge.
     """
 
@@ -34,7 +34,7 @@ def apply_batch(items_path: str, index_path: str | None = None, rejected_path: s
         if changes.isEmpty():
             return
         if index_path is not None:
-            add_generation(open_index(spark, index_path), rows_before(spark, items_path, changes), changes, batch_id + 1)
+            add_generation(open_index(spark, index_path), rows_before(spark, items_path, changes), changes, f"{stream}#{batch_id}")
         merge_into(items_path, changes)
 
     return apply
@@ -56,8 +56,9 @@ def sync_stream(
     files_per_trigger: int | None = None,
 ) -> StreamingQuery:
     """Works off all files present, in batches of ``files_per_trigger``, and
-    stops. Started again it goes on with the files that are new since."""
+    stops. Started again it goes on with the files that are new since. A stream
+    is known to the index by its checkpoint."""
     feed = read_feed(spark, feed_path, streaming=True, files_per_trigger=files_per_trigger)
-    writer = feed.writeStream.foreachBatch(apply_batch(items_path, index_path, rejected_path))
+    writer = feed.writeStream.foreachBatch(apply_batch(items_path, index_path, rejected_path, checkpoint))
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -108,7 +108,7 @@ def test_crash_between_index_and_items_is_repaired(spark, tmp_path):
     put(tmp_path / "feed", "a.json", {"id": 3, "type": "comment", "text": "white wine"})
     batch = read_feed(spark, str(tmp_path / "feed"))
     changes = clean_feed(latest_versions(batch)).select(*ITEM_COLUMNS)
-    add_generation(open_index(spark, index), rows_before(spark, items, changes), changes, 1)  # and then the run dies
+    add_generation(open_index(spark, index), rows_before(spark, items, changes), changes, "feed#0")  # and then the run dies
     apply_batch(items, index)(batch, 0)
     assert index_content(open_index(spark, index)) == rebuilt(read_items(spark, items), "simple")
     assert read_items(spark, items).filter("id = 3").select(F.col("text")).first()[0] == "white wine"
