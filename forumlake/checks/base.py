@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 AS_OF = datetime(2024, 1, 9)
 AS_OF_SQL = "TIMESTAMP '2024-01-09 00:00:00'"
@@ -128,6 +128,11 @@ SELECT {HIT_SQL}, {SNIPPET_SQL if snippet else NO_SNIPPET_SQL}, {extra}
 FROM (SELECT * FROM {source} ORDER BY {order} LIMIT {size} OFFSET {offset}) ORDER BY rank"""
 
 
+def in_places(df: DataFrame, name: str = "place") -> DataFrame:
+    """Numbers the rows of a sorted table as they come, so that its order is compared too."""
+    return df.withColumn(name, F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("bigint"))
+
+
 def as_hits(df: DataFrame) -> DataFrame:
     """Result columns under the names the SQL uses."""
     return df.withColumnRenamed("by", "author")

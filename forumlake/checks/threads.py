@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forumlake.checks.base import ITEMS, check
+from forumlake.checks.base import ITEMS, check, in_places
+from forumlake.checks.browse import _stripped as stripped
 from forumlake.corpus import items_view
 from forumlake.operators import threads
 from forumlake.plans.lake import lake_of
@@ -38,12 +39,13 @@ def _thread_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @check(
     "thread_display",
-    f"""{_ONE} SELECT i.id, i.parent, CAST(d.depth AS BIGINT) AS depth, coalesce(nullif(i."by", ''), 'deleted') AS author,
-  i.deleted AS hidden FROM down d JOIN items i USING (id)""",
+    f"""{_ONE}, shown AS (SELECT i.*, d.depth, d.path FROM down d JOIN items i USING (id)), {stripped("shown", "text")}
+SELECT id, parent, CAST(depth AS BIGINT) AS depth, coalesce(nullif("by", ''), 'deleted') AS author,
+  CASE WHEN deleted THEN '[deleted]' ELSE coalesce(body, '') END AS body, row_number() OVER (ORDER BY path) AS position FROM stripped""",
 )
 def _thread_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = threads.display_thread(_thread(spark, sf_dir, with_path=False))
-    return rows.select("id", "parent", "depth", "author", (F.col("body") == "[deleted]").alias("hidden"))
+    rows = threads.display_thread(threads.in_order(_thread(spark, sf_dir)))
+    return in_places(rows, "position")
 
 
 @check("thread_all", f"{_ALL} SELECT id, root, CAST(depth AS BIGINT) AS depth FROM down")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from forumlake.checks.base import AS_OF, ITEMS, as_hits, check
+from forumlake.checks.base import AS_OF, ITEMS, as_hits, check, in_places
 from forumlake.corpus import items_view, table
 from forumlake.operators import clean, counts, merge
 from forumlake.plans import ledger, sync
@@ -180,11 +180,11 @@ def _story_list_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     "sync_order",
     f"""{_LISTED}, wanted AS (SELECT 0 AS priority, id FROM listed UNION ALL
   SELECT 1, r.id FROM generate_series(2001, 4000) r(id) WHERE r.id NOT IN (SELECT id FROM listed))
-SELECT priority, id FROM wanted""",
+SELECT priority, id, row_number() OVER (ORDER BY priority, id DESC) AS place FROM wanted""",
 )
 def _sync_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = sync.wanted_ids(spark, "latest", sync.Window(2_001, 4_000), _lists(spark, sf_dir), 4_000)
-    return sync.in_sync_order(wanted, "latest")
+    return in_places(sync.in_sync_order(wanted, "latest"))
 
 
 # Ledger over the ids of the items.
@@ -248,7 +248,7 @@ def _shard_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = items_view(spark, sf_dir).select("id", F.floor(F.col("id") / 1_000).alias("cell"))
     rows = cells.join(ids, "cell").filter("id BETWEEN start AND end").select(F.col("start").alias("shard_start"), "id")
     pending = ledger.pending_load(ledger.mark_fetched(plan, rows, plan.select("start")))
-    return pending.select("start", "end", "rows", (F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))).cast("bigint").alias("place"))
+    return in_places(pending.select("start", "end", "rows"))
 
 
 # Rules.
