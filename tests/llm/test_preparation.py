@@ -38,7 +38,7 @@ def test_marginals_meet_their_targets(spark):
     for name, wish in shares.items():
         for value, share in wish.items():
             mass = sum(r["__tokens"] * r["__weight"] for r in got if r[f"__{name}"] == value)
-            assert mass == pytest.approx(share * total, rel=1e-3)
+            assert mass == pytest.approx(share * total, rel=0.01)
     # Where the probability is cut at one, the sample weight makes up for it.
     assert all(r["__probability"] * r["__sample_weight"] == pytest.approx(0.3 * r["__weight"]) for r in got)
     expected = sum(r["__probability"] for r in got)
@@ -150,23 +150,24 @@ def test_packing_in_many_groups(spark, monkeypatch, sf_dir):
     check_pieces([tuple(r) for r in docs.collect()], packing.packed(docs, TOKENIZER).collect())
 
 
-def test_costs_are_balanced():
+def test_pieces_go_to_the_cheapest_sequence_with_room():
     rng = np.random.default_rng(4)
     sizes = rng.integers(1, 2048, 1000)
-    pieces = packing.assign(sizes, 2048)
-    cost = Counter()
-    for _, _, size, at, _ in pieces:
+    limits = packing.capacities(int(sizes.sum()), 2048)
+    room, cost, left = list(limits), [0.0] * len(limits), dict(enumerate(sizes.tolist()))
+    order = []
+    for item, start, size, at, offset in packing.assign(sizes, 2048):
+        fits = [k for k, r in enumerate(room) if r >= left[item]]
+        open_ = fits or [k for k, r in enumerate(room) if r]
+        assert cost[at] == min(cost[k] for k in open_) and size == min(left[item], room[at])
+        assert offset == limits[at] - room[at] and start == sizes[item] - left[item]
         cost[at] += packing.LINEAR * size + packing.QUADRATIC * size * size
-    full = [cost[k] for k in range(int(sizes.sum()) // 2048)]
-    naive, at, left = Counter(), 0, 2048  # the rows one after the other
-    for size in sizes.tolist():
-        while size:
-            part = min(size, left)
-            naive[at] += packing.LINEAR * part + packing.QUADRATIC * part * part
-            size, left = size - part, left - part
-            if not left:
-                at, left = at + 1, 2048
-    assert np.std(full) < np.std(list(naive.values())[:-1])
+        room[at] -= size
+        left[item] -= size
+        order.append(item)
+    assert not any(room) and not any(left.values())
+    firsts = [sizes[i] for i in dict.fromkeys(order)]
+    assert firsts == sorted(firsts, reverse=True)
 
 
 def test_a_known_word_table_that_overflows(monkeypatch):
