@@ -256,22 +256,3 @@ def _match_count_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @check("match_count_word", f"{WITH} SELECT count(*) AS count, count(*) AS estimate FROM live WHERE type = 'comment' AND {has('the')}")
 def _match_count_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.match_count(_lake(spark, sf_dir), SearchFilters(q="the", type="comment"), AS_OF)
-
-
-# The English analyzer: stems have no SQL, so these are tested against brute force.
-
-
-@check("english_search")
-def _english_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = SearchFilters(q='reading "stone hand" or thing -other', type="all")
-    return as_hits(search(_lake(spark, sf_dir, "english"), f, AS_OF))
-
-
-@check("english_term_stats")
-def _english_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lake(spark, sf_dir, "english").index.term_stats().select("scope", "term", "df")
-
-
-@check("english_batch_search")
-def _english_batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch.batch_search(_lake(spark, sf_dir, "english"), _any_of(spark, sf_dir), 10)

@@ -204,3 +204,21 @@ def test_stored_lake_gives_the_same_pages(spark, english):
     for f in (SearchFilters(q=word, type="comment"), SearchFilters(q=word, type="all", sort="date"), SearchFilters(type="job")):
         ours, theirs = search(lake, f, AS_OF).collect(), search(stored, f, AS_OF).collect()
         assert [r["id"] for r in ours] == [r["id"] for r in theirs] and ours
+
+
+def test_stems_in_sql(spark):
+    """The SQL of the checks, written from the rules apart from ``stem``, over regular and made-up forms."""
+    import random
+
+    import duckdb
+
+    from forumlake.checks.english import stems_sql
+
+    rng = random.Random(5)
+    bases = "run national hop agree sky die general commun arsenal happy gentle logic biolog ugli able formal sensat adjust adopt bowl control roll yyy ayy enjoy say".split()
+    ends = "s es ied ies ed ing ingly eed eedly edly y ly ational tional izer ation ator alism iveness fulness ousness iviti biliti ogi lessli alize icate ical ful ness ative ement ion e ll".split()
+    words = {b + e for b in bases for e in ends} | {"".join(rng.choice("aeiouybtlsnd") for _ in range(rng.randrange(1, 9))) + rng.choice(ends) for _ in range(3000)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE vocabulary AS SELECT unnest(?) AS word", [sorted(words | STOP_WORDS)])
+    got = dict(con.execute(f"WITH {stems_sql('vocabulary')} SELECT word, stem FROM stems").fetchall())
+    assert got == {w: None if w in STOP_WORDS else stem(w) for w in words | STOP_WORDS}
