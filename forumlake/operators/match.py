@@ -127,25 +127,26 @@ def matched(query: Query, present: dict[str, Column], positions: dict[str, Colum
     return reduce(or_, [reduce(and_, [clause(c) for c in g]) for g in query.groups])
 
 
-def match(posts: DataFrame, query: Query, score: Column | None = None, all_rows: DataFrame | None = None) -> DataFrame:
-    """Ids matching one query, with their summed ``bm25``.
+def match(posts: DataFrame, query: Query, score: Column | None = None, all_rows: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Ids matching one query, with their summed ``bm25`` and the row's ``keys``.
 
     ``posts`` holds the postings of the query's terms only. One shuffle on id
     brings the terms of a row together; a frequent term is spread over all
-    tasks by it. ``all_rows`` (ids) is read only when a group has nothing but
+    tasks by it. ``all_rows`` (ids and keys) is read only when a group has nothing but
     exclusions.
     """
     aggs = [F.sum(F.lit(0.0) if score is None else score).alias("bm25")]
     aggs += [F.bool_or(F.col("term") == t).alias(f"has_{i}") for i, t in enumerate(query.terms)]
     aggs += [F.any_value(F.when(F.col("term") == t, F.col("positions")), F.lit(True)).alias(f"at_{i}") for i, t in enumerate(query.phrase_terms)]
+    aggs += [F.max(key).alias(key) for key in keys]
     rows = posts.groupBy("id").agg(*aggs)
     if query.needs_all_rows:
         if all_rows is None:
             raise ValueError("a query of exclusions alone needs the table of all rows")
-        rows = all_rows.select("id").join(rows, "id", "left")
+        rows = all_rows.select("id", *keys).join(rows.drop(*keys), "id", "left")
     present = {t: F.coalesce(F.col(f"has_{i}"), F.lit(False)) for i, t in enumerate(query.terms)}
     positions = {t: F.col(f"at_{i}") for i, t in enumerate(query.phrase_terms)}
-    return rows.filter(matched(query, present, positions)).select("id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
+    return rows.filter(matched(query, present, positions)).select("id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), *keys)
 
 
 def mark_clauses(clauses: DataFrame) -> DataFrame:

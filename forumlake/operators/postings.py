@@ -8,10 +8,14 @@ from forumlake.functions.text import search_document, terms, words
 from forumlake.schema import RANKED_TYPES
 
 SCOPES = ("all", *RANKED_TYPES)
+ROW = ("id", "type", "live", "time", "score")
 
 
 def postings(items: DataFrame, config: str = "english") -> DataFrame:
-    """One row per (id, term): id, type, live, term, tf, dl, positions.
+    """One row per (id, term): id, type, live, time, score, term, tf, dl, positions.
+
+    The sort keys of the other orders lie next to the words, so pages by date or
+    score need no join.
 
     Each row's words are sorted and cut into runs inside the row, so a text of
     any length yields its postings without a shuffle.
@@ -20,19 +24,19 @@ def postings(items: DataFrame, config: str = "english") -> DataFrame:
         "id",
         "type",
         (~F.col("deleted") & ~F.col("dead")).alias("live"),
+        F.col("time").cast("timestamp").alias("time"),
+        "score",
         terms(words(search_document()), config).alias("terms"),
     )
     placed = F.transform("terms", lambda term, at: F.struct(term.alias("term"), at.alias("at")))
-    docs = docs.select("id", "type", "live", F.sort_array(F.filter(placed, lambda x: x["term"].isNotNull())).alias("placed"))
+    docs = docs.select(*ROW, F.sort_array(F.filter(placed, lambda x: x["term"].isNotNull())).alias("placed"))
 
     def starts_run(x, at):
         before = F.get(F.col("placed"), at - 1)["term"]
         return F.when((at == 0) | (x["term"] != before), at)
 
     docs = docs.select(
-        "id",
-        "type",
-        "live",
+        *ROW,
         "placed",
         F.size("placed").alias("dl"),
         F.col("placed.at").alias("ats"),
@@ -46,8 +50,8 @@ def postings(items: DataFrame, config: str = "english") -> DataFrame:
             F.slice("ats", start + 1, end - start).alias("positions"),
         )
 
-    rows = docs.select("id", "type", "live", "dl", F.explode(F.transform("runs", run)).alias("run"))
-    return rows.select("id", "type", "live", "run.term", F.size("run.positions").alias("tf"), "dl", "run.positions")
+    rows = docs.select(*ROW, "dl", F.explode(F.transform("runs", run)).alias("run"))
+    return rows.select(*ROW, "run.term", F.size("run.positions").alias("tf"), "dl", "run.positions")
 
 
 def in_scope(scope: str) -> Column:

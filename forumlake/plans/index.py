@@ -2,7 +2,7 @@
 
 Layout under one folder::
 
-    postings/    gen=/type=/bucket=   id, live, term, tf, dl, positions; sorted by term
+    postings/    gen=/type=/bucket=   id, live, time, score, term, tf, dl, positions; sorted by term
     term_stats/  gen=/bucket=         scope, term, df
     corpus_stats/gen=                 scope, n, total_dl
     retired/     gen=                 ids whose rows in earlier generations are void
@@ -28,7 +28,7 @@ from forumlake.session import spread, stage
 BYTES_PER_BUCKET = 256 * 2**20
 MIN_BUCKETS, MAX_BUCKETS = 8, 4096
 
-POSTINGS = "gen int, type string, bucket int, id bigint, live boolean, term string, tf int, dl int, positions array<int>"
+POSTINGS = "gen int, type string, bucket int, id bigint, live boolean, time timestamp, score int, term string, tf int, dl int, positions array<int>"
 TERM_STATS = "gen int, bucket int, scope string, term string, df bigint"
 CORPUS_STATS = "gen int, scope string, n bigint, total_dl bigint"
 RETIRED = "gen int, id bigint"

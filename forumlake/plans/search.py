@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from forumlake.functions.requests import SearchFilters, scope_of
 from forumlake.operators import ordering
-from forumlake.operators.filters import build_filter, by_author, has_prefix, is_live, live, of_type
+from forumlake.operators.filters import build_filter, by_author, has_prefix, is_live, live, of_type, since
 from forumlake.operators.joins import BROADCAST_ROWS, rows_of
 from forumlake.operators.match import Query, analyse_query, match
 from forumlake.operators.projections import hit_columns
@@ -38,26 +38,33 @@ def query_postings(index: SearchIndex, query: Query, counts: TermCounts, type_:
     return posts.join(F.broadcast(holding), "id", "left_semi")
 
 
-def text_matches(lake: Lake, query: Query, type_: str) -> DataFrame:
-    """(id, bm25) of the live rows of a type that match an analysed query."""
+def text_matches(lake: Lake, query: Query, type_: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(id, bm25) of the live rows of a type that match an analysed query, with
+    the sort keys asked for."""
+    items = lake.items.withColumn("time", F.col("time").cast("timestamp"))
     if not query.groups:
-        return lake.items.select("id", F.lit(0.0).alias("bm25")).limit(0)
+        return items.select("id", F.lit(0.0).alias("bm25"), *keys).limit(0)
     all_rows = None
     if query.needs_all_rows:
-        all_rows = lake.items.filter(is_live() & of_type(type_)).select("id")
+        all_rows = items.filter(is_live() & of_type(type_)).select("id", *keys)
     counts = lake.index.counts(query.terms, scope_of(type_))
-    return match(query_postings(lake.index, query, counts, type_), query, counts.score(query.ranking_terms), all_rows)
+    return match(query_postings(lake.index, query, counts, type_), query, counts.score(query.ranking_terms), all_rows, keys)
 
 
-def matches(lake: Lake, f: SearchFilters, as_of: datetime) -> DataFrame:
-    """Every match of a search: (id, bm25) for full text, id alone otherwise."""
+def matches(lake: Lake, f: SearchFilters, as_of: datetime, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Every match of a search: (id, bm25) for full text, id alone otherwise,
+    and the sort keys asked for. Only an author is looked up in the items."""
     if not f.is_full_text:
-        return lake.items.filter(build_filter(f, as_of)).select("id")
-    found = text_matches(lake, analyse_query(lake.spark, f.text, lake.index.config), f.type)
-    if f.by or f.since != "all":
+        return lake.items.filter(build_filter(f, as_of)).select("id", *keys)
+    aged = f.since != "all"
+    held = tuple(dict.fromkeys((*keys, "time"))) if aged else keys
+    found = text_matches(lake, analyse_query(lake.spark, f.text, lake.index.config), f.type, held)
+    if aged:
+        found = found.filter(since(f.since, as_of))
+    if f.by:
         kept = lake.items.filter(build_filter(f, as_of)).select("id")
         found = found.join(kept, "id", "left_semi")
-    return found
+    return found.select("id", "bm25", *keys)
 
 
 def fetch(items: DataFrame, page_rows: DataFrame, with_snippet: bool, order: list[Column], page: int, *extra: str) -> DataFrame:
@@ -75,10 +82,7 @@ def order_keys(f: SearchFilters) -> tuple[str, ...]:
 def page_ids(lake: Lake, f: SearchFilters, as_of: datetime) -> DataFrame:
     """All matches with their sort keys, not yet ordered."""
     if f.is_full_text:
-        found = matches(lake, f, as_of)
-        if f.order == "relevance":
-            return found
-        return lake.items.select("id", *order_keys(f)).join(found.select("id"), "id")
+        return matches(lake, f, as_of, () if f.order == "relevance" else order_keys(f))
     return lake.items.filter(build_filter(f, as_of)).select("id", *order_keys(f))
 
 

@@ -5,9 +5,10 @@ from datetime import datetime
 import pytest
 
 import __spark_entry__ as entry
+from forumlake.checks.base import CHECKS
 from forumlake.functions.requests import SAVED_SEARCHES, SearchFilters
 from forumlake.plans.lake import lake_of
-from forumlake.plans.search import search
+from forumlake.plans.search import page_ids, search
 from forumlake.session import work_dir
 
 AS_OF = datetime(2024, 1, 11)
@@ -17,7 +18,15 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_pages_by_date_need_no_items(spark, sf_dir):
+    """Sort keys and ages come from the postings; items are read for the page alone."""
+    lake = lake_of(spark, sf_dir, "simple")
+    for f in (SearchFilters(q="the and", type="comment", sort="date"), SearchFilters(q="the and", type="comment", sort="score", since="year")):
+        scans = [line for line in plan(page_ids(lake, f, AS_OF)).splitlines() if "FileScan" in line]
+        assert len(scans) == 1 and "tf:int" in scans[0]
+
+
+@pytest.mark.parametrize("name", sorted(CHECKS))
 def test_no_cross_joins(spark, sf_dir, name):
     text = plan(entry.queries()[name](spark, sf_dir))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
