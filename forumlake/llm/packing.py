@@ -60,40 +60,35 @@ class WordIds:
             for word, found in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)):
                 self.known[word] = np.asarray(found.ids, self.width).tobytes()
 
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.known) > KNOWN_WORDS:
-            self.known, self.old = {}, self.known
+    def learn(self, words: set[bytes]) -> None:
+        """Ids of words that are not among the known ones."""
         known, old = self.known, self.old
-        missing = []
-        for word in set(words):
-            if word in known:
-                continue
-            if word in old:
-                known[word] = old[word]
-            else:
-                missing.append(word)
+        missing = words.difference(old)
+        for word in words - missing:
+            known[word] = old[word]
         # Marks behind a letter or digit are tokens of their own: the word before them may be known.
         parts = {}
         for word in missing:
             body = word.rstrip(_TAIL)
             if len(body) < len(word) and body and body[-1] < 128 and body[-1:].isalnum():
                 parts[word] = (body, word[len(body) :])
-        needed = set(missing) - parts.keys()
+        needed = missing.difference(parts)
         needed.update(x for pair in parts.values() for x in pair)
-        for word in needed:
-            if word in old:
-                known[word] = old[word]
-        self.encode([word for word in needed if word not in known])
+        needed.difference_update(known)
+        for word in needed.intersection(old):
+            known[word] = old[word]
+        self.encode(list(needed.difference(old)))
         for word, (body, tail) in parts.items():
             known[word] = known[body] + known[tail]
 
     def __call__(self, text: bytes) -> bytes:
         words = text.lower().split()  # the tokenizer ignores case, and A-Z are one byte each
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(words)
-            return b"".join(map(self.known.__getitem__, words))
+        if len(self.known) > KNOWN_WORDS:
+            self.known, self.old = {}, self.known
+        unknown = set(words).difference(self.known)
+        if unknown:
+            self.learn(unknown)
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def tokenised(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text") -> DataFrame:
