@@ -22,20 +22,25 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from forumlake.llm.common import byte_texts
-
 LENGTH, END_ID, GROUP = 2048, 1, 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024  # cost of a token; of a pair of tokens in one piece
-KNOWN_WORDS = 400_000  # entries of each of a worker's two tables
+KNOWN_WORDS = 600_000  # entries of each of a worker's two tables
+SLICE = 8 << 20  # bytes of text that are looked up at once
 _TAIL = b".,;:!?*#$%&|"
+# Byte-level models write a byte as a printable character: its own, or the next one free from 256 on.
+_OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_LETTERS = [chr(b) if b in _OWN else chr(256 + sum(x not in _OWN for x in range(b))) for b in range(256)]
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -50,15 +55,24 @@ class WordIds:
     def __init__(self, model: str, width: str):
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
-        self.width = width
+        self.width, self.code = width, {"<u2": "H", "<u4": "I"}[width]
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def encode(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 2000):
-            some = words[i : i + 2000]
+        """A word of letters alone that normalising leaves as it is goes to the model as it is; others take the whole way."""
+        known, model, others = self.known, self.tokenizer.model, []
+        for word in words:
+            text = word.decode()
+            if word.isalpha() or (text.isalpha() and is_normalized("NFC", text) and text.lower() == text):
+                found = model.tokenize(text if word.isascii() else "".join(map(_LETTERS.__getitem__, word)))
+                known[word] = array(self.code, [x.id for x in found]).tobytes()
+            else:
+                others.append(word)
+        for i in range(0, len(others), 2000):
+            some = others[i : i + 2000]
             for word, found in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-                self.known[word] = np.asarray(found.ids, self.width).tobytes()
+                known[word] = np.asarray(found.ids, self.width).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
         """Ids of words that are not among the known ones."""
@@ -74,21 +88,48 @@ class WordIds:
                 parts[word] = (body, word[len(body) :])
         needed = missing.difference(parts)
         needed.update(x for pair in parts.values() for x in pair)
-        needed.difference_update(known)
-        for word in needed.intersection(old):
+        needed = needed.difference(known)
+        new = needed.difference(old)
+        for word in needed - new:
             known[word] = old[word]
-        self.encode(list(needed.difference(old)))
+        self.encode(list(new))
         for word, (body, tail) in parts.items():
             known[word] = known[body] + known[tail]
 
-    def __call__(self, text: bytes) -> bytes:
-        words = text.lower().split()  # the tokenizer ignores case, and A-Z are one byte each
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of every text. Each distinct word is looked up once; the rest is Arrow and NumPy."""
+        # The tokenizer ignores case, and A-Z are one byte each.
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
         if len(self.known) > KNOWN_WORDS:
             self.known, self.old = {}, self.known
-        unknown = set(words).difference(self.known)
-        if unknown:
-            self.learn(unknown)
-        return b"".join(map(self.known.__getitem__, words))
+        found = list(map(self.known.get, words))
+        if None in found:
+            self.learn({word for word, ids in zip(words, found) if ids is None})
+            found = list(map(self.known.__getitem__, words))
+        ids = np.frombuffer(b"".join(found), self.width)
+        step = int(self.width[-1])
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // step
+        starts = np.cumsum(sizes) - sizes
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        each = sizes[which]
+        ends = np.cumsum(each)
+        ids = ids[np.repeat(starts[which] - (ends - each), each) + np.arange(int(each.sum()))]
+        offsets = split.offsets.to_numpy()
+        return np.split(ids, np.append(0, ends)[offsets[1:-1] - offsets[0]])
+
+
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in runs of about ``SLICE`` bytes."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    sizes = pc.binary_length(texts).to_numpy()
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE, prepend=0)) if len(sizes) else np.zeros(0, np.int64)
+    edges = [0, *[int(c) for c in cuts if c], len(sizes)]
+    for lo, hi in zip(edges, edges[1:]):
+        if hi > lo:
+            yield texts.slice(lo, hi - lo)
 
 
 def tokenised(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -97,8 +138,8 @@ def tokenised(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, end_id
         model = f.read()
     tokenizer = Tokenizer.from_str(model)
     width = "<u2" if tokenizer.get_vocab_size() <= 65536 else "<u4"
-    probe = "It is, as SAID: half-done!! 3.5% of Été | it's $5..."
-    if WordIds(model, "<u4")(probe.encode()) != np.asarray(tokenizer.encode(probe, add_special_tokens=False).ids, "<u4").tobytes():
+    probe = "It is, as SAID: half-done!! 3.5% of Été und schließlich | it's $5... übermäßig ñandú e\u0301t\u00e9 ΑΣ"
+    if WordIds(model, "<u4")(pa.array([probe]))[0].tolist() != tokenizer.encode(probe, add_special_tokens=False).ids:
         raise ValueError("this tokenizer does not read words apart from each other")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     loaded: dict[str, WordIds] = {}
@@ -106,18 +147,17 @@ def tokenised(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, end_id
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if width not in loaded:
             loaded[width] = WordIds(shared.value, width)
-        known, end, step = loaded[width], np.asarray([end_id], width).tobytes(), int(width[-1])
+        known, end = loaded[width], np.asarray([end_id], width)
         for batch in batches:
             sizes, fulls, rests, deals = [], [], [], []
-            for body in byte_texts(batch.column(1)):
-                tokens = known(body) + end
-                n = len(tokens) // step
-                cut = n // length * length
-                wide = np.frombuffer(tokens, width, cut).astype("<u4")
+            for ids in (ids for texts in slices(batch.column(1)) for ids in known(texts)):
+                tokens = np.append(ids, end)
+                cut = len(tokens) // length * length
+                wide = tokens[:cut].astype("<u4")
                 fulls.append([zlib.crc32(wide[i : i + length].tobytes()) for i in range(0, cut, length)])
-                rests.append(tokens[cut * step :])
-                sizes.append(n)
-                deals.append(zlib.crc32(tokens))
+                rests.append(tokens[cut:].tobytes())
+                sizes.append(len(tokens))
+                deals.append(zlib.crc32(tokens.tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(fulls, pa.list_(pa.int64())), pa.array(rests, pa.binary()), pa.array(deals, pa.int64())],
                 names=["doc_id", "doc_tokens", "full", "rest", "deal"],

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -176,8 +177,11 @@ def test_a_known_word_table_that_overflows(monkeypatch):
         model = f.read()
     words = packing.WordIds(model, "<u4")
     tokenizer = Tokenizer.from_str(model)
-    for text in ("a b c d e f g.", "a b. c! D e, f g h i j k", "g. g! (x) y's a", "", "a a a") * 3:
-        assert words(text.encode()) == np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    odd = "Ǆǅǆ ﬁre İI ıi ΑΣ ς Å Å K ſ ª ʰ 中文 हिन्दी é ́a x́y ßẞ ŉ ᾳ ᾼ Ⅷ ① a_b ’s 's it's IT'S don't x’s \x1c \x85 \xa0 a"
+    texts = ["a b c d e f g.", "a b. c! D e, f g h i j k", "", "g. g! (x) y's a", " ", "  a\t\x0ba a\n", odd, ""]
+    for _ in range(3):
+        got = words(pa.array(texts, pa.large_string()))
+        assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 # The pipeline.
