@@ -39,14 +39,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from forumlake.llm.common import byte_texts
 from forumlake.llm.fm_index import FMIndex
-from forumlake.llm.words import WordHashes, mix, windows
+from forumlake.llm.words import hashed_words, mix, windows
 
 WINDOW, ANCHOR = 13, 6
 SHARD = 8 << 20  # bytes of text
+ASKED_AT_ONCE = 2_000_000  # words
 BUCKET_SHARDS = 8  # shards' worth of hashes to a bucket
 SMALLEST = np.iinfo(np.int64).max  # stands for a NULL id
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_hashes = WordHashes()
 
 SENT = "bucket bigint, shard bigint, hashes binary, least binary, several binary"
 ANSWER = "shard bigint, hashes binary, owners binary"
@@ -55,17 +55,15 @@ REMOVED = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
 class Shard:
-    """The documents of a shard: words one after the other, their windows and anchors."""
+    """The documents of a shard: hashed words one after the other, their windows and anchors."""
 
     def __init__(self, table: pa.Table):
         self.ids = table.column("doc_id").to_pylist()
         self.orders = table.column("order").to_numpy()
-        self.words = [body.split() for body in byte_texts(table.column("text"))]
-        self.sizes = np.asarray([len(w) for w in self.words], np.int64)
+        self.hashes, self.sizes = hashed_words(table.column("text"))
         self.offsets = np.append(0, np.cumsum(self.sizes))
-        self.hashes = _hashes([w for words in self.words for w in words])
         n = max(0, len(self.hashes) - WINDOW + 1)
-        doc = np.repeat(np.arange(len(self.words)), self.sizes)
+        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         start = np.arange(n)
         self.start = start[doc[start] == doc[start + WINDOW - 1]]  # windows within one document
         self.doc = doc[self.start]
@@ -209,32 +207,48 @@ def search(table: pa.Table) -> pa.Table:
     # The order of the document of every place of the indexed text (gaps belong to none).
     of = np.concatenate([[SMALLEST], *[np.append(np.full(len(p), o), SMALLEST) for p, o in zip(parts, orders)]]).astype(np.int64)
     sorted_orders = np.append(of[index.suffixes], SMALLEST)
+    # Runs of askers are searched together: equal windows of theirs only once.
+    run, size = [], 0
     for r in asked:
-        sizes = np.frombuffer(r["sizes"], "<u4").astype(np.int64)
-        text = np.frombuffer(r["words"], "<u4")
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        counts = sizes - WINDOW + 1
-        at = np.repeat(starts - np.append(0, np.cumsum(counts)[:-1]), counts) + np.arange(counts.sum()) + WINDOW - 1
-        # Equal windows are searched once.
-        same = np.zeros(len(at), np.uint64)
-        for k in range(WINDOW):
-            same = same * _FACTOR + text[at - k]
-        _, first, back = np.unique(mix(same), return_index=True, return_inverse=True)
-        found, low, high = index.matching(text, at[first], WINDOW)
-        least = np.full(len(first), SMALLEST, np.int64)
-        whole = np.flatnonzero(found == WINDOW)
-        if len(whole):
-            lows, which = np.unique(low[whole], return_inverse=True)
-            highs = np.zeros(len(lows), np.int64)
-            highs[which] = high[whole]
-            least[whole] = np.minimum.reduceat(sorted_orders, np.stack([lows, highs], axis=1).ravel())[::2][which]
-        out.append((r["source"], FOUND, shard_no, b"", counts.astype("<u4").tobytes(), zlib.compress(least[back].astype("<i8").tobytes(), 1), r["marks"]))
+        run.append(r)
+        size += len(r["words"]) // 4
+        if size > ASKED_AT_ONCE or r is asked[-1]:
+            out += found_orders(index, sorted_orders, run, shard_no)
+            run, size = [], 0
     return passage_rows(out)
 
 
-def removed(shard: Shard, found: pa.Table) -> pa.Table:
+def found_orders(index: FMIndex, sorted_orders: np.ndarray, asked: list[dict], shard_no: int) -> list[tuple]:
+    sizes = np.concatenate([np.frombuffer(r["sizes"], "<u4") for r in asked]).astype(np.int64)
+    text = np.concatenate([np.frombuffer(r["words"], "<u4") for r in asked])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    counts = sizes - WINDOW + 1
+    at = np.repeat(starts - np.append(0, np.cumsum(counts)[:-1]), counts) + np.arange(counts.sum()) + WINDOW - 1
+    same = np.zeros(len(at), np.uint64)
+    for k in range(WINDOW):
+        same = same * _FACTOR + text[at - k]
+    _, first, back = np.unique(mix(same), return_index=True, return_inverse=True)
+    found, low, high = index.matching(text, at[first], WINDOW)
+    least = np.full(len(first), SMALLEST, np.int64)
+    whole = np.flatnonzero(found == WINDOW)
+    if len(whole):
+        lows, which = np.unique(low[whole], return_inverse=True)
+        highs = np.zeros(len(lows), np.int64)
+        highs[which] = high[whole]
+        least[whole] = np.minimum.reduceat(sorted_orders, np.stack([lows, highs], axis=1).ravel())[::2][which]
+    least, out, window, passage = least[back], [], 0, 0
+    for r in asked:
+        mine = counts[passage : passage + len(r["sizes"]) // 4]
+        part = least[window : window + int(mine.sum())]
+        out.append((r["source"], FOUND, shard_no, b"", mine.astype("<u4").tobytes(), zlib.compress(part.astype("<i8").tobytes(), 1), r["marks"]))
+        window, passage = window + len(part), passage + len(mine)
+    return out
+
+
+def removed(table: pa.Table, found: pa.Table) -> pa.Table:
     """Results of a shard's documents."""
+    shard = Shard(table)
     rows = found.to_pylist()
     known: dict[int, np.ndarray] = {}
     for r in rows:
@@ -253,7 +267,8 @@ def removed(shard: Shard, found: pa.Table) -> pa.Table:
                 np.add.at(cover, at + WINDOW, -1)
     gone = np.cumsum(cover[:-1]) > 0 if len(shard.hashes) else np.zeros(0, bool)
     out = []
-    for k, words in enumerate(shard.words):
+    for k, body in enumerate(byte_texts(table.column("text"))):
+        words = body.split()
         off = gone[shard.offsets[k] : shard.offsets[k + 1]]
         n = int(off.sum())
         kept = [w for w, x in zip(words, off) if not x] if n else words
@@ -292,7 +307,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         return passages(table.column("shard")[0].as_py(), Shard(table), answer)
 
     def finish(table: pa.Table, found: pa.Table) -> pa.Table:
-        return removed(Shard(table), found)
+        return removed(table, found)
 
     by_shard = dealt.groupBy("shard")
     sieved = by_shard.applyInArrow(anchors, SENT).groupBy("bucket").applyInArrow(answers, ANSWER)

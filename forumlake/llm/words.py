@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-WORDS_KEPT = 400_000  # entries of a worker's table of word hashes, which starts anew when full
+WORDS_KEPT = 300_000  # entries of each of a worker's two tables of word hashes
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -16,22 +20,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after the other, and the number of words of each text.
+
+    Words lie between the characters x20 and x09 to x0D; NULL has none. Each distinct word is hashed once.
+    """
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    coded = split.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    which = coded.indices.to_numpy(zero_copy_only=False)
+    offsets = split.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    filled = which != words.index(b"") if b"" in words else np.ones(len(which), bool)  # white space at the ends
+    return each[which[filled]], np.diff(np.append(0, np.cumsum(filled))[offsets])
+
+
+def each_text(texts: pa.Array, rows: int = 1000) -> Iterator[np.ndarray]:
+    """Hashes of the lower-case (A-Z) words of every text, some rows at a time."""
+    for k in range(0, len(texts), rows):
+        hashes, sizes = hashed_words(texts.slice(k, rows), lower=True)
+        yield from np.split(hashes, np.cumsum(sizes)[:-1])
+
+
 class WordHashes:
-    """Word -> 64-bit hash, with a bounded memory of the words met."""
+    """Word -> 64-bit hash, with a bounded memory of the words met: a full table becomes the old one, from which
+    words in use move to a new one."""
 
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.old: dict[bytes, int] = {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > WORDS_KEPT:
+            self.known, self.old = {}, self.known
         known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > WORDS_KEPT:
-                self.known = known = {}
-            for word in {w for w in words if w not in known}:
-                known[word] = xxhash.xxh3_64_intdigest(word)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        found = list(map(known.get, words))
+        if None in found:
+            for word in {w for w, h in zip(words, found) if h is None}:
+                h = self.old.get(word)
+                known[word] = xxhash.xxh3_64_intdigest(word) if h is None else h
+            found = list(map(known.__getitem__, words))
+        return np.fromiter(found, np.uint64, len(found))
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
