@@ -36,9 +36,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from forumlake.llm.common import byte_texts
 from forumlake.llm.components import components
-from forumlake.llm.words import WordHashes, mix, shingles
+from forumlake.llm.words import each_text, mix, shingles
 from forumlake.session import stage
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -70,11 +69,10 @@ def sketched(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(uid, doc_id, node, n_shingles, sketch, firsts): 16-bit values of all positions, 32-bit ones of the first ``RUNS``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             nodes, sizes, sketches, firsts = [], [], [], []
-            for body in byte_texts(batch.column(2)):
-                found = shingles(hashes(body.lower().split()), SHINGLE)
+            for words in each_text(batch.column(2)):
+                found = shingles(words, SHINGLE)
                 low = min_hashes(found)
                 nodes.append(node_of(found))
                 sizes.append(len(found))
@@ -291,9 +289,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     fetched = texts.join(wanted, F.col("uid") == F.col("w_uid")).select("root", "n", "node", "size", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            found = [shingles(hashes(b.lower().split()), SHINGLE) for b in byte_texts(batch.column(4))]
+            found = [shingles(words, SHINGLE) for words in each_text(batch.column(4))]
             own = pa.array([node_of(s) for s in found], pa.int64()).to_numpy() == batch.column(2).to_numpy()
             whole = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())], names=["root", "n", "node", "size", "shingles"])
             yield whole.filter(pa.array(own))

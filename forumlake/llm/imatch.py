@@ -34,8 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from forumlake.llm.common import byte_texts
-from forumlake.llm.words import WordHashes, mix
+from forumlake.llm.words import WordHashes, each_text, mix
 
 RARE, COMMON = 2e-4, 0.1  # band of document frequency, as shares of the documents
 LEXICON = 1 << 20
@@ -51,15 +50,15 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(term, n): in how many documents each hashed term is."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n = WordHashes(), [], 0
+        held, n = [], 0
 
         def counted() -> pa.RecordBatch:
             terms, counts = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts.astype(np.int64))], names=["term", "n"])
 
         for batch in batches:
-            for body in byte_texts(batch.column(0)):
-                held.append(np.unique(hashes(body.lower().split())))
+            for words in each_text(batch.column(0)):
+                held.append(np.unique(words))
                 n += len(held[-1])
                 if n > 8 * TERMS_HELD:
                     yield counted()
