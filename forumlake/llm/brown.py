@@ -32,9 +32,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from forumlake.llm.common import byte_texts
+from forumlake.llm.words import coded_words
 from forumlake.session import stage
 
 WORDS, SUFFIXES, CLASSES, PASSES = 8192, 1024, 64, 10
@@ -42,7 +43,7 @@ LOCAL = 1 << 17
 TYPES = 1 + WORDS + SUFFIXES  # type 0 is the end
 BUCKET = 2_000_000  # tokens of the corpus to a bucket of words
 SMOOTH = 50.0  # weight of the class frequencies in a transition
-WORDS_KEPT = 400_000
+ROWS = 1000  # texts whose words are looked up together
 COUNTED = 500_000  # words that a task counts before it hands them on
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds a line break
 
@@ -71,10 +72,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(kinds), pa.array(n)], names=["term", "suffix", "n"])
 
         for batch in batches:
-            for body in byte_texts(batch.column(0)):
-                ends += 1
-                for word in body.lower().split():
-                    counts[word] = counts.get(word, 0) + 1
+            for k in range(0, batch.num_rows, ROWS):
+                texts = batch.column(0).slice(k, ROWS)
+                words, which, _ = coded_words(texts, lower=True)
+                ends += len(texts)
+                for word, n in zip(words, np.bincount(which, minlength=len(words)).tolist()):
+                    if n:
+                        counts[word] = counts.get(word, 0) + n
                 if len(counts) > COUNTED:
                     yield handed()
                     counts, ends = {}, 0
@@ -93,29 +97,16 @@ class Vocabulary:
     local: dict[int, int]
     types: dict[int, int]
 
-    def lookup(self) -> Lookup:
-        return Lookup(self)
-
-
-class Lookup:
-    """Word -> (hash, type, count; -1 when it is not among the local ones), with bounded memory."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.known = vocabulary, {}
-
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        known = self.known
-        if len(known) > WORDS_KEPT:
-            self.known = known = {}
-        for word in {w for w in words if w not in known}:
-            h = xxhash.xxh3_64_intdigest(word)
-            kind = self.vocabulary.types.get(h, -1)
-            known[word] = (h, kind if kind >= 0 else 1 + WORDS + suffix(word), self.vocabulary.local.get(h, -1))
-        found = list(map(known.__getitem__, words))
-        if not found:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        terms, types, counts = zip(*found)
-        return np.asarray(terms, np.uint64), np.asarray(types, np.int64), np.asarray(counts, np.int64)
+    def look_up(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Hashes, types and counts (-1 when not among the local ones) of the words of every text."""
+        for k in range(0, len(texts), ROWS):
+            words, which, sizes = coded_words(texts.slice(k, ROWS), lower=True)
+            terms = list(map(xxhash.xxh3_64_intdigest, words))
+            types = [self.types.get(h, -1) for h in terms]
+            types = np.asarray([kind if kind >= 0 else 1 + WORDS + suffix(word) for word, kind in zip(words, types)], np.int64)
+            counts = np.asarray([self.local.get(h, -1) for h in terms], np.int64)
+            cuts = np.cumsum(sizes)[:-1]
+            yield from zip(*(np.split(x[which], cuts) for x in (np.asarray(terms, np.uint64), types, counts)))
 
 
 def vocabulary_of(counts: DataFrame) -> Vocabulary:
@@ -130,12 +121,10 @@ def encoded(docs: DataFrame, vocabulary) -> DataFrame:
     """(doc_id, held_out, key, types, n_tokens, log_sum, known): the types of all tokens, and the sums over local words."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = vocabulary.value.lookup()
         end = vocabulary.value.local.get(END, 0)
         for batch in batches:
             kinds, sizes, sums, seen = [], [], [], []
-            for body in byte_texts(batch.column(3)):
-                _, types, counts = lookup(body.lower().split())
+            for _, types, counts in vocabulary.value.look_up(batch.column(3)):
                 local = counts[counts >= 0]
                 kinds.append(np.append(types, 0).astype("<u2").tobytes())
                 sizes.append(len(types) + 1)
@@ -268,16 +257,19 @@ def rare_sums(docs: DataFrame, counts: DataFrame, vocabulary, tokens: int) -> Da
     buckets = max(1, -(-tokens // BUCKET))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = vocabulary.value.lookup()
-        for batch in batches:
+        part = TaskContext.get().partitionId()
+        for nth, batch in enumerate(batches):
             keys = batch.column(0).to_numpy()
+            _, once = np.unique(keys, return_index=True)
+            first = np.zeros(len(keys), bool)
+            first[once] = True  # repeated rows have one key, and are sent once
             at, terms, uses = [], [], []
-            for k, body in enumerate(byte_texts(batch.column(1))):
-                found, _, counts = lookup(body.lower().split())
-                rare, n = np.unique(found[counts < 0], return_counts=True)
-                at.append(np.full(len(rare), k, np.int64))
-                terms.append(rare)
-                uses.append(n)
+            for k, (found, _, counts) in enumerate(vocabulary.value.look_up(batch.column(1))):
+                if first[k]:
+                    rare, n = np.unique(found[counts < 0], return_counts=True)
+                    at.append(np.full(len(rare), k, np.int64))
+                    terms.append(rare)
+                    uses.append(n)
             if not at or not sum(map(len, terms)):
                 continue
             at, terms, uses = np.concatenate(at), np.concatenate(terms), np.concatenate(uses)
@@ -285,39 +277,42 @@ def rare_sums(docs: DataFrame, counts: DataFrame, vocabulary, tokens: int) -> Da
             order = np.argsort(bucket, kind="stable")
             at, terms, uses, bucket = at[order], terms[order], uses[order], bucket[order]
             starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            rows = []
+            # The same for a task that is run again, and another for batches of equal rows.
+            sender, rows = xxhash.xxh3_64_intdigest(b"%d/%d/%b" % (part, nth, keys.tobytes())) >> 1, []
             for s, e in zip(starts, np.append(starts[1:], len(bucket))):
                 who, place = np.unique(at[s:e], return_inverse=True)
-                rows.append((int(bucket[s]), keys[who].astype("<i8").tobytes(), place.astype("<u4").tobytes(), terms[s:e].astype("<u8").tobytes(), uses[s:e].astype("<u4").tobytes()))
-            kinds = (pa.int64(), *[pa.binary()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "keys", "place", "terms", "uses"])
+                rows.append((int(bucket[s]), sender, keys[who].astype("<i8").tobytes(), place.astype("<u4").tobytes(), terms[s:e].astype("<u8").tobytes(), uses[s:e].astype("<u4").tobytes()))
+            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "sender", "keys", "place", "terms", "uses"])
 
     def look_up(sent: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-        if not len(sent):
-            return pd.DataFrame({"key": [], "rare_sum": [], "rare_known": []}).astype({"key": "int64", "rare_sum": "float64", "rare_known": "int64"})
-        key = np.concatenate([np.frombuffer(k, "<i8")[np.frombuffer(p, "<u4")] for k, p in zip(sent["keys"], sent["place"])])
-        term = np.concatenate([np.frombuffer(t, "<u8") for t in sent["terms"]])
-        uses = np.concatenate([np.frombuffer(u, "<u4") for u in sent["uses"]]).astype(np.int64)
-        order = np.lexsort((term, key))
-        key, term, uses = key[order], term[order], uses[order]
-        # Repeated rows have one key: each of their words is kept once.
-        once = np.append(True, (key[1:] != key[:-1]) | (term[1:] != term[:-1]))
-        key, term, uses = key[once], term[once], uses[once]
+        """An answer to each sender: sums by document over the bucket's words."""
         known = counted["term"].to_numpy(np.int64).view(np.uint64)
-        n, by = counted["n"].to_numpy(np.int64), np.argsort(known)
-        count = np.zeros(len(term), np.int64)
-        if len(known):
-            place = np.minimum(np.searchsorted(known[by], term), len(known) - 1)
-            count = np.where(known[by][place] == term, n[by][place], 0)
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        return pd.DataFrame(
-            {"key": key[starts], "rare_sum": np.add.reduceat(uses * np.log10(count + 1.0), starts), "rare_known": np.add.reduceat(np.where(count > 0, uses, 0), starts)}
-        )
-
-    sent = docs.select("key", "text").mapInArrow(send, "bucket bigint, keys binary, place binary, terms binary, uses binary")
+        by = np.argsort(known)
+        known, n = np.append(known[by], np.uint64(0)), np.append(counted["n"].to_numpy(np.int64)[by], 0)
+        sums, seen = [], []
+        for terms, place, uses, keys in zip(sent["terms"], sent["place"], sent["uses"], sent["keys"]):
+            term, at, use = np.frombuffer(terms, "<u8"), np.frombuffer(place, "<u4"), np.frombuffer(uses, "<u4").astype(np.int64)
+            where = np.searchsorted(known[:-1], term)
+            count = np.where(known[where] == term, n[where], 0)
+            size = len(keys) // 8
+            sums.append(np.bincount(at, use * np.log10(count + 1.0), size).tobytes())
+            seen.append(np.bincount(at, np.where(count > 0, use, 0), size).astype(np.int64).tobytes())
+        return pd.DataFrame({"sender": sent["sender"], "keys": sent["keys"], "sums": sums, "seen": seen}, columns=["sender", "keys", "sums", "seen"])
+
+    def add_up(rows: pd.DataFrame) -> pd.DataFrame:
+        key = np.concatenate([np.frombuffer(k, "<i8") for k in rows["keys"]])
+        sums = np.concatenate([np.frombuffer(x, np.float64) for x in rows["sums"]])
+        seen = np.concatenate([np.frombuffer(x, np.int64) for x in rows["seen"]])
+        keys, which = np.unique(key, return_inverse=True)
+        return pd.DataFrame({"key": keys, "rare_sum": np.bincount(which, sums), "rare_known": np.bincount(which, seen).astype(np.int64)})
+
+    sent = docs.select("key", "text").mapInArrow(send, "bucket bigint, sender bigint, keys binary, place binary, terms binary, uses binary")
     counted = counts.select(F.pmod(F.shiftrightunsigned("term", 40), F.lit(buckets)).cast("bigint").alias("bucket"), "term", "n")
-    found = sent.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInPandas(look_up, "key bigint, rare_sum double, rare_known bigint")
-    return found.groupBy("key").agg(F.sum("rare_sum").alias("rare_sum"), F.sum("rare_known").alias("rare_known"))
+    found = sent.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInPandas(look_up, "sender bigint, keys binary, sums binary, seen binary")
+    found = found.groupBy("sender").applyInPandas(add_up, "key bigint, rare_sum double, rare_known bigint")
+    # Rows that repeat an id and a text may be in several batches: their sums are equal.
+    return found.groupBy("key").agg(F.max("rare_sum").alias("rare_sum"), F.max("rare_known").alias("rare_known"))
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -20,22 +20,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, one after the other, and the number of words of each text.
+def coded_words(texts: pa.Array, lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words, the code of every word of all texts one after the other, and the number of words of each text.
 
-    Words lie between the characters x20 and x09 to x0D; NULL has none. Each distinct word is hashed once.
+    Words lie between the characters x20 and x09 to x0D; NULL has none. The empty word may be listed, but has no code.
     """
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     coded = split.flatten().dictionary_encode()
     words = coded.dictionary.cast(pa.large_binary()).to_pylist()
-    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     which = coded.indices.to_numpy(zero_copy_only=False)
     offsets = split.offsets.to_numpy()
     offsets = offsets - offsets[0]
     filled = which != words.index(b"") if b"" in words else np.ones(len(which), bool)  # white space at the ends
-    return each[which[filled]], np.diff(np.append(0, np.cumsum(filled))[offsets])
+    return words, which[filled], np.diff(np.append(0, np.cumsum(filled))[offsets])
+
+
+def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and the number of words of each text. Each distinct word is hashed once."""
+    words, which, sizes = coded_words(texts, lower)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[which], sizes
 
 
 def each_text(texts: pa.Array, rows: int = 1000) -> Iterator[np.ndarray]:

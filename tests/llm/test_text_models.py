@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from forumlake.llm import brown, imatch, licenses, quality
@@ -107,10 +108,9 @@ def test_class_model_is_a_distribution(spark, sf_dir):
     model = brown.fit(codes, counts, words)
     assert np.allclose((10.0**model.steps).sum(axis=1), 1)
     sums = np.zeros(brown.CLASSES)
-    lookup = words.lookup()
     train = Counter(w for r in rows.where("NOT held_out").collect() for w in tokens(r.text))
     names = [w for w in train if w != b"\n"]
-    _, types, _ = lookup(names)
+    _, types, _ = next(iter(words.look_up(pa.array([b" ".join(names).decode()]))))
     for w, t in zip(names, types):
         sums[model.classes[t]] += train[w] + 1
     sums[model.classes[0]] += train[b"\n"] + 1
