@@ -148,14 +148,16 @@ def test_windows(spark):
 
     assert window("latest", 0, 0, 50_000, 10_000) == (40_001, 50_000)
     assert window("latest", 49_990, 0, 50_000, 10_000) == (48_001, 50_000)
-    assert window("latest", 1_000, 0, 50_000, 10_000) == (40_001, 50_000)
+    assert window("latest", 1_000, 0, 50_000, 10_000) == (1_001, 11_000)  # far behind: nothing is passed over
+    assert window("latest", 40_000, 0, 50_000, 10_000) == (40_001, 50_000)
+    assert window("latest", 49_000, 0, 50_000, 100, first=10) == (10, 109)
     assert window("latest", 45_000, 0, 50_000, 10_000) == (45_001, 50_000)
     assert window("latest", 0, 0, 500, 10_000) == (1, 500)
     assert window("backfill", 0, 700, 50_000, 100) == (701, 800)
     assert window("backfill", 900, 700, 950, 100) == (901, 950)
     assert sync.resolve_window(spark, "backfill", 950, 700, 950, 100).is_empty
     assert window("backfill", 900, 700, 50_000, 100, first=10) == (10, 109)
-    assert [(g.start, g.end) for g in sync.groups_of(sync.Window(1, 2_500))] == [(1, 1000), (1001, 2000), (2001, 2500)]
+    assert [(g.start, g.end) for g in sync.groups_of(sync.Window(1, 2_500), 1_000)] == [(1, 1000), (1001, 2000), (2001, 2500)]
 
 
 def test_sync_order(spark):
