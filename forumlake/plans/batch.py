@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from forumlake.operators import ordering, rank
 from forumlake.operators.filters import is_live
-from forumlake.operators.joins import join_small
+from forumlake.operators.joins import fits_broadcast, join_small
 from forumlake.operators.match import batch_match, mark_clauses, query_clauses
 from forumlake.plans.index import bucket_of
 from forumlake.plans.lake import Lake
@@ -32,11 +32,30 @@ def asked_terms(lake: Lake, queries: DataFrame, operators: bool = True) -> DataF
     return stage(asked.withColumn("type", F.explode(searched_types(F.col("type")))), "asked")
 
 
+def seeds(lake: Lake, asked: DataFrame, n: int) -> DataFrame | None:
+    """(qid, id) of the rows that hold the rarest required term of a group: every
+    match is among them. Terms that the corpus does not hold come first, and
+    leave their group without any. None where most of the ``n`` terms are alone
+    in their group, as nothing would be spared."""
+    rarest = Window.partitionBy("qid", "grp", "type").orderBy(F.col("idf").desc_nulls_first(), "term")
+    anchors = asked.filter("NOT negated").withColumn("_nth", F.row_number().over(rarest)).filter("_nth = 1")
+    anchors = stage(anchors.select("qid", "type", "bucket", "term").distinct(), "anchors")
+    rows = anchors.count()
+    if rows * 2 > n:
+        return None
+    posts = lake.index.postings().filter("live").select("type", "bucket", "term", "id")
+    return stage(join_small(posts, anchors, ["type", "bucket", "term"], salt_by="id", rows=rows).select("qid", "id").distinct(), "seeds")
+
+
 def batch_matches(lake: Lake, queries: DataFrame, operators: bool = True) -> DataFrame:
     """(qid, id, bm25) of all live matches of a table (qid, q, type)."""
     asked = asked_terms(lake, queries, operators)
     size = asked.agg(F.count("*").alias("n"), F.bool_or(F.col("clause_size") > 1).alias("phrases"), F.bool_or(F.col("needed") == 0).alias("open")).first()
     hits = join_small(lake.index.postings().filter("live"), asked, ["type", "bucket", "term"], salt_by="id", rows=size["n"])
+    if not size["open"]:
+        found = seeds(lake, asked, size["n"])
+        if found is not None and fits_broadcast(found):
+            hits = hits.join(F.broadcast(found), ["qid", "id"], "left_semi")
     hits = hits.withColumn("part", F.when(F.col("ranks"), rank.score()).otherwise(0.0))
     open_rows = None
     if size["open"]:
