@@ -13,7 +13,9 @@ white space and the end of a run of letters or digits as boundaries, as
 ``word_bpe_49k.json`` does; :func:`tokenised` compares both ways on a few words first.
 
 Groups are dealt by a hash of id and content, so neither one source nor one id can fill
-a group. Defined results: a NULL text is empty and gives the end id alone; repeated rows
+a group; where documents are long, a group has fewer (about ``GROUP_BYTES`` of text). A
+piece carries its ids, so a sequence is read back by joining its pieces by ``offset``, and
+a document by ``start``. Defined results: a NULL text is empty and gives the end id alone; repeated rows
 and NULL ids are packed as documents of their own; other columns are ignored; an empty
 table gives an empty one.
 """
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 LENGTH, END_ID, GROUP = 2048, 1, 2048
+GROUP_BYTES = 32 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024  # cost of a token; of a pair of tokens in one piece
 KNOWN_WORDS = 600_000  # entries of each of a worker's two tables
 SLICE = 8 << 20  # bytes of text that are looked up at once
@@ -43,7 +46,8 @@ _OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _LETTERS = [chr(b) if b in _OWN else chr(256 + sum(x not in _OWN for x in range(b))) for b in range(256)]
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
 
-PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+# The ids of a piece are little-endian unsigned numbers of four bytes.
+PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
 class WordIds:
@@ -132,8 +136,8 @@ def slices(texts: pa.Array) -> Iterator[pa.Array]:
             yield texts.slice(lo, hi - lo)
 
 
-def tokenised(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, doc_tokens, full, rest, deal): CRCs of the full pieces and the ids after them."""
+def tokenised(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, doc_tokens, ids, deal, width): the ids of every document, ``width`` each."""
     with open(tokenizer_file, encoding="utf-8") as f:
         model = f.read()
     tokenizer = Tokenizer.from_str(model)
@@ -149,22 +153,19 @@ def tokenised(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, end_id
             loaded[width] = WordIds(shared.value, width)
         known, end = loaded[width], np.asarray([end_id], width)
         for batch in batches:
-            sizes, fulls, rests, deals = [], [], [], []
+            sizes, held, deals = [], [], []
             for ids in (ids for texts in slices(batch.column(1)) for ids in known(texts)):
-                tokens = np.append(ids, end)
-                cut = len(tokens) // length * length
-                wide = tokens[:cut].astype("<u4")
-                fulls.append([zlib.crc32(wide[i : i + length].tobytes()) for i in range(0, cut, length)])
-                rests.append(tokens[cut:].tobytes())
-                sizes.append(len(tokens))
-                deals.append(zlib.crc32(tokens.tobytes()))
+                tokens = np.append(ids, end).tobytes()
+                held.append(tokens)
+                sizes.append(len(ids) + 1)
+                deals.append(zlib.crc32(tokens))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(fulls, pa.list_(pa.int64())), pa.array(rests, pa.binary()), pa.array(deals, pa.int64())],
-                names=["doc_id", "doc_tokens", "full", "rest", "deal"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(held, pa.binary()), pa.array(deals, pa.int64())],
+                names=["doc_id", "doc_tokens", "ids", "deal"],
             )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    out = rows.mapInArrow(ids, "doc_id bigint, doc_tokens bigint, full array<bigint>, rest binary, deal bigint")
+    out = rows.mapInArrow(ids, "doc_id bigint, doc_tokens bigint, ids binary, deal bigint")
     return out.withColumn("width", F.lit(width))
 
 
@@ -193,29 +194,34 @@ def assign(sizes: np.ndarray, length: int) -> list[tuple[int, int, int, int, int
 
 
 def packed(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: where it comes from and where it lies."""
-    groups = max(1, -(-docs.count() // GROUP))
+    """One row per piece: where it comes from, its ids and their CRC, and where it lies."""
+    n_docs, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col(text)))).first()
+    groups = max(1, -(-n_docs // GROUP), -(-(size or 0) // GROUP_BYTES))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "deal", "doc_tokens"], kind="stable").reset_index(drop=True)
         base, out = int(rows["group"].iat[0]) << 32, []
-        step = int(rows["width"].iat[0][-1])
-        sizes = np.asarray([len(r) // step for r in rows["rest"]], np.int64)
-        before = rows["doc_tokens"].to_numpy(np.int64) - sizes
-        pieces = assign(sizes, length)
-        for item, start, size, at, offset in pieces:
-            ids = np.frombuffer(rows["rest"].iat[item], rows["width"].iat[0], size, start * step).astype("<u4")
-            out.append((item, int(before[item]) + start, size, zlib.crc32(ids.tobytes()), base + at, offset))
+        held = [np.frombuffer(ids, rows["width"].iat[0]) for ids in rows["ids"]]
+        tokens = rows["doc_tokens"].to_numpy(np.int64)
+        sizes = tokens % length
+        before = tokens - sizes
+
+        def add(item: int, start: int, size: int, at: int, offset: int) -> None:
+            out.append((item, start, size, held[item][start : start + size].astype("<u4").tobytes(), base + at, offset))
+
+        for item, start, size, at, offset in assign(sizes, length):
+            add(item, int(before[item]) + start, size, at, offset)
         after = len(capacities(int(sizes.sum()), length))
-        for item, full in enumerate(rows["full"]):
-            for k, crc in enumerate(full):
-                out.append((item, k * length, length, int(crc), base + after, 0))
+        for item, end in enumerate(before.tolist()):
+            for start in range(0, end, length):
+                add(item, start, length, after, 0)
                 after += 1
-        made = pd.DataFrame(out, columns=["item", "start", "length", "ids_crc32", "sequence_id", "offset"])
+        made = pd.DataFrame(out, columns=["item", "start", "length", "ids", "sequence_id", "offset"])
         made["doc_id"] = rows["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)[made["item"]]
         made["doc_tokens"] = rows["doc_tokens"].to_numpy()[made["item"]]
-        return made[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+        return made[["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]]
 
-    rows = tokenised(docs, tokenizer_file, length, end_id, id_col, text)
+    rows = tokenised(docs, tokenizer_file, end_id, id_col, text)
     dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "deal"), F.lit(groups)))
-    return dealt.groupBy("group").applyInPandas(pack, PIECES)
+    pieces = dealt.groupBy("group").applyInPandas(pack, PIECES)
+    return pieces.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -124,8 +124,9 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as pieces of packed sequences."""
-    return packing.packed(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    """All documents as pieces of packed sequences, with a digest in place of the ids."""
+    pieces = packing.packed(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.drop("ids")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,6 +145,30 @@ def test_packing_of_odd_rows(spark):
     assert packing.packed(empty(spark), TOKENIZER).count() == 0
 
 
+def test_documents_and_sequences_read_back(spark, monkeypatch):
+    """The ids themselves are there, of full pieces and of rests, whatever the groups."""
+    monkeypatch.setattr(packing, "GROUP_BYTES", 50_000)
+    rows = [(i, text, *_) for i, (_, text, *_) in enumerate(ROWS)]
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    tokenizer.encode_special_tokens = True
+    pieces = packing.packed(documents(spark, rows), TOKENIZER).collect()
+    read, filled = defaultdict(list), defaultdict(list)
+    for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
+        read[p.doc_id] += np.frombuffer(p.ids, "<u4").tolist()
+    assert read == {i: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1] for i, text, *_ in rows}
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        assert len(filled[p.sequence_id]) == p.offset and len(p.ids) == 4 * p.length
+        filled[p.sequence_id] += np.frombuffer(p.ids, "<u4").tolist()
+    assert max(map(len, filled.values())) == packing.LENGTH
+    assert sum(map(len, filled.values())) == sum(map(len, read.values()))
+
+
+def test_the_packed_corpus_keeps_its_ids(spark, sf_dir):
+    done = corpus_pipeline.pack(spark, documents(spark), sf_dir)
+    assert done.where("octet_length(ids) = 4 * length").count() == done.count() > 0
+    assert "ids" not in QUERIES["op8_cost_packing"](spark, sf_dir).columns
+
+
 def test_packing_in_many_groups(spark, monkeypatch, sf_dir):
     monkeypatch.setattr(packing, "GROUP", 16)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
