@@ -1,6 +1,9 @@
 """License scans by patience alignment of documents with notice templates.
 
-A template is aligned with the stretches of a text where its rarest words occur: words
+A match may miss ``m = floor((1 - least) * words)`` of a template's words at most, so of
+any ``m + 1`` places of a template a match holds one. A template is aligned with all
+stretches of a text around such places, those of the words that are rarest in the text:
+the choice loses no match. Words
 unique in both are anchors, the longest increasing subsequence of their places is kept,
 and the gaps between anchors are aligned the same way (equal words at a gap's ends match
 first). Coverage is the share of the template's words that are matched. A document has
@@ -18,6 +21,7 @@ empty one.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -43,7 +47,7 @@ TEMPLATES = {
     "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "all-rights-reserved": "All rights reserved.",
 }
-LEAST, SEEDS = 0.8, 3
+LEAST = 0.8
 _ENDS = b".,;:!?()[]{}\"'`*#$%&|"
 
 FOUND = "doc_id bigint, license string, coverage double, matched_words bigint, first_word bigint, last_word bigint, licenses array<string>, n_words bigint"
@@ -96,25 +100,37 @@ def align(text: list[bytes], template: list[bytes]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
-def best_match(places: dict[bytes, list[int]], text: list[bytes], template: list[bytes]) -> list[tuple[int, int]]:
-    """The longest alignment among the stretches around the template's rarest words in the text."""
+def best_match(places: dict[bytes, list[int]], text: list[bytes], template: list[bytes], least: float = LEAST) -> list[tuple[int, int]]:
+    """The longest alignment among the stretches that can hold a match."""
     at = defaultdict(list)
     for j, word in enumerate(template):
         at[word].append(j)
-    seen = sorted((len(places[w]), js[0], w) for w, js in at.items() if w in places)[:SEEDS]
-    slack, best, tried = max(2, len(template) // 4), [], set()
-    for _, _, word in seen:
-        for place in places[word]:
+    may_miss = len(template) - math.ceil(least * len(template))
+    rare = sorted(at, key=lambda w: (len(places.get(w, ())), at[w][0]))
+    slack, best, tried, seeded = max(2, len(template) // 4), [], set(), 0
+    for word in rare:
+        if seeded > may_miss:
+            break
+        seeded += len(at[word])
+        for place in places.get(word, ()):
             for j in at[word]:
                 lo, hi = max(0, place - j - slack), min(len(text), place - j + len(template) + slack)
                 if (lo, hi) in tried:
                     continue
                 tried.add((lo, hi))
-                found = [(lo + i, k) for i, k in align(text[lo:hi], template)]
-                if len(found) > len(best):
-                    best = found
-                if len(best) == len(template):
-                    return best
+                # Words that the stretch does not hold cannot be matched.
+                missed, most = 0, min(may_miss, len(template) - len(best) - 1)
+                for w in rare:
+                    there = places.get(w, ())
+                    missed += max(0, len(at[w]) - bisect_left(there, hi) + bisect_left(there, lo))
+                    if missed > most:
+                        break
+                else:
+                    found = [(lo + i, k) for i, k in align(text[lo:hi], template)]
+                    if len(found) > len(best):
+                        best = found
+                    if len(best) == len(template):
+                        return best
     return best
 
 
@@ -138,7 +154,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
             there = sum(w in places for w in notice)
             if there < least * len(notice):
                 continue
-            match = best_match(places, words, notice)
+            match = best_match(places, words, notice, least)
             if len(match) >= least * len(notice):
                 found.append((-len(match) / len(notice), -len(notice), name, match))
         if not found:

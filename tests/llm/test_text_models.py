@@ -183,6 +183,34 @@ def test_license_scan(spark):
     assert licenses.scan(documents(spark, rows)).count() == len(rows) and licenses.scan(empty(spark)).count() == 0
 
 
+def test_rare_words_elsewhere_hide_no_license(spark):
+    """The notice has lost its first words, and those stand alone in other places of the text."""
+    notice = licenses.TEMPLATES["mit-text"].split()
+    body = " ".join(["We", "let", *notice[8:]])
+    parts = ["permission", prose(1, 300), "hereby", prose(2, 300), "granted", prose(3, 300), body, prose(4, 300)]
+    rows = [(1, " ".join(parts), "en", "a", 1), (2, " ".join(parts[::-1]), "en", "a", 1)]
+    got = {r.doc_id: r for r in licenses.scan(documents(spark, rows)).collect()}
+    for i, before in ((1, 905), (2, 302)):
+        assert got[i].license == "mit-text" and got[i].matched_words == len(notice) - 8
+        assert (got[i].first_word, got[i].last_word) == (before, before + len(notice) - 9)
+
+
+def test_any_words_may_be_missing():
+    """Every notice of which enough is left in one place is found, whichever words stray."""
+    rng = np.random.default_rng(6)
+    for name, body in licenses.TEMPLATES.items():
+        notice = licenses.words_of(body.encode())
+        may_miss = len(notice) - int(np.ceil(licenses.LEAST * len(notice)))
+        for _ in range(20):
+            gone = set(rng.choice(len(notice), may_miss, replace=False).tolist())
+            strays = [w for k in gone for w in (notice[k], *licenses.words_of(prose(k, 60).encode()))]
+            text = strays + [b"x" if k in gone else w for k, w in enumerate(notice)] + licenses.words_of(prose(7, 200).encode())
+            places = {}
+            for i, w in enumerate(text):
+                places.setdefault(w, []).append(i)
+            assert len(licenses.best_match(places, text, notice)) >= licenses.LEAST * len(notice), (name, gone)
+
+
 def test_increasing():
     rng = np.random.default_rng(2)
     for _ in range(5):
