@@ -43,8 +43,9 @@ def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that stay when passages of earlier documents are removed."""
-    return substrings.remove_repeats(documents(spark, sf_dir))
+    """Words that stay when passages of earlier documents are removed, as a digest."""
+    rows = substrings.remove_repeats(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 OP5_SQL = f"""

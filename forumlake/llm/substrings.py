@@ -1,13 +1,15 @@
 """Substring dedup: passages found again by FM-indexes, one a shard of documents.
 
-A window is ``WINDOW`` consecutive words. Every word under a window that also begins in a
-document with a smaller id is removed.
+A window is ``WINDOW`` (or another given number of) consecutive words. Every word under a
+window that also begins in a document with a smaller id is removed. The operator returns
+the text that is kept, its words one space apart, and the removed spans: the stretches of
+such windows that follow one another and have one least id, which may overlap.
 
 The documents are dealt into shards of about ``SHARD`` bytes by a hash. Streaming every
 document against every shard's index would square the work, so hashes first say where a
 passage can be found:
 
-1. Sieve by anchors: the least 6-word hash of every window. A shard sends its distinct
+1. Sieve by anchors: the least 6-word hash of every window (shorter windows are their own). A shard sends its distinct
    anchors once each to buckets, which answer with those that several documents have.
 2. Sieve by windows: of the windows on such anchors a shard sends the distinct hashes
    with the least id that holds them; buckets answer with the owner, the shard of the
@@ -51,36 +53,40 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 SENT = "bucket bigint, shard bigint, hashes binary, least binary, several binary"
 ANSWER = "shard bigint, hashes binary, owners binary"
 PASSAGES = "shard bigint, kind int, source bigint, words binary, sizes binary, orders binary, marks binary"
-REMOVED = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
+# Words ``start`` to ``end`` (from 0, ``end`` not included) are in ``least_id`` too, the smallest id that has them.
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("least_id", pa.int64())]))
+REMOVED = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, spans array<struct<start: bigint, end: bigint, least_id: bigint>>"
 
 
 class Shard:
     """The documents of a shard: hashed words one after the other, their windows and anchors."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, window: int):
+        self.window = window
         self.ids = table.column("doc_id").to_pylist()
         self.orders = table.column("order").to_numpy()
         self.hashes, self.sizes = hashed_words(table.column("text"))
         self.offsets = np.append(0, np.cumsum(self.sizes))
-        n = max(0, len(self.hashes) - WINDOW + 1)
+        n = max(0, len(self.hashes) - window + 1)
         doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         start = np.arange(n)
-        self.start = start[doc[start] == doc[start + WINDOW - 1]]  # windows within one document
+        self.start = start[doc[start] == doc[start + window - 1]]  # windows within one document
         self.doc = doc[self.start]
         self.order = self.orders[self.doc]
 
     def anchors(self) -> np.ndarray:
         """The anchor of every window."""
-        short = windows(self.hashes, ANCHOR)
+        anchor = min(ANCHOR, self.window)
+        short = windows(self.hashes, anchor)
         best = np.zeros(0, np.uint64)
         if len(self.start):
             best = short[self.start]
-            for k in range(1, WINDOW - ANCHOR + 1):
+            for k in range(1, self.window - anchor + 1):
                 np.minimum(best, short[self.start + k], out=best)
         return best
 
     def window_hashes(self) -> np.ndarray:
-        return windows(self.hashes, WINDOW)[self.start] if len(self.start) else np.zeros(0, np.uint64)
+        return windows(self.hashes, self.window)[self.start] if len(self.start) else np.zeros(0, np.uint64)
 
 
 def summed(hashes: np.ndarray, orders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,7 +171,7 @@ def passages(shard_no: int, shard: Shard, answer: pa.Table) -> pa.Table:
     words = (shard.hashes & np.uint64(0xFFFFFFFF)).astype("<u4")
     first, last = runs(shard, owner)
     to = owner[first]
-    cut = [words[shard.start[a] : shard.start[b] + WINDOW] for a, b in zip(first, last)]
+    cut = [words[shard.start[a] : shard.start[b] + shard.window] for a, b in zip(first, last)]
     out = []
     own = np.flatnonzero(to == shard_no)
     if len(own):
@@ -186,7 +192,7 @@ def passages(shard_no: int, shard: Shard, answer: pa.Table) -> pa.Table:
     return passage_rows(out)
 
 
-def search(table: pa.Table) -> pa.Table:
+def search(table: pa.Table, window: int) -> pa.Table:
     """A shard's FM-index searched for what is asked of it; places pass through.
 
     Answers hold, for each window of a passage, the least order of a document that has it (or none).
@@ -203,7 +209,7 @@ def search(table: pa.Table) -> pa.Table:
     asked = [r for r in rows if r["kind"] == ASKED]
     if not asked:
         return passage_rows(out)
-    index = FMIndex(parts, WINDOW)
+    index = FMIndex(parts, window)
     # The order of the document of every place of the indexed text (gaps belong to none).
     of = np.concatenate([[SMALLEST], *[np.append(np.full(len(p), o), SMALLEST) for p, o in zip(parts, orders)]]).astype(np.int64)
     sorted_orders = np.append(of[index.suffixes], SMALLEST)
@@ -213,42 +219,42 @@ def search(table: pa.Table) -> pa.Table:
         run.append(r)
         size += len(r["words"]) // 4
         if size > ASKED_AT_ONCE or r is asked[-1]:
-            out += found_orders(index, sorted_orders, run, shard_no)
+            out += found_orders(index, sorted_orders, run, shard_no, window)
             run, size = [], 0
     return passage_rows(out)
 
 
-def found_orders(index: FMIndex, sorted_orders: np.ndarray, asked: list[dict], shard_no: int) -> list[tuple]:
+def found_orders(index: FMIndex, sorted_orders: np.ndarray, asked: list[dict], shard_no: int, window: int) -> list[tuple]:
     sizes = np.concatenate([np.frombuffer(r["sizes"], "<u4") for r in asked]).astype(np.int64)
     text = np.concatenate([np.frombuffer(r["words"], "<u4") for r in asked])
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    counts = sizes - WINDOW + 1
-    at = np.repeat(starts - np.append(0, np.cumsum(counts)[:-1]), counts) + np.arange(counts.sum()) + WINDOW - 1
+    counts = sizes - window + 1
+    at = np.repeat(starts - np.append(0, np.cumsum(counts)[:-1]), counts) + np.arange(counts.sum()) + window - 1
     same = np.zeros(len(at), np.uint64)
-    for k in range(WINDOW):
+    for k in range(window):
         same = same * _FACTOR + text[at - k]
     _, first, back = np.unique(mix(same), return_index=True, return_inverse=True)
-    found, low, high = index.matching(text, at[first], WINDOW)
+    found, low, high = index.matching(text, at[first], window)
     least = np.full(len(first), SMALLEST, np.int64)
-    whole = np.flatnonzero(found == WINDOW)
+    whole = np.flatnonzero(found == window)
     if len(whole):
         lows, which = np.unique(low[whole], return_inverse=True)
         highs = np.zeros(len(lows), np.int64)
         highs[which] = high[whole]
         least[whole] = np.minimum.reduceat(sorted_orders, np.stack([lows, highs], axis=1).ravel())[::2][which]
-    least, out, window, passage = least[back], [], 0, 0
+    least, out, at, passage = least[back], [], 0, 0
     for r in asked:
         mine = counts[passage : passage + len(r["sizes"]) // 4]
-        part = least[window : window + int(mine.sum())]
+        part = least[at : at + int(mine.sum())]
         out.append((r["source"], FOUND, shard_no, b"", mine.astype("<u4").tobytes(), zlib.compress(part.astype("<i8").tobytes(), 1), r["marks"]))
-        window, passage = window + len(part), passage + len(mine)
+        at, passage = at + len(part), passage + len(mine)
     return out
 
 
-def removed(table: pa.Table, found: pa.Table) -> pa.Table:
+def removed(table: pa.Table, found: pa.Table, window: int) -> pa.Table:
     """Results of a shard's documents."""
-    shard = Shard(table)
+    shard = Shard(table, window)
     rows = found.to_pylist()
     known: dict[int, np.ndarray] = {}
     for r in rows:
@@ -256,30 +262,41 @@ def removed(table: pa.Table, found: pa.Table) -> pa.Table:
             counts = np.frombuffer(r["sizes"], "<u4").astype(np.int64)
             least = np.frombuffer(zlib.decompress(r["orders"]), "<i8")
             known |= zip(np.frombuffer(r["marks"], "<u8").tolist(), np.split(least, np.cumsum(counts)[:-1]))
-    cover = np.zeros(len(shard.hashes) + 1, np.int64)
+    least = np.full(len(shard.start), SMALLEST, np.int64)
     for r in rows:
         if r["kind"] == PLACES:
             where = np.frombuffer(r["words"], "<u4").reshape(-1, 2)
             for (a, b), mark in zip(where.tolist(), np.frombuffer(r["marks"], "<u8").tolist()):
-                hit = known[mark] < shard.order[a]
-                at = shard.start[a : b + 1][hit]
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + WINDOW, -1)
-    gone = np.cumsum(cover[:-1]) > 0 if len(shard.hashes) else np.zeros(0, bool)
+                least[a : b + 1] = known[mark]
+    hit = np.flatnonzero(least < shard.order)
+    at, least, doc = shard.start[hit], least[hit], shard.doc[hit]
+    new = np.flatnonzero((np.diff(at, prepend=-2) != 1) | np.append(True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]))) if len(at) else at
+    last = np.append(new[1:], len(at)) - 1 if len(at) else at
+    doc, start, end, least = doc[new], at[new], at[last] + window, least[new]
+    cover = np.zeros(len(shard.hashes) + 1, np.int64)
+    np.add.at(cover, start, 1)
+    np.add.at(cover, end, -1)
+    gone = np.cumsum(cover[:-1]) > 0
+    first = np.searchsorted(doc, np.arange(len(shard.sizes) + 1))
     out = []
     for k, body in enumerate(byte_texts(table.column("text"))):
         words = body.split()
         off = gone[shard.offsets[k] : shard.offsets[k + 1]]
         n = int(off.sum())
         kept = [w for w, x in zip(words, off) if not x] if n else words
-        out.append((shard.ids[k], len(words), n, hashlib.sha256(b" ".join(kept)).hexdigest()))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-    names = ("doc_id", "n_words", "n_removed", "kept_sha256")
-    return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(names, kinds))})
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: words, words removed, and the digest of the words kept."""
+        mine, before = slice(first[k], first[k + 1]), int(shard.offsets[k])
+        spans = [{"start": s - before, "end": e - before, "least_id": x} for s, e, x in zip(start[mine].tolist(), end[mine].tolist(), least[mine].tolist())]
+        out.append((shard.ids[k], len(words), n, b" ".join(kept), spans))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), SPANS)
+    names = ("doc_id", "n_words", "n_removed", "kept_text", "spans")
+    made = pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(names, kinds))})
+    return made.set_column(3, "kept_text", made.column("kept_text").cast(pa.string()))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """One row per document: words, words removed, the text kept and its digest, and the removed spans."""
+    if window < 1:
+        raise ValueError("a window has at least one word")
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     shards = max(1, -(-size // SHARD))
     buckets = max(1, -(-shards // BUCKET_SHARDS))
@@ -292,11 +309,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     dealt = rows.repartition(shards, "shard")
 
     def anchors(table: pa.Table) -> pa.Table:
-        shard = Shard(table)
+        shard = Shard(table, window)
         return to_buckets(table.column("shard")[0].as_py(), shard.anchors(), shard.order, buckets)
 
     def repeats(table: pa.Table, answer: pa.Table) -> pa.Table:
-        shard = Shard(table)
+        shard = Shard(table, window)
         known = np.sort(joined(answer, "hashes", "<u8"))
         own = shard.anchors()
         place = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
@@ -304,13 +321,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         return to_buckets(table.column("shard")[0].as_py(), shard.window_hashes()[on], shard.order[on], buckets)
 
     def owned(table: pa.Table, answer: pa.Table) -> pa.Table:
-        return passages(table.column("shard")[0].as_py(), Shard(table), answer)
+        return passages(table.column("shard")[0].as_py(), Shard(table, window), answer)
+
+    def searched(table: pa.Table) -> pa.Table:
+        return search(table, window)
 
     def finish(table: pa.Table, found: pa.Table) -> pa.Table:
-        return removed(table, found)
+        return removed(table, found, window)
 
     by_shard = dealt.groupBy("shard")
     sieved = by_shard.applyInArrow(anchors, SENT).groupBy("bucket").applyInArrow(answers, ANSWER)
     sieved = by_shard.cogroup(sieved.groupBy("shard")).applyInArrow(repeats, SENT).groupBy("bucket").applyInArrow(answers, ANSWER)
-    found = by_shard.cogroup(sieved.groupBy("shard")).applyInArrow(owned, PASSAGES).groupBy("shard").applyInArrow(search, PASSAGES)
-    return by_shard.cogroup(found.groupBy("shard")).applyInArrow(finish, REMOVED)
+    found = by_shard.cogroup(sieved.groupBy("shard")).applyInArrow(owned, PASSAGES).groupBy("shard").applyInArrow(searched, PASSAGES)
+    done = by_shard.cogroup(found.groupBy("shard")).applyInArrow(finish, REMOVED)
+    return done.withColumn("kept_sha256", F.sha2(F.col("kept_text").cast("binary"), 256))

@@ -12,7 +12,7 @@ import pytest
 from forumlake.llm import chosen_path, exact_dedup, substrings
 from forumlake.llm.components import components
 from forumlake.llm.fm_index import FMIndex
-from tests.llm.fixtures import ROWS, documents, empty
+from tests.llm.fixtures import PASSAGE, ROWS, documents, empty, prose
 
 
 def words(text: str | None) -> list[str]:
@@ -196,5 +196,41 @@ def test_remove_repeats(spark, monkeypatch, size):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_removed(ROWS)
 
 
+def brute_spans(rows, size) -> list[tuple]:
+    """(id, kept text, spans): runs of windows with one least id, smaller than the document's."""
+    least: dict = {}
+    order = lambda i: float("inf") if i is None else i
+    for i, text, *_ in rows:
+        w = words(text)
+        for s in range(len(w) - size + 1):
+            key = tuple(w[s : s + size])
+            least[key] = min(least.get(key, float("inf")), order(i))
+    out = []
+    for i, text, *_ in rows:
+        w, spans = words(text), []
+        for s in range(len(w) - size + 1):
+            first = least[tuple(w[s : s + size])]
+            if first < order(i):
+                if spans and spans[-1][2] == first and spans[-1][1] == s + size - 1:
+                    spans[-1] = (spans[-1][0], s + size, first)
+                else:
+                    spans.append((s, s + size, first))
+        gone = {p for a, b, _ in spans for p in range(a, b)}
+        out.append((i, " ".join(x for p, x in enumerate(w) if p not in gone), tuple(spans)))
+    return out
+
+
+@pytest.mark.parametrize(("size", "window"), [(1 << 23, 13), (4000, 13), (4000, 40), (1 << 23, 4)])
+def test_kept_text_and_removed_spans(spark, monkeypatch, size, window):
+    monkeypatch.setattr(substrings, "SHARD", size)
+    # A passage whose halves have different first documents.
+    halves = [(0, PASSAGE[200:] + " " + prose(31, 50), "en", "a", 1), (3, prose(32, 30) + " " + PASSAGE, "en", "a", 1)]
+    rows = [*ROWS, *halves]
+    got = substrings.remove_repeats(documents(spark, rows), window=window).collect()
+    assert Counter((r.doc_id, r.kept_text, tuple(tuple(s) for s in r.spans)) for r in got) == Counter((i, t, s) for i, t, s in brute_spans(rows, window))
+    if window == 13:
+        assert [s.least_id for r in got if r.doc_id == 10 for s in r.spans] == [3, 0]
+
+
 def test_remove_repeats_of_nothing(spark):
     assert substrings.remove_repeats(empty(spark)).count() == 0
