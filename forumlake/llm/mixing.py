@@ -6,6 +6,13 @@ each language, then of each topic. A document is then sampled with probability
 ``least(1, rate * weight)``; its ``sample_weight`` (rate * weight / probability) makes up
 for the cap, so that weighted token sums meet the targets in expectation.
 
+:func:`sampled_documents` keeps no weights, so its sample has to meet the targets by
+itself: weights are raked under the bound ``1 / rate``, at which a cell is taken whole and
+the others of its values make up for it, until all margins are within ``TOLERANCE``. The
+rate is the largest, in steps of ``SLOWER`` from what the scarcest value allows, at which
+they are. Targets that contradict one another (a source in one language alone, say) hold
+at no rate; then the sample comes as near as the weights without a bound, with a warning.
+
 Targets are given shares, or the observed token shares tempered by an exponent below one.
 
 Defined results: NULL source, language, topic or text count as empty strings; a document
@@ -16,6 +23,8 @@ the empty string; other columns pass through; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from forumlake.session import stage
@@ -23,6 +32,7 @@ from forumlake.session import stage
 MARGINS = ("source", "lang", "topic")
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 ROUNDS, RATE = 8, 0.5
+TOLERANCE, MOST_ROUNDS, SLOWER = 0.01, 40, 0.7  # of a value's target; rounds for one rate; from one rate to the next
 SMALL_CELLS = 100_000  # rows of three short strings and a number, that may be broadcast
 
 
@@ -80,16 +90,69 @@ def raked_cells(cells: DataFrame, shares: dict[str, dict[str, float]] | None = N
     return cells
 
 
+def off_target(cells: DataFrame, goals: dict[str, DataFrame]) -> float:
+    """The largest difference between a value's tokens and its target, as a share of the target."""
+    worst = 0.0
+    for m in MARGINS:
+        now = cells.groupBy(m).agg(F.sum(F.col("tokens") * F.col("weight")).alias("now")).join(goals[m], m).where("target > 0")
+        worst = max(worst, now.agg(F.max(F.abs(F.col("now") / F.col("target") - 1))).first()[0] or 0.0)
+    return worst
+
+
+def raked_under(cells: DataFrame, goals: dict[str, DataFrame], bound: float) -> tuple[DataFrame, float]:
+    """Cells whose weights are ``bound`` at most, raked until the margins hold or get no nearer, and how far off they are."""
+    held = F.least(F.col("weight"), F.lit(bound))
+    raked, off = cells.withColumn("weight", F.lit(1.0)), float("inf")
+    for _ in range(MOST_ROUNDS):
+        for m in MARGINS:
+            now = raked.groupBy(m).agg(F.sum(F.col("tokens") * held).alias("now"))
+            factor = now.join(goals[m], m).select(m, F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(F.lit(1.0)).alias("factor"))
+            raked = raked.join(factor, m).select(*MARGINS, "tokens", (F.col("weight") * F.col("factor")).alias("weight"))
+        raked = stage(raked, "raked")
+        last, off = off, off_target(raked.withColumn("weight", held), goals)
+        if off <= TOLERANCE or off > 0.99 * last:
+            break
+    return raked.withColumn("weight", held), off
+
+
+def calibrated(cells: DataFrame, shares: dict[str, dict[str, float]] | None = None, rate: float = RATE) -> tuple[DataFrame, float]:
+    """Weights and the rate, ``rate`` at most, at which no probability passes one and the sample meets its targets."""
+    goals = {m: stage(targets(cells, m, (shares or {}).get(m)), f"target-{m}") for m in MARGINS}
+    for m in MARGINS:  # no value has more than all of its tokens
+        scarce = cells.groupBy(m).agg(F.sum("tokens").alias("seen")).join(goals[m], m).where("target > 0")
+        rate = min(rate, scarce.agg(F.min(F.col("seen") / F.col("target"))).first()[0] or rate)
+    free, least_off = raked_under(cells, goals, float("inf"))
+    if least_off > TOLERANCE:
+        warnings.warn(f"the mixing targets contradict one another: some value is off by {least_off:.1%} of its target", stacklevel=2)
+    greatest = free.where("tokens > 0").agg(F.max("weight")).first()[0] or 1.0
+    while rate * greatest > 1:
+        raked, off = raked_under(cells, goals, 1 / rate)
+        if off <= max(TOLERANCE, least_off):
+            return raked, rate
+        rate = max(rate * SLOWER, 1 / greatest)
+        if rate * greatest <= 1 + 1e-9:
+            break
+    return free, rate
+
+
 def draw(id_col: Column) -> Column:
     """A number in [0, 1) that depends on the id alone."""
     digest = F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary"))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def cells_of(rows: DataFrame) -> DataFrame:
+    cells = rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens"))
+    return stage(cells, "cells")
+
+
 def mixed(rows: DataFrame, shares: dict[str, dict[str, float]] | None = None, rate: float = RATE, rounds: int = ROUNDS, id_col: str = "doc_id") -> DataFrame:
     """Rows of :func:`with_margins` with ``__weight``, ``__probability``, ``__sample_weight`` and ``__sampled``."""
-    cells = rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens"))
-    cells = raked_cells(stage(cells, "cells"), shares, rounds)
+    return drawn(rows, raked_cells(cells_of(rows), shares, rounds), rate, id_col)
+
+
+def drawn(rows: DataFrame, cells: DataFrame, rate: float, id_col: str = "doc_id") -> DataFrame:
+    """``rows`` with the weights of their cells, and the draws."""
     weights = cells.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("weight").alias("__weight"))
     if weights.count() <= SMALL_CELLS:
         weights = F.broadcast(weights)
@@ -102,6 +165,9 @@ def mixed(rows: DataFrame, shares: dict[str, dict[str, float]] | None = None, ra
     )
 
 
-def sampled_documents(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows of ``docs``, columns as they were."""
-    return mixed(with_margins(docs), **options).where("__sampled").select(*[F.col(f"`{c}`") for c in docs.columns])
+def sampled_documents(
+    docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, rate: float = RATE, id_col: str = "doc_id", topic: Column | None = None
+) -> DataFrame:
+    """The sampled rows of ``docs``, columns as they were; their tokens have the target shares in expectation."""
+    rows = with_margins(docs, topic)
+    return drawn(rows, *calibrated(cells_of(rows), shares, rate), id_col).where("__sampled").select(*[F.col(f"`{c}`") for c in docs.columns])

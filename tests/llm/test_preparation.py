@@ -57,6 +57,36 @@ def test_mixing_of_odd_rows(spark):
     assert mixing.sampled_documents(empty(spark)).count() == 0
 
 
+def test_the_sample_has_the_target_shares(spark):
+    """Rare values too, whose cells would be drawn with probabilities above one."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "w " * int(n), "de" if a < 0.04 else "en", "rare" if b < 0.02 else f"s{i % 3}", 1) for i, (n, a, b) in enumerate(zip(rng.integers(5, 30, 40_000), rng.random(40_000), rng.random(40_000)))]
+    docs, topic = documents(spark, rows), F.lit("t")
+    cells = mixing.cells_of(mixing.with_margins(docs, topic))
+    raked, rate = mixing.calibrated(cells)
+    assert 0 < rate <= mixing.RATE
+    got, all_ = Counter(), Counter()
+    for r in mixing.sampled_documents(docs, topic=topic).collect():
+        got["source", r.source] += len(r.text.split())
+        got["lang", r.lang] += len(r.text.split())
+    for r in rows:
+        all_["source", r[3]] += len(r[1].split())
+        all_["lang", r[2]] += len(r[1].split())
+    for margin in ("source", "lang"):
+        wish = {k: n ** mixing.TEMPER[margin] for k, n in all_.items() if k[0] == margin}
+        tokens = sum(got[k] for k in wish)
+        for k, n in wish.items():
+            assert got[k] / tokens == pytest.approx(n / sum(wish.values()), rel=0.06), k
+    assert all(r.weight * rate <= 1 + 1e-9 for r in raked.collect())
+
+
+def test_targets_that_contradict_each_other(spark):
+    rows = [(i, "w " * 5, "de" if i % 10 == 0 else "en", "a" if i % 10 == 0 else "b", 1) for i in range(200)]
+    shares = {"source": {"a": 0.5, "b": 0.5}, "lang": {"de": 0.1, "en": 0.9}}
+    with pytest.warns(UserWarning, match="contradict"):
+        assert mixing.sampled_documents(documents(spark, rows), shares=shares, topic=F.lit("t")).count()
+
+
 # Chat windows.
 
 
