@@ -87,6 +87,17 @@ def groups_of(window: Window, size: int = SYNC_GROUP) -> list[Window]:
     return [Window(s, min(s + size - 1, window.end)) for s in range(window.start, window.end + 1, size)]
 
 
+def covered(cursor: int, max_id: int, window: Window, end: int, first: int | None) -> int:
+    """The cursor once a run's window is merged up to ``end``.
+
+    An overridden start neither takes the cursor back nor over ids that no run
+    has asked for; a backfill without a cursor stands at the highest stored id."""
+    if first is None:
+        return end
+    stands = cursor or max_id
+    return max(stands, end) if window.start <= stands + 1 else stands
+
+
 @dataclass(frozen=True)
 class SyncResult:
     mode: str
@@ -122,13 +133,13 @@ def sync(
     max_id = items.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if mode == "backfill" and not cursor else 0
     window = resolve_window(spark, mode, cursor, max_id, head, batch, first)
     if window.is_empty:
-        return items, SyncResult(mode, head, None, 0, 0, cursor if mode == "backfill" else head)
+        return items, SyncResult(mode, head, None, 0, 0, cursor if mode == "backfill" or first is not None else head)
     wanted = wanted_ids(spark, mode, window, lists, head)
     found = feed.join(wanted.select("id"), "id", "left_semi")
     changes = changes_of(feed, wanted)
     fetched = found.select("id").distinct().count()
     upserted = changes.count()
-    return upsert(items, changes), SyncResult(mode, head, window, fetched, upserted, window.end)
+    return upsert(items, changes), SyncResult(mode, head, window, fetched, upserted, covered(cursor, max_id, window, window.end, first))
 
 
 def run_sync(
@@ -151,7 +162,7 @@ def run_sync(
     start at the newest end, after the ranked lists, so its cursor moves to the
     window's end only when all of them are merged: no id is passed over. Ids of
     the ranked lists are not asked for again with their group. The feed is read
-    once a run.
+    once a run. A run from ``first`` moves the cursor only if no id lies between.
     """
     if mode not in MODES:
         raise ValueError(f"unknown sync mode {mode!r}")
@@ -159,7 +170,7 @@ def run_sync(
     max_id = read_items(spark, items_path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if mode == "backfill" and not cursor else 0
     window = resolve_window(spark, mode, cursor, max_id, head, batch, first)
     if window.is_empty:
-        return SyncResult(mode, head, None, 0, 0, cursor if mode == "backfill" else head)
+        return SyncResult(mode, head, None, 0, 0, cursor if mode == "backfill" or first is not None else head)
     groups = groups_of(window, group)
     wanted = wanted_ids(spark, mode, window, lists, head)
     found = stage(latest_versions(feed.join(wanted.select("id"), "id", "left_semi")).join(wanted, "id"), "fetched")
@@ -178,9 +189,9 @@ def run_sync(
             merge_into(items_path, changes)
         upserted += merged
         if mode == "backfill":
-            cursor = groups[n].end
+            cursor = covered(cursor, max_id, window, groups[n].end, first)
             set_cursor(spark, cursors_path, mode, cursor, upserted, datetime.now(timezone.utc))
     if mode == "latest":
-        cursor = window.end
+        cursor = covered(cursor, max_id, window, window.end, first)
         set_cursor(spark, cursors_path, mode, cursor, upserted, datetime.now(timezone.utc))
     return SyncResult(mode, head, window, fetched, upserted, cursor)

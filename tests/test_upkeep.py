@@ -269,3 +269,19 @@ def test_latest_run_out_of_time_keeps_its_cursor(spark, tmp_path):
     second = run()
     assert not second.timed_out and stored.get_cursor(spark, cursors, "latest") == 8
     assert titles(stored.read_items(spark, items)) == {1: "n1", 5: "n5", 6: "n6", 7: "n7", 8: "n8"}
+
+
+@pytest.mark.parametrize("mode", sync.MODES)
+def test_an_overridden_start_passes_no_ids_over(spark, tmp_path, mode):
+    items, cursors = str(tmp_path / "items"), str(tmp_path / "cursors")
+    stored.write_items(rows_of(spark, {"id": 1, "title": "a"}), items)
+    (tmp_path / "feed").mkdir()
+    lines = [json.dumps({"id": i, "type": "story", "title": f"n{i}"}) for i in (500, 1_500, 5_500)]
+    (tmp_path / "feed" / "f.json").write_text("\n".join(lines), encoding="utf-8")
+    rows = feed.read_feed(spark, str(tmp_path / "feed"))
+    stored.set_cursor(spark, cursors, mode, 1_000, 0, datetime(2024, 1, 1))
+    # Ahead of the cursor, behind it, and right after it.
+    for first, cursor in ((5_000, 1_000), (1, 1_000), (1_001, 2_000)):
+        done = sync.run_sync(spark, items, cursors, rows, mode, head=9_000, batch=1_000, first=first)
+        assert (done.window.start, done.cursor, stored.get_cursor(spark, cursors, mode)) == (first, cursor, cursor)
+    assert titles(stored.read_items(spark, items)) == {1: "a", 500: "n500", 1_500: "n1500", 5_500: "n5500"}
