@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forumlake.llm import brown, chat_windows, chosen_path, exact_dedup, imatch, licenses, mixing, packing, quality, substrings
+from forumlake.llm import brown, chat_windows, chosen_path, exact_dedup, imatch, licenses, mixing, packing, quality, substrings, token_counts
 from forumlake.llm.common import conversations, documents
 from forumlake.session import stage
 
@@ -148,6 +148,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_imatch": op1_imatch,
     "op2_chosen_path": op2_chosen_path,
@@ -159,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cost_packing": op8_cost_packing,
     "op9_license_scan": op9_license_scan,
     "op10_quality": op10_quality,
+    "op11_token_counts": op11_token_counts,
 }
 
 SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op6_source_mixing": _raking_sql()}
