@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forumlake.llm import brown, chat_windows, chosen_path, exact_dedup, imatch, licenses, mixing, packing, quality, substrings, token_counts
+from forumlake.llm import brown, chat_windows, chosen_path, exact_dedup, imatch, licenses, mixing, packing, periodic_runs, quality, substrings, token_counts
 from forumlake.llm.common import conversations, documents
 from forumlake.session import stage
 
@@ -153,6 +153,11 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest periodic run of every document, and digests of all its runs and of its collapsed text."""
+    return periodic_runs.digests(periodic_runs.collapse_runs(documents(spark, sf_dir), seeded=True))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_imatch": op1_imatch,
     "op2_chosen_path": op2_chosen_path,
@@ -165,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_quality": op10_quality,
     "op11_token_counts": op11_token_counts,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op6_source_mixing": _raking_sql()}
