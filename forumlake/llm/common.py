@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 CONVERSATIONS = "conv_id bigint, turn bigint, role string, text string"
+EMBEDDINGS = "vec_id bigint, embedding array<float>, label int"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,10 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(CONVERSATIONS).parquet(f"{sf_dir}/conversations.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(EMBEDDINGS).parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; NULL is the empty text."""
     if isinstance(column, pa.ChunkedArray):

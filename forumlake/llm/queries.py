@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forumlake.llm import brown, chat_windows, chosen_path, exact_dedup, imatch, licenses, mixing, packing, periodic_runs, quality, substrings, token_counts
-from forumlake.llm.common import conversations, documents
+from forumlake.llm import brown, chat_windows, chosen_path, exact_dedup, imatch, licenses, mixing, packing, periodic_runs, quality, substrings, token_counts, whitening
+from forumlake.llm.common import conversations, documents, embeddings
 from forumlake.session import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -153,6 +153,11 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding along the four leading eigenvectors, in units of their standard deviations."""
+    return whitening.whitened_embeddings(embeddings(spark, sf_dir))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest periodic run of every document, and digests of all its runs and of its collapsed text."""
     return periodic_runs.digests(periodic_runs.collapse_runs(documents(spark, sf_dir), seeded=True))
@@ -170,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_quality": op10_quality,
     "op11_token_counts": op11_token_counts,
+    "op12_whitening": op12_whitening,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
