@@ -21,7 +21,9 @@ passage can be found:
 4. Each shard removes what was found in smaller ids.
 
 A passage of any number of documents is sent at most once by a shard, so no bucket or
-owner gathers the copies. Words are compared by 32 bits of their hash within passages
+owner gathers the copies. Rows of a shard may reach its steps in any order (another executor,
+a task that is run again), and steps speak of places in the shard: it is ordered by id and
+text each time it is made. Words are compared by 32 bits of their hash within passages
 whose anchors and windows agree by 64.
 
 Defined results: a NULL text has no words; a NULL id is larger than every other and
@@ -63,6 +65,7 @@ class Shard:
 
     def __init__(self, table: pa.Table, window: int):
         self.window = window
+        self.table = table = table.sort_by([("order", "ascending"), ("text", "ascending")])
         self.ids = table.column("doc_id").to_pylist()
         self.orders = table.column("order").to_numpy()
         self.hashes, self.sizes = hashed_words(table.column("text"))
@@ -103,8 +106,8 @@ def to_buckets(shard: int, hashes: np.ndarray, orders: np.ndarray, buckets: int)
     bucket = ((found >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     found, least, several, bucket = found[by], least[by], several[by], bucket[by]
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-    rows = [(k, shard, found[s:e].tobytes(), least[s:e].tobytes(), several[s:e].tobytes()) for k, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)  # at most one a hash
+    rows = [(int(bucket[s]), shard, found[s:e].tobytes(), least[s:e].tobytes(), several[s:e].tobytes()) for s, e in zip(cuts, np.append(cuts[1:], len(bucket)))]
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
     return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(("bucket", "shard", "hashes", "least", "several"), kinds))})
 
@@ -279,7 +282,7 @@ def removed(table: pa.Table, found: pa.Table, window: int) -> pa.Table:
     gone = np.cumsum(cover[:-1]) > 0
     first = np.searchsorted(doc, np.arange(len(shard.sizes) + 1))
     out = []
-    for k, body in enumerate(byte_texts(table.column("text"))):
+    for k, body in enumerate(byte_texts(shard.table.column("text"))):
         words = body.split()
         off = gone[shard.offsets[k] : shard.offsets[k + 1]]
         n = int(off.sum())
