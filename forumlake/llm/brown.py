@@ -4,17 +4,22 @@ P(text) is the product over its tokens (words, then an end) of
 P(class | class before) * P(word | class).
 
 1. Words of the training documents are counted, all of them.
-2. The ``WORDS`` most frequent words are types of their own; any other word has the type
-   of its last three bytes (``SUFFIXES`` hash values), so the table of types is bounded.
-3. Exchange clustering: types move to the class that raises the likelihood of the class
-   bigrams most. A pass counts, over the whole training text and in parallel, the classes
-   before and after every type; moves are made on that table (types x classes numbers,
-   whatever the corpus), half the types a pass, so that neighbours do not swap for ever.
-4. Transitions are smoothed towards the class frequencies, emissions by adding one, with
-   one unseen word a class; both sum to one.
-5. The counts of the ``LOCAL`` most frequent words go to every task. Other words are sent,
-   once a document, to the bucket that holds their counts, and sums by document come back.
-   No word outside the table is frequent, so buckets are even.
+2. Core words, those with ``CORE_SHARE`` of the training tokens or more (at most 1 / share of
+   them, at any size), are clustered by exchange: types move to the class that raises the
+   likelihood of the class bigrams most. A pass counts, over the whole training text and in
+   parallel, the classes before and after every type; moves are made on that table (half the
+   types a pass, so that neighbours do not swap for ever) until a pass gains less than
+   ``LEAST_GAIN`` a token. Other words stand in as types of their last three bytes meanwhile.
+3. Every other word that the training text has more than once then moves by its own
+   contexts: the classes beside it are counted over the whole text, summed by word in buckets
+   that grow in number with the corpus, and the word takes the class that raises the
+   likelihood most, beside the broadcast table of classes. Words met once, and words met in no training text,
+   keep the class of their last three bytes.
+4. Transitions are counted anew under all words' classes and smoothed towards the class
+   frequencies, emissions by adding one, with one unseen word a class; both sum to one.
+5. Counts and classes of the most frequent words (at most ``LOCAL``, by a histogram of the
+   counts) go to every task. A document carries its other words, each once, to a join with
+   the table of words. None of these is frequent, so no key is hot.
 
 A document is training text unless crc32(id as text) mod 7 is 2. Words are told apart by a
 64-bit hash. Defined results: a NULL text has no words and still has its end; a NULL id
@@ -38,13 +43,15 @@ from pyspark.sql import DataFrame, functions as F
 from forumlake.llm.words import coded_words
 from forumlake.session import stage
 
-WORDS, SUFFIXES, CLASSES, PASSES = 8192, 1024, 64, 10
+CORE_SHARE = 2e-5  # of the training tokens
+SUFFIXES, CLASSES = 1024, 64
+MOST_PASSES, LEAST_GAIN = 20, 1e-3  # of the exchange; natural log likelihood a token
 LOCAL = 1 << 17
-TYPES = 1 + WORDS + SUFFIXES  # type 0 is the end
-BUCKET = 2_000_000  # tokens of the corpus to a bucket of words
+BUCKET = 2_000_000  # training tokens to a bucket of words
 SMOOTH = 50.0  # weight of the class frequencies in a transition
 ROWS = 1000  # texts whose words are looked up together
 COUNTED = 500_000  # words that a task counts before it hands them on
+CONTEXTS = 2_000_000  # contexts that a task gathers before it hands them on
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds a line break
 
 
@@ -88,74 +95,106 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("term", "suffix").agg(F.sum("n").alias("n"))
 
 
+class Table:
+    """Columns of numbers by term, looked up by binary search."""
+
+    def __init__(self, terms: np.ndarray, **columns: np.ndarray):
+        by = np.argsort(terms)
+        self.terms, self.columns = terms[by], {name: x[by] for name, x in columns.items()}
+
+    def places(self, terms: np.ndarray) -> np.ndarray:
+        """Where each term is; -1 where it is not."""
+        if not len(self.terms):
+            return np.full(len(terms), -1)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, at, -1)
+
+    def look_up(self, name: str, terms: np.ndarray, missing: np.ndarray | int) -> np.ndarray:
+        at = self.places(terms)
+        return np.where(at >= 0, self.columns[name][at], missing) if len(self.terms) else np.broadcast_to(missing, terms.shape)
+
+
 @dataclass(frozen=True)
 class Vocabulary:
-    """Counts and types of the frequent words, and the size of the training text."""
+    """The size of the training text, the types of the core words, and the least count of words that go to every task."""
 
     tokens: int
     distinct: int
-    local: dict[int, int]
-    types: dict[int, int]
+    core: Table
+    local_from: int
+
+    @property
+    def suffix_type(self) -> int:
+        """The first type of a word end; type 0 is the end, the core words lie between."""
+        return 1 + len(self.core.terms)
+
+    @property
+    def types(self) -> int:
+        return self.suffix_type + SUFFIXES
 
-    def look_up(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Hashes, types and counts (-1 when not among the local ones) of the words of every text."""
-        for k in range(0, len(texts), ROWS):
-            words, which, sizes = coded_words(texts.slice(k, ROWS), lower=True)
-            terms = list(map(xxhash.xxh3_64_intdigest, words))
-            types = [self.types.get(h, -1) for h in terms]
-            types = np.asarray([kind if kind >= 0 else 1 + WORDS + suffix(word) for word, kind in zip(words, types)], np.int64)
-            counts = np.asarray([self.local.get(h, -1) for h in terms], np.int64)
-            cuts = np.cumsum(sizes)[:-1]
-            yield from zip(*(np.split(x[which], cuts) for x in (np.asarray(terms, np.uint64), types, counts)))
+
+def texts_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For some texts at a time: their number, distinct terms, their suffixes, the place of each word's term, and the words of each text."""
+    for k in range(0, len(column), ROWS):
+        words, which, sizes = coded_words(column.slice(k, ROWS), lower=True)
+        terms = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        yield len(sizes), terms, np.fromiter(map(suffix, words), np.int64, len(words)), which, sizes
+
+
+def with_ends(tokens: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """The words' values with ``end`` behind each text's."""
+    out = np.full(len(tokens) + len(sizes), end, tokens.dtype)
+    out[np.arange(len(tokens)) + np.repeat(np.arange(len(sizes)), sizes)] = tokens
+    return out
 
 
 def vocabulary_of(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.sum("n"), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "term").limit(LOCAL).select("term", "n").toArrow()
-    terms, n = top.column("term").to_numpy().view(np.uint64).tolist(), top.column("n").to_numpy().tolist()
-    words = [t for t in terms if t != END][:WORDS]
-    return Vocabulary(total[0] or 0, total[1], dict(zip(terms, n)), {END: 0} | {t: k + 1 for k, t in enumerate(words)})
+    tokens = total[0] or 0
+    least = max(2, -(-tokens * CORE_SHARE // 1))
+    words = counts.where((F.col("n") >= least) & (F.col("suffix") >= 0)).select("term", "n").orderBy(F.desc("n"), "term").toArrow()
+    core = words.column("term").to_numpy().view(np.uint64)
+    level = F.floor(F.log2("n") * 8)
+    local_from, held = 1 << 62, 0
+    for row in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("level")).collect():  # 8 a doubling
+        if held + row["words"] > LOCAL:
+            break
+        local_from, held = row["n"], held + row["words"]
+    return Vocabulary(tokens, total[1], Table(core, type=np.arange(1, len(core) + 1)), local_from)
 
 
 def encoded(docs: DataFrame, vocabulary) -> DataFrame:
-    """(doc_id, held_out, key, types, n_tokens, log_sum, known): the types of all tokens, and the sums over local words."""
+    """The types of all tokens of some texts, one after the other; an end closes every text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = vocabulary.value.local.get(END, 0)
+        held = vocabulary.value
         for batch in batches:
-            kinds, sizes, sums, seen = [], [], [], []
-            for _, types, counts in vocabulary.value.look_up(batch.column(3)):
-                local = counts[counts >= 0]
-                kinds.append(np.append(types, 0).astype("<u2").tobytes())
-                sizes.append(len(types) + 1)
-                sums.append(float(np.log10(local + 1.0).sum() + np.log10(end + 1.0)))
-                seen.append(int((local > 0).sum() + (end > 0)))
-            columns = [*batch.columns[:3], pa.array(kinds, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(seen, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "key", "types", "n_tokens", "log_sum", "known"])
-
-    return docs.select("doc_id", "held_out", "key", "text").mapInArrow(
-        each, "doc_id bigint, held_out boolean, key bigint, types binary, n_tokens bigint, log_sum double, known bigint"
-    )
+            rows = []
+            for _, terms, ends, which, sizes in texts_of(batch.column(0)):
+                kinds = held.core.look_up("type", terms, held.suffix_type + ends)
+                rows.append(with_ends(kinds[which], sizes, 0).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["types"])
+
+    return docs.select("text").mapInArrow(each, "types binary")
 
 
 def contexts(codes: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts [type, class] of the classes before and after every type, over the whole training text."""
     shared = codes.sparkSession.sparkContext.broadcast(classes)
+    types = len(classes)
     pieces = 16
-    step = -(-TYPES // pieces)
+    step = -(-types // pieces)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
-        before, after = np.zeros(TYPES * CLASSES, np.int64), np.zeros(TYPES * CLASSES, np.int64)
+        before, after = np.zeros(types * CLASSES, np.int64), np.zeros(types * CLASSES, np.int64)
         for batch in batches:
-            # Every text ends with an end, and an end stands before every text.
-            text = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2")
-            for k in range(0, len(text), 1 << 20):
-                now = text[k : k + (1 << 20)].astype(np.int64)
-                last = np.append(text[k - 1] if k else 0, now[:-1]).astype(np.int64)
+            for row in batch.column(0).to_pylist():
+                now = np.frombuffer(row, "<u4").astype(np.int64)
+                last = np.append(0, now[:-1])  # an end stands before every text
                 before += np.bincount(now * CLASSES + of[last], minlength=len(before))
                 after += np.bincount(last * CLASSES + of[now], minlength=len(after))
-        both = np.stack([before.reshape(TYPES, CLASSES), after.reshape(TYPES, CLASSES)], axis=1)
+        both = np.stack([before.reshape(types, CLASSES), after.reshape(types, CLASSES)], axis=1)
         made = [zlib.compress(both[k * step : (k + 1) * step].tobytes(), 1) for k in range(pieces)]
         yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array(made, pa.binary())], names=["piece", "counts"])
 
@@ -164,9 +203,9 @@ def contexts(codes: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.ndar
         return pd.DataFrame({"piece": rows["piece"].iloc[:1], "counts": [total.tobytes()]})
 
     schema = "piece int, counts binary"
-    summed = codes.select("types").mapInArrow(count, schema).groupBy("piece").applyInPandas(add, schema).toArrow()
+    summed = codes.mapInArrow(count, schema).groupBy("piece").applyInPandas(add, schema).toArrow()  # core types, whatever the corpus
     found = dict(zip(summed.column("piece").to_pylist(), summed.column("counts").to_pylist()))
-    empty = np.zeros((TYPES, 2, CLASSES), np.int64)
+    empty = np.zeros((types, 2, CLASSES), np.int64)
     both = np.concatenate([np.frombuffer(found[k], np.int64).reshape(-1, 2, CLASSES) for k in range(pieces)]) if found else empty
     return both[:, 0], both[:, 1]
 
@@ -177,171 +216,290 @@ def by_class(table: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return out
 
 
+def association(pairs: np.ndarray) -> np.ndarray:
+    """log P(class, class after) / (P(class) * P(class after)) of a table of counts."""
+    pairs = pairs.astype(float) + 0.1
+    return np.log(pairs / np.outer(pairs.sum(axis=1), pairs.sum(axis=0)) * pairs.sum())
+
+
+def likelihood(pairs: np.ndarray) -> float:
+    """Of the class bigrams, a token."""
+    return float((pairs * association(pairs)).sum() / max(1, pairs.sum()))
+
+
 def moved(classes: np.ndarray, before: np.ndarray, after: np.ndarray, open_: np.ndarray) -> np.ndarray:
     """Classes after each of the ``open_`` types went where the bigram likelihood gains most; the end stays alone."""
-    pairs = by_class(after, classes).astype(float) + 0.1  # [class, class after it]
-    lone = pairs / np.outer(pairs.sum(axis=1), pairs.sum(axis=0)) * pairs.sum()
-    gain = before @ np.log(lone) + after @ np.log(lone.T)
+    lone = association(by_class(after, classes))
+    gain = before @ lone + after @ lone.T
     gain[:, 0] = -np.inf
     best = gain.argmax(axis=1)
-    stay = (gain[np.arange(TYPES), best] <= gain[np.arange(TYPES), classes] + 1e-9) | (before.sum(axis=1) == 0) | ~open_
+    rows = np.arange(len(classes))
+    stay = (gain[rows, best] <= gain[rows, classes] + 1e-9) | (before.sum(axis=1) == 0) | ~open_
     stay[0] = True
     return np.where(stay, classes, best)
 
 
-def clustered(codes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of all types and the context counts under them. The most frequent types start as classes of
-    their own, the others together in the last class."""
-    codes = codes.where(~F.col("held_out"))
-    classes = np.minimum(np.arange(TYPES), CLASSES - 1)
+def clustered(codes: DataFrame, types: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Classes of all types, the counts of class bigrams under them, and what the last pass gained a token. The most frequent
+    types start as classes of their own, the others together in the last class."""
+    classes = np.minimum(np.arange(types), CLASSES - 1)
     before, after = contexts(codes, classes)
-    for k in range(PASSES):
-        turn = np.ones(TYPES, bool) if k == 0 else np.arange(TYPES) % 2 == k % 2
-        now = moved(classes, before, after, turn)
-        if k > 1 and (now == classes).all():
-            break
-        classes = now
+    gained, low, now = np.inf, 0, likelihood(by_class(after, classes))
+    for k in range(MOST_PASSES):
+        turn = np.ones(types, bool) if k == 0 else np.arange(types) % 2 == k % 2
+        classes = moved(classes, before, after, turn)
         before, after = contexts(codes, classes)
-    return classes, before, after
+        last, now = now, likelihood(by_class(after, classes))
+        gained = now - last
+        low = low + 1 if gained < LEAST_GAIN else 0
+        if low == 2:  # both halves
+            break
+    return classes, by_class(after, classes), gained
+
+
+def own_contexts(docs: DataFrame, vocabulary, classes) -> DataFrame:
+    """(bucket, terms, sizes, cells, n): for the words outside the core, the classes before (cells below ``CLASSES``) and after."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = vocabulary.value, classes.value
+        buckets = max(1, -(-held.tokens // BUCKET))
+        gathered: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def handed() -> pa.RecordBatch:
+            terms = np.concatenate([t for t, _ in gathered])
+            cells = np.concatenate([c for _, c in gathered])
+            known, which = np.unique(terms, return_inverse=True)
+            pair, n = np.unique(which * (2 * CLASSES) + cells, return_counts=True)
+            which, cells = np.divmod(pair, 2 * CLASSES)
+            bucket = ((known >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket[which], kind="stable")
+            which, cells, n = which[order], cells[order], n[order]
+            of_row = bucket[which]
+            rows, starts = [], np.flatnonzero(np.append(True, of_row[1:] != of_row[:-1]))
+            for s, e in zip(starts, np.append(starts[1:], len(of_row))):
+                mine, sizes = np.unique(which[s:e], return_counts=True)
+                parts = (known[mine].astype("<u8"), sizes.astype("<u1"), cells[s:e].astype("<u1"), n[s:e].astype("<u4"))
+                rows.append((int(of_row[s]), *(zlib.compress(x.tobytes(), 1) for x in parts)))
+            kinds = (pa.int64(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "terms", "sizes", "cells", "n"])
+
+        size = 0
+        for batch in batches:
+            for _, terms, ends, which, sizes in texts_of(batch.column(0)):
+                kinds = held.core.look_up("type", terms, held.suffix_type + ends)
+                rare = with_ends((kinds >= held.suffix_type)[which], sizes, False)
+                now = with_ends(of[kinds][which], sizes, 0)
+                hashes = with_ends(terms[which], sizes, END)
+                at = np.flatnonzero(rare)  # a word has an end behind it at the latest, and one before its text
+                gathered += [(hashes[at], np.where(at > 0, now[at - 1], 0)), (hashes[at], CLASSES + now[at + 1])]
+                size += 2 * len(at)
+                if size > CONTEXTS:
+                    yield handed()
+                    gathered.clear()
+                    size = 0
+        if size:
+            yield handed()
+
+    return docs.select("text").mapInArrow(each, "bucket bigint, terms binary, sizes binary, cells binary, n binary")
+
+
+def placed(sent: DataFrame, lone) -> DataFrame:
+    """(term, cls): the class that raises the likelihood most, for every word met more than once; of equally good ones the first."""
+
+    def unpack(column, kind: str) -> np.ndarray:
+        return np.concatenate([np.frombuffer(zlib.decompress(x), kind) for x in column])
+
+    def place(rows: pd.DataFrame) -> pd.DataFrame:
+        terms = np.repeat(unpack(rows["terms"], "<u8"), unpack(rows["sizes"], "<u1"))
+        cells, n = unpack(rows["cells"], "<u1").astype(np.int64), unpack(rows["n"], "<u4").astype(np.float64)
+        known, which = np.unique(terms, return_inverse=True)
+        uses = np.bincount(which, n * (cells < CLASSES))
+        gains = np.concatenate([lone.value, lone.value.T])  # [cell, class]
+        best = np.zeros(len(known), np.int64)
+        order = np.argsort(which, kind="stable")
+        which, cells, n = which[order], cells[order], n[order]
+        for low in range(0, len(known), 20_000):
+            high = min(len(known), low + 20_000)
+            part = slice(*np.searchsorted(which, [low, high]))
+            table = np.bincount((which[part] - low) * (2 * CLASSES) + cells[part], n[part], (high - low) * 2 * CLASSES).reshape(-1, 2 * CLASSES)
+            gain = table @ gains
+            gain[:, 0] = -np.inf
+            best[low:high] = gain.argmax(axis=1)
+        more = uses > 1
+        return pd.DataFrame({"term": known[more].view(np.int64), "cls": best[more]})
+
+    return sent.groupBy("bucket").applyInPandas(place, "term bigint, cls bigint")
+
+
+def classed(docs: DataFrame, local, by_suffix) -> DataFrame:
+    """One row per document: the classes of its tokens and sums over the local words; its other words, each once, and where they stand."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, of = local.value, by_suffix.value
+        end = int(known.look_up("n", np.asarray([END], np.uint64), 0)[0])
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            done = 0
+            for size, terms, ends, which, sizes in texts_of(batch.column(2)):
+                at = known.places(terms)
+                counts = known.look_up("n", terms, -1)
+                classes = known.look_up("cls", terms, of[ends])
+                cuts = np.append(0, np.cumsum(sizes))
+                logs = np.append(0, np.cumsum(np.where(counts >= 0, np.log10(np.maximum(counts, 0) + 1.0), 0.0)[which]))
+                seen = np.append(0, np.cumsum((counts > 0)[which]))
+                out = {"classes": [], "rare": [], "place": [], "which": []}
+                for s, e in zip(cuts[:-1], cuts[1:]):
+                    mine = which[s:e]
+                    place = np.flatnonzero(at[mine] < 0)
+                    rare, back = np.unique(mine[place], return_inverse=True)
+                    out["classes"].append(np.append(classes[mine], 0).astype("<u1").tobytes())
+                    out["rare"].append(terms[rare].view(np.int64))
+                    out["place"].append(place.astype("<u4").tobytes())
+                    out["which"].append(back.astype("<u4").tobytes())
+                rows = pa.array(range(row, row + size), pa.int64())
+                row += size
+                columns = [
+                    rows,
+                    *[c.slice(done, size) for c in batch.columns[:2]],
+                    pa.array(sizes + 1, pa.int64()),
+                    pa.array(np.diff(logs[cuts]) + np.log10(end + 1.0), pa.float64()),
+                    pa.array(np.diff(seen[cuts]) + (end > 0), pa.int64()),
+                    pa.array(out["classes"], pa.binary()),
+                    pa.array(out["rare"], pa.list_(pa.int64())),
+                    *[pa.array(out[k], pa.binary()) for k in ("place", "which")],
+                ]
+                done += size
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "log_sum", "n_known", "classes", "rare", "place", "which"])
+
+    schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, log_sum double, n_known bigint, classes binary, rare array<bigint>, place binary, which binary"
+    return docs.select("doc_id", "held_out", "text").mapInArrow(each, schema)
+
+
+FINAL = "doc_id bigint, held_out boolean, n_tokens bigint, log_sum double, n_known bigint, classes binary"
+FINAL_COLUMNS = [part.split()[0] for part in FINAL.split(", ")]
+
+
+def with_rare(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """``rows`` of :func:`classed` with the classes and sums of all words."""
+    uses = rows.select("row", F.posexplode("rare").alias("k", "term"))
+    found = uses.join(words.select("term", "n", "cls"), "term").groupBy("row").agg(F.collect_list(F.struct("k", "n", "cls")).alias("found"))  # a document's own words
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums, seen, classes = [], [], []
+            columns = {name: batch.column(name).to_pylist() for name in ("log_sum", "n_known", "classes", "place", "which", "rare_words", "found")}
+            for log, n, code, place, which, size, met in zip(*columns.values()):
+                if met:
+                    place, which = np.frombuffer(place, "<u4"), np.frombuffer(which, "<u4")
+                    counts, of = np.zeros(size, np.int64), np.full(size, -1, np.int64)
+                    for m in met:
+                        counts[m["k"]], of[m["k"]] = m["n"], m["cls"]
+                    own = np.frombuffer(code, "<u1").copy()
+                    own[place] = np.where(of[which] >= 0, of[which], own[place])
+                    code, log, n = own.tobytes(), log + float(np.log10(counts[which] + 1.0).sum()), n + int((counts[which] > 0).sum())
+                sums.append(log)
+                seen.append(n)
+                classes.append(code)
+            kept = [batch.column(name) for name in ("doc_id", "held_out", "n_tokens")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sums, pa.float64()), pa.array(seen, pa.int64()), pa.array(classes, pa.binary())], names=["doc_id", "held_out", "n_tokens", "log_sum", "n_known", "classes"])
+
+    slim = rows.withColumn("rare_words", F.size("rare")).drop("rare")
+    return slim.join(found, "row", "left").mapInArrow(each, FINAL)
+
+
+def class_bigrams(codes: DataFrame) -> np.ndarray:
+    """Counts of class and class after over the training documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            now = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u1").astype(np.int64)  # every text ends with the end's class
+            if len(now):
+                pairs += np.bincount(np.append(0, now[:-1]) * CLASSES + now, minlength=len(pairs))
+        cells = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(pairs[cells], pa.int64())], names=["cell", "n"])
+
+    out = np.zeros(CLASSES * CLASSES, np.int64)
+    for cell, n in codes.where(~F.col("held_out")).select("classes").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect():  # classes squared
+        out[cell] = n
+    return out.reshape(CLASSES, CLASSES)
 
 
 @dataclass(frozen=True)
 class ClassModel:
-    """Class of every type, log10 of the transitions, and log10 of the emissions' denominators."""
+    """log10 of the transitions and of the emissions' denominators."""
 
-    classes: np.ndarray
     steps: np.ndarray
     totals: np.ndarray
 
 
-def fit(codes: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> ClassModel:
-    classes, before, after = clustered(codes)
-    uses = by_class(before, classes).sum(axis=1).astype(float)  # tokens of a class
+def model_of(pairs: np.ndarray, distinct: np.ndarray) -> ClassModel:
+    uses = pairs.sum(axis=0).astype(float)  # tokens of a class
     share = (uses + 1) / (uses + 1).sum()
-    pairs = by_class(after, classes).astype(float)
     steps = np.log10((pairs + SMOOTH * share[None, :]) / (pairs.sum(axis=1, keepdims=True) + SMOOTH))
-    # Distinct words of a class: those with types of their own, and the rest by suffix.
-    distinct = np.zeros(TYPES)
-    for row in counts.groupBy("suffix").agg(F.count("*").alias("n")).collect():  # one row a suffix
-        distinct[0 if row["suffix"] < 0 else 1 + WORDS + row["suffix"]] += row["n"]
-    own = counts.where("suffix >= 0").orderBy(F.desc("n"), "term").limit(LOCAL).select("term", "suffix").toArrow()
-    for term, kind in zip(own.column("term").to_numpy().view(np.uint64).tolist(), own.column("suffix").to_pylist()):
-        if term in vocabulary.types:
-            distinct[vocabulary.types[term]] += 1
-            distinct[1 + WORDS + kind] -= 1
-    sizes = np.zeros(CLASSES)
-    np.add.at(sizes, classes, distinct)
-    return ClassModel(classes, steps, np.log10(uses + sizes + 1))
+    return ClassModel(steps, np.log10(uses + distinct + 1))
 
 
 def class_scores(codes: DataFrame, model) -> DataFrame:
-    """``codes`` without the types, with ``class_sum``: transitions less the emissions' denominators."""
+    """``codes`` with ``class_sum`` instead of the classes: transitions less the emissions' denominators."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, steps, totals = model.value.classes, model.value.steps, model.value.totals
+        steps, totals = model.value.steps, model.value.totals
         for batch in batches:
             sums = []
-            for code in batch.column(3).to_pylist():
-                now = classes[np.frombuffer(code, "<u2")]
-                sums.append(float(steps[np.append(classes[0], now[:-1]), now].sum() - totals[now].sum()))
-            columns = [*batch.columns[:3], *batch.columns[4:], pa.array(sums, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "key", "n_tokens", "log_sum", "known", "class_sum"])
-
-    return codes.select("doc_id", "held_out", "key", "types", "n_tokens", "log_sum", "known").mapInArrow(
-        each, "doc_id bigint, held_out boolean, key bigint, n_tokens bigint, log_sum double, known bigint, class_sum double"
-    )
+            for code in batch.column(5).to_pylist():
+                now = np.frombuffer(code, "<u1")
+                sums.append(float(steps[np.append(0, now[:-1]), now].sum() - totals[now].sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sums, pa.float64())], names=["doc_id", "held_out", "n_tokens", "log_sum", "n_known", "class_sum"])
+
+    return codes.mapInArrow(each, "doc_id bigint, held_out boolean, n_tokens bigint, log_sum double, n_known bigint, class_sum double")
 
 
-def rare_sums(docs: DataFrame, counts: DataFrame, vocabulary, tokens: int) -> DataFrame:
-    """(key, rare_sum, rare_known) over the words outside the local table."""
-    buckets = max(1, -(-tokens // BUCKET))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for nth, batch in enumerate(batches):
-            keys = batch.column(0).to_numpy()
-            _, once = np.unique(keys, return_index=True)
-            first = np.zeros(len(keys), bool)
-            first[once] = True  # repeated rows have one key, and are sent once
-            at, terms, uses = [], [], []
-            for k, (found, _, counts) in enumerate(vocabulary.value.look_up(batch.column(1))):
-                if first[k]:
-                    rare, n = np.unique(found[counts < 0], return_counts=True)
-                    at.append(np.full(len(rare), k, np.int64))
-                    terms.append(rare)
-                    uses.append(n)
-            if not at or not sum(map(len, terms)):
-                continue
-            at, terms, uses = np.concatenate(at), np.concatenate(terms), np.concatenate(uses)
-            bucket = ((terms >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            at, terms, uses, bucket = at[order], terms[order], uses[order], bucket[order]
-            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            # The same for a task that is run again, and another for batches of equal rows.
-            sender, rows = xxhash.xxh3_64_intdigest(b"%d/%d/%b" % (part, nth, keys.tobytes())) >> 1, []
-            for s, e in zip(starts, np.append(starts[1:], len(bucket))):
-                who, place = np.unique(at[s:e], return_inverse=True)
-                rows.append((int(bucket[s]), sender, keys[who].astype("<i8").tobytes(), place.astype("<u4").tobytes(), terms[s:e].astype("<u8").tobytes(), uses[s:e].astype("<u4").tobytes()))
-            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "sender", "keys", "place", "terms", "uses"])
-
-    def look_up(sent: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-        """An answer to each sender: sums by document over the bucket's words."""
-        known = counted["term"].to_numpy(np.int64).view(np.uint64)
-        by = np.argsort(known)
-        known, n = np.append(known[by], np.uint64(0)), np.append(counted["n"].to_numpy(np.int64)[by], 0)
-        sums, seen = [], []
-        for terms, place, uses, keys in zip(sent["terms"], sent["place"], sent["uses"], sent["keys"]):
-            term, at, use = np.frombuffer(terms, "<u8"), np.frombuffer(place, "<u4"), np.frombuffer(uses, "<u4").astype(np.int64)
-            where = np.searchsorted(known[:-1], term)
-            count = np.where(known[where] == term, n[where], 0)
-            size = len(keys) // 8
-            sums.append(np.bincount(at, use * np.log10(count + 1.0), size).tobytes())
-            seen.append(np.bincount(at, np.where(count > 0, use, 0), size).astype(np.int64).tobytes())
-        return pd.DataFrame({"sender": sent["sender"], "keys": sent["keys"], "sums": sums, "seen": seen}, columns=["sender", "keys", "sums", "seen"])
-
-    def add_up(rows: pd.DataFrame) -> pd.DataFrame:
-        key = np.concatenate([np.frombuffer(k, "<i8") for k in rows["keys"]])
-        sums = np.concatenate([np.frombuffer(x, np.float64) for x in rows["sums"]])
-        seen = np.concatenate([np.frombuffer(x, np.int64) for x in rows["seen"]])
-        keys, which = np.unique(key, return_inverse=True)
-        return pd.DataFrame({"key": keys, "rare_sum": np.bincount(which, sums), "rare_known": np.bincount(which, seen).astype(np.int64)})
-
-    sent = docs.select("key", "text").mapInArrow(send, "bucket bigint, sender bigint, keys binary, place binary, terms binary, uses binary")
-    counted = counts.select(F.pmod(F.shiftrightunsigned("term", 40), F.lit(buckets)).cast("bigint").alias("bucket"), "term", "n")
-    found = sent.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInPandas(look_up, "sender bigint, keys binary, sums binary, seen binary")
-    found = found.groupBy("sender").applyInPandas(add_up, "key bigint, rare_sum double, rare_known bigint")
-    # Rows that repeat an id and a text may be in several batches: their sums are equal.
-    return found.groupBy("key").agg(F.max("rare_sum").alias("rare_sum"), F.max("rare_known").alias("rare_known"))
+def word_classes(train: DataFrame, counts: DataFrame, vocabulary) -> tuple[DataFrame, np.ndarray, float]:
+    """(term, n, cls) of all training words, the class of every word end, and what the last pass of the exchange gained."""
+    spark, held = train.sparkSession, vocabulary.value
+    codes = stage(encoded(train, vocabulary), "codes")
+    classes, pairs, gained = clustered(codes, held.types)
+    lone = spark.sparkContext.broadcast(association(pairs))
+    own = placed(own_contexts(train, vocabulary, spark.sparkContext.broadcast(classes)), lone)
+    core_classes = classes[held.core.columns["type"]] if len(held.core.terms) else np.zeros(0, np.int64)
+    core = spark.createDataFrame(pd.DataFrame({"term": held.core.terms.view(np.int64), "cls": core_classes.astype(np.int64)}), "term bigint, cls bigint")
+    by_suffix = classes[held.suffix_type :]
+    ends = F.element_at(F.lit([int(c) for c in by_suffix]), F.col("suffix") + 1).cast("bigint")
+    cls = F.when(F.col("suffix") < 0, F.lit(0)).otherwise(F.coalesce("cls", ends))
+    return counts.join(own.unionByName(core), "term", "left").select("term", "n", cls.alias("cls")), by_suffix, gained
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its length, known tokens, and log10 probability under the add-one unigram (``base_score``)
-    and under the class model (``score``)."""
-    spark = docs.sparkSession
-    docs = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), held_out(id_col).alias("held_out"), F.xxhash64(F.col(id_col), F.col(text)).alias("key"), F.col(text).alias("text")
-    )
-    counts = stage(word_counts(docs.where(~F.col("held_out"))), "word-counts")
-    words = vocabulary_of(counts)
-    vocabulary = spark.sparkContext.broadcast(words)
-    codes = stage(encoded(docs, vocabulary), "codes")
-    model = spark.sparkContext.broadcast(fit(codes, counts, words))
-    total = codes.agg(F.sum("n_tokens")).first()[0] or 0
-    rare = rare_sums(docs, counts, vocabulary, total)
-    per_token = float(np.log10(words.tokens + words.distinct + 1))
-    logs = F.col("log_sum") + F.coalesce("rare_sum", F.lit(0.0))
+    and under the class model (``score``); ``last_gain`` is what the last pass of the exchange gained a token."""
+    context = docs.sparkSession.sparkContext
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text).cast("string").alias("text"))
+    train = docs.where(~F.col("held_out"))
+    counts = stage(word_counts(train), "word-counts")
+    vocabulary = vocabulary_of(counts)
+    words, by_suffix, gained = word_classes(train, counts, context.broadcast(vocabulary))
+    words = stage(words, "words")
+    rows = words.where(F.col("n") >= vocabulary.local_from).toArrow()  # at most LOCAL
+    local = Table(rows.column("term").to_numpy().view(np.uint64), n=rows.column("n").to_numpy(), cls=rows.column("cls").to_numpy())
+    coded = classed(docs, context.broadcast(local), context.broadcast(by_suffix))
+    coded = coded.select(*FINAL_COLUMNS) if len(rows) == vocabulary.distinct else with_rare(stage(coded, "classes"), words)
+    coded = stage(coded, "all-classes")
+    distinct = np.zeros(CLASSES)
+    for cls, n in words.groupBy("cls").count().collect():  # one row a class
+        distinct[cls] = n
+    model = context.broadcast(model_of(class_bigrams(coded), distinct))
+    per_token = float(np.log10(vocabulary.tokens + vocabulary.distinct + 1))
     return (
-        class_scores(codes, model)
-        .join(rare, "key", "left")
+        class_scores(coded, model)
         .select(
             "doc_id",
             "held_out",
             "n_tokens",
-            (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-            F.lit(words.tokens).cast("bigint").alias("train_tokens"),
-            (logs - F.col("n_tokens") * F.lit(per_token)).alias("base_score"),
-            (logs + F.col("class_sum")).alias("score"),
+            "n_known",
+            F.lit(vocabulary.tokens).cast("bigint").alias("train_tokens"),
+            (F.col("log_sum") - F.col("n_tokens") * F.lit(per_token)).alias("base_score"),
+            (F.col("log_sum") + F.col("class_sum")).alias("score"),
         )
-        .withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+        .withColumns({"perplexity": F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")), "last_gain": F.lit(gained)})
     )

@@ -9,7 +9,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from forumlake.llm import brown, imatch, licenses, quality
@@ -98,23 +97,94 @@ def test_language_model_beats_the_unigram_out_of_training(spark, sf_dir):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-def test_class_model_is_a_distribution(spark, sf_dir):
-    """Transitions sum to one, and so do emissions with one unseen word a class."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", brown.held_out().alias("held_out"))
-    rows = docs.selectExpr("doc_id", "held_out", "xxhash64(doc_id, text) AS key", "text")
-    counts = brown.word_counts(rows.where("NOT held_out")).persist()
-    words = brown.vocabulary_of(counts)
-    codes = brown.encoded(rows, spark.sparkContext.broadcast(words)).persist()
-    model = brown.fit(codes, counts, words)
-    assert np.allclose((10.0**model.steps).sum(axis=1), 1)
-    sums = np.zeros(brown.CLASSES)
-    train = Counter(w for r in rows.where("NOT held_out").collect() for w in tokens(r.text))
-    names = [w for w in train if w != b"\n"]
-    _, types, _ = next(iter(words.look_up(pa.array([b" ".join(names).decode()]))))
-    for w, t in zip(names, types):
-        sums[model.classes[t]] += train[w] + 1
-    sums[model.classes[0]] += train[b"\n"] + 1
-    assert np.allclose(np.log10(sums + 1), model.totals)
+def brute_score(texts, train, cls) -> list[float]:
+    """Class bigram scores from the words' classes alone; ``cls`` knows every token of ``texts``."""
+    uses, pairs, words = Counter(), Counter(), Counter(w for t in train for w in t)
+    for t in train:
+        for a, b in zip([b"\n", *t], t):
+            pairs[cls(a), cls(b)] += 1
+            uses[cls(b)] += 1
+    sizes = Counter(cls(w) for w in words)
+    k = range(brown.CLASSES)
+    share = {c: (uses[c] + 1) / sum(uses[x] + 1 for x in k) for c in k}
+    out_of = {c: sum(pairs[c, x] for x in k) for c in k}
+    step = {(c, x): math.log10((pairs[c, x] + brown.SMOOTH * share[x]) / (out_of[c] + brown.SMOOTH)) for c in k for x in k}
+    for c in k:
+        assert sum(10 ** step[c, x] for x in k) == pytest.approx(1)
+        emitted = sum((n + 1) / (uses[c] + sizes[c] + 1) for w, n in words.items() if cls(w) == c)
+        assert emitted + 1 / (uses[c] + sizes[c] + 1) == pytest.approx(1)  # one unseen word
+    return [
+        sum(step[cls(a), cls(b)] + math.log10((words[b] + 1) / (uses[cls(b)] + sizes[cls(b)] + 1)) for a, b in zip([b"\n", *t], t)) for t in texts
+    ]
+
+
+@pytest.mark.parametrize(("local", "share"), [(1 << 17, 2e-5), (60, 2e-3)])
+def test_scores_and_classes_by_brute_force(spark, sf_dir, monkeypatch, local, share):
+    monkeypatch.setattr(brown, "LOCAL", local)
+    monkeypatch.setattr(brown, "CORE_SHARE", share)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(documents(spark).select("doc_id", "text"))
+    rows = [(r.doc_id, tokens(r.text)) for r in docs.collect()]
+    train = [t for i, t in rows if not out_of_training(i)]
+    got = brown.lm_scores(docs).collect()
+    kept = docs.where(~brown.held_out())
+    counts = brown.word_counts(kept)
+    vocabulary = brown.vocabulary_of(counts)
+    words, ends, gained = brown.word_classes(kept, counts, spark.sparkContext.broadcast(vocabulary))
+    known = {r.term: r.cls for r in words.collect()}
+    number = lambda w: int(np.uint64(brown.xxhash.xxh3_64_intdigest(w)).view(np.int64))
+    of = {w: known.get(number(w), int(ends[brown.suffix(w)]) if w != b"\n" else 0) for _, t in rows for w in t}
+    want = brute_score([t for _, t in rows], train, of.__getitem__)
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == sorted((str(i), round(x, 6)) for (i, _), x in zip(rows, want))
+    assert all(r.last_gain == gained for r in got) and gained < 0.1
+
+    # Words outside the core went where their own contexts say.
+    times, n = Counter(w for t in train for w in t), sum(map(len, train))
+    core = {w for w, c in times.items() if w != b"\n" and c >= max(2, math.ceil(n * share))}
+    assert {number(w) for w in core} == set(vocabulary.core.terms.view(np.int64).tolist())
+    first = lambda w: 0 if w == b"\n" else of[w] if w in core else int(ends[brown.suffix(w)])
+    pairs = np.zeros((brown.CLASSES, brown.CLASSES))
+    contexts: dict = {}
+    for t in train:
+        for a, b in zip([b"\n", *t], t):
+            pairs[first(a), first(b)] += 1
+            contexts.setdefault(b, ([], []))[0].append(first(a))
+            if a != b"\n":
+                contexts.setdefault(a, ([], []))[1].append(first(b))
+    lone = brown.association(pairs)
+    for w, (before, after) in contexts.items():
+        if w == b"\n" or w in core:
+            continue
+        if times[w] == 1:
+            assert of[w] == ends[brown.suffix(w)]
+            continue
+        gain = lone[before].sum(axis=0) + lone[:, after].sum(axis=1)
+        gain[0] = -np.inf
+        assert gain[of[w]] >= gain.max() - 1e-6
+
+
+def test_one_round_of_moves(spark):
+    """Each open type goes to the class with the greatest gain, reckoned type by type."""
+    rng = np.random.default_rng(3)
+    types = 90
+    rows = [np.append(rng.zipf(1.5, 60) % (types - 1) + 1, 0).astype("<u4") for _ in range(30)]
+    classes = np.minimum(np.arange(types), brown.CLASSES - 1)
+    classes[64:] = rng.integers(1, brown.CLASSES, types - 64)
+    before, after = brown.contexts(spark.createDataFrame([(bytearray(r.tobytes()),) for r in rows], "types binary"), classes)
+    want = np.zeros((2, types, brown.CLASSES), int)
+    for r in rows:
+        for a, b in zip([0, *r.tolist()], r.tolist()):
+            want[0, b, classes[a]] += 1
+            want[1, a, classes[b]] += 1
+    assert (before == want[0]).all() and (after == want[1]).all()
+    open_ = np.arange(types) % 2 == 0
+    now = brown.moved(classes, before, after, open_)
+    lone = brown.association(brown.by_class(after, classes))
+    for t in range(types):
+        gain = [-np.inf] + [sum(before[t, b] * lone[b, c] for b in range(brown.CLASSES)) + sum(after[t, a] * lone[c, a] for a in range(brown.CLASSES)) for c in range(1, brown.CLASSES)]
+        if t == 0 or not open_[t] or not before[t].sum():
+            assert now[t] == classes[t]
+        else:
+            assert gain[now[t]] == pytest.approx(max(gain))
 
 
 def test_quality_against_the_labels(spark, sf_dir):
