@@ -36,6 +36,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from forumlake.llm.common import named_again, numbered
 from forumlake.llm.components import components
 from forumlake.llm.words import each_text, mix, shingles
 from forumlake.session import stage
@@ -315,14 +316,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class, the one with the least id (NULL last), columns as they were."""
-    row = F.xxhash64(F.col(id_col).cast("bigint"), F.col(text))
-    marked = docs.withColumn("__row", row)
-    classes = near_groups(marked.select("__row", text), "__row", text).select(F.col("doc_id").alias("__row"), "class_id").distinct()
-    ids = marked.select("__row", F.col(id_col).alias("__id")).distinct()
-    first = F.min(F.struct(F.col("__id").isNull().alias("unknown"), F.col("__id").alias("id"), F.col("__row").alias("row")))
-    kept = classes.join(ids, "__row").groupBy("class_id").agg(first.alias("first")).select(F.col("first.row").alias("__row"))
-    # Rows that repeat one id and text are one class: the first stays.
-    nth = Window.partitionBy("__row").orderBy(F.lit(0))
-    found = marked.join(kept, "__row", "left_semi").withColumn("__nth", F.row_number().over(nth)).where("__nth = 1")
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one row of each class, the one with the least id (NULL last), columns as they were.
+
+    Of rows that repeat that id and text, the first by their other columns stays.
+    """
+    rows, names = numbered(docs)
+    own, body = names[id_col], names[text]
+    marked = rows.withColumn("row", F.xxhash64(F.col(own).cast("bigint"), F.col(body)))
+    classes = near_groups(marked.select("row", body), "row", body).select(F.col("doc_id").alias("row"), "class_id").distinct()
+    ids = marked.select("row", F.col(own).alias("id")).distinct()
+    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), F.col("id"), F.col("row")))
+    kept = classes.join(ids, "row").groupBy("class_id").agg(first.alias("first")).select(F.col("first.row").alias("row"))
+    # Texts are told apart by themselves, so that no row falls to another one's hash.
+    others = [F.col(c).cast("string") for c in names.values() if c not in (own, body)]
+    nth = Window.partitionBy("row", own, body).orderBy(*others, "row")
+    found = marked.join(kept, "row", "left_semi").withColumn("nth", F.row_number().over(nth)).where("nth = 1")
+    return named_again(found, names)

@@ -36,5 +36,16 @@ def with_fields(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
     return T.StructType(list(df.schema.fields) + added)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns c0, c1, ..., which no name of an operator's own clashes with, and each one's new name."""
+    names = {name: f"c{k}" for k, name in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def named_again(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of :func:`numbered` alone, under their old names."""
+    return rows.select(*names.values()).toDF(*names)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from forumlake.llm.common import byte_texts, with_fields
+from forumlake.llm.common import byte_texts, named_again, numbered, with_fields
 from forumlake.session import stage
 
-HASH, BODY = "__hash128", "__body"
+HASH, BODY = "hash128", "body"
 
 
 def with_content(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -74,11 +74,14 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ke
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str = "smallest") -> DataFrame:
     """``docs`` without the copies, all columns as they were."""
-    content = with_content(docs, text)
-    groups = copy_groups(content, id_col, keep).select(F.col("keep_id").alias("__keep"), F.sha2(F.col(BODY), 256).alias("__digest"))
-    rows = content.withColumn("__digest", F.sha2(F.col(BODY), 256)).drop(HASH, BODY)
-    same = rows[id_col].eqNullSafe(groups["__keep"]) & (rows["__digest"] == groups["__digest"])
-    found = rows.join(groups.select("__keep", "__digest"), same, "left_semi")
-    # Rows that repeat one id and text are all found: the first of them stays.
-    first = Window.partitionBy(id_col, "__digest").orderBy(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text)] or [F.lit(0)])
-    return found.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, names = numbered(docs)
+    own, body = names[id_col], names[text]
+    content = with_content(rows, body)
+    digest = F.sha2(F.col(BODY), 256)
+    groups = copy_groups(content, own, keep).select("keep_id", digest.alias("keep_digest"))
+    marked = content.withColumn("digest", digest).drop(HASH, BODY)
+    found = marked.join(groups, F.col(own).eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("keep_digest")), "left_semi")
+    # Rows that repeat one id and text are all found: the first of them stays, by their other columns.
+    others = [F.col(c).cast("string") for c in names.values() if c not in (own, body)]
+    first = Window.partitionBy(own, "digest").orderBy(*others, body)
+    return named_again(found.withColumn("nth", F.row_number().over(first)).where("nth = 1"), names)

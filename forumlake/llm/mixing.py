@@ -2,38 +2,44 @@
 
 Documents are summed up by cell (source, language, topic) once; the raking works on the
 cells. A round scales the cells' token weights to the target share of each source, then of
-each language, then of each topic. A document is then sampled with probability
-``least(1, rate * weight)``; its ``sample_weight`` (rate * weight / probability) makes up
-for the cap, so that weighted token sums meet the targets in expectation.
-
-:func:`sampled_documents` keeps no weights, so its sample has to meet the targets by
-itself: weights are raked under the bound ``1 / rate``, at which a cell is taken whole and
-the others of its values make up for it, until all margins are within ``TOLERANCE``. The
-rate is the largest, in steps of ``SLOWER`` from what the scarcest value allows, at which
-they are. Targets that contradict one another (a source in one language alone, say) hold
-at no rate; then the sample comes as near as the weights without a bound, with a warning.
+each language, then of each topic; rounds go on until every value is within ``TOLERANCE`` of
+its target. A document is then drawn ``rate * weight`` times on average: as many times as
+that has whole parts, and once more with the probability of the rest. So scarce cells repeat,
+nothing is cut at a probability of one, and the draw has the targets' shares in
+expectation at any rate.
 
 Targets are given shares, or the observed token shares tempered by an exponent below one.
+Tempering leaves a value with less than ``LEAST_SHARE`` of the tokens at its own share: a
+handful of documents is not repeated until it looks like a source. Targets that contradict
+one another (a source in one language alone, say) hold at no weights; then the raking ends
+after ``MOST_ROUNDS``, with a warning.
+
+There are as many cells as combinations of the values met, whatever the rows. Up to
+``SMALL_CELLS`` they are raked in one task, as windows of one plan; more are shuffled.
 
 Defined results: NULL source, language, topic or text count as empty strings; a document
 without tokens has its cell's weight, and a cell without tokens the weight 1; the draw
 depends on the id alone (its MD5), so repeated rows share one fate, and NULL ids draw as
-the empty string; other columns pass through; an empty table gives an empty one.
+the empty string; other columns pass through, whatever their names; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from forumlake.llm.common import named_again, numbered
 from forumlake.session import stage
 
 MARGINS = ("source", "lang", "topic")
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.5}
-ROUNDS, RATE = 8, 0.5
-TOLERANCE, MOST_ROUNDS, SLOWER = 0.01, 40, 0.7  # of a value's target; rounds for one rate; from one rate to the next
-SMALL_CELLS = 100_000  # rows of three short strings and a number, that may be broadcast
+LEAST_SHARE = 0.01  # of the tokens, below which tempering leaves a value alone
+RATE = 0.5  # tokens drawn, as a share of all
+TOLERANCE = 0.001  # of a value's target
+ROUNDS, MOST_ROUNDS = 4, 48  # between two looks at the margins; in all
+SMALL_CELLS = 100_000  # rows of three short strings and some numbers, for one task and for broadcasts
 
 
 def token_count(text: Column) -> Column:
@@ -52,87 +58,78 @@ def form_topic(text: Column) -> Column:
     )
 
 
-def with_margins(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    known = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
-    return docs.withColumns(
-        {
-            "__source": known("source"),
-            "__lang": known("lang"),
-            "__topic": F.coalesce(topic if topic is not None else form_topic(F.col("text")), F.lit("")),
-            "__tokens": token_count(F.col("text")),
-        }
-    )
+def margins_of(topic: Column | None = None, id_col: str = "doc_id") -> list[Column]:
+    """doc_id, source, lang, topic, tokens: what mixing looks at."""
+    known = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
+    topic = F.coalesce(topic if topic is not None else form_topic(F.col("text")), F.lit("")).alias("topic")
+    return [F.col(id_col).alias("doc_id"), known("source"), known("lang"), topic, token_count(F.col("text")).alias("tokens")]
+
+
+def with_margins(docs: DataFrame, topic: Column | None = None, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, source, lang, topic, tokens) of every document."""
+    return docs.select(*margins_of(topic, id_col))
 
 
-def targets(cells: DataFrame, margin: str, shares: dict[str, float] | None) -> DataFrame:
-    """(margin, target): tokens that each value should have; the sum stays as it is."""
-    seen = cells.groupBy(margin).agg(F.sum("tokens").alias("seen"))
-    wish = F.pow("seen", F.lit(TEMPER[margin]))
-    if shares is not None:
-        given = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
-        wish = F.when(F.col("seen") > 0, F.coalesce(F.element_at(given, F.col(margin)), F.lit(0.0))).otherwise(0.0)
-    total = seen.agg(F.sum("seen").alias("tokens"), F.sum(wish).alias("wish")).first()
-    if not total["wish"]:
-        return seen.select(margin, F.col("seen").cast("double").alias("target"))
-    return seen.select(margin, (wish / F.lit(total["wish"]) * F.lit(total["tokens"])).alias("target"))
-
-
-def raked_cells(cells: DataFrame, shares: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """(source, lang, topic, tokens, weight) after ``rounds`` rounds over the three margins."""
-    goals = {m: stage(targets(cells, m, (shares or {}).get(m)), f"target-{m}") for m in MARGINS}
-    cells = cells.withColumn("weight", F.lit(1.0))
-    for _ in range(rounds):
-        for m in MARGINS:
-            now = cells.groupBy(m).agg(F.sum(F.col("tokens") * F.col("weight")).alias("now"))
-            factor = now.join(goals[m], m).select(m, F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(F.lit(1.0)).alias("factor"))
-            cells = cells.join(factor, m).select(*MARGINS, "tokens", (F.col("weight") * F.col("factor")).alias("weight"))
-        cells = stage(cells, "raked")
+def cells_of(rows: DataFrame) -> DataFrame:
+    return stage(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
+
+
+def with_targets(cells: DataFrame, shares: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """``cells`` with the tokens that the value of each margin should have; over a margin's values these add up to all tokens."""
+    everything = F.sum("tokens").over(Window.partitionBy())
+    for m in MARGINS:
+        of = Window.partitionBy(m)
+        given = (shares or {}).get(m)
+        # A value's figures stand at one of its cells, so that sums over cells are sums over values.
+        first = F.row_number().over(of.orderBy(*MARGINS)) == 1
+        seen = F.sum("tokens").over(of)
+        cells = cells.withColumns({"seen": seen, "everything": everything, "first": first})
+        if given is None:
+            alone = F.col("seen") < LEAST_SHARE * F.col("everything")
+            wish = F.when(~alone, F.pow(F.col("seen"), F.lit(TEMPER[m]))).otherwise(0.0)
+        else:
+            alone = F.lit(False)
+            table = F.create_map(*[F.lit(x) for pair in given.items() for x in pair])
+            wish = F.when(F.col("seen") > 0, F.coalesce(F.element_at(table, F.col(m)), F.lit(0.0))).otherwise(0.0)
+        cells = cells.withColumns({"wish": wish, "own": F.when(alone, F.col("seen")).otherwise(0)})
+        wishes = F.sum(F.when(F.col("first"), F.col("wish"))).over(Window.partitionBy())
+        left = F.col("everything") - F.sum(F.when(F.col("first"), F.col("own"))).over(Window.partitionBy())
+        cells = cells.withColumns({"wishes": wishes, "left": left})
+        share = F.when(F.col("wishes") > 0, F.try_divide(F.col("wish"), F.col("wishes")) * F.col("left")).otherwise(F.col("seen").cast("double"))
+        cells = cells.withColumn(f"target_{m}", F.when(F.col("own") > 0, F.col("own").cast("double")).otherwise(share))
+        cells = cells.drop("seen", "everything", "first", "wish", "own", "wishes", "left")
     return cells
 
 
-def off_target(cells: DataFrame, goals: dict[str, DataFrame]) -> float:
+def now(margin: str) -> Column:
+    """Weighted tokens of the margin's value."""
+    return F.sum(F.col("tokens") * F.col("weight")).over(Window.partitionBy(margin))
+
+
+def off_target() -> Column:
     """The largest difference between a value's tokens and its target, as a share of the target."""
-    worst = 0.0
-    for m in MARGINS:
-        now = cells.groupBy(m).agg(F.sum(F.col("tokens") * F.col("weight")).alias("now")).join(goals[m], m).where("target > 0")
-        worst = max(worst, now.agg(F.max(F.abs(F.col("now") / F.col("target") - 1))).first()[0] or 0.0)
-    return worst
-
-
-def raked_under(cells: DataFrame, goals: dict[str, DataFrame], bound: float) -> tuple[DataFrame, float]:
-    """Cells whose weights are ``bound`` at most, raked until the margins hold or get no nearer, and how far off they are."""
-    held = F.least(F.col("weight"), F.lit(bound))
-    raked, off = cells.withColumn("weight", F.lit(1.0)), float("inf")
-    for _ in range(MOST_ROUNDS):
-        for m in MARGINS:
-            now = raked.groupBy(m).agg(F.sum(F.col("tokens") * held).alias("now"))
-            factor = now.join(goals[m], m).select(m, F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(F.lit(1.0)).alias("factor"))
-            raked = raked.join(factor, m).select(*MARGINS, "tokens", (F.col("weight") * F.col("factor")).alias("weight"))
-        raked = stage(raked, "raked")
-        last, off = off, off_target(raked.withColumn("weight", held), goals)
-        if off <= TOLERANCE or off > 0.99 * last:
-            break
-    return raked.withColumn("weight", held), off
-
-
-def calibrated(cells: DataFrame, shares: dict[str, dict[str, float]] | None = None, rate: float = RATE) -> tuple[DataFrame, float]:
-    """Weights and the rate, ``rate`` at most, at which no probability passes one and the sample meets its targets."""
-    goals = {m: stage(targets(cells, m, (shares or {}).get(m)), f"target-{m}") for m in MARGINS}
-    for m in MARGINS:  # no value has more than all of its tokens
-        scarce = cells.groupBy(m).agg(F.sum("tokens").alias("seen")).join(goals[m], m).where("target > 0")
-        rate = min(rate, scarce.agg(F.min(F.col("seen") / F.col("target"))).first()[0] or rate)
-    free, least_off = raked_under(cells, goals, float("inf"))
-    if least_off > TOLERANCE:
-        warnings.warn(f"the mixing targets contradict one another: some value is off by {least_off:.1%} of its target", stacklevel=2)
-    greatest = free.where("tokens > 0").agg(F.max("weight")).first()[0] or 1.0
-    while rate * greatest > 1:
-        raked, off = raked_under(cells, goals, 1 / rate)
-        if off <= max(TOLERANCE, least_off):
-            return raked, rate
-        rate = max(rate * SLOWER, 1 / greatest)
-        if rate * greatest <= 1 + 1e-9:
+    off = [F.when(F.col(f"target_{m}") > 0, F.abs(F.try_divide(F.col(f"now_{m}"), F.col(f"target_{m}")) - 1)).otherwise(0.0) for m in MARGINS]
+    return F.max(F.greatest(*off))
+
+
+def raked_cells(cells: DataFrame, shares: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(source, lang, topic, tokens, weight) whose margins hold."""
+    small = cells.count() <= SMALL_CELLS
+    one = lambda df: df.coalesce(1) if small else df  # noqa: E731  (windows over one partition need no shuffle)
+    cells = with_targets(one(cells), shares).withColumn("weight", F.lit(1.0))
+    off = None
+    for _ in range(MOST_ROUNDS // ROUNDS):
+        for _ in range(ROUNDS):
+            for m in MARGINS:
+                scaled = F.when((F.col("now") > 0) & (F.col("tokens") > 0), F.col("weight") * F.try_divide(F.col(f"target_{m}"), F.col("now"))).otherwise(F.col("weight"))
+                cells = cells.withColumn("now", now(m)).withColumn("weight", scaled).drop("now")
+        cells = one(stage(cells, "raked"))
+        off = cells.withColumns({f"now_{m}": now(m) for m in MARGINS}).agg(off_target()).first()[0] or 0.0
+        if off <= TOLERANCE:
             break
-    return free, rate
+    else:
+        warnings.warn(f"the mixing targets contradict one another: some value is off by {off:.1%} of its target", stacklevel=2)
+    return cells.select(*MARGINS, "tokens", "weight")
 
 
 def draw(id_col: Column) -> Column:
@@ -141,33 +138,21 @@ def draw(id_col: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def cells_of(rows: DataFrame) -> DataFrame:
-    cells = rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens"))
-    return stage(cells, "cells")
-
-
-def mixed(rows: DataFrame, shares: dict[str, dict[str, float]] | None = None, rate: float = RATE, rounds: int = ROUNDS, id_col: str = "doc_id") -> DataFrame:
-    """Rows of :func:`with_margins` with ``__weight``, ``__probability``, ``__sample_weight`` and ``__sampled``."""
-    return drawn(rows, raked_cells(cells_of(rows), shares, rounds), rate, id_col)
-
-
-def drawn(rows: DataFrame, cells: DataFrame, rate: float, id_col: str = "doc_id") -> DataFrame:
-    """``rows`` with the weights of their cells, and the draws."""
-    weights = cells.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("weight").alias("__weight"))
+def mixed(rows: DataFrame, shares: dict[str, dict[str, float]] | None = None, rate: float = RATE) -> DataFrame:
+    """Rows of :func:`with_margins` with the ``weight`` of their cells, the ``expected`` number of draws, and ``copies``."""
+    weights = raked_cells(cells_of(rows), shares).drop("tokens")
     if weights.count() <= SMALL_CELLS:
         weights = F.broadcast(weights)
-    wished = F.lit(rate) * F.col("__weight")
-    return (
-        rows.join(weights, [f"__{m}" for m in MARGINS])
-        .withColumn("__probability", F.least(F.lit(1.0), wished))
-        .withColumn("__sample_weight", F.when(F.col("__probability") > 0, wished / F.col("__probability")).otherwise(F.lit(0.0)))
-        .withColumn("__sampled", draw(F.col(id_col)) < F.col("__probability"))
-    )
+    expected = F.lit(rate) * F.col("weight")
+    copies = F.floor("expected") + (draw(F.col("doc_id")) < F.col("expected") - F.floor("expected")).cast("long")
+    return rows.join(weights, list(MARGINS)).withColumn("expected", expected).withColumn("copies", copies)
 
 
 def sampled_documents(
     docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, rate: float = RATE, id_col: str = "doc_id", topic: Column | None = None
 ) -> DataFrame:
-    """The sampled rows of ``docs``, columns as they were; their tokens have the target shares in expectation."""
-    rows = with_margins(docs, topic)
-    return drawn(rows, *calibrated(cells_of(rows), shares, rate), id_col).where("__sampled").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The drawn rows of ``docs``, as often as they are drawn, columns as they were; their tokens have the target shares in expectation."""
+    kept, names = numbered(docs)
+    looked_at = docs.select("*", F.struct(*margins_of(topic, id_col)).alias("_")).toDF(*kept.columns, "margins")
+    drawn = mixed(looked_at.select(*kept.columns, "margins.*"), shares, rate).where("copies > 0")
+    return named_again(drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), names)

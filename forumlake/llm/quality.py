@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from forumlake.llm.common import byte_texts, with_fields
+from forumlake.llm.common import byte_texts, named_again, numbered, with_fields
 
 SAMPLE = 20_000  # documents that the scorer is fitted to, at most (in expectation)
 WIDTH = 1 << 12  # hashed features
@@ -249,5 +249,6 @@ def scored(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFram
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier keeps, columns as they were."""
-    kept = scored(docs, fit_quality(docs, id_col, text), text).where(F.col("__score") >= threshold)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, names = numbered(docs)
+    kept = scored(rows, fit_quality(docs, id_col, text), names[text]).where(F.col("__score") >= threshold)
+    return named_again(kept, names)

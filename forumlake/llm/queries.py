@@ -63,37 +63,36 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raked weight, inclusion probability and draw of every document."""
+    """Raked weight, expected number of draws and draws of every document."""
     rows = mixing.with_margins(documents(spark, sf_dir))
-    rows = stage(rows.select("doc_id", "__source", "__lang", "__topic", "__tokens"), "mixing-rows")
-    six = lambda name: F.round(F.col(name), 6)
-    return mixing.mixed(rows).select(
-        "doc_id",
-        F.col("__source").alias("source"),
-        F.col("__lang").alias("lang"),
-        F.col("__topic").alias("topic"),
-        F.col("__tokens").alias("n_tokens"),
-        six("__weight").alias("weight"),
-        six("__probability").alias("probability"),
-        six("__sample_weight").alias("sample_weight"),
-        F.col("__sampled").alias("sampled"),
-    )
+    six = lambda name: F.round(F.col(name), 6).alias(name)
+    mixed = mixing.mixed(stage(rows, "mixing-rows"))
+    return mixed.select("doc_id", *mixing.MARGINS, F.col("tokens").alias("n_tokens"), six("weight"), six("expected"), "copies")
 
 
 def _raking_sql() -> str:
     goals = ", ".join(
-        f"goal_{m} AS (SELECT {m}, pow(sum(tokens), {mixing.TEMPER[m]}) / sum(pow(sum(tokens), {mixing.TEMPER[m]})) OVER () * sum(sum(tokens)) OVER () AS target FROM cells GROUP BY {m})"
+        f"""
+seen_{m} AS (SELECT {m}, sum(tokens) AS seen, sum(tokens) < {mixing.LEAST_SHARE} * sum(sum(tokens)) OVER () AS alone, sum(sum(tokens)) OVER () AS everything FROM cells GROUP BY {m}),
+goal_{m} AS (SELECT {m}, CASE WHEN alone THEN seen ELSE pow(seen, {mixing.TEMPER[m]}) / (sum(pow(seen, {mixing.TEMPER[m]})) FILTER (NOT alone) OVER ())
+             * (everything - coalesce(sum(seen) FILTER (alone) OVER (), 0)) END AS target FROM seen_{m})"""
         for m in mixing.MARGINS
     )
     steps, last = [], "w0"
-    for i in range(mixing.ROUNDS * len(mixing.MARGINS)):
-        m = mixing.MARGINS[i % len(mixing.MARGINS)]
-        steps.append(
-            f"n{i} AS (SELECT {m}, sum(tokens * weight) AS now FROM {last} GROUP BY {m}),\n"
-            f"w{i + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, c.weight * CASE WHEN now > 0 THEN target / now ELSE 1 END AS weight"
-            f" FROM {last} c JOIN n{i} USING ({m}) JOIN goal_{m} USING ({m}))"
-        )
-        last = f"w{i + 1}"
+    for i in range(mixing.MOST_ROUNDS):
+        if i and i % mixing.ROUNDS == 0:
+            off = " UNION ALL ".join(
+                f"SELECT max(abs(now / target - 1)) AS off FROM (SELECT {m}, sum(tokens * weight) AS now FROM {last} GROUP BY {m}) JOIN goal_{m} USING ({m}) WHERE target > 0" for m in mixing.MARGINS
+            )
+            steps.append(f"off{i} AS MATERIALIZED (SELECT max(off) > {mixing.TOLERANCE} AS more FROM ({off}))")
+        more = f"(SELECT more FROM off{i // mixing.ROUNDS * mixing.ROUNDS})" if i >= mixing.ROUNDS else "true"
+        for k, m in enumerate(mixing.MARGINS):
+            steps.append(
+                f"n{i}{k} AS (SELECT {m}, sum(tokens * weight) AS now FROM {last} GROUP BY {m}),\n"
+                f"w{i}{k} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, CASE WHEN now > 0 AND c.tokens > 0 AND {more} THEN c.weight * target / now ELSE c.weight END AS weight"
+                f" FROM {last} c JOIN n{i}{k} USING ({m}) JOIN goal_{m} USING ({m}))"
+            )
+            last = f"w{i}{k}"
     return f"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
@@ -104,9 +103,9 @@ cells AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d GROUP BY AL
 {goals},
 w0 AS (SELECT *, 1.0::DOUBLE AS weight FROM cells),
 {(',' + chr(10)).join(steps)}
-SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(least(1.0, {mixing.RATE} * weight), 6) AS probability,
-       round({mixing.RATE} * weight / least(1.0, {mixing.RATE} * weight), 6) AS sample_weight,
-       CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS UBIGINT) / 4294967296.0 < least(1.0, {mixing.RATE} * weight) AS sampled
+SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round({mixing.RATE} * weight, 6) AS expected,
+       CAST(floor({mixing.RATE} * weight) AS BIGINT) + CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS UBIGINT) / 4294967296.0
+            < {mixing.RATE} * weight - floor({mixing.RATE} * weight) AS BIGINT) AS copies
 FROM d JOIN {last} USING (source, lang, topic)
 """
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 # Names that the operators use themselves.
-CLASHES = ("keep_id", "node", "shard", "bucket", "score", "weight", "group", "kept", "level", "start", "rest", "votes")
+CLASHES = ("keep_id", "node", "shard", "bucket", "score", "weight", "group", "kept", "level", "start", "rest", "votes", "row", "id", "nth", "digest", "hash128", "body", "copies", "tokens", "topic", "expected", "margins", "copy", "c0", "c7")
+CLASHES += ("__body", "__hash128", "__digest", "__nth", "__row", "__id", "__score", "__posterior", "__votes", "__weight")
 
 
 def prose(seed: int, words: int, vocabulary: int = 400) -> str:

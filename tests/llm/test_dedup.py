@@ -234,3 +234,58 @@ def test_kept_text_and_removed_spans(spark, monkeypatch, size, window):
 
 def test_remove_repeats_of_nothing(spark):
     assert substrings.remove_repeats(empty(spark)).count() == 0
+
+
+def removed_by_hand(rows, shards: int, rng) -> list[dict]:
+    """All steps of substring dedup, the rows of every step in another order."""
+    import pyarrow as pa
+
+    def any_order(table: pa.Table) -> pa.Table:
+        return table.take(pa.array(rng.permutation(table.num_rows)))
+
+    def regrouped(tables: list[pa.Table], key: str) -> dict[int, pa.Table]:
+        whole = pa.concat_tables(tables)
+        keys = whole.column(key).to_numpy()
+        return {int(k): any_order(whole.filter(pa.array(keys == k))) for k in np.unique(keys)}
+
+    order = [int(substrings.SMALLEST) if r[0] is None else r[0] for r in rows]
+    held = {}
+    for k in range(shards):
+        at = [i for i, r in enumerate(rows) if hash((r[0], r[1])) % shards == k]
+        columns = ([k] * len(at), [rows[i][0] for i in at], [order[i] for i in at], [rows[i][1] for i in at])
+        if at:
+            held[k] = pa.table({n: pa.array(c, t) for n, c, t in zip(("shard", "doc_id", "order", "text"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))})
+    none = {"shard": pa.array([], pa.int64()), "hashes": pa.array([], pa.binary()), "owners": pa.array([], pa.binary())}
+    window, known = substrings.WINDOW, {k: pa.table(none) for k in held}
+    for step in range(2):
+        sent = []
+        for k, table in held.items():
+            shard = substrings.Shard(any_order(table), window)
+            hashes, on = shard.anchors(), np.ones(len(shard.start), bool)
+            if step:
+                on = np.isin(hashes, substrings.joined(known[k], "hashes", "<u8"))
+                hashes = shard.window_hashes()
+            sent.append(substrings.to_buckets(k, hashes[on], shard.order[on], 3))
+        answered = regrouped([substrings.answers(t) for t in regrouped(sent, "bucket").values()], "shard")
+        known = {k: answered.get(k, pa.table(none)) for k in held}
+    asked = regrouped([substrings.passages(k, substrings.Shard(any_order(t), window), known[k]) for k, t in held.items()], "shard")
+    found = regrouped([substrings.search(t, window) for t in asked.values()], "shard")
+    empty_found = substrings.passage_rows([])
+    return [r for k, t in held.items() for r in substrings.removed(any_order(t), found.get(k, empty_found), window).to_pylist()]
+
+
+@pytest.mark.parametrize("shards", [1, 3, 7])
+def test_remove_repeats_in_any_order_of_rows(spark, sf_dir, shards):
+    rows = ROWS + [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    want = brute_removed(rows)
+    for seed in range(3):
+        got = removed_by_hand(rows, shards, np.random.default_rng(seed))
+        assert Counter((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in got) == want
+
+
+def test_of_rows_that_repeat_an_id_and_a_text_the_first_by_its_other_columns_stays(spark):
+    rows = [(1, prose(90, 40), "en", s, 1) for s in "cab"] + [(2, prose(91, 40), "en", "z", 1)]
+    for keep in (exact_dedup.drop_exact_copies, chosen_path.one_of_each):
+        got = keep(documents(spark, rows))
+        assert got.columns == documents(spark, rows).columns
+        assert sorted((r.doc_id, r.source, r["__digest"], r["__nth"], r.c0) for r in got.collect()) == [(1, "a", "x", "x", "x"), (2, "z", "x", "x", "x")]

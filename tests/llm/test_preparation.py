@@ -34,39 +34,76 @@ def test_same_rows_as_sql(spark, sf_dir, name):
 def test_marginals_meet_their_targets(spark):
     rows = [(i, "w " * (1 + i % 7), "en" if i % 3 else "de", f"s{min(i % 9, 4)}", 1) for i in range(900)]
     shares = {"source": {f"s{k}": 0.2 for k in range(5)}, "lang": {"en": 0.5, "de": 0.5}}
-    got = mixing.mixed(mixing.with_margins(documents(spark, rows), F.lit("t")), shares, rate=0.3, rounds=20).collect()
-    total = sum(r["__tokens"] for r in got)
+    got = mixing.mixed(mixing.with_margins(documents(spark, rows), F.lit("t")), shares, rate=0.3).collect()
+    total = sum(r.tokens for r in got)
     for name, wish in shares.items():
         for value, share in wish.items():
-            mass = sum(r["__tokens"] * r["__weight"] for r in got if r[f"__{name}"] == value)
-            assert mass == pytest.approx(share * total, rel=0.01)
-    # Where the probability is cut at one, the sample weight makes up for it.
-    assert all(r["__probability"] * r["__sample_weight"] == pytest.approx(0.3 * r["__weight"]) for r in got)
-    expected = sum(r["__probability"] for r in got)
-    assert abs(sum(r["__sampled"] for r in got) - expected) < 4 * np.sqrt(len(got) / 4)
+            assert sum(r.tokens * r.weight for r in got if r[name] == value) == pytest.approx(share * total, rel=0.002)
+    assert all(r.expected == pytest.approx(0.3 * r.weight) and r.copies in (int(r.expected), int(r.expected) + 1) for r in got)
+    assert abs(sum(r.copies for r in got) - sum(r.expected for r in got)) < 4 * np.sqrt(len(got) / 4)
+
+
+def brute_weights(rows, temper, least):
+    """{cell: weight} by raking in plain Python until the margins hold to twelve digits; cells of tokens by (source, lang, topic)."""
+    weights, total = dict.fromkeys(rows, 1.0), sum(rows.values())
+    goals = []
+    for m, power in enumerate(temper):
+        seen = Counter()
+        for cell, n in rows.items():
+            seen[cell[m]] += n
+        alone = {v for v, n in seen.items() if n < least * total}
+        wishes = sum(n**power for v, n in seen.items() if v not in alone)
+        left = total - sum(seen[v] for v in alone)
+        goals.append({v: n if v in alone else n**power / wishes * left for v, n in seen.items()})
+    for _ in range(400):
+        for m, goal in enumerate(goals):
+            now = Counter()
+            for cell, n in rows.items():
+                now[cell[m]] += n * weights[cell]
+            weights = {c: w * goal[c[m]] / now[c[m]] if rows[c] else w for c, w in weights.items()}
+    return weights, goals
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_weights_and_drawn_shares_of_the_table(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    got = mixing.mixed(mixing.with_margins(docs)).collect()
+    cells = Counter()
+    for r in got:
+        cells[r.source, r.lang, r.topic] += r.tokens
+    weights, goals = brute_weights(cells, list(mixing.TEMPER.values()), mixing.LEAST_SHARE)
+    for r in got:
+        assert r.weight == pytest.approx(weights[r.source, r.lang, r.topic], rel=0.02)
+    total = sum(cells.values())
+    for m, goal in enumerate(goals):
+        for value, wish in goal.items():
+            expected = sum(r.expected * r.tokens for r in got if (r.source, r.lang, r.topic)[m] == value)
+            assert expected == pytest.approx(mixing.RATE * wish, rel=0.0011)
+    assert sum(r.copies * r.tokens for r in got) >= 0.4 * total
 
 
 def test_mixing_of_odd_rows(spark):
     docs = documents(spark)
     rows = mixing.mixed(mixing.with_margins(docs))
-    assert rows.count() == docs.count() and rows.where("__probability IS NULL OR __sampled IS NULL").count() == 0
+    assert rows.count() == docs.count() and rows.where("expected IS NULL OR copies IS NULL").count() == 0
     got = mixing.sampled_documents(docs)
-    assert got.columns == docs.columns
-    drawn = Counter((r.doc_id, r.text) for r in got.collect())
-    assert all(n == Counter((r[0], r[1]) for r in ROWS)[k] for k, n in drawn.items())  # repeated rows share one fate
+    assert got.columns == docs.columns and {r.c0 for r in got.collect()} <= {"x"}
+    times = {(r.doc_id, r.source, r.lang, r.topic): r.copies for r in rows.collect()}  # repeated rows share one fate
+    drawn = Counter((r.doc_id, r.source or "", r.lang or "") for r in got.collect())
+    want = Counter()
+    for r in rows.collect():
+        want[r.doc_id, r.source, r.lang] += times[r.doc_id, r.source, r.lang, r.topic]
+    assert drawn == +want
     assert mixing.sampled_documents(empty(spark)).count() == 0
 
 
 def test_the_sample_has_the_target_shares(spark):
-    """Rare values too, whose cells would be drawn with probabilities above one."""
+    """Rare values too, whose documents are drawn several times."""
     rng = np.random.default_rng(5)
     rows = [(i, "w " * int(n), "de" if a < 0.04 else "en", "rare" if b < 0.02 else f"s{i % 3}", 1) for i, (n, a, b) in enumerate(zip(rng.integers(5, 30, 40_000), rng.random(40_000), rng.random(40_000)))]
     docs, topic = documents(spark, rows), F.lit("t")
-    cells = mixing.cells_of(mixing.with_margins(docs, topic))
-    raked, rate = mixing.calibrated(cells)
-    assert 0 < rate <= mixing.RATE
     got, all_ = Counter(), Counter()
-    for r in mixing.sampled_documents(docs, topic=topic).collect():
+    for r in mixing.sampled_documents(docs, topic=topic).select("source", "lang", "text").collect():
         got["source", r.source] += len(r.text.split())
         got["lang", r.lang] += len(r.text.split())
     for r in rows:
@@ -77,7 +114,6 @@ def test_the_sample_has_the_target_shares(spark):
         tokens = sum(got[k] for k in wish)
         for k, n in wish.items():
             assert got[k] / tokens == pytest.approx(n / sum(wish.values()), rel=0.06), k
-    assert all(r.weight * rate <= 1 + 1e-9 for r in raked.collect())
 
 
 def test_targets_that_contradict_each_other(spark):
