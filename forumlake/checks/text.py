@@ -221,8 +221,20 @@ SELECT qid, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM hits GRO
 )
 def _batch_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows without any word of a benchmark text."""
-    rows = batch.batch_matches(_lake(spark, sf_dir), _queries(spark, sf_dir, "job", '-"', '" -"', '"'))
-    return rows.groupBy("qid").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return batch.free_summary(_lake(spark, sf_dir), _queries(spark, sf_dir, "job", '-"', '" -"', '"'))
+
+
+@check(
+    "batch_first_free",
+    f"""{_BATCH}, asked AS (SELECT item_id AS qid FROM benchmark),
+barred AS (SELECT DISTINCT a.qid, p.id FROM asked_terms a JOIN posts p USING (term)),
+hits AS (SELECT s.qid, l.id FROM asked s JOIN live l ON l.type = 'comment' WHERE NOT EXISTS (SELECT 1 FROM barred b WHERE b.qid = s.qid AND b.id = l.id))
+SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS rank, CAST(0 AS DOUBLE) AS bm25 FROM hits QUALIFY row_number() OVER (PARTITION BY qid ORDER BY id) <= 10""",
+)
+def _batch_first_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten rows without any word of a benchmark text."""
+    rows = batch.batch_search(_lake(spark, sf_dir), _queries(spark, sf_dir, "comment", '-"', '" -"', '"'), 10)
+    return rows.select("qid", "id", "rank", "bm25")
 
 
 # Counts.

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from forumlake.checks.base import ITEMS, check, in_places
 from forumlake.checks.browse import _stripped as stripped
 from forumlake.corpus import items_view
-from forumlake.operators import threads
+from forumlake.operators import threads, tour
 from forumlake.plans.lake import lake_of
 
 WITH = f"WITH RECURSIVE {ITEMS}"
@@ -21,9 +21,9 @@ _ONE = _DOWN.replace("{start}", "i.id = 11")
 _ALL = _DOWN.replace("{start}", "i.parent IS NULL OR i.parent NOT IN (SELECT id FROM items)")
 
 
-def _thread(spark: SparkSession, sf_dir: str, with_path: bool = True) -> DataFrame:
+def _thread(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake = lake_of(spark, sf_dir)
-    return threads.thread(lake.items, 11, lake.edges, with_path)
+    return tour.thread_rows(lake.items, lake.order, 11)
 
 
 @check(
@@ -32,7 +32,7 @@ def _thread(spark: SparkSession, sf_dir: str, with_path: bool = True) -> DataFra
   array_to_string(d.path, '/') AS path FROM down d JOIN items i USING (id)""",
 )
 def _thread_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = threads.in_order(_thread(spark, sf_dir))
+    rows = tour.with_paths(_thread(spark, sf_dir))
     path = F.array_join(F.col("path").cast("array<string>"), "/").alias("path")
     return rows.select("id", "type", F.col("by").alias("author"), "time", "text", "parent", "deleted", "dead", "depth", path)
 
@@ -44,8 +44,27 @@ SELECT id, parent, CAST(depth AS BIGINT) AS depth, coalesce(nullif("by", ''), 'd
   CASE WHEN deleted THEN '[deleted]' ELSE coalesce(body, '') END AS body, row_number() OVER (ORDER BY path) AS position FROM stripped""",
 )
 def _thread_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = threads.display_thread(threads.in_order(_thread(spark, sf_dir)))
-    return in_places(rows, "position")
+    rows = _thread(spark, sf_dir)
+    shown = threads.display_thread(rows, (F.col("place") + 1).alias("position"))
+    return shown.orderBy("position")
+
+
+@check(
+    "thread_descendants",
+    f"""{_DOWN.replace("{start}", "i.parent IS NULL OR i.parent NOT IN (SELECT id FROM items)")}, above AS (SELECT unnest(path) AS id FROM down)
+SELECT id, count(*) - 1 AS descendants FROM above GROUP BY id""",
+)
+def _thread_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items below every item: the stretch of places that its subtree takes."""
+    return lake_of(spark, sf_dir).order.places.select("id", (F.col("last") - F.col("place")).alias("descendants"))
+
+
+@check("thread_order", f"""{_ALL}, numbered AS (SELECT id, root, depth, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS place FROM down),
+above AS (SELECT unnest(path) AS id FROM down), sizes AS (SELECT id, count(*) AS n FROM above GROUP BY id)
+SELECT id, root, place, place + n - 1 AS last, CAST(depth AS BIGINT) AS depth FROM numbered JOIN sizes USING (id)""")
+def _thread_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, subtree end and depth of every item."""
+    return tour.thread_order(items_view(spark, sf_dir))
 
 
 @check("thread_all", f"{_ALL} SELECT id, root, CAST(depth AS BIGINT) AS depth FROM down")

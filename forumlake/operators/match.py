@@ -151,21 +151,24 @@ def match(posts: DataFrame, query: Query, score: Column | None = None, all_rows:
 
 def mark_clauses(clauses: DataFrame) -> DataFrame:
     """Adds what evaluating a table of queries needs: the words of each clause
-    (``clause_size``), the required clauses of each group (``needed``), and
-    ``ranks`` on one row per distinct term that is not excluded. The windows
-    span one query text each."""
+    (``clause_size``), the required clauses of each group (``needed``), the
+    groups of its query that require nothing (``open_groups``), and ``ranks`` on
+    one row per distinct term that is not excluded. The windows span one query
+    text each."""
     group = Window.partitionBy("qid", "grp")
     first = Window.partitionBy("qid", "term").orderBy("negated", "grp", "clause", "off")
-    return clauses.withColumns(
+    marked = clauses.withColumns(
         {
             "clause_size": F.count("*").over(Window.partitionBy("qid", "grp", "clause")),
             "needed": F.size(F.collect_set(F.when(~F.col("negated"), F.col("clause"))).over(group)),
             "ranks": (F.row_number().over(first) == 1) & ~F.col("negated"),
         }
     )
+    free = F.size(F.collect_set(F.when(F.col("needed") == 0, F.col("grp"))).over(Window.partitionBy("qid")))
+    return marked.withColumn("open_groups", free)
 
 
-GROUP_KEYS = ("qid", "id", "grp", "negated", "needed")
+GROUP_KEYS = ("qid", "id", "grp", "negated", "needed", "open_groups")
 
 
 def phrase_hits(hits: DataFrame) -> DataFrame:
@@ -180,14 +183,15 @@ def phrase_hits(hits: DataFrame) -> DataFrame:
     return found.select(*GROUP_KEYS, "part", ok.alias("ok"))
 
 
-def batch_match(hits: DataFrame, has_phrases: bool, open_rows: DataFrame | None = None) -> DataFrame:
-    """(qid, id, bm25) of every match of a table of queries.
+def judged_rows(hits: DataFrame, has_phrases: bool) -> DataFrame:
+    """(qid, id, ok, barred, bm25) of the rows that hold a term of a query.
 
     ``hits`` is postings joined to marked clauses, one row per clause term found
     in a row, with its score part in ``part``. Word hits are shuffled once on
     (qid, id), which both steps reuse: from clauses to groups, from groups to
-    rows. Only phrase words carry their positions. ``open_rows`` (qid, grp, id)
-    holds all candidates of the groups that have nothing but exclusions.
+    rows. Only phrase words carry their positions. A row matches if it meets a
+    group that requires something, or if a group of exclusions alone leaves it
+    free; it is ``barred`` if there are such groups and all of them exclude it.
     """
     found = hits.filter("clause_size = 1") if has_phrases else hits
     found = found.select(*GROUP_KEYS, "part", F.lit(True).alias("ok"))
@@ -195,16 +199,16 @@ def batch_match(hits: DataFrame, has_phrases: bool, open_rows: DataFrame | None
         found = found.unionByName(phrase_hits(hits.filter("clause_size > 1")))
     per_group = found.repartition("qid", "id").groupBy("qid", "id", "grp").agg(
         F.max("needed").alias("needed"),
+        F.max("open_groups").alias("open_groups"),
         F.count_if(F.col("ok") & ~F.col("negated")).alias("met"),
         F.count_if(F.col("ok") & F.col("negated")).alias("broken"),
         F.sum("part").alias("part"),
     )
-    ok = (F.col("needed") > 0) & (F.col("met") == F.col("needed")) & (F.col("broken") == 0)
-    per_row = per_group.groupBy("qid", "id").agg(F.bool_or(ok).alias("ok"), F.sum("part").alias("bm25"))
-    matches = per_row.filter("ok").select("qid", "id", "bm25")
-    if open_rows is None:
-        return matches
-    barred = per_group.filter("needed = 0 AND broken > 0").select("qid", "grp", "id")
-    free = open_rows.join(barred, ["qid", "grp", "id"], "left_anti").select("qid", "id")
-    scored = free.join(per_row.select("qid", "id", "bm25"), ["qid", "id"], "left").select("qid", "id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
-    return matches.unionByName(scored).groupBy("qid", "id").agg(F.max("bm25").alias("bm25"))
+    met = (F.col("needed") > 0) & (F.col("met") == F.col("needed")) & (F.col("broken") == 0)
+    shut = (F.col("needed") == 0) & (F.col("broken") > 0)
+    per_row = per_group.groupBy("qid", "id").agg(
+        F.bool_or(met).alias("met"), F.count_if(shut).alias("shut"), F.max("open_groups").alias("open_groups"), F.sum("part").alias("bm25")
+    )
+    barred = (F.col("open_groups") > 0) & (F.col("shut") == F.col("open_groups"))
+    free = (F.col("open_groups") > 0) & (F.col("shut") < F.col("open_groups"))
+    return per_row.select("qid", "id", (F.col("met") | free).alias("ok"), barred.alias("barred"), "bm25")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from forumlake.functions.display import thread_author, thread_text
 from forumlake.operators.joins import LITERAL_IDS, fits_broadcast, join_small, lookup, rows_of
@@ -94,7 +94,7 @@ def in_order(thread_rows: DataFrame) -> DataFrame:
     return thread_rows.orderBy("path")
 
 
-def display_thread(thread_rows: DataFrame) -> DataFrame:
+def display_thread(thread_rows: DataFrame, *more: Column) -> DataFrame:
     """Thread rows as shown: deleted texts and absent authors are masked."""
     return thread_rows.select(
         "id",
@@ -102,6 +102,7 @@ def display_thread(thread_rows: DataFrame) -> DataFrame:
         "depth",
         thread_author(F.col("by")).alias("author"),
         thread_text(F.col("deleted"), F.col("text")).alias("body"),
+        *more,
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from forumlake.corpus import SOURCES, items_view
 from forumlake.operators.threads import edges_of
+from forumlake.operators.tour import ThreadOrder, build_order, open_order
 from forumlake.plans.index import SearchIndex, build_index, open_index
 from forumlake.schema import ID_BUCKET_WIDTH
 from forumlake.session import fingerprint, fresh_path, input_bytes
@@ -20,13 +21,14 @@ _built: dict[tuple, object] = {}
 
 
 class Lake:
-    """``index`` and ``edges`` are made when they are first asked for; browsing
-    needs neither."""
+    """``index``, ``edges`` and ``order`` are made when they are first asked for;
+    browsing needs none of them."""
 
-    def __init__(self, items: DataFrame, index: Callable[[], SearchIndex], edges: Callable[[], DataFrame]) -> None:
+    def __init__(self, items: DataFrame, index: Callable[[], SearchIndex], edges: Callable[[], DataFrame], order: Callable[[], ThreadOrder]) -> None:
         self.items = items
         self._index = index
         self._edges = edges
+        self._order = order
 
     @cached_property
     def index(self) -> SearchIndex:
@@ -36,6 +38,10 @@ class Lake:
     def edges(self) -> DataFrame:
         return self._edges()
 
+    @cached_property
+    def order(self) -> ThreadOrder:
+        return self._order()
+
     @property
     def spark(self) -> SparkSession:
         return self.items.sparkSession
@@ -54,19 +60,20 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_lake(items: DataFrame, path: str, size: int, config: str = "english") -> Lake:
-    """Stores items, index and edges under one folder. ``size`` is the items'
+    """Stores items, index, edges and thread order under one folder. ``size`` is the items'
     size in bytes."""
     spark = items.sparkSession
     write_items(items, f"{path}/items")
     stored = read_items(spark, f"{path}/items")
     build_index(stored, f"{path}/index", size, config)
     build_edges(stored, f"{path}/edges")
+    build_order(stored, f"{path}/order")
     return open_lake(spark, path)
 
 
 def open_lake(spark: SparkSession, path: str) -> Lake:
     items = read_items(spark, f"{path}/items", with_bucket=True)
-    return Lake(items, lambda: open_index(spark, f"{path}/index"), lambda: read_edges(spark, f"{path}/edges"))
+    return Lake(items, lambda: open_index(spark, f"{path}/index"), lambda: read_edges(spark, f"{path}/edges"), lambda: open_order(spark, f"{path}/order"))
 
 
 def source_paths(sf_dir: str) -> list[str]:
@@ -74,7 +81,7 @@ def source_paths(sf_dir: str) -> list[str]:
 
 
 def lake_of(spark: SparkSession, sf_dir: str, config: str = "english") -> Lake:
-    """The lake over the driver's tables. Index and edges are built once per
+    """The lake over the driver's tables. Index, edges and order are built once per
     session, and again whenever one of the source files has changed."""
     items = items_view(spark, sf_dir)
     paths = source_paths(sf_dir)
@@ -92,4 +99,5 @@ def lake_of(spark: SparkSession, sf_dir: str, config: str = "english") -> Lake:
         items,
         once(f"index {config}", lambda: build_index(items, fresh_path(spark, f"index-{config}"), input_bytes(spark, *paths), config)),
         once("edges", lambda: build_edges(items, fresh_path(spark, "edges"))),
+        once("order", lambda: build_order(items, fresh_path(spark, "order"))),
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from forumlake.operators.clean import clean_dump
 from forumlake.operators.merge import append_absent
@@ -61,10 +61,36 @@ def shard_counts(ledger: DataFrame, items: DataFrame, width: int) -> DataFrame:
     return joined.select("start", "end", rows.alias("rows"), (F.col("end") - F.col("start") + 1 - rows).alias("missing"))
 
 
+def missing_runs(ledger: DataFrame, items: DataFrame, width: int = 1_000) -> DataFrame:
+    """(start, first_id, last_id): the stretches of ids of each shard that are
+    not in the table.
+
+    The present ids of a shard are put in order; a step of more than one is a
+    gap. So there is a row for an id that is
+    present and one for a cell of ``width`` planned ones, but none for a planned
+    id. Ids and shards meet in cells as in :func:`shard_counts`. Inside
+    a cell the ids themselves are put in order; between cells, their ends.
+    """
+    cell = lambda at: F.floor(at / width)
+    spans = ledger.select("start", "end", F.explode(F.sequence(cell(F.col("start")), cell(F.col("end")))).alias("cell"))
+    held = items.select("id", cell(F.col("id")).alias("cell"))
+    inside = spans.join(held, "cell").filter("id BETWEEN start AND end").select("start", "cell", "id")
+    # Stretches of cells without any id need no row each: gaps run from one filled cell to the next.
+    met = inside.groupBy("start", "cell").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    by_cell = Window.partitionBy("start").orderBy("cell")
+    edges = ledger.select("start", "end").join(met, "start", "left")
+    before = F.coalesce(F.lag("high").over(by_cell), F.col("start") - 1)
+    between = edges.withColumns({"before": before, "last": F.lead("cell").over(by_cell).isNull()})
+    ahead = between.select("start", (F.col("before") + 1).alias("first_id"), (F.coalesce("low", F.col("end") + 1) - 1).alias("last_id"))
+    behind = between.filter("last AND low IS NOT NULL").select("start", (F.col("high") + 1).alias("first_id"), F.col("end").alias("last_id"))
+    step = F.lead("id").over(Window.partitionBy("start", "cell").orderBy("id"))
+    within = inside.withColumn("next", step).filter("next - id > 1").select("start", (F.col("id") + 1).alias("first_id"), (F.col("next") - 1).alias("last_id"))
+    return ahead.unionByName(behind).unionByName(within).filter("first_id <= last_id")
+
+
 def missing_ids(ledger: DataFrame, items: DataFrame) -> DataFrame:
-    """(start, id): the ids of the shards that are not in the table."""
-    ids = ledger.select("start", F.explode(F.sequence("start", "end")).alias("id"))
-    return ids.join(items.select("id"), "id", "left_anti").select("start", "id")
+    """(start, id): the ids of the shards that are not in the table; only gaps are expanded."""
+    return missing_runs(ledger, items).select("start", F.explode(F.sequence("first_id", "last_id")).alias("id"))
 
 
 def mark_fetched(ledger: DataFrame, shards: DataFrame, written: DataFrame | None = None) -> DataFrame:

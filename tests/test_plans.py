@@ -50,6 +50,19 @@ def test_batch_cuts_groups_before_the_shuffle(spark, sf_dir):
     assert "WindowGroupLimit" in text and "Partial" in text
 
 
+def test_exclusions_alone_join_no_rows_by_type(spark, sf_dir):
+    """Free rows are counted by block; rows are looked up in the blocks that are opened."""
+    for name in ("batch_exclusions", "batch_first_free"):
+        text = plan(entry.queries()[name](spark, sf_dir))
+        joins = [line for line in text.splitlines() if "Join [" in line]
+        assert joins and not any("Join [type#" in line for line in joins)
+
+
+def test_missing_ids_expand_gaps_alone(spark, sf_dir):
+    text = plan(entry.queries()["missing_runs"](spark, sf_dir))
+    assert "sequence(start" not in text and "sequence(FLOOR" in text
+
+
 def test_work_folder_is_the_one_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or work_dir(spark) == named.rstrip("/")

@@ -174,6 +174,27 @@ def test_english_batch_equals_single_searches(spark, english):
         assert all(math.isclose(mine[k], single[k], rel_tol=1e-9, abs_tol=1e-12) for k in mine)
 
 
+@pytest.mark.parametrize("width", [1024, 16])
+def test_best_rows_of_exclusions_need_no_whole_corpus(spark, english, monkeypatch, width):
+    """Alone, beside a group that requires words, and where the first blocks leave no row free."""
+    monkeypatch.setattr(batch, "LEAST_WIDTH", width)
+    lake, brute = english
+    common = [t for t, _ in Counter(t for _, _, kept in brute.docs.values() for t in {t for _, t in kept}).most_common(20)]
+    asked = [f"-{common[0]}", f"{common[3]} or -{common[1]}", f'-{common[0]} or -"{common[2]} {common[3]}"', "-zzzz", f"{common[4]} -{common[5]}"]
+    queries = spark.createDataFrame([(i, q, t) for i, (q, t) in enumerate((q, t) for q in asked for t in ("comment", "all", "job"))], "qid int, q string, type string")
+    best = {}
+    everything = batch.batch_matches(lake, queries).collect()
+    for r in sorted(everything, key=lambda r: (r["qid"], -round(r["bm25"], 9), r["id"])):
+        best.setdefault(r["qid"], []).append(r["id"])
+    got = {}
+    for r in batch.batch_search(lake, queries, 7).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append(r["id"])
+    assert got == {qid: ids[:7] for qid, ids in best.items()}
+    alone = queries.filter("q LIKE '-%'")
+    free = {r["qid"]: (r["n"], r["first_id"], r["last_id"]) for r in batch.free_summary(lake, alone).collect()}
+    assert free == {r["qid"]: (len(best[r["qid"]]), min(best[r["qid"]]), max(best[r["qid"]])) for r in alone.collect() if r["qid"] in best}
+
+
 def test_salted_join_gives_the_same_batch(spark, english, monkeypatch):
     lake, brute = english
     common = [t for t, _ in Counter(t for _, _, kept in brute.docs.values() for t in {t for _, t in kept}).most_common(12)]

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from forumlake.operators import joins, ordering, threads
+from forumlake.operators import joins, ordering, threads, tour
 from forumlake.operators.projections import THREAD
 from forumlake.plans.lake import build_edges
 from forumlake.schema import ITEMS
@@ -124,3 +124,42 @@ def test_display_masks_deleted_rows(spark, forest):
     rows = threads.display_thread(threads.thread(forest[1], 5000)).collect()
     assert {r["body"] for r in rows if r["id"] % 7 == 0} == {"[deleted]"}
     assert {r["author"] for r in rows} == {"deleted"}
+
+
+def expected_order(edges):
+    known = {i for i, _ in edges}
+    out = {}
+    for root in (i for i, p in edges if p is None or p not in known):
+        below = walk(edges, root)
+        rows = sorted(below.items(), key=lambda r: r[1][1])
+        for place, (i, (depth, path)) in enumerate(rows):
+            out[i] = (root, place, place + sum(p[: len(path)] == path for _, p in below.values()) - 1, depth)
+    return {i: out.get(i, (None,) * 4) for i, _ in edges}
+
+
+@pytest.mark.parametrize("block", [1_000_000, 64])
+def test_order_of_every_thread(spark, forest, monkeypatch, block):
+    """Cycles and rows below them get NULLs, a missing parent makes a root, a chain is as deep as it is long."""
+    monkeypatch.setattr(tour, "BLOCK", block)
+    edges, items = forest
+    got = {r["id"]: (r["root"], r["place"], r["last"], r["depth"]) for r in tour.thread_order(items).collect()}
+    assert got == expected_order(edges)
+
+
+def test_order_of_a_long_chain_and_of_nothing(spark):
+    items = items_of(spark, [(i, i - 1 if i else None) for i in range(10_000)])
+    got = tour.thread_order(items).filter("root <> 0 OR place <> id OR last <> 9999 OR depth <> id").count()
+    assert got == 0 and tour.thread_order(items).count() == 10_000
+    assert tour.thread_order(items.limit(0)).count() == 0
+
+
+def test_a_stored_thread_is_one_range(spark, forest):
+    edges, items = forest
+    order = tour.build_order(items, fresh_path(spark, "order"))
+    for root in (1, 4, 6, 7, 1000, 5000):
+        rows = tour.with_paths(tour.thread_rows(items, order, root)).orderBy("place").collect()
+        assert {r["id"]: (r["depth"], tuple(r["path"])) for r in rows} == walk(edges, root)
+        assert [tuple(r["path"]) for r in rows] == sorted(tuple(r["path"]) for r in rows)
+    assert tour.thread_rows(items, order, 20).count() == tour.thread_rows(items, order, 999).count() == 0
+    text = order.below(4)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "root_bucket" in text.split("PartitionFilters")[1] and "EqualTo(root,1)" in text
