@@ -14,6 +14,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from forumlake.functions.text import terms, words
+from forumlake.operators.joins import fits_broadcast
+from forumlake.session import stage
 
 # Fixed value: the pieces of a query text - quoted phrases and bare words.
 PIECE = r'(-?"[^"]*"?|[^\s"]+)'
@@ -173,14 +175,21 @@ GROUP_KEYS = ("qid", "id", "grp", "negated", "needed", "open_groups")
 
 def phrase_hits(hits: DataFrame) -> DataFrame:
     """One row per phrase and row holding one of its words; ``ok`` where the
-    words stand as in the phrase. A group has as many rows as the phrase words."""
+    words stand as in the phrase.
+
+    Words are counted first, without their positions. Only rows that hold every
+    word of a phrase have positions fetched and compared, so those of frequent
+    words are gathered for the few rows that a phrase's rarest words leave over.
+    """
+    row = ["qid", "id", "clause"]
+    found = stage(hits.groupBy(*GROUP_KEYS, "clause", "clause_size").agg(F.count("*").alias("n"), F.sum("part").alias("part")), "phrase-words")
+    whole = found.filter("n = clause_size").select(*row)
+    whole = F.broadcast(whole) if fits_broadcast(whole) else whole
     starts = F.transform("positions", lambda p: p - F.col("off"))
-    found = hits.groupBy(*GROUP_KEYS, "clause", "clause_size").agg(
-        F.count("*").alias("n"), F.sum("part").alias("part"), F.collect_list(starts).alias("starts")
-    )
+    at = hits.select(*row, starts.alias("starts")).join(whole, row, "left_semi").groupBy(*row).agg(F.collect_list("starts").alias("starts"))
     common = F.aggregate("starts", F.get("starts", F.lit(0)), F.array_intersect)
-    ok = (F.col("n") == F.col("clause_size")) & (F.size(common) > 0)
-    return found.select(*GROUP_KEYS, "part", ok.alias("ok"))
+    standing = at.filter(F.size(common) > 0).select(*row, F.lit(True).alias("ok"))
+    return found.join(standing, row, "left").select(*GROUP_KEYS, "part", F.coalesce("ok", F.lit(False)).alias("ok"))
 
 
 def judged_rows(hits: DataFrame, has_phrases: bool) -> DataFrame:

@@ -60,8 +60,9 @@ def judged(lake: Lake, queries: DataFrame, operators: bool = True) -> tuple[Data
     hits = join_small(lake.index.postings().filter("live"), asked, ["type", "bucket", "term"], salt_by="id", rows=size["n"])
     if not size["open"]:
         found = seeds(lake, asked, size["n"])
-        if found is not None and fits_broadcast(found):
-            hits = hits.join(F.broadcast(found), ["qid", "id"], "left_semi")
+        if found is not None:
+            # Beyond a broadcast both sides are laid out by query and row, as the sums need it.
+            hits = hits.join(F.broadcast(found) if fits_broadcast(found) else found, ["qid", "id"], "left_semi")
     hits = hits.withColumn("part", F.when(F.col("ranks"), rank.score()).otherwise(0.0))
     rows = judged_rows(hits, bool(size["phrases"]))
     if not size["open"]:
