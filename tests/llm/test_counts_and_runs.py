@@ -49,6 +49,18 @@ def test_token_counts_of_the_table(spark, sf_dir):
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == wanted_counts(rows)
 
 
+def test_plain_chunks_are_read_as_the_tokenizer_does():
+    with open(WORD_BPE, encoding="utf-8") as f:
+        reader = token_counts.Reader(f.read())
+    assert reader.by_pattern
+    letters = [c for c in map(chr, range(0x180)) if token_counts._PLAIN.fullmatch(c)]
+    rng = random.Random(4)
+    for _ in range(3000):
+        chunk = "".join(rng.choices(letters, k=rng.randrange(1, 9))) + "".join(rng.choices(".,;:!?*#$%&|", k=rng.randrange(3)))
+        assert reader.plain(chunk) == reader.read(chunk)
+    assert reader.plain("don't") is None and reader.plain("<|endoftext|>") is None and reader.plain("a1") is None and reader.plain("") is None
+
+
 def test_no_more_than_so_many_pretokens_go_to_every_task(spark):
     rows = spark.createDataFrame([(f"w{k}", k // 7 + 1, 1) for k in range(1000)], "pretoken string, n bigint, pieces bigint")
     found, everything = token_counts.frequent(rows, 300)
