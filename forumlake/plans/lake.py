@@ -24,7 +24,7 @@ class Lake:
     """``index``, ``edges`` and ``order`` are made when they are first asked for;
     browsing needs none of them."""
 
-    def __init__(self, items: DataFrame, index: Callable[[], SearchIndex], edges: Callable[[], DataFrame], order: Callable[[], ThreadOrder]) -> None:
+    def __init__(self, items: DataFrame, index: Callable[[], SearchIndex], edges: Callable[[], DataFrame], order: Callable[[], ThreadOrder] | None = None) -> None:
         self.items = items
         self._index = index
         self._edges = edges
@@ -40,6 +40,8 @@ class Lake:
 
     @cached_property
     def order(self) -> ThreadOrder:
+        if self._order is None:
+            raise ValueError("this lake keeps no thread order")
         return self._order()
 
     @property
