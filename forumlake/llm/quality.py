@@ -225,7 +225,8 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def scored(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
-    """``docs`` with ``__score`` (probability of good quality), ``__posterior`` and ``__votes``."""
+    """``docs`` with ``__score`` (probability of good quality), ``__posterior`` and ``__votes``, which replace columns of these names."""
+    docs = docs.drop("__score", "__posterior", "__votes")
     place = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
