@@ -56,12 +56,14 @@ check(
 
 @check("user_items", WITH + page_sql(_live("\"by\" = 'src3'"), NEWEST_SQL, True))
 def _user_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_hits(user_items(items_view(spark, sf_dir), "src3"))
+    lake = lake_of(spark, sf_dir, "simple")
+    return as_hits(user_items(lake.items, "src3", access=lake.access))
 
 
 @check("user_items_second_page", WITH + page_sql(_live("\"by\" = 'assistant'"), NEWEST_SQL, True, page=2))
 def _user_items_second(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_hits(user_items(items_view(spark, sf_dir), "assistant", 2))
+    lake = lake_of(spark, sf_dir, "simple")
+    return as_hits(user_items(lake.items, "assistant", 2, lake.access))
 
 
 @check(

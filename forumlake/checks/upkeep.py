@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from forumlake.checks.base import AS_OF, ITEMS, as_hits, check, in_places
+from forumlake.checks.base import AS_OF, HIGHEST_SQL, ITEMS, NEWEST_SQL, as_hits, check, in_places
 from forumlake.corpus import items_view, table
+from forumlake.functions.requests import SAVED_SEARCHES
 from forumlake.operators import clean, counts, merge
 from forumlake.plans import ledger, sync
+from forumlake.plans.access import build_access
 from forumlake.plans.index import build_index, compact, open_index
+from forumlake.plans.lake import SAMPLE_RANGE_ROWS, open_lake
+from forumlake.plans.search import search, typeahead, user_items
 from forumlake.schema import FEED, ITEM_COLUMNS
 from forumlake.session import fresh_path, stage
 from forumlake.sources.dump import WRITE_OPTIONS, read_dump
@@ -424,6 +430,32 @@ def _stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+@check(
+    "stream_pages",
+    f"""{_FEED}, shown AS (SELECT * FROM merged WHERE NOT deleted AND NOT dead)
+SELECT 'new' AS page, id, row_number() OVER (ORDER BY {NEWEST_SQL}) AS rank FROM shown WHERE type = 'story' AND title <> '' QUALIFY rank <= 30
+UNION ALL SELECT 'top', id, row_number() OVER (ORDER BY {HIGHEST_SQL}) AS rank FROM shown WHERE type = 'story' AND title <> '' QUALIFY rank <= 30
+UNION ALL SELECT 'typeahead', id, row_number() OVER (ORDER BY {NEWEST_SQL}) AS rank FROM shown
+  WHERE starts_with(lower(title), 'v') OR starts_with(lower(author), 'v') QUALIFY rank <= 8
+UNION ALL SELECT 'author', id, row_number() OVER (ORDER BY {NEWEST_SQL}) AS rank FROM shown WHERE author = 'v7' QUALIFY rank <= 30""",
+)
+def _stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages from the ordered access paths of a lake that a stream has changed in two batches."""
+    base = fresh_path(spark, "stream-pages")
+    write_items(_items(spark, sf_dir), f"{base}/items")
+    build_access(read_items(spark, f"{base}/items"), f"{base}/access", SAMPLE_RANGE_ROWS)
+    sync.latest_versions(changes_feed(spark, sf_dir)).repartition(4, "id").write.json(f"{base}/feed")
+    sync_stream(spark, f"{base}/feed", f"{base}/items", f"{base}/checkpoint", files_per_trigger=2, access_path=f"{base}/access").awaitTermination()
+    lake = open_lake(spark, base, ordered=True)
+    pages = {
+        "new": search(lake, SAVED_SEARCHES["new"], AS_OF),
+        "top": search(lake, SAVED_SEARCHES["top"], AS_OF),
+        "typeahead": typeahead(lake, "V"),
+        "author": user_items(lake.items, "v7", access=lake.access),
+    }
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(page).alias("page"), "id", "rank") for page, rows in pages.items()])
+
+
 @check("sync_groups", f"{_FEED}, window_rows AS (SELECT * FROM changes WHERE id BETWEEN 1001 AND 3000) SELECT {MAIN_SQL} FROM items WHERE id NOT IN (SELECT id FROM window_rows) UNION ALL SELECT {MAIN_SQL} FROM window_rows")
 def _sync_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The backfill on the stored table, merged in two groups by a first run that

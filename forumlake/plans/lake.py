@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from forumlake.corpus import SOURCES, items_view
 from forumlake.operators.threads import edges_of
 from forumlake.operators.tour import ThreadOrder, build_order, open_order
+from forumlake.plans.access import Access, build_access, open_access
 from forumlake.plans.index import SearchIndex, build_index, open_index
 from forumlake.schema import ID_BUCKET_WIDTH
 from forumlake.session import fingerprint, fresh_path, input_bytes
@@ -17,18 +18,28 @@ from forumlake.sources.items import read_items, write_items
 
 EDGES = "parent bigint, id bigint, bucket bigint"
 
+SAMPLE_RANGE_ROWS = 2_000  # the driver's tables are small; their layouts still have several ranges
+
 _built: dict[tuple, object] = {}
 
 
 class Lake:
-    """``index``, ``edges`` and ``order`` are made when they are first asked for;
-    browsing needs none of them."""
-
-    def __init__(self, items: DataFrame, index: Callable[[], SearchIndex], edges: Callable[[], DataFrame], order: Callable[[], ThreadOrder] | None = None) -> None:
+    """``index``, ``edges``, ``order`` and ``access`` are made when they are first
+    asked for. Without ``access`` browsing scans the items."""
+
+    def __init__(
+        self,
+        items: DataFrame,
+        index: Callable[[], SearchIndex],
+        edges: Callable[[], DataFrame],
+        order: Callable[[], ThreadOrder] | None = None,
+        access: Callable[[], Access] | None = None,
+    ) -> None:
         self.items = items
         self._index = index
         self._edges = edges
         self._order = order
+        self._access = access
 
     @cached_property
     def index(self) -> SearchIndex:
@@ -44,6 +55,10 @@ class Lake:
             raise ValueError("this lake keeps no thread order")
         return self._order()
 
+    @cached_property
+    def access(self) -> Access | None:
+        return self._access() if self._access is not None else None
+
     @property
     def spark(self) -> SparkSession:
         return self.items.sparkSession
@@ -62,7 +77,7 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_lake(items: DataFrame, path: str, size: int, config: str = "english") -> Lake:
-    """Stores items, index, edges and thread order under one folder. ``size`` is the items'
+    """Stores items, index, edges, thread order and ordered access paths under one folder. ``size`` is the items'
     size in bytes."""
     spark = items.sparkSession
     write_items(items, f"{path}/items")
@@ -70,12 +85,21 @@ def write_lake(items: DataFrame, path: str, size: int, config: str = "english")
     build_index(stored, f"{path}/index", size, config)
     build_edges(stored, f"{path}/edges")
     build_order(stored, f"{path}/order")
-    return open_lake(spark, path)
+    build_access(stored, f"{path}/access")
+    return open_lake(spark, path, ordered=True)
 
 
-def open_lake(spark: SparkSession, path: str) -> Lake:
+def open_lake(spark: SparkSession, path: str, ordered: bool = False) -> Lake:
+    """A stored lake as it is now. ``ordered`` browses by the access paths, which
+    show what was recorded in them: say so where every update is."""
     items = read_items(spark, f"{path}/items", with_bucket=True)
-    return Lake(items, lambda: open_index(spark, f"{path}/index"), lambda: read_edges(spark, f"{path}/edges"), lambda: open_order(spark, f"{path}/order"))
+    return Lake(
+        items,
+        lambda: open_index(spark, f"{path}/index"),
+        lambda: read_edges(spark, f"{path}/edges"),
+        lambda: open_order(spark, f"{path}/order"),
+        (lambda: open_access(spark, f"{path}/access")) if ordered else None,
+    )
 
 
 def source_paths(sf_dir: str) -> list[str]:
@@ -102,4 +126,5 @@ def lake_of(spark: SparkSession, sf_dir: str, config: str = "english") -> Lake:
         once(f"index {config}", lambda: build_index(items, fresh_path(spark, f"index-{config}"), input_bytes(spark, *paths), config)),
         once("edges", lambda: build_edges(items, fresh_path(spark, "edges"))),
         once("order", lambda: build_order(items, fresh_path(spark, "order"))),
+        once("access", lambda: build_access(items, fresh_path(spark, "access"), SAMPLE_RANGE_ROWS)),
     )

@@ -12,11 +12,12 @@ from forumlake.operators import ordering
 from forumlake.operators.filters import build_filter, by_author, has_prefix, is_live, live, of_type, since
 from forumlake.operators.joins import BROADCAST_ROWS, rows_of
 from forumlake.operators.match import Query, analyse_query, match
-from forumlake.operators.projections import hit_columns
+from forumlake.operators.projections import HIT, hit_columns
 from forumlake.operators.rank import TermCounts
+from forumlake.plans.access import Access
 from forumlake.plans.index import SearchIndex
 from forumlake.plans.lake import Lake
-from forumlake.schema import TYPEAHEAD_SIZE
+from forumlake.schema import PAGE_SIZE, TYPEAHEAD_SIZE
 from forumlake.session import stage
 
 
@@ -86,9 +87,24 @@ def page_ids(lake: Lake, f: SearchFilters, as_of: datetime) -> DataFrame:
     return lake.items.filter(build_filter(f, as_of)).select("id", *order_keys(f))
 
 
+def browsed(lake: Lake, f: SearchFilters, as_of: datetime, ahead: int = 0) -> DataFrame | None:
+    """Narrow rows of a search without full text up to the end of its page and
+    ``ahead`` rows on, from the ordered access paths; None where those cannot serve."""
+    if f.is_full_text or lake.access is None or not lake.access.serves(f):
+        return None
+    return lake.access.rows(f, as_of, ordering.offset_of(f.page) + PAGE_SIZE + ahead)
+
+
 def search(lake: Lake, f: SearchFilters, as_of: datetime) -> DataFrame:
     """One page of results, numbered in ``rank``; relevance pages carry ``bm25``."""
     order = ordering.ORDERS[f.order]()
+    narrow = browsed(lake, f, as_of)
+    if narrow is not None:
+        rows = ordering.page_of(narrow, order, f.page)
+        if f.with_snippet:
+            return fetch(lake.items, rows, True, order, f.page)
+        bare = rows.select("*", F.lit(None).cast("string").alias("snippet"))
+        return ordering.ranked(bare, order, f.page).select(*HIT, "snippet", "rank").orderBy("rank")
     if not f.is_full_text and not f.with_snippet:
         # No text to fetch late: the page comes out of one narrow pass.
         rows = ordering.page_of(hit_columns(lake.items.filter(build_filter(f, as_of)), False), order, f.page)
@@ -99,7 +115,8 @@ def search(lake: Lake, f: SearchFilters, as_of: datetime) -> DataFrame:
 
 
 def search_flags(lake: Lake, f: SearchFilters, as_of: datetime) -> DataFrame:
-    return ordering.page_flags(matches(lake, f, as_of), f.page)
+    found = browsed(lake, f, as_of, ahead=1)
+    return ordering.page_flags(matches(lake, f, as_of) if found is None else found, f.page)
 
 
 def typeahead(lake: Lake, term: str) -> DataFrame:
@@ -108,8 +125,12 @@ def typeahead(lake: Lake, term: str) -> DataFrame:
     if not term:
         return hit_columns(lake.items.limit(0), False)
     if len(term) <= 2:
-        rows = live(lake.items).filter(has_prefix(term))
         order = ordering.newest()
+        if lake.access is not None and len(term.lower()) <= 2:
+            rows = lake.access.rows_with_prefix(term, TYPEAHEAD_SIZE)
+            first = rows.select("*", F.lit(None).cast("string").alias("snippet")).orderBy(*order).limit(TYPEAHEAD_SIZE)
+            return ordering.ranked(first, order, 1).select(*HIT, "snippet", "rank").orderBy("rank")
+        rows = live(lake.items).filter(has_prefix(term))
         return hit_columns(ordering.ranked(rows.orderBy(*order).limit(TYPEAHEAD_SIZE), order, 1), False, "rank").orderBy("rank")
     order = ordering.most_relevant()
     query = analyse_query(lake.spark, term, lake.index.config, operators=False)
@@ -117,9 +138,11 @@ def typeahead(lake: Lake, term: str) -> DataFrame:
     return fetch(lake.items, rows, False, order, 1, "bm25")
 
 
-def user_items(items: DataFrame, author: str, page: int = 1) -> DataFrame:
+def user_items(items: DataFrame, author: str, page: int = 1, access: Access | None = None) -> DataFrame:
+    """One page of an author's rows, from the ordered access paths where there are some."""
     order = ordering.newest()
-    ids = live(items).filter(by_author(author)).select("id", "time")
+    if access is None:
+        ids = live(items).filter(by_author(author)).select("id", "time")
+    else:
+        ids = access.rows_of_author(author, ordering.offset_of(page) + PAGE_SIZE).select("id", "time")
     return fetch(items, ordering.page_of(ids, order, page), True, order, page)
-
-

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from forumlake.operators.clean import split_feed
 from forumlake.operators.merge import add_bucket, merge_into, touched_buckets
+from forumlake.plans.access import open_access
 from forumlake.plans.index import add_generation, open_index
 from forumlake.plans.sync import latest_versions
 from forumlake.session import stage
@@ -16,7 +17,7 @@ from forumlake.sources.feed import read_feed
 from forumlake.sources.items import read_items
 
 
-def apply_batch(items_path: str, index_path: str | None = None, rejected_path: str | None = None, stream: str = "feed") -> Callable[[DataFrame, int], None]:
+def apply_batch(items_path: str, index_path: str | None = None, rejected_path: str | None = None, stream: str = "feed", access_path: str | None = None) -> Callable[[DataFrame, int], None]:
     """The work of one micro-batch.
 
     The index generation is derived from the rows before the change, so it is
@@ -35,6 +36,8 @@ def apply_batch(items_path: str, index_path: str | None = None, rejected_path: s
             return
         if index_path is not None:
             add_generation(open_index(spark, index_path), rows_before(spark, items_path, changes), changes, f"{stream}#{batch_id}")
+        if access_path is not None:
+            open_access(spark, access_path).record(changes, batch_id)
         merge_into(items_path, changes)
 
     return apply
@@ -54,11 +57,13 @@ def sync_stream(
     index_path: str | None = None,
     rejected_path: str | None = None,
     files_per_trigger: int | None = None,
+    access_path: str | None = None,
 ) -> StreamingQuery:
     """Works off all files present, in batches of ``files_per_trigger``, and
     stops. Started again it goes on with the files that are new since. A stream
-    is known to the index by its checkpoint."""
+    is known to the index by its checkpoint. One stream may record its batches in
+    the access paths, as these go by the batch's number."""
     feed = read_feed(spark, feed_path, streaming=True, files_per_trigger=files_per_trigger)
-    writer = feed.writeStream.foreachBatch(apply_batch(items_path, index_path, rejected_path, checkpoint))
+    writer = feed.writeStream.foreachBatch(apply_batch(items_path, index_path, rejected_path, checkpoint, access_path))
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
