@@ -76,9 +76,9 @@ class Query:
     def ranking_terms(self) -> list[str]:
         return sorted({t for g in self.groups for c in g if not c.negated for _, t in c.terms})
 
-    @property
-    def phrase_terms(self) -> list[str]:
-        return sorted({t for g in self.groups for c in g if len(c.terms) > 1 for _, t in c.terms})
+    def placed_terms(self, frequent: frozenset[str] = frozenset()) -> list[str]:
+        """The words and pairs whose positions tell where the query's phrases stand."""
+        return sorted({t for g in self.groups for c in g if len(c.terms) > 1 for _, t in cover(c.terms, frequent)})
 
     def anchors(self, df: dict[str, int]) -> list[str] | None:
         """Per group, the rarest of its required terms: every match holds one of
@@ -94,6 +94,24 @@ class Query:
         return any(all(c.negated for c in g) for g in self.groups)
 
 
+def cover(phrase: tuple[tuple[int, str], ...], frequent: frozenset[str]) -> list[tuple[int, str]]:
+    """The (offset, term) whose positions place a phrase. A frequent word is read
+    as a pair with a neighbour, a rare one if it can, so that its own positions
+    are needed only where the phrase leaves it without neighbours."""
+    at = dict(phrase)
+    units, covered = {}, set()
+    for off, term in phrase:
+        if term in frequent and off not in covered:
+            beside = [o for o in (off - 1, off + 1) if o in at]
+            if beside:
+                partner = min(beside, key=lambda o: (at[o] in frequent, o in covered, o))
+                first = min(off, partner)
+                units[first] = f"{at[first]} {at[first + 1]}"
+                covered |= {off, partner}
+    single = {off: term for off, term in phrase if off not in covered}
+    return sorted([*units.items(), *single.items()])
+
+
 def analyse_query(spark: SparkSession, q: str, config: str = "english", operators: bool = True) -> Query:
     """The clauses of one query text, brought to the driver: a few rows."""
     table = spark.range(1).select(F.lit(0).alias("qid"), F.lit(q).alias("q"))
@@ -116,30 +134,39 @@ def phrase_found(arrays: list[Column]) -> Column:
     return F.size(reduce(F.array_intersect, arrays)) > 0
 
 
-def matched(query: Query, present: dict[str, Column], positions: dict[str, Column]) -> Column:
+def matched(query: Query, present: dict[str, Column], positions: dict[str, Column], frequent: frozenset[str] = frozenset()) -> Column:
     """The query over one row that knows which terms are present, and where."""
 
     def clause(c: Clause) -> Column:
         found = reduce(and_, [present[t] for _, t in c.terms])
         if len(c.terms) > 1:
-            shifted = [shift(positions[t], off) for off, t in c.terms]
+            shifted = [shift(positions[t], off) for off, t in cover(c.terms, frequent)]
             found = F.coalesce(found & phrase_found(shifted), F.lit(False))
         return ~found if c.negated else found
 
     return reduce(or_, [reduce(and_, [clause(c) for c in g]) for g in query.groups])
 
 
-def match(posts: DataFrame, query: Query, score: Column | None = None, all_rows: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+def match(
+    posts: DataFrame,
+    query: Query,
+    score: Column | None = None,
+    all_rows: DataFrame | None = None,
+    keys: tuple[str, ...] = (),
+    frequent: frozenset[str] = frozenset(),
+) -> DataFrame:
     """Ids matching one query, with their summed ``bm25`` and the row's ``keys``.
 
-    ``posts`` holds the postings of the query's terms only. One shuffle on id
+    ``posts`` holds the postings of the query's terms only, and of the pairs that
+    stand for ``frequent`` words in its phrases. One shuffle on id
     brings the terms of a row together; a frequent term is spread over all
     tasks by it. ``all_rows`` (ids and keys) is read only when a group has nothing but
     exclusions.
     """
+    placed = query.placed_terms(frequent)
     aggs = [F.sum(F.lit(0.0) if score is None else score).alias("bm25")]
     aggs += [F.bool_or(F.col("term") == t).alias(f"has_{i}") for i, t in enumerate(query.terms)]
-    aggs += [F.any_value(F.when(F.col("term") == t, F.col("positions")), F.lit(True)).alias(f"at_{i}") for i, t in enumerate(query.phrase_terms)]
+    aggs += [F.any_value(F.when(F.col("term") == t, F.col("positions")), F.lit(True)).alias(f"at_{i}") for i, t in enumerate(placed)]
     aggs += [F.max(key).alias(key) for key in keys]
     rows = posts.groupBy("id").agg(*aggs)
     if query.needs_all_rows:
@@ -147,8 +174,8 @@ def match(posts: DataFrame, query: Query, score: Column | None = None, all_rows:
             raise ValueError("a query of exclusions alone needs the table of all rows")
         rows = all_rows.select("id", *keys).join(rows.drop(*keys), "id", "left")
     present = {t: F.coalesce(F.col(f"has_{i}"), F.lit(False)) for i, t in enumerate(query.terms)}
-    positions = {t: F.col(f"at_{i}") for i, t in enumerate(query.phrase_terms)}
-    return rows.filter(matched(query, present, positions)).select("id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), *keys)
+    positions = {t: F.col(f"at_{i}") for i, t in enumerate(placed)}
+    return rows.filter(matched(query, present, positions, frequent)).select("id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), *keys)
 
 
 def mark_clauses(clauses: DataFrame) -> DataFrame:

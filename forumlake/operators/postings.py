@@ -20,7 +20,12 @@ def postings(items: DataFrame, config: str = "english") -> DataFrame:
     Each row's words are sorted and cut into runs inside the row, so a text of
     any length yields its postings without a shuffle.
     """
-    docs = items.select(
+    return placed_runs(documents(items, config))
+
+
+def documents(items: DataFrame, config: str) -> DataFrame:
+    """Every item's sort keys and its analysed words in order, in ``terms``."""
+    return items.select(
         "id",
         "type",
         (~F.col("deleted") & ~F.col("dead")).alias("live"),
@@ -28,6 +33,23 @@ def postings(items: DataFrame, config: str = "english") -> DataFrame:
         "score",
         terms(words(search_document()), config).alias("terms"),
     )
+
+
+def pair_postings(items: DataFrame, config: str, frequent: list[str]) -> DataFrame:
+    """Postings of pairs of neighbours of which one at least is a frequent word:
+    the term is both words with a blank between, which no word holds. Rows as in
+    :func:`postings`; a pair's position is its first word's."""
+    docs = documents(items, config).withColumn("words", F.col("terms"))
+
+    def pair(word, at):
+        after = F.get(F.col("words"), at + 1)
+        return F.when(word.isin(*frequent) | after.isin(*frequent), F.concat(word, F.lit(" "), after))
+
+    return placed_runs(docs.withColumn("terms", F.transform("words", pair)))
+
+
+def placed_runs(docs: DataFrame) -> DataFrame:
+    """One row per id and distinct term of ``terms``, with the places it holds."""
     placed = F.transform("terms", lambda term, at: F.struct(term.alias("term"), at.alias("at")))
     docs = docs.select(*ROW, F.sort_array(F.filter(placed, lambda x: x["term"].isNotNull())).alias("placed"))
 

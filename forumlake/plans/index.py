@@ -3,10 +3,11 @@
 Layout under one folder::
 
     postings/    gen=/type=/bucket=   id, live, time, score, term, tf, dl, positions; sorted by term
+    pairs/       gen=/type=/bucket=   the same of neighbours with a frequent word among them
     term_stats/  gen=/bucket=         scope, term, df
     corpus_stats/gen=                 scope, n, total_dl
     retired/     gen=                 ids whose rows in earlier generations are void
-    commits/                          one row per finished generation
+    commits/                          one row per finished generation, with the frequent words
 
 Statistics are additive: a later generation holds signed differences, and
 readers sum them. Postings of a changed item are replaced by naming its id as
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from forumlake.operators.postings import corpus_stats, postings, term_stats
+from forumlake.operators.postings import corpus_stats, pair_postings, postings, term_stats
 from forumlake.operators.rank import TermCounts
 from forumlake.schema import ITEM_TYPES
 from forumlake.session import spread, stage
@@ -32,7 +33,11 @@ POSTINGS = "gen int, type string, bucket int, id bigint, live boolean, time time
 TERM_STATS = "gen int, bucket int, scope string, term string, df bigint"
 CORPUS_STATS = "gen int, scope string, n bigint, total_dl bigint"
 RETIRED = "gen int, id bigint"
-COMMITS = "gen int, config string, buckets int, source string"
+COMMITS = "gen int, config string, buckets int, source string, frequent array<string>"
+
+# A word in more than this share of all rows is frequent. As many words can be that
+# frequent as a mean row has distinct words, divided by the share, whatever the corpus.
+FREQUENT = 0.05
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -47,6 +52,7 @@ class SearchIndex:
     buckets: int
     generations: tuple[int, ...]
     sources: tuple[str, ...] = ()
+    frequent: frozenset[str] = frozenset()
 
     def _read(self, name: str, schema: str) -> DataFrame:
         table = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
@@ -57,8 +63,9 @@ class SearchIndex:
         # and the term filter prunes row groups of the sorted files.
         return F.col("bucket").isin(*[bucket_of(F.lit(t), self.buckets) for t in terms]) & F.col("term").isin(*terms)
 
-    def postings(self, terms: list[str] | None = None, type_: str = "all") -> DataFrame:
-        rows = self._read("postings", POSTINGS)
+    def postings(self, terms: list[str] | None = None, type_: str = "all", table: str = "postings") -> DataFrame:
+        """The rows of all or of some terms; those of pairs lie in the table ``pairs``."""
+        rows = self._read(table, POSTINGS)
         if terms is not None:
             rows = rows.filter(self._bucket_filter(terms)) if terms else rows.limit(0)
         if type_ in ITEM_TYPES:
@@ -96,7 +103,10 @@ def open_index(spark: SparkSession, path: str) -> SearchIndex:
     rows = spark.read.schema(COMMITS).parquet(f"{path}/commits").collect()  # one row per generation
     if not rows:
         raise ValueError(f"no finished generation in {path}")
-    return SearchIndex(spark, path, rows[0]["config"], rows[0]["buckets"], tuple(sorted(r["gen"] for r in rows)), tuple(sorted(s for r in rows for s in (r["source"] or "").split("\n"))))
+    generations = tuple(sorted(r["gen"] for r in rows))
+    sources = tuple(sorted(s for r in rows for s in (r["source"] or "").split("\n")))
+    frequent = frozenset(t for r in rows for t in r["frequent"] or ())
+    return SearchIndex(spark, path, rows[0]["config"], rows[0]["buckets"], generations, sources, frequent)
 
 
 def buckets_for(size: int) -> int:
@@ -111,8 +121,14 @@ def _write(df: DataFrame, path: str, gen: int, keys: list[str], order: list[str]
     (writer.partitionBy(*keys) if keys else writer).parquet(f"{path}/gen={gen}")
 
 
-def _commit(spark: SparkSession, path: str, gen: int, config: str, buckets: int, source: str = "build", mode: str = "append") -> None:
-    row = spark.range(1).select(F.lit(gen).alias("gen"), F.lit(config).alias("config"), F.lit(buckets).alias("buckets"), F.lit(source).alias("source"))
+def _commit(spark: SparkSession, path: str, gen: int, config: str, buckets: int, source: str = "build", mode: str = "append", frequent: list[str] | None = None) -> None:
+    row = spark.range(1).select(
+        F.lit(gen).alias("gen"),
+        F.lit(config).alias("config"),
+        F.lit(buckets).alias("buckets"),
+        F.lit(source).alias("source"),
+        F.array(*[F.lit(t) for t in frequent or ()]).cast("array<string>").alias("frequent"),
+    )
     row.coalesce(1).write.mode(mode).parquet(f"{path}/commits")
 
 
@@ -132,6 +148,28 @@ def build_index(items: DataFrame, path: str, size: int, config: str = "english")
     return open_index(spark, path)
 
 
+def add_pairs(index: SearchIndex, items: DataFrame, size: int, share: float = FREQUENT) -> SearchIndex:
+    """Adds the pairs of frequent words to an index of one generation, so that
+    phrases need none of those words' positions. The words stay the frequent ones
+    in later generations."""
+    if index.generations != (0,):
+        raise ValueError("pairs are added to an index of one generation: build or compact it first")
+    spark, path = index.spark, index.path
+    total = index.corpus_stats().filter("scope = 'all'").select((F.col("n") * share).alias("least"))
+    counted = index.term_stats(scope="all").join(F.broadcast(total), F.col("df") > F.col("least")).select("term")
+    frequent = sorted(row["term"] for row in counted.collect())
+    if not frequent:
+        return index
+    _write_pairs(spread(items, size), path, 0, index.config, index.buckets, frequent)
+    _commit(spark, path, 0, index.config, index.buckets, "\n".join(index.sources), "overwrite", frequent)
+    return open_index(spark, path)
+
+
+def _write_pairs(items: DataFrame, path: str, gen: int, config: str, buckets: int, frequent: list[str]) -> None:
+    pairs = pair_postings(items, config, frequent).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    _write(pairs, f"{path}/pairs", gen, ["type", "bucket"], ["term", "id"])
+
+
 def _difference(new: DataFrame, old: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     minus = old.withColumns({s: -F.col(s) for s in sums})
     summed = new.unionByName(minus).groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums])
@@ -151,6 +189,8 @@ def add_generation(index: SearchIndex, old: DataFrame, new: DataFrame, source: s
     new_posts = postings(new, config).withColumn("bucket", bucket_of(F.col("term"), buckets))
     _write(new_posts, f"{path}/postings", gen, ["type", "bucket"], ["term", "id"])
     written = spark.read.schema(POSTINGS).parquet(f"{path}/postings").filter(F.col("gen") == gen)
+    if index.frequent:
+        _write_pairs(new, path, gen, config, buckets, sorted(index.frequent))
     _write(new.select("id"), f"{path}/retired", gen, [], ["id"])
     old_posts = stage(postings(old, config).drop("positions"), "before")
     terms = _difference(term_stats(written), term_stats(old_posts), ["scope", "term"], ["df"])
@@ -167,7 +207,9 @@ def compact(index: SearchIndex, path: str) -> SearchIndex:
     _write(index.postings(), f"{path}/postings", 0, ["type", "bucket"], ["term", "id"])
     _write(index.term_stats(), f"{path}/term_stats", 0, ["bucket"], ["term", "scope"])
     _write(index.corpus_stats(), f"{path}/corpus_stats", 0, [], ["scope"])
-    _commit(spark, path, 0, index.config, index.buckets, "\n".join(index.sources), "overwrite")
+    if index.frequent:
+        _write(index.postings(table="pairs"), f"{path}/pairs", 0, ["type", "bucket"], ["term", "id"])
+    _commit(spark, path, 0, index.config, index.buckets, "\n".join(index.sources), "overwrite", sorted(index.frequent))
     return open_index(spark, path)
 
 

@@ -11,7 +11,7 @@ from forumlake.corpus import SOURCES, items_view
 from forumlake.operators.threads import edges_of
 from forumlake.operators.tour import ThreadOrder, build_order, open_order
 from forumlake.plans.access import Access, build_access, open_access
-from forumlake.plans.index import SearchIndex, build_index, open_index
+from forumlake.plans.index import SearchIndex, add_pairs, build_index, open_index
 from forumlake.schema import ID_BUCKET_WIDTH
 from forumlake.session import fingerprint, fresh_path, input_bytes
 from forumlake.sources.items import read_items, write_items
@@ -82,7 +82,7 @@ def write_lake(items: DataFrame, path: str, size: int, config: str = "english")
     spark = items.sparkSession
     write_items(items, f"{path}/items")
     stored = read_items(spark, f"{path}/items")
-    build_index(stored, f"{path}/index", size, config)
+    add_pairs(build_index(stored, f"{path}/index", size, config), stored, size)
     build_edges(stored, f"{path}/edges")
     build_order(stored, f"{path}/order")
     build_access(stored, f"{path}/access")
@@ -112,6 +112,10 @@ def lake_of(spark: SparkSession, sf_dir: str, config: str = "english") -> Lake:
     items = items_view(spark, sf_dir)
     paths = source_paths(sf_dir)
 
+    def indexed() -> SearchIndex:
+        size = input_bytes(spark, *paths)
+        return add_pairs(build_index(items, fresh_path(spark, f"index-{config}"), size, config), items, size)
+
     def once(kind: str, build: Callable[[], object]):
         def made():
             key = (spark.sparkContext.applicationId, kind, sf_dir, fingerprint(spark, *paths))
@@ -123,7 +127,7 @@ def lake_of(spark: SparkSession, sf_dir: str, config: str = "english") -> Lake:
 
     return Lake(
         items,
-        once(f"index {config}", lambda: build_index(items, fresh_path(spark, f"index-{config}"), input_bytes(spark, *paths), config)),
+        once(f"index {config}", indexed),
         once("edges", lambda: build_edges(items, fresh_path(spark, "edges"))),
         once("order", lambda: build_order(items, fresh_path(spark, "order"))),
         once("access", lambda: build_access(items, fresh_path(spark, "access"), SAMPLE_RANGE_ROWS)),

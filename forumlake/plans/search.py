@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,9 +26,16 @@ def query_postings(index: SearchIndex, query: Query, counts: TermCounts, type_:
 
     Every match holds the rarest required term of one of the groups. Where these
     are rare enough for a broadcast, the postings of the frequent terms are cut
-    to the rows holding them before anything is shuffled.
+    to the rows holding them before anything is shuffled. Positions are read for
+    the words and pairs that place a phrase and for nothing else.
     """
-    posts = index.postings(query.terms, type_).filter("live")
+    placed = set(query.placed_terms(index.frequent))
+    pairs, words = sorted(t for t in placed if " " in t), sorted(placed.intersection(query.terms))
+    bare = [t for t in query.terms if t not in placed]
+    parts = [index.postings(bare, type_).withColumn("positions", F.lit(None).cast("array<int>"))] if bare or not placed else []
+    parts += [index.postings(words, type_)] if words else []
+    parts += [index.postings(pairs, type_, "pairs")] if pairs else []
+    posts = reduce(DataFrame.unionByName, parts).filter("live")
     anchors = query.anchors(counts.df)
     if anchors is None:
         return posts
@@ -49,7 +56,8 @@ def text_matches(lake: Lake, query: Query, type_: str, keys: tuple[str, ...] = (
     if query.needs_all_rows:
         all_rows = items.filter(is_live() & of_type(type_)).select("id", *keys)
     counts = lake.index.counts(query.terms, scope_of(type_))
-    return match(query_postings(lake.index, query, counts, type_), query, counts.score(query.ranking_terms), all_rows, keys)
+    posts = query_postings(lake.index, query, counts, type_)
+    return match(posts, query, counts.score(query.ranking_terms), all_rows, keys, lake.index.frequent)
 
 
 def matches(lake: Lake, f: SearchFilters, as_of: datetime, keys: tuple[str, ...] = ()) -> DataFrame:
