@@ -9,10 +9,13 @@ from forumlake.checks.base import (
 )
 from forumlake.corpus import items_view, table
 from forumlake.functions.requests import SearchFilters
+from forumlake.functions.text import words
 from forumlake.operators import counts, postings as post
 from forumlake.plans import batch, counting
 from forumlake.plans.lake import lake_of
 from forumlake.plans.search import matches, search, typeahead
+from forumlake.plans.sketches import build_sketches, estimate_counts
+from forumlake.session import fresh_path
 
 WITH = f"WITH {WORDS}"
 
@@ -268,3 +271,28 @@ def _match_count_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @check("match_count_word", f"{WITH} SELECT count(*) AS count, count(*) AS estimate FROM live WHERE type = 'comment' AND {has('the')}")
 def _match_count_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.match_count(_lake(spark, sf_dir), SearchFilters(q="the", type="comment"), AS_OF)
+
+
+_TWO_WORDS = f"""{WITH},
+spelt AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS words FROM benchmark),
+placed AS (SELECT words, unnest(generate_series(1, len(words) - 1)) AS place FROM spelt WHERE len(words) > 1),
+asked AS (SELECT DISTINCT words[place] AS a, words[place + 1] AS b FROM placed),
+held AS (SELECT id, term FROM posts WHERE live AND type = 'comment')
+SELECT a || ' ' || b AS qid, count(y.id) AS estimate, count(y.id) AS low, count(y.id) AS high
+FROM asked LEFT JOIN held x ON x.term = a LEFT JOIN held y ON y.term = b AND y.id = x.id GROUP BY a, b"""
+
+
+def two_word_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two neighbouring words of the benchmark texts."""
+    spelt = table(spark, sf_dir, "benchmark").select(words(F.col("text")).alias("w"))
+    beside = F.transform("w", lambda word, at: F.concat(word, F.lit(" "), F.get("w", at + 1)))
+    pairs = spelt.select(F.explode(beside).alias("q")).filter("q IS NOT NULL").distinct()
+    return pairs.select(F.col("q").alias("qid"), "q", F.lit("comment").alias("type"))
+
+
+@check("sketch_counts", _TWO_WORDS)
+def _sketch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of two words from sketches, which are exact up to some thousand rows a word."""
+    lake = _lake(spark, sf_dir)
+    sketches = build_sketches(lake.index, lake.items, fresh_path(spark, "sketches"))
+    return estimate_counts(sketches, two_word_queries(spark, sf_dir), operators=False)
