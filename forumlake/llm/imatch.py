@@ -15,7 +15,8 @@ many. So it may be handed to every task (8 bytes a term).
 
 The edited text of a document takes its end from the next document in descending order of
 id. Documents are cut into blocks of ids at quantiles, and a block also receives the first
-document of the block after it, so neighbours meet in one pass over sorted blocks.
+document of the block after it, so neighbours meet in one pass over sorted blocks. There
+are at most ``BLOCKS`` blocks; a block is streamed in order, never held, however large.
 
 Defined results: a NULL text is empty; texts with fewer than ``FEW`` lexicon terms are
 hashed by all their terms, and a text without words has the fingerprint "0"; equal
@@ -39,6 +40,7 @@ from forumlake.llm.words import WordHashes, each_text, mix
 RARE, COMMON = 2e-4, 0.1  # band of document frequency, as shares of the documents
 LEXICON = 1 << 20
 FEW, SUBSETS, LEVELS, BLOCK = 4, 48, 3, 512
+BLOCKS = 1 << 16  # blocks of ids at most, so that the driver may hold their ends
 _SEEDS = mix(np.arange(1, 2 * SUBSETS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _A, _B = _SEEDS[:SUBSETS] | np.uint64(1), _SEEDS[SUBSETS:]
 TERMS_HELD = 500_000  # terms that a task counts before it hands the counts on
@@ -143,8 +145,9 @@ def edited(text: str, following: str) -> str:
 def in_blocks(docs: DataFrame) -> DataFrame:
     """(block, lent, doc_id, text): documents in blocks of ids, with the first one of the block that comes next, ``lent``."""
     total = docs.count()
-    shares = [k * BLOCK / total for k in range(1, -(-total // BLOCK))] if total else []
-    cuts = np.unique(docs.approxQuantile("doc_id", shares, min(0.25 * BLOCK / total, 0.01)) if shares else []).astype(np.int64)
+    size = max(BLOCK, -(-total // BLOCKS))
+    shares = [k * size / total for k in range(1, -(-total // size))] if total else []
+    cuts = np.unique(docs.approxQuantile("doc_id", shares, min(0.25 * size / total, 0.01)) if shares else []).astype(np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +157,7 @@ def in_blocks(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int64)), *batch.columns], names=["block", *batch.schema.names])
 
     ids = docs.select("doc_id").mapInArrow(place, "block bigint, doc_id bigint")
-    tops = ids.groupBy("block").agg(F.max("doc_id").alias("top")).orderBy("block").collect()  # one row a block
+    tops = ids.groupBy("block").agg(F.max("doc_id").alias("top")).orderBy("block").collect()  # one row a block, BLOCKS + 1 at most
     owner = {row["block"]: row["top"] for row in tops}
     blocks = sorted(owner)
     # The block after the lowest is the highest again.

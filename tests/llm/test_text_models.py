@@ -40,8 +40,10 @@ def test_fingerprints_of_one_row_and_of_none(spark):
     assert imatch.fingerprints(empty(spark)).count() == 0
 
 
-def test_blocks_meet(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [3, 1 << 16])
+def test_blocks_meet(spark, monkeypatch, blocks):
     monkeypatch.setattr(imatch, "BLOCK", 4)
+    monkeypatch.setattr(imatch, "BLOCKS", blocks)
     rows = [(i * 7 % 101, prose(i, 20), "en", "a", 1) for i in range(101)]
     got = {r.doc_id: r.edited_sha256 for r in imatch.fingerprints(documents(spark, rows)).collect()}
     texts = {i: t for i, t, *_ in rows}
