@@ -430,6 +430,20 @@ def _stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+@check("stream_late_files", f"{_FEED} SELECT * FROM merged")
+def _stream_late_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with older versions of all changed rows reach the stream after the newer ones, and change nothing."""
+    base = fresh_path(spark, "stream-late")
+    write_items(_items(spark, sf_dir), f"{base}/items")
+    latest = stage(sync.latest_versions(changes_feed(spark, sf_dir)), "latest")
+    older = latest.withColumn("title", F.concat(F.lit("older "), F.coalesce("title", F.lit(""))))
+    older.repartition(2, "id").write.json(f"{base}/feed/first-written")
+    latest.repartition(2, "id").write.json(f"{base}/feed/last-written")
+    for arrived in ("last-written", "*"):
+        sync_stream(spark, f"{base}/feed/{arrived}", f"{base}/items", f"{base}/checkpoint", files_per_trigger=2, horizon="7 days").awaitTermination()
+    return _main(read_items(spark, f"{base}/items"))
+
+
 @check(
     "stream_pages",
     f"""{_FEED}, shown AS (SELECT * FROM merged WHERE NOT deleted AND NOT dead)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from forumlake.operators.clean import split_feed
 from forumlake.operators.merge import add_bucket, merge_into, touched_buckets
 from forumlake.plans.access import open_access
 from forumlake.plans.index import add_generation, open_index
 from forumlake.plans.sync import latest_versions
+from forumlake.schema import ITEM_COLUMNS
 from forumlake.session import stage
 from forumlake.sources.feed import read_feed
 from forumlake.sources.items import read_items
@@ -58,12 +62,72 @@ def sync_stream(
     rejected_path: str | None = None,
     files_per_trigger: int | None = None,
     access_path: str | None = None,
+    horizon: str | None = None,
 ) -> StreamingQuery:
     """Works off all files present, in batches of ``files_per_trigger``, and
     stops. Started again it goes on with the files that are new since. A stream
     is known to the index by its checkpoint. One stream may record its batches in
-    the access paths, as these go by the batch's number."""
+    the access paths, as these go by the batch's number.
+
+    With a ``horizon`` (a time span, as "7 days") files may arrive in any order
+    within it: see :func:`winning_versions`. Without one the file worked off last wins."""
     feed = read_feed(spark, feed_path, streaming=True, files_per_trigger=files_per_trigger)
-    writer = feed.writeStream.foreachBatch(apply_batch(items_path, index_path, rejected_path, checkpoint, access_path))
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    work = apply_batch(items_path, index_path, rejected_path, checkpoint, access_path)
+    if horizon is not None:
+        feed, work = winning_versions(feed, horizon), fetch_winners(work)
+    return feed.writeStream.foreachBatch(work).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+WINNERS = "path string, content bigint"
+SEEN = "at bigint, file string, content bigint"
+
+
+def content() -> Column:
+    return F.xxhash64(*ITEM_COLUMNS)
+
+
+def winning_versions(feed: DataFrame, horizon: str) -> DataFrame:
+    """(path, content) of the rows that are newer than every version of their
+    id so far, wherever in the stream those came.
+
+    The state holds the newest version's time, file and content hash of each id,
+    no texts, and forgets an id that had none for the length of the ``horizon``.
+    Files older than that, against the newest file seen, are left out whole: an
+    old version could no longer be told from a new one.
+    """
+    rows = feed.select("id", "arrived", F.unix_micros("arrived").alias("at"), "file", "path", content().alias("content"))
+    kept = rows.sparkSession.range(1).select((F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {horizon}")) / 1000).cast("bigint")).first()[0]
+
+    def newer(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = state.get if state.exists else None
+        best, where = seen, None
+        for frame in frames:
+            for at, file, path, found in frame[["at", "file", "path", "content"]].itertuples(index=False):
+                version = (int(at), file, int(found))
+                if best is None or version > best:
+                    best, where = version, path
+        if where is not None:
+            state.update(best)
+            yield pd.DataFrame({"path": [where], "content": [best[2]]})
+        state.setTimeoutTimestamp(max(best[0] // 1000, state.getCurrentWatermarkMs()) + kept)
+
+    watched = rows.withWatermark("arrived", horizon).groupBy("id")
+    return watched.applyInPandasWithState(newer, WINNERS, SEEN, "update", GroupStateTimeout.EventTimeTimeout)
 
+
+def fetch_winners(work: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """Reads the rows that :func:`winning_versions` names, out of the files of the
+    micro-batch, for the ``work`` on them."""
+
+    def apply(winners: DataFrame, batch_id: int) -> None:
+        spark = winners.sparkSession
+        won = stage(winners.distinct(), "winners")
+        files = [unquote(row["path"]) for row in won.select("path").distinct().collect()]  # files of one batch
+        if files:
+            rows = read_feed(spark, files).withColumn("content", content())
+            work(rows.join(won.select("path", "content"), ["path", "content"], "left_semi"), batch_id)
+
+    return apply

@@ -112,3 +112,29 @@ def test_crash_between_index_and_items_is_repaired(spark, tmp_path):
     apply_batch(items, index)(batch, 0)
     assert index_content(open_index(spark, index)) == rebuilt(read_items(spark, items), "simple")
     assert read_items(spark, items).filter("id = 3").select(F.col("text")).first()[0] == "white wine"
+
+
+def test_late_files_change_nothing(spark, tmp_path):
+    """Within the horizon the file written last wins, whenever it comes; older files are left out."""
+    items, feed, check = (str(tmp_path / n) for n in ("items", "feed", "check"))
+    write_items(start_items(spark), items)
+
+    def run():
+        sync_stream(spark, feed, items, check, rejected_path=str(tmp_path / "rejected"), files_per_trigger=1, horizon="100 seconds").awaitTermination()
+        return {r["id"]: r["title"] for r in read_items(spark, items).collect()}
+
+    start = 1_700_000_000
+    put(tmp_path / "feed", "b c.json", {"id": 1, "type": "story", "title": "second"}, {"id": 5, "type": "story", "title": "five"}, at=start + 50)
+    assert run()[1] == "second"
+    put(tmp_path / "feed", "a.json", {"id": 1, "type": "story", "title": "first"}, {"id": 6, "type": "story", "title": "six"}, at=start)
+    put(tmp_path / "feed", "z.json", {"id": 5, "type": "story", "title": "five again"}, {"id": 5, "type": "odd"}, at=start + 49)
+    got = run()
+    assert (got[1], got[5], got[6]) == ("second", "five", "six")
+    put(tmp_path / "feed", "d.json", {"id": 1, "type": "story", "title": "third"}, {"type": "story", "title": "no id"}, at=start + 400)
+    assert run()[1] == "third"
+    put(tmp_path / "feed", "e.json", {"id": 5, "type": "story", "title": "too late"}, at=start + 60)
+    got = run()
+    assert (got[1], got[5]) == ("third", "five")
+    put(tmp_path / "feed", "f.json", {"id": 5, "type": "story", "title": "sixth"}, at=start + 401)
+    assert run()[5] == "sixth"
+    assert [r["title"] for r in spark.read.parquet(str(tmp_path / "rejected")).collect()] == ["no id"]
