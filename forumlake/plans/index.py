@@ -155,9 +155,9 @@ def add_pairs(index: SearchIndex, items: DataFrame, size: int, share: float = FR
     if index.generations != (0,):
         raise ValueError("pairs are added to an index of one generation: build or compact it first")
     spark, path = index.spark, index.path
-    total = index.corpus_stats().filter("scope = 'all'").select((F.col("n") * share).alias("least"))
-    counted = index.term_stats(scope="all").join(F.broadcast(total), F.col("df") > F.col("least")).select("term")
-    frequent = sorted(row["term"] for row in counted.collect())
+    total = index.corpus_stats().filter("scope = 'all'").first()
+    least = total["n"] * share if total else 0
+    frequent = sorted(row["term"] for row in index.term_stats(scope="all").filter(F.col("df") > least).select("term").collect())
     if not frequent:
         return index
     _write_pairs(spread(items, size), path, 0, index.config, index.buckets, frequent)
