@@ -20,6 +20,7 @@ from forumlake.session import fresh_path, stage
 from forumlake.sources.dump import WRITE_OPTIONS, read_dump
 from forumlake.sources.feed import read_feed, read_story_lists
 from forumlake.sources.items import get_item, read_items, set_cursor, write_items
+from forumlake.sources.manifest import FeedFiles
 from forumlake.sources.shards import read_shards, write_shards
 from forumlake.streaming.feed_sync import sync_stream
 
@@ -563,6 +564,25 @@ def _bounded_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(*[F.lit(v).cast("bigint").alias(k) for k, v in numbers.items()])
 
 
+@check("sync_by_manifest", f"""{_FEED}, lists AS (SELECT DISTINCT parent AS id FROM items WHERE parent <= 4900),
+window_rows AS (SELECT * FROM changes WHERE id BETWEEN 1001 AND 3000 OR id IN (SELECT id FROM lists))
+SELECT {MAIN_SQL} FROM items WHERE id NOT IN (SELECT id FROM window_rows) UNION ALL SELECT {MAIN_SQL} FROM window_rows""")
+def _sync_by_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over files of JSON that opens those of its window and of the ranked lists; older versions lie in files written before."""
+    base = fresh_path(spark, "manifest")
+    write_items(_items(spark, sf_dir), f"{base}/items")
+    set_cursor(spark, f"{base}/cursors", "latest", 1_000, 0, AS_OF)
+    latest = stage(sync.latest_versions(changes_feed(spark, sf_dir)), "latest")
+    files = FeedFiles(spark, f"{base}/feed", f"{base}/manifest")
+    older = latest.withColumn("title", F.concat(F.lit("older "), F.coalesce("title", F.lit(""))))
+    for rows in (older, latest):
+        rows.repartitionByRange(12, "id").write.mode("append").json(f"{base}/feed")
+        files.refresh()
+    lists = items_view(spark, sf_dir).filter("parent IS NOT NULL").select(F.lit("top").alias("list"), F.col("parent").alias("id"))
+    sync.run_sync(spark, f"{base}/items", f"{base}/cursors", files, "latest", 4_900, 2_000, lists, group=1_000)
+    return _main(read_items(spark, f"{base}/items"))
+
+
 def _index_after_streams(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """Items and index after two streams with checkpoints of their own, which bring two versions of every changed id."""
     base = fresh_path(spark, "stream-index")

@@ -13,6 +13,7 @@ from forumlake.operators.merge import merge_into, newest, upsert
 from forumlake.schema import ITEM_COLUMNS, REFRESH_WINDOW, SYNC_BATCH, SYNC_GROUP
 from forumlake.session import stage
 from forumlake.sources.items import get_cursor, read_items, set_cursor
+from forumlake.sources.manifest import FeedFiles
 
 MODES = ("latest", "backfill")
 
@@ -146,7 +147,7 @@ def run_sync(
     spark: SparkSession,
     items_path: str,
     cursors_path: str,
-    feed: DataFrame,
+    feed: DataFrame | FeedFiles,
     mode: str,
     head: int,
     batch: int = SYNC_BATCH,
@@ -162,7 +163,8 @@ def run_sync(
     start at the newest end, after the ranked lists, so its cursor moves to the
     window's end only when all of them are merged: no id is passed over. Ids of
     the ranked lists are not asked for again with their group. The feed is read
-    once a run. A run from ``first`` moves the cursor only if no id lies between.
+    once a run; of a feed with a manifest (:class:`FeedFiles`, refreshed here) only the files that
+    hold ids near the wanted ones. A run from ``first`` moves the cursor only if no id lies between.
     """
     if mode not in MODES:
         raise ValueError(f"unknown sync mode {mode!r}")
@@ -173,6 +175,10 @@ def run_sync(
         return SyncResult(mode, head, None, 0, 0, cursor if mode == "backfill" or first is not None else head)
     groups = groups_of(window, group)
     wanted = wanted_ids(spark, mode, window, lists, head)
+    if isinstance(feed, FeedFiles):
+        feed.refresh()
+        listed = None if mode == "backfill" or lists is None else wanted.filter("priority = 0").select("id")
+        feed = feed.rows(window.start, window.end, listed)
     found = stage(latest_versions(feed.join(wanted.select("id"), "id", "left_semi")).join(wanted, "id"), "fetched")
     parts = [(F.col("priority") == 1) & F.col("id").between(g.start, g.end) for g in groups]
     if mode == "latest":

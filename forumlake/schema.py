@@ -81,3 +81,13 @@ LEDGER = T.StructType(
         T.StructField("loaded", T.BooleanType(), False),
     ]
 )
+
+MANIFEST = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("arrived", T.TimestampType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("least", T.LongType()),
+        T.StructField("greatest", T.LongType()),
+    ]
+)

@@ -3,8 +3,10 @@
 import gzip
 import json
 import os
+import random
 from datetime import datetime
 from pathlib import Path
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from forumlake.operators.clean import clean_dump, clean_feed, split_dump
 from forumlake.plans import ledger, sync
 from forumlake.schema import ITEM_COLUMNS, ITEMS
 from forumlake.sources import dump, feed, items as stored, shards
+from forumlake.sources import manifest as manifests
 
 
 def rows_of(spark, *given):
@@ -285,3 +288,68 @@ def test_an_overridden_start_passes_no_ids_over(spark, tmp_path, mode):
         done = sync.run_sync(spark, items, cursors, rows, mode, head=9_000, batch=1_000, first=first)
         assert (done.window.start, done.cursor, stored.get_cursor(spark, cursors, mode)) == (first, cursor, cursor)
     assert titles(stored.read_items(spark, items)) == {1: "a", 500: "n500", 1_500: "n1500", 5_500: "n5500"}
+
+
+def put_feed(folder, name, *ids, at, title="n"):
+    folder.mkdir(exist_ok=True)
+    path = folder / name
+    path.write_text("\n".join(json.dumps({"id": i, "type": "story", "title": f"{title}{i}"}) for i in ids) or "null", encoding="utf-8")
+    os.utime(path, (at, at))
+
+
+def names_of(paths):
+    return sorted(Path(unquote(p)).name for p in paths)
+
+
+@pytest.mark.parametrize("named", [0, 10_000])
+def test_a_run_opens_only_the_files_it_needs(spark, tmp_path, monkeypatch, named):
+    monkeypatch.setattr(manifests, "NAMED_FILES", named)
+    folder = tmp_path / "feed"
+    for n in range(10):
+        put_feed(folder, f"f {n}.json", *range(n * 100 + 1, n * 100 + 101, 7), at=1_000 + n)
+    put_feed(folder, "nothing.json", at=2_000)
+    put_feed(folder, "wide.json", 3, 720, at=3_000, title="w")
+    files = manifests.FeedFiles(spark, str(folder), str(tmp_path / "manifest"))
+
+
+    def refreshed():
+        files.refresh()
+        return spark.read.parquet(files.manifest).count()
+
+    assert refreshed() == 12 and refreshed() == 12
+    if named:
+        assert names_of(files.rows(250, 350).inputFiles()) == ["f 2.json", "f 3.json", "wide.json"]
+    assert files.rows(5_000, 6_000).count() == 0
+    # Rewritten, new and removed files.
+    put_feed(folder, "f 9.json", 310, at=4_000)
+    put_feed(folder, "late.json", 5, at=4_000, title="l")
+    (folder / "f 3.json").unlink()
+    assert refreshed() == 14
+    assert names_of(r["path"] for r in files.needed(301, 400).collect()) == ["f 9.json", "wide.json"]
+    listed = spark.createDataFrame([(5,), (555,), (9_999,)], "id bigint")
+    assert names_of(r["path"] for r in files.needed(2_000, 3_000, listed).collect()) == ["f 0.json", "f 5.json", "late.json", "wide.json"]
+
+    # The same items as by a read of all files.
+    items = {}
+    for way in (files, feed.read_feed(spark, str(folder))):
+        path = str(tmp_path / f"items-{type(way).__name__}")
+        stored.write_items(rows_of(spark, {"id": 1, "title": "a"}), path)
+        lists = listed.selectExpr("'top' AS list", "id")
+        done = sync.run_sync(spark, path, path + "-cursors", way, "latest", 10_000, 9_800, lists)
+        items[path] = (done, titles(stored.read_items(spark, path)))
+    (a, b) = items.values()
+    assert a == b and a[1][720] == "w720" and a[1][5] == "l5"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_files_of_single_ids_by_brute_force(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    spans = [tuple(sorted(rng.choices(range(1 << rng.randint(1, 40)), k=2))) for _ in range(60)]
+    folder = tmp_path / "feed"
+    for n, (least, greatest) in enumerate(spans):
+        put_feed(folder, f"{n}.json", least, greatest, at=1_000)
+    files = manifests.FeedFiles(spark, str(folder), str(tmp_path / "manifest"))
+    files.refresh()
+    ids = [rng.randrange(1 << rng.randint(1, 40)) for _ in range(30)] + [spans[0][0], spans[1][1]]
+    got = files.needed(1, 0, spark.createDataFrame([(i,) for i in ids], "id bigint"))
+    assert sorted(int(Path(r["path"]).stem) for r in got.collect()) == [n for n, (a, b) in enumerate(spans) if any(a <= i <= b for i in ids)]
