@@ -7,7 +7,8 @@ Layout under one folder::
     term_stats/  gen=/bucket=         scope, term, df
     corpus_stats/gen=                 scope, n, total_dl
     retired/     gen=                 ids whose rows in earlier generations are void
-    commits/                          one row per finished generation, with the frequent words
+    commits/                          one row per finished generation, with its batch, the number of
+                                      its retired ids and the frequent words
 
 Statistics are additive: a later generation holds signed differences, and
 readers sum them. Postings of a changed item are replaced by naming its id as
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from forumlake.operators.joins import BROADCAST_ROWS
 from forumlake.operators.postings import corpus_stats, pair_postings, postings, term_stats
 from forumlake.operators.rank import TermCounts
 from forumlake.schema import ITEM_TYPES
@@ -33,7 +35,7 @@ POSTINGS = "gen int, type string, bucket int, id bigint, live boolean, time time
 TERM_STATS = "gen int, bucket int, scope string, term string, df bigint"
 CORPUS_STATS = "gen int, scope string, n bigint, total_dl bigint"
 RETIRED = "gen int, id bigint"
-COMMITS = "gen int, config string, buckets int, source string, frequent array<string>"
+COMMITS = "gen int, config string, buckets int, source string, retired bigint, frequent array<string>"
 
 # A word in more than this share of all rows is frequent. As many words can be that
 # frequent as a mean row has distinct words, divided by the share, whatever the corpus.
@@ -52,6 +54,7 @@ class SearchIndex:
     buckets: int
     generations: tuple[int, ...]
     sources: tuple[str, ...] = ()
+    retired: int = 0  # rows of that table
     frequent: frozenset[str] = frozenset()
 
     def _read(self, name: str, schema: str) -> DataFrame:
@@ -72,6 +75,8 @@ class SearchIndex:
             rows = rows.filter(F.col("type") == type_)
         if len(self.generations) > 1:
             last = self._read("retired", RETIRED).groupBy("id").agg(F.max("gen").alias("_retired"))
+            # Below the bound no posting is shuffled for its generation; beyond it, compact the index.
+            last = F.broadcast(last) if self.retired <= BROADCAST_ROWS else last
             rows = rows.join(last, "id", "left").filter("_retired IS NULL OR gen >= _retired").drop("_retired")
         return rows.drop("gen")
 
@@ -105,8 +110,9 @@ def open_index(spark: SparkSession, path: str) -> SearchIndex:
         raise ValueError(f"no finished generation in {path}")
     generations = tuple(sorted(r["gen"] for r in rows))
     sources = tuple(sorted(s for r in rows for s in (r["source"] or "").split("\n")))
+    retired = sum(r["retired"] or 0 for r in rows)
     frequent = frozenset(t for r in rows for t in r["frequent"] or ())
-    return SearchIndex(spark, path, rows[0]["config"], rows[0]["buckets"], generations, sources, frequent)
+    return SearchIndex(spark, path, rows[0]["config"], rows[0]["buckets"], generations, sources, retired, frequent)
 
 
 def buckets_for(size: int) -> int:
@@ -121,12 +127,13 @@ def _write(df: DataFrame, path: str, gen: int, keys: list[str], order: list[str]
     (writer.partitionBy(*keys) if keys else writer).parquet(f"{path}/gen={gen}")
 
 
-def _commit(spark: SparkSession, path: str, gen: int, config: str, buckets: int, source: str = "build", mode: str = "append", frequent: list[str] | None = None) -> None:
+def _commit(spark: SparkSession, path: str, gen: int, config: str, buckets: int, source: str = "build", mode: str = "append", frequent: list[str] | None = None, retired: int = 0) -> None:
     row = spark.range(1).select(
         F.lit(gen).alias("gen"),
         F.lit(config).alias("config"),
         F.lit(buckets).alias("buckets"),
         F.lit(source).alias("source"),
+        F.lit(retired).cast("bigint").alias("retired"),
         F.array(*[F.lit(t) for t in frequent or ()]).cast("array<string>").alias("frequent"),
     )
     row.coalesce(1).write.mode(mode).parquet(f"{path}/commits")
@@ -161,7 +168,7 @@ def add_pairs(index: SearchIndex, items: DataFrame, size: int, share: float = FR
     if not frequent:
         return index
     _write_pairs(spread(items, size), path, 0, index.config, index.buckets, frequent)
-    _commit(spark, path, 0, index.config, index.buckets, "\n".join(index.sources), "overwrite", frequent)
+    _commit(spark, path, 0, index.config, index.buckets, "\n".join(last_batches(index.sources)), "overwrite", frequent)
     return open_index(spark, path)
 
 
@@ -170,6 +177,25 @@ def _write_pairs(items: DataFrame, path: str, gen: int, config: str, buckets: in
     _write(pairs, f"{path}/pairs", gen, ["type", "bucket"], ["term", "id"])
 
 
+def batch_of(source: str) -> tuple[str, int]:
+    """(stream, number) of a batch's name; a name without a number is a stream with one batch."""
+    stream, mark, number = source.rpartition("#")
+    return (stream, int(number)) if mark and number.isdecimal() else (source, 0)
+
+
+def is_committed(source: str, sources: tuple[str, ...]) -> bool:
+    stream, number = batch_of(source)
+    return any(known == stream and number <= last for known, last in map(batch_of, sources))
+
+
+def last_batches(sources: tuple[str, ...]) -> list[str]:
+    """The last batch of every stream: all that an index has to remember, as batches come in order."""
+    last: dict[str, str] = {}
+    for source in sorted(sources, key=batch_of):
+        last[batch_of(source)[0]] = source
+    return sorted(last.values())
+
+
 def _difference(new: DataFrame, old: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     minus = old.withColumns({s: -F.col(s) for s in sums})
     summed = new.unionByName(minus).groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums])
@@ -178,12 +204,13 @@ def _difference(new: DataFrame, old: DataFrame, keys: list[str], sums: list[str]
 
 def add_generation(index: SearchIndex, old: DataFrame, new: DataFrame, source: str) -> SearchIndex:
     """Makes changed rows searchable: ``new`` rows replace the ``old`` rows of
-    the same ids. ``source`` names the batch (its stream and number): one that is
-    committed is left alone, so a replayed batch changes nothing. One writer at a
+    the same ids. ``source`` names the batch (``stream#number``): one that is
+    committed, or has a smaller number than a committed one of its stream, is left
+    alone, so a replayed batch changes nothing. One writer at a
     time: its generation is the one after the last."""
     spark, path, config, buckets = index.spark, index.path, index.config, index.buckets
     index = open_index(spark, path)
-    if source in index.sources:
+    if is_committed(source, index.sources):
         return index
     gen = max(index.generations) + 1
     new_posts = postings(new, config).withColumn("bucket", bucket_of(F.col("term"), buckets))
@@ -197,7 +224,8 @@ def add_generation(index: SearchIndex, old: DataFrame, new: DataFrame, source: s
     _write(terms.withColumn("bucket", bucket_of(F.col("term"), buckets)), f"{path}/term_stats", gen, ["bucket"], ["term", "scope"])
     corpus = _difference(corpus_stats(new, written), corpus_stats(old, old_posts), ["scope"], ["n", "total_dl"])
     _write(corpus, f"{path}/corpus_stats", gen, [], ["scope"])
-    _commit(spark, path, gen, config, buckets, source)
+    retired = spark.read.schema(RETIRED).parquet(f"{path}/retired").filter(F.col("gen") == gen).count()
+    _commit(spark, path, gen, config, buckets, source, retired=retired)
     return open_index(spark, path)
 
 
@@ -209,7 +237,7 @@ def compact(index: SearchIndex, path: str) -> SearchIndex:
     _write(index.corpus_stats(), f"{path}/corpus_stats", 0, [], ["scope"])
     if index.frequent:
         _write(index.postings(table="pairs"), f"{path}/pairs", 0, ["type", "bucket"], ["term", "id"])
-    _commit(spark, path, 0, index.config, index.buckets, "\n".join(index.sources), "overwrite", sorted(index.frequent))
+    _commit(spark, path, 0, index.config, index.buckets, "\n".join(last_batches(index.sources)), "overwrite", sorted(index.frequent))
     return open_index(spark, path)
 
 

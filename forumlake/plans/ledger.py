@@ -125,23 +125,47 @@ def load_shards(ledger: DataFrame, shards: DataFrame, items_path: str) -> DataFr
 
 
 def write_ledger(ledger: DataFrame, path: str) -> None:
-    """Adds the whole ledger as its next version; the highest version counts.
-    A write that dies is never visible."""
+    """Adds the rows that differ from the stored ledger as its next version, and
+    marks windows that it no longer has as gone. A write that dies is never visible."""
     spark = ledger.sparkSession
-    version = _version(spark, path) + 1
-    ledger.withColumn("version", F.lit(version)).write.mode("append").parquet(path)
+    held, version = _rows(spark, path), _version(spark, path) + 1
+    now = ledger.select(*LEDGER.fieldNames())
+    if version > 1:
+        held = _newest(held)
+        # Both sides have one row a window, so a window whose rows agree counts twice.
+        both = held.withColumn("mine", F.lit(0)).unionByName(now.withColumn("mine", F.lit(1)))
+        ends = both.groupBy(*LEDGER.fieldNames()).agg(F.count("*").alias("n"), F.max("mine").alias("mine")).filter("n = 1")
+        changed = ends.groupBy("start").agg(F.max_by(F.struct(*LEDGER.fieldNames()[1:]), "mine").alias("row"), F.max("mine").alias("mine"))
+        now = changed.select("start", "row.*", (F.col("mine") == 0).alias("gone"))
+    else:
+        now = now.withColumn("gone", F.lit(False))
+    now.withColumn("version", F.lit(version)).write.mode("append").parquet(path)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return _rows(spark, path).filter(F.col("version") == _version(spark, path)).drop("version")
+    """The newest row of every window."""
+    return _newest(_rows(spark, path))
 
 
-def _rows(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(T.StructType([*LEDGER.fields, T.StructField("version", T.IntegerType())])).parquet(path)
+def fold_ledger(spark: SparkSession, path: str, folded: str) -> None:
+    """The same ledger as one version in a new folder."""
+    write_ledger(read_ledger(spark, path), folded)
 
 
-def _version(spark: SparkSession, path: str) -> int:
+def _newest(rows: DataFrame) -> DataFrame:
+    row = F.max_by(F.struct("end", "rows", "fetched", "loaded", "gone"), "version").alias("row")
+    last = rows.groupBy("start").agg(row).select("start", "row.*").filter("gone IS NOT TRUE").drop("gone")
+    return last.select(*LEDGER.fieldNames())
+
+
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    about = [T.StructField("gone", T.BooleanType()), T.StructField("version", T.IntegerType())]
+    schema = T.StructType([*LEDGER.fields, *about])
     try:
-        return _rows(spark, path).agg(F.max("version")).first()[0] or 0
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException:  # nothing written yet
-        return 0
+        return spark.createDataFrame([], schema)
+
+
+def _version(spark: SparkSession, path: str) -> int:
+    return _rows(spark, path).agg(F.max("version")).first()[0] or 0

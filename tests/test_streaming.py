@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from forumlake.operators.postings import corpus_stats, postings, term_stats
-from forumlake.plans.index import add_generation, build_index, compact, open_index
+from forumlake.operators.merge import upsert
+from forumlake.plans import index as indexes
+from forumlake.plans.index import add_generation, build_index, compact, is_committed, last_batches, open_index
 from forumlake.plans.lake import Lake
 from forumlake.plans.search import text_matches
 from forumlake.operators.match import analyse_query
@@ -101,6 +103,33 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     assert first[0] == rebuilt(read_items(spark, items), "simple")
 
 
+def test_sources_fold_to_the_last_batch_of_each_stream():
+    names = ("build", "a#0", "a#10", "a#9", "/check#2#3", "odd#x")
+    assert last_batches(names) == ["/check#2#3", "a#10", "build", "odd#x"]
+    for name, known in (("a#10", True), ("a#7", True), ("a#11", False), ("b#0", False), ("/check#2#2", True), ("/check#4", False), ("build", True), ("odd#x", True)):
+        assert is_committed(name, tuple(last_batches(names))) == known == is_committed(name, names)
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_compacted_index_follows_on(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(indexes, "BROADCAST_ROWS", most)
+    index = build_index(start_items(spark), str(tmp_path / "index"), 0, "simple")
+    items = start_items(spark)
+    for batch in range(3):
+        put(tmp_path / "feed", f"{batch}.json", {"id": 2, "type": "comment", "text": f"green fish {batch}"}, {"id": 9 + batch, "type": "job", "title": "x"})
+        changes = clean_feed(latest_versions(read_feed(spark, str(tmp_path / "feed" / f"{batch}.json")))).select(*ITEM_COLUMNS)
+        index = add_generation(index, items.join(changes.select("id"), "id", "left_semi").select(*ITEM_COLUMNS), changes, f"feed#{batch}")
+        items = upsert(items, changes)
+    assert index.retired == 6 and len(index.generations) == 4
+    plan = index.postings(["fish"])._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in plan) == bool(most)
+    assert index_content(index) == rebuilt(items, "simple")
+    small = compact(index, str(tmp_path / "small"))
+    assert small.sources == ("build", "feed#2") and small.retired == 0
+    assert add_generation(small, items.limit(0), items.limit(0), "feed#1").generations == (0,)
+    assert index_content(small) == rebuilt(items, "simple")
+
+
 def test_crash_between_index_and_items_is_repaired(spark, tmp_path):
     items, index = str(tmp_path / "items"), str(tmp_path / "index")
     write_items(start_items(spark), items)

@@ -222,6 +222,34 @@ def test_stopped_and_resumed_load_equals_one_pass(spark, tmp_path):
     assert sorted(r["id"] for r in gaps.collect()) == list(range(10, 251, 10))
 
 
+def test_a_ledger_grows_by_what_changed(spark, tmp_path):
+    path, folded = str(tmp_path / "ledger"), str(tmp_path / "folded")
+    plan = ledger.plan_shards(spark, 1, 1_000, 10)
+    ledger.write_ledger(plan, path)
+
+    def stored_rows(at):
+        return spark.read.parquet(at).groupBy("version").count().orderBy("version").collect()
+
+    def kept(at):
+        return sorted(tuple(r) for r in ledger.read_ledger(spark, at).collect())
+
+    fetched = ledger.mark_fetched(ledger.read_ledger(spark, path), spark.createDataFrame([(11,), (11,), (991,)], "shard_start bigint"))
+    ledger.write_ledger(fetched, path)
+    ledger.write_ledger(ledger.read_ledger(spark, path), path)  # nothing new
+    assert [tuple(r) for r in stored_rows(path)] == [(1, 100), (2, 2)]
+    ledger.write_ledger(ledger.plan_shards(spark, 1_001, 1_020, 10, ledger.read_ledger(spark, path)), path)
+    assert [(r[0], r[2]) for r in kept(path) if r[3]] == [(11, 2), (991, 1)] and len(kept(path)) == 102
+
+    # Another plan in its place: windows go, come back, and change their ends.
+    short = ledger.plan_shards(spark, 1, 95, 10)
+    ledger.write_ledger(short, path)
+    assert kept(path) == sorted(tuple(r) for r in short.collect())
+    ledger.write_ledger(plan, path)
+    assert kept(path) == sorted(tuple(r) for r in plan.collect())
+    ledger.fold_ledger(spark, path, folded)
+    assert kept(folded) == kept(path) and [tuple(r) for r in stored_rows(folded)] == [(1, 100)]
+
+
 def test_extended_plan_keeps_old_shards_off_the_grid(spark):
     first = ledger.plan_shards(spark, 7, 150, 100)
     extended = ledger.plan_shards(spark, 107, 400, 100, first)
