@@ -180,7 +180,7 @@ def match(
 
 def mark_clauses(clauses: DataFrame) -> DataFrame:
     """Adds what evaluating a table of queries needs: the words of each clause
-    (``clause_size``), the required clauses of each group (``needed``), the
+    (``clause_size``), all and the required clauses of each group (``group_size``, ``needed``), the
     groups of its query that require nothing (``open_groups``), and ``ranks`` on
     one row per distinct term that is not excluded. The windows span one query
     text each."""
@@ -189,6 +189,7 @@ def mark_clauses(clauses: DataFrame) -> DataFrame:
     marked = clauses.withColumns(
         {
             "clause_size": F.count("*").over(Window.partitionBy("qid", "grp", "clause")),
+            "group_size": F.size(F.collect_set("clause").over(group)),
             "needed": F.size(F.collect_set(F.when(~F.col("negated"), F.col("clause"))).over(group)),
             "ranks": (F.row_number().over(first) == 1) & ~F.col("negated"),
         }
@@ -200,9 +201,9 @@ def mark_clauses(clauses: DataFrame) -> DataFrame:
 GROUP_KEYS = ("qid", "id", "grp", "negated", "needed", "open_groups")
 
 
-def phrase_hits(hits: DataFrame) -> DataFrame:
+def phrase_hits(hits: DataFrame, uncut: DataFrame) -> DataFrame:
     """One row per phrase and row holding one of its words; ``ok`` where the
-    words stand as in the phrase.
+    words stand as in the phrase. ``uncut`` is ``hits`` as they are before rows were left out.
 
     Words are counted first, without their positions. Only rows that hold every
     word of a phrase have positions fetched and compared, so those of frequent
@@ -213,13 +214,13 @@ def phrase_hits(hits: DataFrame) -> DataFrame:
     whole = found.filter("n = clause_size").select(*row)
     whole = F.broadcast(whole) if fits_broadcast(whole) else whole
     starts = F.transform("positions", lambda p: p - F.col("off"))
-    at = hits.select(*row, starts.alias("starts")).join(whole, row, "left_semi").groupBy(*row).agg(F.collect_list("starts").alias("starts"))
+    at = uncut.select(*row, "off", "positions").join(whole, row, "left_semi").groupBy(*row).agg(F.collect_list(starts).alias("starts"))
     common = F.aggregate("starts", F.get("starts", F.lit(0)), F.array_intersect)
     standing = at.filter(F.size(common) > 0).select(*row, F.lit(True).alias("ok"))
     return found.join(standing, row, "left").select(*GROUP_KEYS, "part", F.coalesce("ok", F.lit(False)).alias("ok"))
 
 
-def judged_rows(hits: DataFrame, has_phrases: bool) -> DataFrame:
+def judged_rows(hits: DataFrame, has_phrases: bool, alone: bool = False, uncut: DataFrame | None = None) -> DataFrame:
     """(qid, id, ok, barred, bm25) of the rows that hold a term of a query.
 
     ``hits`` is postings joined to marked clauses, one row per clause term found
@@ -228,11 +229,20 @@ def judged_rows(hits: DataFrame, has_phrases: bool) -> DataFrame:
     rows. Only phrase words carry their positions. A row matches if it meets a
     group that requires something, or if a group of exclusions alone leaves it
     free; it is ``barred`` if there are such groups and all of them exclude it.
+    Where every clause is ``alone`` in its group, groups need no step of their own.
     """
     found = hits.filter("clause_size = 1") if has_phrases else hits
     found = found.select(*GROUP_KEYS, "part", F.lit(True).alias("ok"))
     if has_phrases:
-        found = found.unionByName(phrase_hits(hits.filter("clause_size > 1")))
+        found = found.unionByName(phrase_hits(hits.filter("clause_size > 1"), (hits if uncut is None else uncut).filter("clause_size > 1")))
+    if alone:
+        per_row = found.groupBy("qid", "id").agg(
+            F.bool_or(F.col("ok") & ~F.col("negated")).alias("met"),
+            F.count_if(F.col("ok") & F.col("negated")).alias("shut"),
+            F.max("open_groups").alias("open_groups"),
+            F.sum("part").alias("bm25"),
+        )
+        return _judged(per_row)
     per_group = found.repartition("qid", "id").groupBy("qid", "id", "grp").agg(
         F.max("needed").alias("needed"),
         F.max("open_groups").alias("open_groups"),
@@ -245,6 +255,10 @@ def judged_rows(hits: DataFrame, has_phrases: bool) -> DataFrame:
     per_row = per_group.groupBy("qid", "id").agg(
         F.bool_or(met).alias("met"), F.count_if(shut).alias("shut"), F.max("open_groups").alias("open_groups"), F.sum("part").alias("bm25")
     )
+    return _judged(per_row)
+
+
+def _judged(per_row: DataFrame) -> DataFrame:
     barred = (F.col("open_groups") > 0) & (F.col("shut") == F.col("open_groups"))
     free = (F.col("open_groups") > 0) & (F.col("shut") < F.col("open_groups"))
     return per_row.select("qid", "id", (F.col("met") | free).alias("ok"), barred.alias("barred"), "bm25")

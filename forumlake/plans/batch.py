@@ -56,15 +56,15 @@ def judged(lake: Lake, queries: DataFrame, operators: bool = True) -> tuple[Data
     """The judged rows of a table (qid, q, type) that hold a term of their
     query, and (qid, type) of the queries with groups of exclusions alone."""
     asked = asked_terms(lake, queries, operators)
-    size = asked.agg(F.count("*").alias("n"), F.bool_or(F.col("clause_size") > 1).alias("phrases"), F.bool_or(F.col("needed") == 0).alias("open")).first()
-    hits = join_small(lake.index.postings().filter("live"), asked, ["type", "bucket", "term"], salt_by="id", rows=size["n"])
+    size = asked.agg(F.count("*").alias("n"), F.bool_or(F.col("clause_size") > 1).alias("phrases"), F.bool_or(F.col("needed") == 0).alias("open"), F.max("group_size").alias("clauses")).first()
+    hits = uncut = join_small(lake.index.postings().filter("live"), asked, ["type", "bucket", "term"], salt_by="id", rows=size["n"])
     if not size["open"]:
         found = seeds(lake, asked, size["n"])
         if found is not None:
             # Beyond a broadcast both sides are laid out by query and row, as the sums need it.
             hits = hits.join(F.broadcast(found) if fits_broadcast(found) else found, ["qid", "id"], "left_semi")
     hits = hits.withColumn("part", F.when(F.col("ranks"), rank.score()).otherwise(0.0))
-    rows = judged_rows(hits, bool(size["phrases"]))
+    rows = judged_rows(hits, bool(size["phrases"]), size["clauses"] == 1, uncut)
     if not size["open"]:
         return rows, None
     open_queries = queries.select("qid", "type").join(asked.filter("needed = 0").select("qid").distinct(), "qid", "left_semi")

@@ -243,3 +243,19 @@ def test_stems_in_sql(spark):
     con.execute("CREATE TABLE vocabulary AS SELECT unnest(?) AS word", [sorted(words | STOP_WORDS)])
     got = dict(con.execute(f"WITH {stems_sql('vocabulary')} SELECT word, stem FROM stems").fetchall())
     assert got == {w: None if w in STOP_WORDS else stem(w) for w in words | STOP_WORDS}
+
+
+def test_single_clauses_need_no_group_step(spark, sf_dir, monkeypatch):
+    lake = lake_of(spark, sf_dir, "simple")
+    asked = [(1, "the or and or with", "all"), (2, '"of the" or la', "comment"), (3, "la or -the", "story"), (4, "-the or -and", "all"), (5, "nowhere or the", "job")]
+    queries = spark.createDataFrame(asked, "qid int, q string, type string")
+
+    def found():
+        return {(r["qid"], r["id"]): round(r["bm25"], 6) for r in batch.batch_matches(lake, queries).collect()}
+
+    ways = []
+    judged_rows = batch.judged_rows
+    monkeypatch.setattr(batch, "judged_rows", lambda hits, phrases, alone, uncut: ways.append(alone) or judged_rows(hits, phrases, alone, uncut))
+    short = found()
+    monkeypatch.setattr(batch, "judged_rows", lambda hits, phrases, alone, uncut: judged_rows(hits, phrases))
+    assert ways == [True] and short == found() and len({qid for qid, _ in short}) == 5
