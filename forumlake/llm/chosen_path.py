@@ -39,12 +39,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from forumlake.llm.common import named_again, numbered
 from forumlake.llm.components import components
 from forumlake.llm.words import each_text, mix, shingles
+from forumlake.operators.joins import BROADCAST_ROWS, SALTS, count_up_to, join_small
 from forumlake.session import stage
 
 SHINGLE, SIMILARITY = 5, 0.8
 POSITIONS, RUNS, DEPTH, SMALL, BLOCK = 64, 16, 3, 1024, 8192
 SKETCH_PASS = 0.6
 VERIFY = 512  # nodes of a block of whole sets
+HEAVY = 512  # rows of a key beyond which they are not brought into one task
 _SEEDS = mix(np.arange(1, 2 * POSITIONS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _A, _B = _SEEDS[:POSITIONS] | np.uint64(1), _SEEDS[POSITIONS:]
 
@@ -270,6 +272,26 @@ def joins(left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> list[tuple
     return out
 
 
+def looked_up(rows: DataFrame, found: DataFrame, key: str, salt_by: str) -> DataFrame:
+    """Inner join of ``rows`` to a table with one row for each ``key``, whose ``n`` says how many rows the key has.
+
+    Rows of heavy keys meet theirs by a broadcast of a checked size, or salted beyond it; only the others are
+    brought together by key, ``HEAVY`` at most.
+    """
+    heavy = found.where(F.col("n") > HEAVY)
+    many = count_up_to(heavy, BROADCAST_ROWS)
+    if not many:
+        return rows.join(found, key)
+    hot = join_small(rows, heavy, [key], salt_by, BROADCAST_ROWS, many)
+    if many <= BROADCAST_ROWS:
+        others = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    else:
+        copies = heavy.select(key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
+        others = salted.join(copies, [key, "salt"], "left_anti").drop("salt")
+    return hot.unionByName(others.join(found.where(F.col("n") <= HEAVY), key))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``class_id`` (the least id of its class), ``class_size``, ``n_links`` (other documents
     at the similarity or above, copies counted), ``n_texts`` (other shingle sets among them), ``n_shingles``."""
@@ -285,7 +307,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     # The candidates' whole sets, block against block.
     groups = stage(near.groupBy("root").agg(F.count("*").alias("n")), "candidate-groups")
-    wanted = near.join(groups, "root").join(nodes.select("node", "uid", "size"), "node").withColumnRenamed("uid", "w_uid")
+    wanted = looked_up(near, groups, "root", "node").join(nodes.select("node", "uid", "size"), "node").withColumnRenamed("uid", "w_uid")
     texts = docs.select(uid(id_col, text).alias("uid"), F.col(text).alias("text"))
     fetched = texts.join(wanted, F.col("uid") == F.col("w_uid")).select("root", "n", "node", "size", "text")
 
@@ -307,12 +329,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     roots = components(proven.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = proven.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
     placed = nodes.select("node", "least", "size").join(roots, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = placed.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("size").alias("class_size"))
-    known = placed.join(classes, "root").select(
-        "node", "class_id", "class_size", (F.coalesce("documents", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("bigint").alias("n_texts")
+    placed = stage(placed, "placed")
+    classes = placed.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("size").alias("class_size"), F.count("*").alias("n"))
+    known = looked_up(placed, stage(classes, "classes"), "root", "node").select(
+        "node", "class_id", "class_size", (F.coalesce("documents", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("bigint").alias("n_texts"), F.col("size").alias("n")
     )
     known = stage(known, "node-classes")
-    return rows.select("doc_id", "node", "n_shingles").join(known, "node").select("doc_id", "class_id", "class_size", "n_links", "n_texts", "n_shingles")
+    found = looked_up(rows.select("doc_id", "node", "n_shingles"), known, "node", "doc_id")
+    return found.select("doc_id", "class_id", "class_size", "n_links", "n_texts", "n_shingles")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

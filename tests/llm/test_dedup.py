@@ -130,14 +130,16 @@ def test_one_of_each(spark):
     assert chosen_path.near_groups(empty(spark)).count() == 0
 
 
-def test_large_buckets_and_blocks(spark, monkeypatch):
-    """The paths of deeper levels, several blocks of a bucket and of a group."""
-    for name, value in (("SMALL", 8), ("BLOCK", 16), ("VERIFY", 16)):
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_large_buckets_and_blocks(spark, monkeypatch, broadcast):
+    """The paths of deeper levels, several blocks of a bucket and of a group, heavy groups and many copies of one text."""
+    for name, value in (("SMALL", 8), ("BLOCK", 16), ("VERIFY", 16), ("HEAVY", 16), ("BROADCAST_ROWS", broadcast)):
         monkeypatch.setattr(chosen_path, name, value)
     base = [f"t{i}" for i in range(200)]
     rows = [(k, " ".join(base[:k] + ["x"] + base[k + 1 :]), "en", "a", 1) for k in range(60)]
+    rows += [(60 + k, rows[3][1], "en", "a", 1) for k in range(20)] + [(80 + k, f"alone {k} of five words", "en", "a", 1) for k in range(5)]
     got = chosen_path.near_groups(documents(spark, rows)).collect()
-    assert {(r.class_id, r.class_size) for r in got} == {(0, 60)}
+    assert Counter((r.class_id, r.class_size) for r in got) == Counter({(0, 80): 80} | {(80 + k, 1): 1 for k in range(5)})
     _, links = brute_classes(rows)
     assert {r.doc_id: r.n_links for r in got} == dict(enumerate(links))
 
