@@ -17,7 +17,7 @@ P(class | class before) * P(word | class).
    keep the class of their last three bytes.
 4. Transitions are counted anew under all words' classes and smoothed towards the class
    frequencies, emissions by adding one, with one unseen word a class; both sum to one.
-5. Counts and classes of the most frequent words (at most ``LOCAL``, by a histogram of the
+5. Counts and classes of the end and of the most frequent words (at most ``LOCAL``, by a histogram of the
    counts) go to every task. A document carries its other words, each once, to a join with
    the table of words. None of these is frequent, so no key is hot.
 
@@ -345,7 +345,8 @@ def classed(docs: DataFrame, local, by_suffix) -> DataFrame:
                 counts = known.look_up("n", terms, -1)
                 classes = known.look_up("cls", terms, of[ends])
                 cuts = np.append(0, np.cumsum(sizes))
-                logs = np.append(0, np.cumsum(np.where(counts >= 0, np.log10(np.maximum(counts, 0) + 1.0), 0.0)[which]))
+                logs = np.where(counts >= 0, np.log10(np.maximum(counts, 0) + 1.0), 0.0)[which]
+                log_sums = np.bincount(np.repeat(np.arange(size), sizes), logs, size)  # of each text alone, so that no long one rounds its neighbours' sums
                 seen = np.append(0, np.cumsum((counts > 0)[which]))
                 out = {"classes": [], "rare": [], "place": [], "which": []}
                 for s, e in zip(cuts[:-1], cuts[1:]):
@@ -362,7 +363,7 @@ def classed(docs: DataFrame, local, by_suffix) -> DataFrame:
                     rows,
                     *[c.slice(done, size) for c in batch.columns[:2]],
                     pa.array(sizes + 1, pa.int64()),
-                    pa.array(np.diff(logs[cuts]) + np.log10(end + 1.0), pa.float64()),
+                    pa.array(log_sums + np.log10(end + 1.0), pa.float64()),
                     pa.array(np.diff(seen[cuts]) + (end > 0), pa.int64()),
                     pa.array(out["classes"], pa.binary()),
                     pa.array(out["rare"], pa.list_(pa.int64())),
@@ -480,7 +481,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     vocabulary = vocabulary_of(counts)
     words, by_suffix, gained = word_classes(train, counts, context.broadcast(vocabulary))
     words = stage(words, "words")
-    rows = words.where(F.col("n") >= vocabulary.local_from).toArrow()  # at most LOCAL
+    end = int(np.uint64(END).view(np.int64))
+    rows = words.where((F.col("n") >= vocabulary.local_from) | (F.col("term") == end)).toArrow()  # at most LOCAL and the end, which few long texts make rare
     local = Table(rows.column("term").to_numpy().view(np.uint64), n=rows.column("n").to_numpy(), cls=rows.column("cls").to_numpy())
     coded = classed(docs, context.broadcast(local), context.broadcast(by_suffix))
     coded = coded.select(*FINAL_COLUMNS) if len(rows) == vocabulary.distinct else with_rare(stage(coded, "classes"), words)

@@ -94,6 +94,17 @@ def test_language_model(spark):
     assert brown.lm_scores(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("local", [50, 1 << 17])
+def test_ends_of_few_long_texts_are_known(spark, monkeypatch, local):
+    """The end is rarer there than the words that go to every task, or as rare as all of them."""
+    monkeypatch.setattr(brown, "LOCAL", local)
+    rows = [(i, " ".join(f"w{k}" for k in range(i * 3, i * 3 + 100))) for i in range(1, 4)]
+    counts, n, v = base(rows)
+    want = [(i, out_of_training(i), 101, sum(counts[x] > 0 for x in tokens(t)), n, round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in tokens(t)), 9)) for i, t in rows]
+    got = brown.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9)) for r in got) == want
+
+
 def test_language_model_beats_the_unigram_out_of_training(spark, sf_dir):
     got = [r for r in QUERIES["op4_brown_lm"](spark, sf_dir).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
