@@ -259,3 +259,20 @@ def test_single_clauses_need_no_group_step(spark, sf_dir, monkeypatch):
     short = found()
     monkeypatch.setattr(batch, "judged_rows", lambda hits, phrases, alone, uncut: judged_rows(hits, phrases))
     assert ways == [True] and short == found() and len({qid for qid, _ in short}) == 5
+
+
+def test_hits_of_many_queries_are_shuffled_once_a_posting(spark, sf_dir, monkeypatch):
+    """Not once a query: rows are laid out by id before they meet the queries."""
+    lake = lake_of(spark, sf_dir, "simple")
+    asked = [(k, q, t) for k, (q, t) in enumerate([("the or and or la", "comment"), ("la or der", "all"), ("the or nowhere", "job")] * 3)]
+    rows, _ = batch.judged(lake, spark.createDataFrame(asked, "qid int, q string, type string"))
+    assert "hashpartitioning(qid" not in rows._jdf.queryExecution().executedPlan().toString()
+    asked = [(1, '"of the" or la', "all"), (2, "the and", "comment"), (3, '"der und" der or "in the"', "all")]
+    queries = spark.createDataFrame(asked, "qid int, q string, type string")
+
+    def found():
+        return {(r["qid"], r["id"]): round(r["bm25"], 6) for r in batch.batch_matches(lake, queries).collect()}
+
+    cut_first = found()
+    monkeypatch.setattr(batch, "fits_broadcast", lambda df: False)
+    assert found() == cut_first and len({qid for qid, _ in cut_first}) == 3
