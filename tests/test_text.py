@@ -276,3 +276,40 @@ def test_hits_of_many_queries_are_shuffled_once_a_posting(spark, sf_dir, monkeyp
     cut_first = found()
     monkeypatch.setattr(batch, "fits_broadcast", lambda df: False)
     assert found() == cut_first and len({qid for qid, _ in cut_first}) == 3
+
+
+def test_word_pairs_are_made_for_phrases_alone(spark, sf_dir, monkeypatch):
+    from forumlake.plans import lake as lakes
+
+    monkeypatch.setattr(lakes, "_built", {})
+    made, add_pairs = [], lakes.add_pairs
+    monkeypatch.setattr(lakes, "add_pairs", lambda index, *rest: made.append(index.path) or add_pairs(index, *rest))
+    lake = lake_of(spark, sf_dir, "simple")
+    assert matches(lake, SearchFilters(q="the and", type="comment"), AS_OF).count() and not made
+    assert matches(lake, SearchFilters(q='"of the"', type="comment"), AS_OF).count() and made == [lake.index.path]
+    assert lake.phrase_index.frequent and not lake.index.frequent
+
+
+def test_runs_of_terms(monkeypatch):
+    """Documents without terms, terms that are not indexed, and documents longer than what is cut at once."""
+    import pyarrow as pa
+
+    from forumlake.functions import runs
+
+    texts = [None, [], ["b", None, "a", "b"], [None], ["é", "a"], ["a"] * 7, ["b", "a"]]
+    kinds = ["x", "x", "y", "x", "x", "y", "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(kinds), pa.array(texts, pa.list_(pa.string()))], names=["id", "type", "terms"])
+    for words in (1, 5, 1000):
+        monkeypatch.setattr(runs, "WORDS", words)
+        got = [r for b in runs.cut_runs(("id", "type"))([batch, batch.slice(4)]) for r in b.to_pylist()]
+        want = []
+        for i in [*range(7), 4, 5, 6]:
+            held = [(t, k) for k, t in enumerate(texts[i] or []) if t is not None]
+            for t in sorted({t for t, _ in held}):
+                at = [k for x, k in held if x == t]
+                want.append((i, kinds[i], t, len(at), len(held), at))
+        assert sorted(tuple(r.values()) for r in got) == sorted(want)
+        if words == 1000:  # in the order of the stored table, one type after the other
+            assert [(r["type"], r["term"], r["id"]) for r in got[:7]] == sorted((r["type"], r["term"], r["id"]) for r in got[:7])
+    pairs = [r for b in runs.cut_runs(("id", "type"), frozenset("a"))([batch]) for r in b.to_pylist()]
+    assert {(r["id"], r["term"]): (r["tf"], r["dl"], r["positions"]) for r in pairs} == {(2, "a b"): (1, 1, [2]), (4, "é a"): (1, 1, [0]), (5, "a a"): (6, 6, list(range(6))), (6, "b a"): (1, 1, [0])}
