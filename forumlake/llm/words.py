@@ -26,7 +26,8 @@ def coded_words(texts: pa.Array, lower: bool = False) -> tuple[list[bytes], np.n
     Words lie between the characters x20 and x09 to x0D; NULL has none. The empty word may be listed, but has no code.
     """
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    # A cast slice keeps its place in the buffer, and ascii_lower then reads other bytes: a copy begins at 0.
+    texts = pc.fill_null(pa.concat_arrays([texts.cast(pa.large_string())]), "")
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     coded = split.flatten().dictionary_encode()
     words = coded.dictionary.cast(pa.large_binary()).to_pylist()

@@ -7,11 +7,14 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from xxhash import xxh3_64_intdigest
 
 from forumlake.llm import chosen_path, exact_dedup, substrings
 from forumlake.llm.components import components
 from forumlake.llm.fm_index import FMIndex
+from forumlake.llm.words import coded_words, each_text
 from tests.llm.fixtures import PASSAGE, ROWS, documents, empty, prose
 
 
@@ -93,6 +96,23 @@ def brute_classes(rows) -> tuple[list[int], list[int]]:
     return [top(i) for i in range(len(rows))], links
 
 
+def test_words_of_any_slice():
+    texts = [None, "", *(f"Word{k} AND  Wörd{k % 7}\tÄ{k}" * (k % 5) for k in range(2500))]
+    want = [[xxh3_64_intdigest(w.encode()) for w in words(ascii_lower(text))] for text in texts]
+    column = pa.array(texts)
+    for lo in (0, 1, 1000, 2100):
+        assert [h.tolist() for h in each_text(column.slice(lo))] == want[lo:]
+        listed, which, sizes = coded_words(column.slice(lo, 300), lower=True)
+        assert [listed[k].decode() for k in which] == [w for text in texts[lo : lo + 300] for w in words(ascii_lower(text))]
+        assert sizes.tolist() == [len(found) for found in want[lo : lo + 300]]
+
+
+def test_copies_far_into_a_batch_are_linked(spark):
+    rows = [(k, prose(k // 2, 40), "en", "a", 0) for k in range(5000)]
+    found = chosen_path.near_groups(documents(spark, rows).coalesce(1)).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in found} == {(k, k - k % 2, 1) for k in range(5000)}
+
+
 def test_near_groups(spark):
     rows = list(ROWS)
     base = words(ROWS[0][1])
