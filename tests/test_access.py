@@ -131,3 +131,11 @@ def test_an_empty_table_has_empty_pages(spark, tmp_path):
     for f in SEARCHES[:13:4]:
         assert search(ordered, f, AS_OF).count() == 0
     assert typeahead(ordered, "t").count() == 0 and user_items(items, "u0", 1, access).count() == 0
+
+
+def test_small_ranges_stay_few(spark, tmp_path):
+    items = spark.createDataFrame(made(400, 5), ITEMS)
+    access = paths.build_access(items, str(tmp_path / "access"), 2)
+    assert all(1 < len(bounds) <= paths.FEW_RANGES for bounds in access.bounds.values())
+    assert [paths.ranges_for(n, 2_000) for n in (0, 1, 90_000, 10**7, 10**10)] == [1, 1, 45, 200, paths.MOST_RANGES]
+    assert [paths.ranges_for(n) for n in (10**5, 10**7)] == [2, 200]
