@@ -130,6 +130,20 @@ def test_compacted_index_follows_on(spark, tmp_path, monkeypatch, most):
     assert index_content(small) == rebuilt(items, "simple")
 
 
+def test_compaction_leaves_the_first_generation_in_its_folders(spark, tmp_path, monkeypatch):
+    items = start_items(spark)
+    index = build_index(items, str(tmp_path / "index"), 0, "simple")
+    put(tmp_path / "feed", "a.json", {"id": 2, "type": "comment", "text": "green fish"}, {"id": 9, "type": "job", "title": "x"})
+    changes = clean_feed(latest_versions(read_feed(spark, str(tmp_path / "feed")))).select(*ITEM_COLUMNS)
+    index = add_generation(index, items.join(changes.select("id"), "id", "left_semi").select(*ITEM_COLUMNS), changes, "feed#0")
+    shuffled, hint = [], type(items).hint
+    monkeypatch.setattr(type(items), "hint", lambda df, name, *keys: shuffled.append((name, "positions" in df.columns and {r["id"] for r in df.collect()})) or hint(df, name, *keys))
+    small = compact(index, str(tmp_path / "small"))
+    assert ("rebalance", {2, 9}) in shuffled and all(not ids or ids == {2, 9} for _, ids in shuffled)
+    monkeypatch.undo()
+    assert index_content(small) == rebuilt(upsert(items, changes), "simple")
+
+
 def test_crash_between_index_and_items_is_repaired(spark, tmp_path):
     items, index = str(tmp_path / "items"), str(tmp_path / "index")
     write_items(start_items(spark), items)
