@@ -257,48 +257,64 @@ def clustered(codes: DataFrame, types: int) -> tuple[np.ndarray, np.ndarray, flo
     return classes, by_class(after, classes), gained
 
 
+def summed_contexts(gathered: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """A row per bucket with its distinct words, the number of cells of each, the cells and their counts, of words' hashes
+    and the cells ahead of and behind each. Empties ``gathered``, and copies little more than it held."""
+    terms, ahead, behind = map(np.concatenate, zip(*gathered))
+    gathered.clear()
+    order = np.argsort(terms)
+    terms = terms[order]
+    first = np.append(True, terms[1:] != terms[:-1])
+    known = terms[first]
+    bucket = ((known >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")  # words lie by bucket, then by hash
+    place = np.empty(len(by), np.int32)
+    place[by] = np.arange(len(by), dtype=np.int32)
+    which = np.empty(len(order), np.int32)
+    which[order] = place[np.cumsum(first, dtype=np.int32) - 1]
+    del terms, order, first
+    pair = np.concatenate([which, which]).astype(np.int64)
+    pair *= 2 * CLASSES
+    pair[: len(ahead)] += ahead
+    pair[len(ahead) :] += behind
+    pair.sort()
+    starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    n = np.diff(np.append(starts, len(pair))).astype("<u4")
+    pair = pair[starts]
+    which, cells = (pair // (2 * CLASSES)).astype(np.int32), (pair % (2 * CLASSES)).astype("<u1")
+    known, bucket = known[by], bucket[by]
+    sizes = np.bincount(which, minlength=len(known)).astype("<u1")
+    rows, words = [], np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    cuts = np.searchsorted(which, np.append(words, len(known)))
+    for k, (low, high) in enumerate(zip(words, np.append(words[1:], len(known)))):
+        s, e = cuts[k : k + 2]
+        parts = (known[low:high].astype("<u8"), sizes[low:high], cells[s:e], n[s:e])
+        rows.append((int(bucket[low]), *(zlib.compress(x.tobytes(), 1) for x in parts)))
+    kinds = (pa.int64(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "terms", "sizes", "cells", "n"])
+
+
 def own_contexts(docs: DataFrame, vocabulary, classes) -> DataFrame:
     """(bucket, terms, sizes, cells, n): for the words outside the core, the classes before (cells below ``CLASSES``) and after."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = vocabulary.value, classes.value
         buckets = max(1, -(-held.tokens // BUCKET))
-        gathered: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def handed() -> pa.RecordBatch:
-            terms = np.concatenate([t for t, _ in gathered])
-            cells = np.concatenate([c for _, c in gathered])
-            known, which = np.unique(terms, return_inverse=True)
-            pair, n = np.unique(which * (2 * CLASSES) + cells, return_counts=True)
-            which, cells = np.divmod(pair, 2 * CLASSES)
-            bucket = ((known >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket[which], kind="stable")
-            which, cells, n = which[order], cells[order], n[order]
-            of_row = bucket[which]
-            rows, starts = [], np.flatnonzero(np.append(True, of_row[1:] != of_row[:-1]))
-            for s, e in zip(starts, np.append(starts[1:], len(of_row))):
-                mine, sizes = np.unique(which[s:e], return_counts=True)
-                parts = (known[mine].astype("<u8"), sizes.astype("<u1"), cells[s:e].astype("<u1"), n[s:e].astype("<u4"))
-                rows.append((int(of_row[s]), *(zlib.compress(x.tobytes(), 1) for x in parts)))
-            kinds = (pa.int64(), *[pa.binary()] * 4)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "terms", "sizes", "cells", "n"])
-
+        gathered: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # ten bytes a word
         size = 0
         for batch in batches:
             for _, terms, ends, which, sizes in texts_of(batch.column(0)):
                 kinds = held.core.look_up("type", terms, held.suffix_type + ends)
                 rare = with_ends((kinds >= held.suffix_type)[which], sizes, False)
-                now = with_ends(of[kinds][which], sizes, 0)
-                hashes = with_ends(terms[which], sizes, END)
+                now = with_ends(of[kinds].astype(np.uint8)[which], sizes, 0)
                 at = np.flatnonzero(rare)  # a word has an end behind it at the latest, and one before its text
-                gathered += [(hashes[at], np.where(at > 0, now[at - 1], 0)), (hashes[at], CLASSES + now[at + 1])]
+                gathered.append((with_ends(terms[which], sizes, END)[at], np.where(at > 0, now[at - 1], np.uint8(0)), now[at + 1] + np.uint8(CLASSES)))
                 size += 2 * len(at)
                 if size > CONTEXTS:
-                    yield handed()
-                    gathered.clear()
+                    yield summed_contexts(gathered, buckets)
                     size = 0
         if size:
-            yield handed()
+            yield summed_contexts(gathered, buckets)
 
     return docs.select("text").mapInArrow(each, "bucket bigint, terms binary, sizes binary, cells binary, n binary")
 
@@ -388,13 +404,16 @@ def with_rare(rows: DataFrame, words: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums, seen, classes = [], [], []
-            columns = {name: batch.column(name).to_pylist() for name in ("log_sum", "n_known", "classes", "place", "which", "rare_words", "found")}
-            for log, n, code, place, which, size, met in zip(*columns.values()):
-                if met:
+            columns = [batch.column(name).to_pylist() for name in ("log_sum", "n_known", "classes", "place", "which", "rare_words")]
+            found = batch.column("found")
+            ends = np.cumsum(found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            k, counted, placed_in = (x.to_numpy(zero_copy_only=False) for x in found.flatten().flatten())
+            for start, end, log, n, code, place, which, size in zip([0, *ends], ends, *columns):
+                if end > start:
                     place, which = np.frombuffer(place, "<u4"), np.frombuffer(which, "<u4")
                     counts, of = np.zeros(size, np.int64), np.full(size, -1, np.int64)
-                    for m in met:
-                        counts[m["k"]], of[m["k"]] = m["n"], m["cls"]
+                    met = slice(start, end)
+                    counts[k[met]], of[k[met]] = counted[met], placed_in[met]
                     own = np.frombuffer(code, "<u1").copy()
                     own[place] = np.where(of[which] >= 0, of[which], own[place])
                     code, log, n = own.tobytes(), log + float(np.log10(counts[which] + 1.0).sum()), n + int((counts[which] > 0).sum())

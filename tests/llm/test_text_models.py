@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -131,6 +132,28 @@ def brute_score(texts, train, cls) -> list[float]:
     ]
 
 
+@pytest.mark.parametrize("words", [7, 400_000])
+def test_contexts_are_summed_in_little_memory(words):
+    """By brute force, and beside what was gathered in 80 bytes a word at most."""
+    rng = np.random.default_rng(words)
+    terms = rng.integers(0, 1 << 62, 1 + words // 4).astype(np.uint64)[rng.integers(0, 1 + words // 4, words)]
+    ahead, behind = rng.integers(0, brown.CLASSES, (2, words)).astype(np.uint8)
+    behind += np.uint8(brown.CLASSES)
+    gathered = [(terms[k::2], ahead[k::2], behind[k::2]) for k in (0, 1)]
+    tracemalloc.start()
+    got = brown.summed_contexts(gathered, 5)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert not gathered and peak < 80 * words + 1_000_000
+    want = Counter([*zip(terms.tolist(), ahead.tolist()), *zip(terms.tolist(), behind.tolist())])
+    for row in got.to_pylist():
+        known, sizes, cells, n = (np.frombuffer(zlib.decompress(row[k]), kind) for k, kind in (("terms", "<u8"), ("sizes", "<u1"), ("cells", "<u1"), ("n", "<u4")))
+        assert set(((known >> np.uint64(40)) % np.uint64(5)).tolist()) == {row["bucket"]}
+        for pair, times in zip(zip(np.repeat(known, sizes).tolist(), cells.tolist()), n.tolist(), strict=True):
+            assert want.pop(pair) == times
+    assert not want
+
+
 @pytest.mark.parametrize(("local", "share"), [(1 << 17, 2e-5), (60, 2e-3)])
 def test_scores_and_classes_by_brute_force(spark, sf_dir, monkeypatch, local, share):
     monkeypatch.setattr(brown, "LOCAL", local)
