@@ -313,3 +313,19 @@ def test_runs_of_terms(monkeypatch):
             assert [(r["type"], r["term"], r["id"]) for r in got[:7]] == sorted((r["type"], r["term"], r["id"]) for r in got[:7])
     pairs = [r for b in runs.cut_runs(("id", "type"), frozenset("a"))([batch]) for r in b.to_pylist()]
     assert {(r["id"], r["term"]): (r["tf"], r["dl"], r["positions"]) for r in pairs} == {(2, "a b"): (1, 1, [2]), (4, "é a"): (1, 1, [0]), (5, "a a"): (6, 6, list(range(6))), (6, "b a"): (1, 1, [0])}
+
+
+def test_documents_are_stemmed_where_they_are_cut(spark, english):
+    """No list of words crosses to Python twice; the terms are those of query words, whatever was met before."""
+    from forumlake.functions import stemming
+    from forumlake.operators.postings import postings
+
+    posts = postings(english[0].items, "english")
+    text = posts._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "ArrowEvalPython" not in text
+    words = ["the", "running", "runs", "kayak", "sky", "runs", "naïve", "été", "eed", "y", "9s"]
+    terms_of = stemming.remembered_terms()
+    for _ in range(2):
+        assert terms_of(words) == [None if w in STOP_WORDS else stem(w) for w in words]
+    some = spark.createDataFrame([(w,) for w in words], "w string").select(english_terms(F.array("w"))[0].alias("t"))
+    assert [r["t"] for r in some.collect()] == terms_of(words)
