@@ -329,3 +329,20 @@ def test_documents_are_stemmed_where_they_are_cut(spark, english):
         assert terms_of(words) == [None if w in STOP_WORDS else stem(w) for w in words]
     some = spark.createDataFrame([(w,) for w in words], "w string").select(english_terms(F.array("w"))[0].alias("t"))
     assert [r["t"] for r in some.collect()] == terms_of(words)
+
+
+def test_hits_laid_out_by_id_are_summed_where_they_are(spark, sf_dir, monkeypatch):
+    """Groups of several clauses need no shuffle of hits by query and row, and rows are looked for in opened blocks alone."""
+    lake = lake_of(spark, sf_dir, "simple")
+    asked = [(1, "-the -and -la", "comment"), (2, "-der -the", "all"), (3, "-nowhere -with", "job"), (4, "la the or -der -of", "all")]
+    queries = spark.createDataFrame(asked, "qid int, q string, type string")
+    laid, repartition = [], type(queries).repartition
+    monkeypatch.setattr(type(queries), "repartition", lambda df, *keys: laid.append(keys) or repartition(df, *keys))
+    shut, semi = [], batch.shut_in
+    monkeypatch.setattr(batch, "shut_in", lambda barred, wanted, n: shut.append((barred.count(), semi(barred, wanted, n).count())) or semi(barred, wanted, n))
+    rows = batch.batch_search(lake, queries, 2).collect()
+    assert laid and ("qid", "id") not in laid
+    assert len(shut) == 1 and shut[0][1] <= shut[0][0]
+    whole = {(r["qid"], r["id"]): round(r["bm25"], 6) for r in batch.batch_matches(lake, queries).collect()}
+    best = {q: sorted((-b, i) for (of, i), b in whole.items() if of == q)[:2] for q in (1, 2, 3, 4)}
+    assert {q: [(-round(r["bm25"], 6), r["id"]) for r in sorted(rows, key=lambda r: r["rank"]) if r["qid"] == q] for q in best} == best
