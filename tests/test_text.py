@@ -346,3 +346,30 @@ def test_hits_laid_out_by_id_are_summed_where_they_are(spark, sf_dir, monkeypatc
     whole = {(r["qid"], r["id"]): round(r["bm25"], 6) for r in batch.batch_matches(lake, queries).collect()}
     best = {q: sorted((-b, i) for (of, i), b in whole.items() if of == q)[:2] for q in (1, 2, 3, 4)}
     assert {q: [(-round(r["bm25"], 6), r["id"]) for r in sorted(rows, key=lambda r: r["rank"]) if r["qid"] == q] for q in best} == best
+
+
+def test_postings_are_shuffled_packed(spark, monkeypatch):
+    """Packed rows hold what single rows hold: documents without terms, NULL keys, long documents, cut at any place."""
+    from forumlake.functions import runs
+    from forumlake.operators import postings as post
+    from forumlake.schema import ITEM_COLUMNS, ITEMS
+
+    texts = [None, "", "b a b the", "é a", "a " * 9, "b A running", "x " + "y " * 33000 + "x", "the the of a"]
+    base = {"deleted": False, "dead": False, "type": "comment", "kids": [], "parts": []}
+    rows = [{**base, "id": k, "text": t, "type": ["comment", "job", "poll"][k % 3], "dead": k == 3, "score": k if k % 2 else None, "time": datetime(2024, 1, k + 1) if k % 4 else None} for k, t in enumerate(texts)]
+    items = spark.createDataFrame([tuple(r.get(c) for c in ITEM_COLUMNS) for r in rows], ITEMS).coalesce(2)
+
+    def content(df):
+        return sorted(map(repr, df.select(*post.ROW, "term", "tf", "dl", "positions").collect()))
+
+    for words, documents in ((1, 2**15), (6, 2**15), (1_000_000, 2), (1_000_000, 2**15)):
+        monkeypatch.setattr(runs, "WORDS", words)
+        monkeypatch.setattr(runs, "DOCUMENTS", documents)
+        for config, buckets, frequent in (("simple", 8, None), ("english", 1, None), ("simple", 3, ["a", "the"])):
+            packs = post.packed(items, config, buckets, frequent)
+            single = post.postings(items, config) if frequent is None else post.pair_postings(items, config, frequent)
+            got = post.unpacked(packs)
+            assert content(got) == content(single) and got.filter(F.col("bucket") != post.bucket_of(F.col("term"), buckets)).isEmpty()
+    assert packs.count() < single.count()
+    none = post.packed(items.limit(0), "simple", 8)
+    assert none.isEmpty() and post.unpacked(none).isEmpty()
